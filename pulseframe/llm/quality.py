@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 BUCKETS, RANK, FIT_ROWS = 8192, 8, 8000
 #: Words whose bucket a worker remembers.
 CACHED_WORDS = 300_000
-STRUCTURE = ("log_words", "log_chars", "word_length", "distinct_share", "top_share", "upper_share", "digit_share", "mark_share", "wide_share", "line_words", "bar_share", "marked_word_share")
+STRUCTURE = ("log_words", "log_chars", "word_length", "distinct_share", "top_share", "upper_share", "digit_share", "mark_share", "wide_share", "line_words", "bar_share", "marked_word_share", "again_share")
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,")
 _UPPER, _DIGIT, _WIDE = bytes(range(65, 91)), bytes(range(48, 58)), bytes(range(128, 256))
 _TAIL = re.compile(r"[^\w\s.,]+(?=\s|$)")
@@ -46,14 +47,14 @@ _BUCKETS = _Buckets()
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Buckets, their values, and the numbers named in STRUCTURE."""
     text = text or ""
-    counts = Counter(text.split())
-    n = sum(counts.values())
+    words = text.split()
+    counts, n = Counter(words), len(words)
     raw = text.encode("utf-8", "replace")
     size = len(raw)
     share = lambda those: (size - len(raw.translate(None, those))) / max(size, 1)
     numbers = [
         np.log1p(n), np.log1p(size), len(text) / max(n, 1), len(counts) / max(n, 1), max(counts.values(), default=0) / max(n, 1),
-        share(_UPPER), share(_DIGIT), share(_MARKS), share(_WIDE), np.log1p(n / (text.count("\n") + 1)), text.count("|") / max(n, 1), len(_TAIL.findall(text)) / max(n, 1),
+        share(_UPPER), share(_DIGIT), share(_MARKS), share(_WIDE), np.log1p(n / (text.count("\n") + 1)), text.count("|") / max(n, 1), len(_TAIL.findall(text)) / max(n, 1), sum(map(eq, words, words[1:])) / max(n, 1),
     ]
     idx = np.fromiter(map(_BUCKETS.__getitem__, counts), np.int32, len(counts))
     val = np.log1p(np.fromiter(counts.values(), np.float32, len(counts)))
