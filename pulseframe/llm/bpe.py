@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulseframe.shipping import ship
+
 #: Code points that are scanned at once, if no text is longer.
 SCAN_CHARS = 1 << 20
 #: Slices whose merges a worker remembers.
@@ -205,7 +207,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], text_col: str = "text", keep:
     keep: the columns to pass through; all by default.
     """
     keep = df.columns if keep is None else keep
-    spark = df.sparkSession
+    ship(spark := df.sparkSession)
     shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary, whatever the input
     raw = _free("_raw", df.columns)
     src = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text_col}`"].cast("binary").alias(raw))
@@ -240,6 +242,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], text_col: str = "text", keep:
 def decode(df: DataFrame, ranks: dict[bytes, int], keep: list[str] | None = None) -> DataFrame:
     """Adds decoded binary: each token's bytes put where its offset says. Takes the columns that encode() adds."""
     keep = df.columns if keep is None else keep
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     src = df.select(*keep, "token_ids", "token_offsets") if not {"token_ids", "token_offsets"} <= set(keep) else df.select(*keep)
 

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseframe.shipping import ship
+
 #: Rows up to which a table of single keys is broadcast (16 MB of longs); beyond it, joins shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -26,6 +28,7 @@ class Scratch:
     """Tables written to the shared folder: they cut lineage, and survive a lost executor."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

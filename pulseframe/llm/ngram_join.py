@@ -6,10 +6,11 @@ index lists. Two relations between sets then save work, without loss:
 
 * Index level: entries of a list with one size and position form a block, and a block that the length or
   positional filter rules out for another block is skipped whole.
-* Answer level: the smallest set of a list answers first, against the others in its range of sizes. A set highly
-  similar to it takes over its answers: sets that such answers already connect aren't compared again, and of two
-  sets with known distances to the same third one, the triangle inequality of the Jaccard distance rules out
-  those whose distances differ by more than the threshold allows. What is left is verified pair by pair.
+* Answer level: the set with the commonest shingles of a list is its hub and answers first, against the others in
+  its range of sizes. A set highly similar to its hub takes over the hub's answers: sets that they already connect
+  aren't compared again. For two sets with one hub, the intersection follows from the hub's size and from what
+  either lacks of the hub and has beyond it, which is little, so that whole sets aren't read again. Only sets of
+  unlike hubs are left to be verified pair by pair.
 
 Defined results: without words, or with a null text, a set is empty and links with nothing; rows that repeat an id
 are rows of their own with one id; ids must be longs, null ids link with nothing; an empty table gives no rows;
@@ -22,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Hash buckets that count shingles, in slices that are summed apart.
 BUCKETS, SLICES = 1 << 20, 64
+#: Least similarity to a hub at which a set is kept as its difference from the hub; sets in a block of a hub's group.
+CLOSE, GROUP = 0.5, 2048
 #: Bytes of text that are hashed at once, if no text is longer.
 AT_ONCE = 1 << 20
 
@@ -135,24 +139,25 @@ def bucket_counts(source: DataFrame) -> np.ndarray:
 
 
 def signatures(source: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(doc_id, n, sig, prefix): the set's size and digest, and its rarest shingles, as many as the prefix filter needs."""
+    """(doc_id, n, sig, common, prefix): the set's size, digest and mean count of shingles, and its rarest shingles, as many as the prefix filter needs."""
     shared = source.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ns, sigs, prefixes = [], [], []
+            ns, sigs, means, prefixes = [], [], [], []
             for s in shingle_sets(b.column("raw").to_pylist()):
                 n = len(s)
                 ns.append(n)
                 sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
                 rarity = shared.value[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                means.append(int(min(rarity.mean() * 16, 1 << 30)) if n else 0)
                 keep = n - -(-NUM * n // DEN) + 1 if n else 0
                 prefixes.append(s[np.argsort(rarity, kind="stable")[:keep]].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ns, pa.int32()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ns, pa.int32()), pa.array(sigs, pa.binary()), pa.array(means, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n", "sig", "common", "prefix"])
 
-    return source.mapInArrow(run, "doc_id long, n int, sig binary, prefix array<long>")
+    return source.mapInArrow(run, "doc_id long, n int, sig binary, common int, prefix array<long>")
 
 
 def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
@@ -167,18 +172,21 @@ def _lists(t: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(a[some].tolist(), b[some].tolist(), strict=True))
 
 
+ENTRY = ["t", "sid", "n", "pos", "common"]
+ENTRY_TYPES = "t long, sid long, n int, pos int, common int"
+
+
 def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The entries of lists with two sets at least."""
-    t, sid, n, pos = _columns(batches, ["t", "sid", "n", "pos"])
-    order = np.argsort(t, kind="stable")
-    t = t[order]
+    entries = _columns(batches, ENTRY)
+    order = np.argsort(entries[0], kind="stable")
+    t = entries[0][order]
     same = np.zeros(len(t), bool)
     same[1:] = t[1:] == t[:-1]
-    same[:-1] |= same[1:].copy() if len(t) > 1 else False
+    same[:-1] |= t[1:] == t[:-1]
     at = order[same]
     for i in range(0, len(at), 100_000):
-        a = at[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(t[same][i : i + 100_000]), *[pa.array(x[a]) for x in (sid, n, pos)]], names=["t", "sid", "n", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[at[i : i + 100_000]]) for x in entries], names=ENTRY)
 
 
 def _possible(n1, p1, n2, p2):
@@ -187,10 +195,10 @@ def _possible(n1, p1, n2, p2):
     return (DEN * np.minimum(n1, n2) >= NUM * np.maximum(n1, n2)) & (1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= least)
 
 
-def _unique_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _unique_pairs(a: list[np.ndarray], b: list[np.ndarray], directed: bool = False) -> Iterator[pa.RecordBatch]:
     x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
     if len(x):
-        lo, hi = np.minimum(x, y), np.maximum(x, y)
+        lo, hi = (x, y) if directed else (np.minimum(x, y), np.maximum(x, y))
         order = np.lexsort((hi, lo))
         lo, hi = lo[order], hi[order]
         new = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
@@ -198,27 +206,62 @@ def _unique_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.Recor
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In each list, the smallest set with the others in its range of sizes, then the first beyond it likewise, and so on."""
-    t, sid, n, pos = _columns(batches, ["t", "sid", "n", "pos"])
-    order = np.lexsort((sid, n, t))
+    """(hub, other) in each list: the commonest set with the others in its range of sizes, then the commonest of those left, and so on."""
+    t, sid, n, pos, common = _columns(batches, ENTRY)
+    order = np.lexsort((sid, -common, t))
     t, sid, n, pos = t[order], sid[order], n[order].astype(np.int64), pos[order].astype(np.int64)
     xs, ys = [], []
     for a, z in _lists(t):
-        while a < z - 1:
-            m = a + int(np.searchsorted(n[a:z], DEN * n[a] // NUM, "right"))
-            ok = np.flatnonzero(_possible(n[a], pos[a], n[a + 1 : m], pos[a + 1 : m])) + a + 1
-            xs.append(np.full(len(ok), sid[a]))
+        left = np.arange(a, z)
+        while len(left) > 1:
+            hub, rest = left[0], left[1:]
+            near = DEN * np.minimum(n[hub], n[rest]) >= NUM * np.maximum(n[hub], n[rest])
+            ok = rest[near & _possible(n[hub], pos[hub], n[rest], pos[rest])]
+            xs.append(np.full(len(ok), sid[hub]))
             ys.append(sid[ok])
-            a = m
-    yield from _unique_pairs(xs, ys)
+            left = rest[~near]
+    yield from _unique_pairs(xs, ys, directed=True)
+
+
+def _group_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between sets of one hub, by their differences from it: one for each set and component that it meets."""
+    x, y = pdf[pdf["left"]], pdf[~pdf["left"]]
+    if not len(x) or not len(y):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    base = int(pdf["hub_size"].iloc[0])
+
+    def common(col: str) -> np.ndarray:
+        """Sizes of the intersections of two lists of arrays."""
+        flat = [np.concatenate([*side[col], np.zeros(0, np.int64)]).astype(np.int64) for side in (x, y)]
+        who = [np.repeat(np.arange(len(side)), side[col].map(len)) for side in (x, y)]
+        tokens = np.intersect1d(*flat)
+        out = np.zeros((len(x), len(y)), np.float32)
+        for i in range(0, len(tokens), 4096):
+            some = tokens[i : i + 4096]
+            both = []
+            for f, w, side in zip(flat, who, (x, y), strict=True):
+                at = np.minimum(np.searchsorted(some, f), len(some) - 1)
+                hit = some[at] == f
+                m = np.zeros((len(side), len(some)), np.float32)
+                m[w[hit], at[hit]] = 1
+                both.append(m)
+            out += both[0] @ both[1].T
+        return out.astype(np.int64)
+
+    lack = [side["lacks"].map(len).to_numpy() for side in (x, y)]
+    more = [side["adds"].map(len).to_numpy() for side in (x, y)]
+    meet = base - lack[0][:, None] - lack[1][None, :] + common("lacks") + common("adds")
+    size = [base - m + k for m, k in zip(lack, more, strict=True)]
+    cx, cy = x["comp"].to_numpy(), y["comp"].to_numpy()
+    i, j = np.nonzero((DEN * meet >= NUM * (size[0][:, None] + size[1][None, :] - meet)) & (cx[:, None] != cy[None, :]))
+    return pd.DataFrame({"a": x["sid"].to_numpy()[i], "c": cy[j], "b": y["sid"].to_numpy()[j]}).drop_duplicates(["a", "c"])[["a", "b"]]
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a list that nothing connects yet and neither filter nor triangle rules out."""
-    t, sid, n, pos, comp, hub, dist = _columns(batches, ["t", "sid", "n", "pos", "comp", "hub", "dist"])
+    """Pairs of a list that nothing connects yet, with unlike hubs, and that the filters leave."""
+    t, sid, n, pos, comp, hub = _columns(batches, ["t", "sid", "n", "pos", "comp", "hub"])
     order = np.lexsort((sid, pos, n, t))
-    t, sid, n, pos, comp, hub, dist = t[order], sid[order], n[order].astype(np.int64), pos[order].astype(np.int64), comp[order], hub[order], dist[order]
-    slack = 1 - NUM / DEN + 1e-9
+    t, sid, n, pos, comp, hub = t[order], sid[order], n[order].astype(np.int64), pos[order].astype(np.int64), comp[order], hub[order]
     xs, ys, held = [], [], 0
     for a, z in _lists(t):
         c = comp[a:z]
@@ -238,8 +281,7 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             others = np.concatenate([np.arange(lo[f], hi[f]) for f in fits])
             for some in np.array_split(mine, max(1, len(mine) * len(others) // 2_000_000)):
-                open_ = comp[some][:, None] != comp[others][None, :]
-                open_ &= ~((hub[some][:, None] == hub[others][None, :]) & (np.abs(dist[some][:, None] - dist[others][None, :]) > slack))
+                open_ = (comp[some][:, None] != comp[others][None, :]) & (hub[some][:, None] != hub[others][None, :])
                 i, j = np.nonzero(open_)
                 xs.append(sid[some[i]])
                 ys.append(sid[others[j]])
@@ -265,22 +307,39 @@ def _full_sets(source: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _verify(source: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """(a, b, similarity, linked) of the pairs."""
+    """(a, b, similarity, linked, hub_size, lacks, adds) of the pairs; the last two, b's differences from a, where the two are close."""
     ids = scratch.save(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), f"{tag}-ids")
     sets = scratch.save(_full_sets(source, ids), f"{tag}-sets")
     few = pairs.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     right = (F.broadcast(pairs) if few else pairs).withColumnRenamed("b", "sid")
     met = sets.join(right, "sid").select("a", F.col("sid").alias("b"), F.col("s").alias("sb"))
     both = met.join(sets.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    out = both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("u"))
-    out = out.select("a", "b", (F.col("i") / (F.col("u") - F.col("i"))).alias("similarity"), (DEN * F.col("i") >= NUM * (F.col("u") - F.col("i"))).alias("linked"))
-    # rows that repeat an id may differ in text
-    out = scratch.save(out.groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.max("linked").alias("linked")), f"{tag}-verified")
+    both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long")).withColumn("u", F.size("sa") + F.size("sb") - F.col("i"))
+    close = F.col("i") >= CLOSE * F.col("u")
+    out = both.select("a", "b", (F.col("i") / F.col("u")).alias("similarity"), (DEN * F.col("i") >= NUM * F.col("u")).alias("linked"), F.size("sa").alias("hub_size"), F.when(close, F.array_except("sa", "sb")).alias("lacks"), F.when(close, F.array_except("sb", "sa")).alias("adds"))
+    out = scratch.save(out, f"{tag}-verified")
     scratch.drop(f"{tag}-sets")
     return out
 
 
+def _within_groups(spark: SparkSession, first: DataFrame, comp: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(links between sets of one hub that nothing connects yet; the hub of each set that has one)."""
+    near = first.where("lacks is not null")
+    best = near.groupBy(F.col("b").alias("sid")).agg(F.max_by(F.struct("a", "hub_size", "lacks", "adds"), F.struct("similarity", -F.col("a"))).alias("h"))
+    best = best.select("sid", F.col("h.a").alias("hub"), "h.hub_size", "h.lacks", "h.adds")
+    best = scratch.save(best.join(comp.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "hub", "hub_size", "lacks", "adds", F.coalesce("component", "sid").alias("comp")), "hubs")
+    hub_comp = comp.select(F.col("id").alias("hub"), F.col("component").alias("hub_comp"))
+    placed = best.join(hub_comp, "hub", "left").withColumn("out", F.col("comp") != F.coalesce("hub_comp", "hub"))
+    sizes = placed.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("ys"), F.ceil(F.count_if("out") / GROUP).cast("int").alias("xs")).where("xs > 0")
+    dealt = placed.join(sizes, "hub")
+    part = lambda k: F.pmod(F.xxhash64("sid"), F.col(k)).cast("int")
+    cols = ["hub", "hub_size", "sid", "comp", "lacks", "adds"]
+    lefts = dealt.where("out").select(*cols, F.lit(True).alias("left"), part("xs").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"))
+    rights = dealt.select(*cols, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), part("ys").alias("y"))
+    links = lefts.unionByName(rights).groupBy("hub", "x", "y").applyInPandas(_group_links, "a long, b long")
+    return scratch.save(links, "group-links"), best.select("sid", "hub")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row."""
     spark: SparkSession = docs.sparkSession
@@ -290,20 +349,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = signed.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("sid"))
     members = scratch.save(signed.select("doc_id", "n", "sig").join(classes, "sig", "left").select("doc_id", "n", F.coalesce("sid", "doc_id").alias("sid")), "members")
     named = signed.join(classes.withColumnRenamed("sig", "class_sig"), (F.col("doc_id") == F.col("sid")) & (F.col("sig") == F.col("class_sig")))
-    posted = named.select("sid", "n", F.posexplode("prefix").alias("pos", "t")).select("t", "sid", "n", "pos").repartition("t")
-    lists = scratch.save(posted.mapInArrow(_shared_lists, "t long, sid long, n int, pos int"), "lists")
+    posted = named.select("sid", "n", "common", F.posexplode("prefix").alias("pos", "t")).select(*ENTRY).repartition("t")
+    lists = scratch.save(posted.mapInArrow(_shared_lists, ENTRY_TYPES), "lists")
     stars = scratch.save(lists.repartition("t").mapInArrow(_stars, "a long, b long").distinct(), "stars")
     scratch.drop("signed")
     first = _verify(source, stars, scratch, "stars")
-    comp = scratch.save(components(spark, first.where("linked")), "first-components")
-    either = first.select("a", "b", "similarity").union(first.select("b", "a", "similarity"))
-    hubs = either.groupBy("b").agg(F.max_by("a", F.struct("similarity", "a")).alias("hub"), (1 - F.max("similarity")).alias("dist"))
-    known = lists.join(comp, lists["sid"] == comp["id"], "left").join(hubs, lists["sid"] == hubs["b"], "left")
-    known = known.select("t", "sid", "n", "pos", F.coalesce("component", "sid").alias("comp"), F.coalesce("hub", "sid").alias("hub"), F.coalesce("dist", F.lit(0.0)).alias("dist"))
-    left = known.repartition("t").mapInArrow(_rest, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+    linked = first.where("linked").select("a", "b")
+    comp = scratch.save(components(spark, linked), "star-components")
+    grouped, hubs = _within_groups(spark, first, comp, scratch)
+    linked = linked.union(grouped)
+    comp = scratch.save(components(spark, linked), "group-components")
+    known = lists.join(comp, lists["sid"] == comp["id"], "left").join(hubs, "sid", "left")
+    known = known.select("t", "sid", "n", "pos", F.coalesce("component", "sid").alias("comp"), F.coalesce("hub", "sid").alias("hub"))
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = known.repartition("t").mapInArrow(_rest, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     second = _verify(source, scratch.save(left, "rest"), scratch, "rest")
-    links = first.where("linked").select("a", "b").union(second.where("linked").select("a", "b"))
-    final = scratch.save(components(spark, links), "components")
+    final = scratch.save(components(spark, linked.union(second.where("linked").select("a", "b"))), "components")
     scratch.drop("lists")
     out = members.join(final, members["sid"] == final["id"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "sid").alias("component_id"))

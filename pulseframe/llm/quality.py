@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulseframe.shipping import ship
+
 #: Hash buckets of words, factors, and labelled rows that are learnt at most.
 BUCKETS, RANK, FIT_ROWS = 8192, 8, 8000
 #: Words whose bucket a worker remembers.
@@ -132,6 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
 
     Only their features come to the driver. The labels are joined by broadcast, since their number is bounded.
     """
+    ship(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     some = docs.join(F.broadcast(known), docs[id_col] == known["_id"]).select("_id", "_y", F.col(text_col).alias("_t"))
@@ -148,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     """Adds score double and predicted int. The machine, of fixed size, is broadcast."""
     keep = docs.columns if keep is None else keep
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     src = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text_col}`"].alias("_scored_text"))
 

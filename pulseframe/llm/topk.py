@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pulseframe.shipping import ship
+
 #: Ids in a block, in a range of blocks that one task searches, and queries that one task takes.
 BLOCK, RANGE, CHUNK = 256, 8192, 4096
 
@@ -66,6 +68,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
 
     Each chunk of queries meets each range of blocks: as many rows as that needs are shuffled, never scores of pairs.
     """
+    ship(vectors.sparkSession)
     rows = quantised(vectors, id_col, vec_col, scale).withColumn("range", F.floor(F.col("id") / RANGE))
     queries = rows.where(is_query(F.col("id")))
     chunks = max(1, -(-queries.count() // CHUNK))
