@@ -38,8 +38,9 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
-        """Delete one table, or all."""
+        """Delete one table, or all. Shuffle files of plans that nothing refers to any more go with it."""
         jvm = self.spark._jvm
+        jvm.System.gc()
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -68,7 +69,8 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
         small = large.join(low, "u").select(F.explode(F.array(pair(F.col("v"), F.col("m")), pair(F.col("u"), F.col("m")))).alias("p")).select("p.u", "p.v").where("u <> v").distinct()
         n += 1
         e = scratch.save(small, str(n))
-        scratch.drop(str(n - 1))
+        if n % 4 == 0:
+            scratch.drop(str(n - 1))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break

@@ -80,24 +80,23 @@ def _filters(x: str, y: str) -> Column:
     return length & ((1 + F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))) * (NUM + DEN) >= both * NUM)
 
 
-def _verified(lines: DataFrame, pairs: DataFrame, ids: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """The pairs (x, y) whose whole sets match. ids: (doc, thash, ln, s1) of one line for each set."""
-    pairs = scratch.save(pairs.distinct(), f"{tag}-pairs")
-    wanted = pairs.select(F.col("x").alias("s1")).union(pairs.select("y")).distinct()
-    where = scratch.save(semi_by_key(ids, scratch.save(wanted, f"{tag}-wanted"), ["s1"]), f"{tag}-where")
+def _whole_sets(lines: DataFrame, where: DataFrame) -> DataFrame:
+    """(s1, s) of the lines (doc, thash, ln, s1) that `where` names. Its documents are sought out before they are taken apart."""
     small = where.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     on = lines["doc"].eqNullSafe(where["doc"]) & (lines["thash"] == where["thash"]) & (lines["ln"] == where["ln"])
-    sets = lines.join(F.broadcast(where) if small else where, on).select("s1", tokens(F.col("words")).alias("s")).dropDuplicates(["s1"])
-    sets = scratch.save(sets, f"{tag}-sets")
+    return lines.join(F.broadcast(where) if small else where, on).select("s1", tokens(F.col("words")).alias("s"))
+
+
+def _matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(y) of the pairs (x, y) whose whole sets match."""
     met = pairs.join(sets.withColumnRenamed("s1", "x"), "x").withColumnRenamed("s", "sx").join(sets.withColumnRenamed("s1", "y"), "y")
     common = F.size(F.array_intersect("sx", "s"))
-    return scratch.save(met.where(common * DEN >= (F.size("sx") + F.size("s") - common) * NUM).select("x", "y"), f"{tag}-matches")
+    return met.where(common * DEN >= (F.size("sx") + F.size("s") - common) * NUM).select(F.col("y").alias("s1")).distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, thash, ln) of the lines that go."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "line-dedup")
+    """(doc, thash, lns): the numbers of the lines that go, by text."""
+    scratch = Scratch(docs.sparkSession, "line-dedup")
     lines = lines_of(docs, id_col, text_col)
     line_sets = scratch.save(prefixed(lines, rarity(lines)), "lines")
     at = F.struct("doc", "thash", "ln")
@@ -109,22 +108,31 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = F.min(F.struct("first", "s1", "n", "pos")).alias("h")
     heads = lists.groupBy("t").agg(first).select("t", F.col("h.s1").alias("s1"), F.col("h.n").alias("n"), F.col("h.pos").alias("pos"))
     stars = lists.alias("y").join(heads.alias("x"), "t").where("x.s1 <> y.s1").where(_filters("x", "y")).select(F.col("x.s1").alias("x"), F.col("y.s1").alias("y"))
-    ids = distinct.select("s1", "first.*")
-    gone = _verified(lines, stars, ids, scratch, "stars").select(F.col("y").alias("s1")).distinct()
+    stars = scratch.save(stars.distinct(), "stars")
+    ids = scratch.save(distinct.select("s1", "s2", "n", "first"), "ids")
+    scratch.drop("distinct")
+    wanted = scratch.save(lists.select("s1").distinct(), "wanted")
+    where = scratch.save(semi_by_key(ids.select("s1", "first.*"), wanted, ["s1"]), "where")
+    of_docs = where.select(F.col("doc").alias(id_col)).distinct()
+    sets = scratch.save(_whole_sets(lines_of(semi_by_key(docs.where(F.col(id_col).isNotNull()), of_docs, [id_col]).unionByName(docs.where(F.col(id_col).isNull())), id_col, text_col), where), "sets")
+    gone = scratch.save(_matching(stars, sets), "gone")
     open_ = lists.join(gone, "s1", "left_anti")
     rest = open_.alias("y").join(lists.alias("x"), "t").where("x.first < y.first").where(_filters("x", "y")).select(F.col("x.s1").alias("x"), F.col("y.s1").alias("y"))
-    tried = spark.read.parquet(f"{scratch.root}/stars-pairs")
-    more = _verified(lines, rest.join(tried, ["x", "y"], "left_anti"), ids, scratch, "rest").select(F.col("y").alias("s1")).distinct()
+    rest = scratch.save(rest.distinct().join(stars, ["x", "y"], "left_anti"), "rest")
+    more = _matching(rest, sets)
     matched = gone.union(more).distinct().withColumn("gone", F.lit(True))
     # a set's later lines go, and its first one if an earlier set matches
-    sets = distinct.select("s1", "s2", "n", "first").join(matched, "s1", "left")
-    out = line_sets.select("doc", "thash", "ln", "s1", "s2", "n").join(sets, ["s1", "s2", "n"])
-    return out.where(F.col("gone").isNotNull() | (at > F.col("first"))).select("doc", "thash", "ln")
+    named = ids.join(matched, "s1", "left")
+    out = line_sets.select("doc", "thash", "ln", "s1", "s2", "n").join(named, ["s1", "s2", "n"])
+    out = scratch.save(out.where(F.col("gone").isNotNull() | (at > F.col("first"))).select("doc", "thash", "ln").distinct().groupBy("doc", "thash").agg(F.collect_set("ln").alias("lns")), "removed")
+    for name in ("lines", "lists", "sets", "stars", "rest"):
+        scratch.drop(name)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
     """docs with the lines that repeat earlier ones taken out, and n_removed, how many those are; n_chars, if there is one, is counted anew."""
-    gone = repeated_lines(docs, id_col, text_col).distinct().groupBy("doc", "thash").agg(F.collect_set("ln").alias("_lns"))  # lines of one text
+    gone = repeated_lines(docs, id_col, text_col).withColumnRenamed("lns", "_lns")
     keyed = docs.withColumn("_thash", F.xxhash64(text_col))
     met = keyed.join(gone, keyed[id_col].eqNullSafe(gone["doc"]) & (keyed["_thash"] == gone["thash"]), "left")
     some = F.col("_lns").isNotNull()
