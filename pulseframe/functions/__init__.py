@@ -1 +1 @@
-
+"""Column builders: closed-form expressions that stay inside the JVM."""

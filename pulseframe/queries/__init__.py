@@ -1 +1,4 @@
+"""The engine's queries and the SQL that checks them."""
 
+from . import events, modulation, series  # noqa: F401
+from .base import QUERIES, SQL  # noqa: F401
