@@ -1 +1 @@
-
+"""Readers, and the tables that queries start from."""
