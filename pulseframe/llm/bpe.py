@@ -22,9 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulseframe.shipping import ship
 
+from .common import without
+
 #: Code points that are scanned at once, if no text is longer.
 SCAN_CHARS = 1 << 20
 #: Slices whose merges a worker remembers.
@@ -206,11 +209,12 @@ def encode(df: DataFrame, ranks: dict[bytes, int], text_col: str = "text", keep:
 
     keep: the columns to pass through; all by default.
     """
-    keep = df.columns if keep is None else keep
     ship(spark := df.sparkSession)
+    df = without(df, "token_ids", "token_offsets")
+    keep = df.columns if keep is None else [c for c in keep if c in df.columns]
     shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary, whatever the input
     raw = _free("_raw", df.columns)
-    src = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text_col}`"].cast("binary").alias(raw))
+    src = df.select(*[f"`{c}`" for c in keep], F.col(f"`{text_col}`").cast("binary").alias(raw))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = _MERGERS.setdefault(len(shared.value), Merger(shared.value))
@@ -235,16 +239,17 @@ def encode(df: DataFrame, ranks: dict[bytes, int], text_col: str = "text", keep:
                 lists = [pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(v)) for e, v in ((ends, flat), (ends + np.arange(len(ends)), offsets))]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(len(keep))], *lists], names=[*keep, "token_ids", "token_offsets"])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, (names + ", " if names else "") + "token_ids array<int>, token_offsets array<int>")
+    ints = T.ArrayType(T.IntegerType())
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("token_ids", ints), T.StructField("token_offsets", ints)]))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], keep: list[str] | None = None) -> DataFrame:
     """Adds decoded binary: each token's bytes put where its offset says. Takes the columns that encode() adds."""
-    keep = df.columns if keep is None else keep
     ship(df.sparkSession)
+    df = without(df, "decoded")
+    keep = df.columns if keep is None else [c for c in keep if c in df.columns]
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    src = df.select(*keep, "token_ids", "token_offsets") if not {"token_ids", "token_offsets"} <= set(keep) else df.select(*keep)
+    src = df.select(*[f"`{c}`" for c in dict.fromkeys([*keep, "token_ids", "token_offsets"])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = [b""] * (max(shared.value.values()) + 1)
@@ -273,8 +278,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], keep: list[str] | None = None
                 decoded = pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(out)])
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], decoded], names=[*keep, "decoded"])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keep)
-    return src.mapInArrow(run, (names + ", " if names else "") + "decoded binary")
+    return src.mapInArrow(run, T.StructType([*[f for f in src.schema.fields if f.name in keep], T.StructField("decoded", T.BinaryType())]))
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,10 +33,15 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
+    def save(self, df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+        """tidy: let the driver collect garbage, so that shuffle files of the written plan and earlier ones go."""
+        path, schema = f"{self.root}/{name}", df.schema
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        if tidy:
+            del df
+            gc.collect()
+            self.spark._jvm.System.gc()
+        return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
         """Delete one table, or all. Shuffle files of plans that nothing refers to any more go with it."""
@@ -45,6 +51,12 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns that an operator is about to add, in any case; what it adds takes their place."""
+    gone = {n.lower() for n in names}
+    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in gone])
+
+
 def semi_by_key(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Left semi join; broadcasts the keys only when their counted number is within BROADCAST_KEYS."""
     small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS

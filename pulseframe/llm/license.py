@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import without
+
 # Spellings that licences use for one another; the left becomes the right.
 SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"),
@@ -70,6 +72,7 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
 def scan(texts: DataFrame, text_col: str = "text", known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """Adds license_digest, and license_id where the entire text is a known licence."""
     table = known_digests(texts.sparkSession, known)
+    texts = without(texts, "license_digest", "license_id")
     return texts.withColumn("license_digest", digest(F.col(text_col))).join(F.broadcast(table), "license_digest", "left")
 
 

@@ -22,7 +22,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, Scratch, semi_by_key
+from .common import BROADCAST_KEYS, Scratch, semi_by_key, without
 
 WORDS = 5
 #: Similarity as a fraction: matching when DEN * intersection >= NUM * union.
@@ -97,14 +97,16 @@ def _matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, thash, lns): the numbers of the lines that go, by text."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
+    docs = docs.select(id_col, text_col)
     lines = lines_of(docs, id_col, text_col)
     line_sets = scratch.save(prefixed(lines, rarity(lines)), "lines")
     at = F.struct("doc", "thash", "ln")
-    distinct = scratch.save(line_sets.groupBy("s1", "s2", "n").agg(F.min(at).alias("first"), F.any_value("prefix").alias("prefix")), "distinct")
+    distinct = scratch.save(line_sets.groupBy("s1", "s2", "n").agg(F.min(at).alias("first"), F.any_value("prefix").alias("prefix")), "distinct", tidy=True)
     posted = distinct.select("s1", "n", F.posexplode("prefix").alias("pos", "t"))
     # lists of one line at least twice; counted where the entries of a key meet anyway
     counted = posted.withColumn("m", F.expr("count(*) over (partition by t)")).where("m > 1").drop("m")
-    lists = scratch.save(counted.join(distinct.select("s1", "first"), "s1"), "lists")
+    lists = scratch.save(counted, "entries", tidy=True)
+    lists = scratch.save(lists.join(distinct.select("s1", "first"), "s1"), "lists", tidy=True)
     first = F.min(F.struct("first", "s1", "n", "pos")).alias("h")
     heads = lists.groupBy("t").agg(first).select("t", F.col("h.s1").alias("s1"), F.col("h.n").alias("n"), F.col("h.pos").alias("pos"))
     stars = lists.alias("y").join(heads.alias("x"), "t").where("x.s1 <> y.s1").where(_filters("x", "y")).select(F.col("x.s1").alias("x"), F.col("y.s1").alias("y"))
@@ -125,22 +127,23 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = ids.join(matched, "s1", "left")
     out = line_sets.select("doc", "thash", "ln", "s1", "s2", "n").join(named, ["s1", "s2", "n"])
     out = scratch.save(out.where(F.col("gone").isNotNull() | (at > F.col("first"))).select("doc", "thash", "ln").distinct().groupBy("doc", "thash").agg(F.collect_set("ln").alias("lns")), "removed")
-    for name in ("lines", "lists", "sets", "stars", "rest"):
+    for name in ("lines", "entries", "lists", "sets", "stars", "rest"):
         scratch.drop(name)
     return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
     """docs with the lines that repeat earlier ones taken out, and n_removed, how many those are; n_chars, if there is one, is counted anew."""
-    gone = repeated_lines(docs, id_col, text_col).withColumnRenamed("lns", "_lns")
-    keyed = docs.withColumn("_thash", F.xxhash64(text_col))
-    met = keyed.join(gone, keyed[id_col].eqNullSafe(gone["doc"]) & (keyed["_thash"] == gone["thash"]), "left")
-    some = F.col("_lns").isNotNull()
-    all_ = F.split(text_col, "\n", -1)
-    kept = F.filter(all_, lambda line, i: ~F.array_contains("_lns", i))
-    met = met.withColumn("_kept", F.when(some, kept)).where(~some | F.exists("_kept", lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != ""))
-    met = met.withColumn("n_removed", F.coalesce(F.size("_lns"), F.lit(0)).cast("long"))
-    met = met.withColumn(text_col, F.when(some, F.array_join("_kept", "\n")).otherwise(F.col(text_col)))
+    docs = without(docs, "n_removed")
+    gone = repeated_lines(docs, id_col, text_col).select(F.col("doc").alias("__pf_doc"), F.col("thash").alias("__pf_of"), F.col("lns").alias("__pf_lns"))  # lines of one text
+    keyed = docs.withColumn("__pf_thash", F.xxhash64(text_col))
+    met = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__pf_doc")) & (F.col("__pf_thash") == F.col("__pf_of")), "left")
+    lns = F.col("__pf_lns")
+    some = lns.isNotNull()
+    kept = F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains(lns, i))
+    met = met.withColumn("__pf_kept", F.when(some, kept)).where(~some | F.exists("__pf_kept", lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != ""))
+    met = met.withColumn("n_removed", F.coalesce(F.size(lns), F.lit(0)).cast("long"))
+    met = met.withColumn(text_col, F.when(some, F.array_join("__pf_kept", "\n")).otherwise(F.col(text_col)))
     if n_chars_col in docs.columns:
         met = met.withColumn(n_chars_col, F.when(some, F.length(text_col).cast("long")).otherwise(F.col(n_chars_col)))
-    return met.select(*[f"`{c}`" for c in docs.columns if c != "n_removed"], "n_removed")
+    return met.select(*[f"`{c}`" for c in docs.columns], "n_removed")

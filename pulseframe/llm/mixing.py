@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS
+from .common import BROADCAST_KEYS, without
 
 #: Terms of the inverse beyond the mean: the tail left is below 1e-12 for the mean 1, and less for larger ones.
 TERMS, PER_ROOT = 16, 12
@@ -51,6 +51,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
     weights: shares by source, scaled to 1; without them, counts to the power alpha.
     """
     spark = docs.sparkSession
+    docs = without(docs, "n_copies", "copy_no", "mix_key")
     counts = docs.groupBy(source_col).agg(F.count("*").alias("n"))
     if weights is None:
         rated = tempered_weights(counts, source_col, alpha)
@@ -59,11 +60,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
         given = spark.createDataFrame([(k, float(v) / sum(weights.values())) for k, v in weights.items()], f"`{source_col}` {kind}, weight double")
         rated = counts.join(given, counts[source_col].eqNullSafe(given[source_col])).select(counts[source_col], "n", "weight")
     size = docs.agg(F.count("*").alias("size"))
-    rates = rated.crossJoin(F.broadcast(size)).select(F.col(source_col).alias("_src"), poisson_cdf(F.col("weight") * epochs * F.col("size") / F.col("n")).alias("_cdf"))  # one row
-    if rates.select("_src").limit(BROADCAST_KEYS // 100).count() < BROADCAST_KEYS // 100:
+    rates = rated.crossJoin(F.broadcast(size)).select(F.col(source_col).alias("__pf_src"), poisson_cdf(F.col("weight") * epochs * F.col("size") / F.col("n")).alias("__pf_cdf"))  # one row
+    if rates.select("__pf_src").limit(BROADCAST_KEYS // 100).count() < BROADCAST_KEYS // 100:
         rates = F.broadcast(rates)
-    drawn = docs.withColumn("_u", unit(F.lit(str(seed)), id_col, F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    counted = drawn.join(rates, drawn[source_col].eqNullSafe(rates["_src"])).withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))).cast("long"))
+    drawn = docs.withColumn("__pf_u", unit(F.lit(str(seed)), id_col, F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    counted = drawn.join(rates, drawn[source_col].eqNullSafe(rates["__pf_src"])).withColumn("n_copies", F.size(F.filter("__pf_cdf", lambda c: c <= F.col("__pf_u"))).cast("long"))
     copies = counted.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), F.col("_u"), F.col("copy_no"))).drop("_u", "_cdf", "_src")
+    keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), F.col("__pf_u"), F.col("copy_no"))).drop("__pf_u", "__pf_cdf", "__pf_src")
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")

@@ -372,6 +372,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that have the smallest id of their component, with their own columns; of rows that repeat an id, all."""
-    gone = jaccard_components(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = jaccard_components(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__pf_gone")).distinct()
     gone = F.broadcast(gone) if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else gone
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(id_col) == F.col("__pf_gone"), "left_anti")

@@ -22,13 +22,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulseframe.shipping import ship
 
+from .common import without
+
 #: Hash buckets of words, factors, and labelled rows that are learnt at most.
 BUCKETS, RANK, FIT_ROWS = 8192, 8, 8000
 #: Words whose bucket a worker remembers.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 STRUCTURE = ("log_words", "log_chars", "word_length", "distinct_share", "top_share", "upper_share", "digit_share", "mark_share", "wide_share", "line_words", "bar_share", "marked_word_share", "again_share")
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,")
 _UPPER, _DIGIT, _WIDE = bytes(range(65, 91)), bytes(range(48, 58)), bytes(range(128, 256))
@@ -137,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     ship(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
-    some = docs.join(F.broadcast(known), docs[id_col] == known["_id"]).select("_id", "_y", F.col(text_col).alias("_t"))
+    some = docs.select(F.col(f"`{id_col}`").alias("_of"), F.col(f"`{text_col}`").alias("_t")).join(F.broadcast(known), F.col("_of") == F.col("_id")).select("_id", "_y", "_t")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -150,23 +153,24 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     """Adds score double and predicted int. The machine, of fixed size, is broadcast."""
-    keep = docs.columns if keep is None else keep
     ship(docs.sparkSession)
+    docs = without(docs, "score", "predicted")
+    keep = docs.columns if keep is None else [c for c in keep if c in docs.columns]
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    src = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text_col}`"].alias("_scored_text"))
+    src = docs.select(*[f"`{c}`" for c in keep], F.col(f"`{text_col}`").alias("__pf_text"))
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            s = shared.value.score(b.column("_scored_text").to_pylist())
+            s = shared.value.score(b.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, names + ", score double, predicted int")
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def accept(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier doesn't reject, with their own columns."""
     machine = fit(docs, labels, text_col=text_col)
-    return score(docs, machine, text_col, threshold=threshold).where("predicted = 1").select(*[f"`{c}`" for c in docs.columns])
+    kept = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    return score(kept, machine, "text", keep=["row"], threshold=threshold).where("predicted = 1").select("row.*")
