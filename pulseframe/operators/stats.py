@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions.circular import direction
 
+from .ranking import row_number, running_before
+
 
 def schuster(angle: Column) -> dict[str, Column]:
     """Count, mean resultant length, p = exp(-R^2 / n) and mean direction of angles in degrees, as aggregates."""
@@ -27,15 +29,13 @@ def b_value(mag: Column, cutoff: float, step: float, least: int) -> Column:
 
 
 def rank_auc(df: DataFrame, score: str, y: str, tie: str, averaged: bool = False) -> DataFrame:
-    """Area under the ROC curve from ranks; ties by `tie`, or averaged. Ranks come from counts of distinct scores,
-    so that only those are ordered in one task when averaged."""
+    """Area under the ROC curve from ranks; ties by `tie`, or averaged."""
     if averaged:
         g = df.groupBy(score).agg(F.count("*").alias("c"), F.sum(F.col(y)).alias("p"))
-        before = F.coalesce(F.sum("c").over(W.partitionBy(F.lit(0)).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        g = g.withColumn("r", before + (F.col("c") + 1) / 2)
+        g = running_before(g, F.col("c"), [score], "before").withColumn("r", F.col("before") + (F.col("c") + 1) / 2)
         agg = g.agg(F.sum(F.col("r") * F.col("p")).alias("s"), F.sum("p").alias("np"), F.sum(F.col("c") - F.col("p")).alias("nn"))
     else:
-        r = df.withColumn("r", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(score, tie)))
+        r = row_number(df, [score, tie], "r")
         agg = r.agg(F.sum(F.col("r") * F.col(y)).cast("double").alias("s"), F.sum(y).alias("np"), F.sum(1 - F.col(y)).alias("nn"))
     return agg.select(((F.col("s") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * F.col("nn"))).alias("auc"))
 
@@ -91,7 +91,7 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 def ks_uniform(df: DataFrame, value: str) -> DataFrame:
     """Greatest gap between the empirical distribution and the uniform one."""
-    w = W.partitionBy(F.lit(0)).orderBy(value)
-    n = F.count("*").over(W.partitionBy(F.lit(0)))
-    i = F.row_number().over(w)
-    return df.select(F.greatest(i / n - F.col(value), F.col(value) - (i - 1) / n).alias("d")).agg(F.max("d").alias("ks"))
+    total = df.agg(F.count("*").alias("_n"))
+    i, n = F.col("_i"), F.col("_n")
+    ranked = row_number(df, [value], "_i").crossJoin(F.broadcast(total))  # one row
+    return ranked.select(F.greatest(i / n - F.col(value), F.col(value) - (i - 1) / n).alias("d")).agg(F.max("d").alias("ks"))

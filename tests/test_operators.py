@@ -204,3 +204,18 @@ def test_entry_runs_without_the_optional_part(spark):
     assert e.entry(spark).count() == 4
     assert {"flagship"} - set(e.queries()) == {"flagship"}
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_global_row_numbers_with_ties(spark):
+    from pulseframe.operators.ranking import row_number
+
+    df = spark.createDataFrame([(float(i % 7), i) for i in range(300)], "v double, id long")
+    got = rows(row_number(df, ["v", "id"], "r", ranges=8), "v", "id", "r")
+    assert [r for *_, r in got] == list(range(1, 301))
+
+
+def test_scans_prune_columns_and_push_filters(spark):
+    from pulseframe.queries import QUERIES
+
+    plan = QUERIES["scan_filter_project"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(event_type,purchase)" in plan and "props" not in plan
