@@ -80,11 +80,19 @@ def _filters(x: str, y: str) -> Column:
     return length & ((1 + F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))) * (NUM + DEN) >= both * NUM)
 
 
-def _whole_sets(lines: DataFrame, where: DataFrame) -> DataFrame:
-    """(s1, s) of the lines (doc, thash, ln, s1) that `where` names. Its documents are sought out before they are taken apart."""
+def _whole_sets(docs: DataFrame, ids: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """(s1, s) of the sets in pairs, from one line of each. Documents without such a line are left out before any is taken apart.
+
+    docs: (id, text); ids: (s1, .., first) with the place of each set's first line.
+    """
+    id_col, text_col = docs.columns
+    wanted = scratch.save(pairs.select(F.col("x").alias("s1")).union(pairs.select("y")).distinct(), f"{tag}-wanted")
+    where = scratch.save(semi_by_key(ids.select("s1", "first.*"), wanted, ["s1"]), f"{tag}-where")
+    some = semi_by_key(docs.where(F.col(id_col).isNotNull()), where.select(F.col("doc").alias(id_col)).distinct(), [id_col])
+    lines = lines_of(some.unionByName(docs.where(F.col(id_col).isNull())), id_col, text_col)
     small = where.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     on = lines["doc"].eqNullSafe(where["doc"]) & (lines["thash"] == where["thash"]) & (lines["ln"] == where["ln"])
-    return lines.join(F.broadcast(where) if small else where, on).select("s1", tokens(F.col("words")).alias("s"))
+    return scratch.save(lines.join(F.broadcast(where) if small else where, on).select("s1", tokens(F.col("words")).alias("s")), f"{tag}-sets", tidy=True)
 
 
 def _matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -99,9 +107,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "line-dedup")
     docs = docs.select(id_col, text_col)
     lines = lines_of(docs, id_col, text_col)
-    line_sets = scratch.save(prefixed(lines, rarity(lines)), "lines")
+    found = scratch.save(prefixed(lines, rarity(lines)), "found")
     at = F.struct("doc", "thash", "ln")
-    distinct = scratch.save(line_sets.groupBy("s1", "s2", "n").agg(F.min(at).alias("first"), F.any_value("prefix").alias("prefix")), "distinct", tidy=True)
+    distinct = scratch.save(found.groupBy("s1", "s2", "n").agg(F.min(at).alias("first"), F.any_value("prefix").alias("prefix")), "distinct", tidy=True)
+    line_sets = scratch.save(found.drop("prefix"), "lines")
+    scratch.drop("found")
     posted = distinct.select("s1", "n", F.posexplode("prefix").alias("pos", "t"))
     # lists of one line at least twice; counted where the entries of a key meet anyway
     counted = posted.withColumn("m", F.expr("count(*) over (partition by t)")).where("m > 1").drop("m")
@@ -113,21 +123,18 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stars = scratch.save(stars.distinct(), "stars")
     ids = scratch.save(distinct.select("s1", "s2", "n", "first"), "ids")
     scratch.drop("distinct")
-    wanted = scratch.save(lists.select("s1").distinct(), "wanted")
-    where = scratch.save(semi_by_key(ids.select("s1", "first.*"), wanted, ["s1"]), "where")
-    of_docs = where.select(F.col("doc").alias(id_col)).distinct()
-    sets = scratch.save(_whole_sets(lines_of(semi_by_key(docs.where(F.col(id_col).isNotNull()), of_docs, [id_col]).unionByName(docs.where(F.col(id_col).isNull())), id_col, text_col), where), "sets")
-    gone = scratch.save(_matching(stars, sets), "gone")
+    gone = scratch.save(_matching(stars, _whole_sets(docs, ids, stars, scratch, "star")), "gone", tidy=True)
+    scratch.drop("star-sets")
     open_ = lists.join(gone, "s1", "left_anti")
     rest = open_.alias("y").join(lists.alias("x"), "t").where("x.first < y.first").where(_filters("x", "y")).select(F.col("x.s1").alias("x"), F.col("y.s1").alias("y"))
-    rest = scratch.save(rest.distinct().join(stars, ["x", "y"], "left_anti"), "rest")
-    more = _matching(rest, sets)
+    rest = scratch.save(rest.distinct().join(stars, ["x", "y"], "left_anti"), "rest", tidy=True)
+    more = scratch.save(_matching(rest, _whole_sets(docs, ids, rest, scratch, "rest")), "more", tidy=True)
     matched = gone.union(more).distinct().withColumn("gone", F.lit(True))
     # a set's later lines go, and its first one if an earlier set matches
     named = ids.join(matched, "s1", "left")
     out = line_sets.select("doc", "thash", "ln", "s1", "s2", "n").join(named, ["s1", "s2", "n"])
     out = scratch.save(out.where(F.col("gone").isNotNull() | (at > F.col("first"))).select("doc", "thash", "ln").distinct().groupBy("doc", "thash").agg(F.collect_set("ln").alias("lns")), "removed")
-    for name in ("lines", "entries", "lists", "sets", "stars", "rest"):
+    for name in ("lines", "entries", "lists", "stars", "rest", "rest-sets"):
         scratch.drop(name)
     return out
 
