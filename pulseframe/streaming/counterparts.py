@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -65,12 +65,24 @@ def thin_by_user(events: DataFrame, hours: int) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long", "last long", "append", "NoTimeout")
 
 
-def replay(stream: DataFrame, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Runs a stream over all its source has, and gives what it wrote."""
+def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over all its source has, and gives what it wrote.
+
+    Each batch overwrites a folder of its own beside the checkpoint, so that a batch that runs again changes
+    nothing; in complete mode the last batch is the result.
+    """
     spark = stream.sparkSession
-    name = f"s{uuid.uuid4().hex}"
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pulseframe-")
-    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True)
-    q = (w.foreachBatch(sink) if sink else w.format("memory").queryName(name)).start()
+    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    done: dict[int, str] = {}
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch-{epoch}")
+        done[epoch] = f"{root}/batch-{epoch}"
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
-    return spark.table(name) if not sink else stream
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    paths = [done[max(done)]] if mode == "complete" else list(done.values())
+    return spark.read.schema(stream.schema).parquet(*paths)
