@@ -112,12 +112,19 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Few texts at a time become Python objects."""
+    for whole in batches:
+        for i in range(0, len(whole), rows):
+            yield whole.slice(i, rows)
+
+
 def bucket_counts(source: DataFrame) -> np.ndarray:
     """How many sets hold a shingle of each bucket; of fixed size, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.uint32)
-        for b in batches:
+        for b in _slices(batches):
             for s in shingle_sets(b.column("raw").to_pylist()):
                 np.add.at(total, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
         step = BUCKETS // SLICES
@@ -143,7 +150,7 @@ def signatures(source: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = source.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             ns, sigs, means, prefixes = [], [], [], []
             for s in shingle_sets(b.column("raw").to_pylist()):
                 n = len(s)
@@ -296,12 +303,10 @@ def _full_sets(source: DataFrame, ids: DataFrame) -> DataFrame:
     """(sid, s array<long>) of the documents that ids names, from whole texts; rows that repeat an id and its set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, len(whole), 500):
-                b = whole.slice(i, 500)
-                sets = [s.view(np.int64) for s in shingle_sets(b.column("raw").to_pylist())]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("sid"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["sid", "s"])
+        for b in _slices(batches):
+            sets = [s.view(np.int64) for s in shingle_sets(b.column("raw").to_pylist())]
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("sid"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["sid", "s"])
 
     return semi_by_key(source.withColumnRenamed("doc_id", "sid"), ids, ["sid"]).mapInArrow(run, "sid long, s array<long>")
 

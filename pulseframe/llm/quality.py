@@ -162,7 +162,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: list[
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (whole.slice(i, 500) for whole in batches for i in range(0, len(whole), 500)):
             s = shared.value.score(b.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
