@@ -34,8 +34,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the digests of what they decode to."""
     ranks = public_ranks()
-    ids = bpe.encode(docs, ranks, keep=["doc_id", "lang", "source"])
-    return bpe.digests(bpe.decode(ids, ranks))
+    return bpe.digests(bpe.encode(docs, ranks, keep=["doc_id", "lang", "source"], decoded=True))
 
 
 STAGES = [

@@ -31,7 +31,7 @@ from .common import without
 #: Code points that are scanned at once, if no text is longer.
 SCAN_CHARS = 1 << 20
 #: Slices whose merges a worker remembers.
-CACHED_SLICES = 400_000
+CACHED_SLICES = 250_000
 
 # The White_Space property of Unicode.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -201,50 +201,84 @@ def encode_texts(texts: list[str], merger: Merger) -> list[list[int]]:
     return out
 
 
+class Vocabulary:
+    """The bytes of all tokens in one array, and where each token's begin."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        vocab = [b""] * (max(ranks.values(), default=-1) + 1)
+        for k, v in ranks.items():
+            vocab[v] = k
+        self.sizes = np.array([len(b) for b in vocab], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.pool = np.frombuffer(b"".join(vocab), np.uint8)
+
+
+def decode_lists(ids: pa.ListArray, offsets: pa.ListArray, vocab: Vocabulary) -> pa.BinaryArray:
+    """Each token's bytes, put where its offset says."""
+    starts = np.asarray(ids.offsets) - ids.offsets[0].as_py()
+    flat = np.asarray(ids.flatten()).astype(np.int64)
+    ends_at = np.asarray(offsets.offsets)[1:] - offsets.offsets[0].as_py() - 1
+    values = np.asarray(offsets.flatten()).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(values[ends_at])])
+    is_end = np.zeros(len(values), bool)
+    is_end[ends_at] = True
+    at = values[~is_end] + np.repeat(base[:-1], np.diff(starts))
+    n = vocab.sizes[flat]
+    out = np.empty(int(base[-1]), np.uint8)
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(at, n) + within] = vocab.pool[np.repeat(vocab.first[flat], n) + within]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(out)])
+
+
+def encode_lists(texts: list[str], merger: Merger, vocab: Vocabulary) -> tuple[pa.ListArray, pa.ListArray]:
+    """Token ids, and the bytes where tokens start; the last offset is the text's size."""
+    ids = encode_texts(texts, merger)
+    counts = np.array([len(x) for x in ids], np.int64)
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    total = np.concatenate([[0], np.cumsum(vocab.sizes[flat])])
+    at = np.repeat(ends[:-1] + np.arange(len(ids)), counts) + (np.arange(len(flat)) - np.repeat(ends[:-1], counts))
+    offsets = np.empty(len(flat) + len(ids), np.int32)
+    offsets[at] = total[:-1] - np.repeat(total[ends[:-1]], counts)
+    offsets[ends[1:] + np.arange(len(ids))] = total[ends[1:]] - total[ends[:-1]]
+    lists = [pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(v)) for e, v in ((ends, flat), (ends + np.arange(len(ends)), offsets))]
+    return lists[0], lists[1]
+
+
+#: Texts that become Python objects at once.
+ROWS = 500
 _MERGERS: dict[int, Merger] = {}
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, ranks: dict[bytes, int], text_col: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """Adds token_ids array<int> and token_offsets array<int>, the byte where each token starts and, last, the text's size.
 
-    keep: the columns to pass through; all by default.
+    keep: the columns to pass through; all by default. decoded: also add what decode() makes of the ids, in the same worker.
     """
     ship(spark := df.sparkSession)
-    df = without(df, "token_ids", "token_offsets")
+    df = without(df, "token_ids", "token_offsets", *["decoded"] * decoded)
     keep = df.columns if keep is None else [c for c in keep if c in df.columns]
     shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary, whatever the input
-    raw = _free("_raw", df.columns)
-    src = df.select(*[f"`{c}`" for c in keep], F.col(f"`{text_col}`").cast("binary").alias(raw))
+    src = df.select(*[f"`{c}`" for c in keep], F.col(f"`{text_col}`").cast("binary").alias("__pf_raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = _MERGERS.setdefault(len(shared.value), Merger(shared.value))
         if merger.ranks != shared.value:
             merger = _MERGERS[len(shared.value)] = Merger(shared.value)
-        sizes = np.zeros(max(merger.ranks.values()) + 1, np.int32)
-        for k, v in merger.ranks.items():
-            sizes[v] = len(k)
-        for whole in batches:
-            for i in range(0, len(whole), 1000):
-                batch = whole.slice(i, 1000)
-                texts = [(b or b"").decode("utf-8", "replace") for b in batch.column(raw).to_pylist()]
-                ids = encode_texts(texts, merger)
-                counts = np.array([len(x) for x in ids], np.int64)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                total = np.concatenate([[0], np.cumsum(sizes[flat], dtype=np.int64)])
-                at = np.repeat(ends[:-1] + np.arange(len(ids)), counts) + (np.arange(len(flat)) - np.repeat(ends[:-1], counts))
-                offsets = np.empty(len(flat) + len(ids), np.int32)
-                offsets[at] = total[:-1] - np.repeat(total[ends[:-1]], counts)
-                offsets[ends[1:] + np.arange(len(ids))] = total[ends[1:]] - total[ends[:-1]]
-                lists = [pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(v)) for e, v in ((ends, flat), (ends + np.arange(len(ends)), offsets))]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(len(keep))], *lists], names=[*keep, "token_ids", "token_offsets"])
+        vocab = Vocabulary(shared.value)
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, len(whole), ROWS)):
+            ids, offsets = encode_lists([(b or b"").decode("utf-8", "replace") for b in batch.column(len(keep)).to_pylist()], merger, vocab)
+            made = [ids, offsets, *([decode_lists(ids, offsets, vocab)] if decoded else [])]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(len(keep))], *made], names=[*keep, *added])
 
     ints = T.ArrayType(T.IntegerType())
-    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("token_ids", ints), T.StructField("token_offsets", ints)]))
+    kinds = {"token_ids": ints, "token_offsets": ints, **({"decoded": T.BinaryType()} if decoded else {})}
+    added = list(kinds)
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], *[T.StructField(k, t) for k, t in kinds.items()]]))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], keep: list[str] | None = None) -> DataFrame:
-    """Adds decoded binary: each token's bytes put where its offset says. Takes the columns that encode() adds."""
+    """Adds decoded binary to rows with the columns that encode() adds."""
     ship(df.sparkSession)
     df = without(df, "decoded")
     keep = df.columns if keep is None else [c for c in keep if c in df.columns]
@@ -252,31 +286,10 @@ def decode(df: DataFrame, ranks: dict[bytes, int], keep: list[str] | None = None
     src = df.select(*[f"`{c}`" for c in dict.fromkeys([*keep, "token_ids", "token_offsets"])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = [b""] * (max(shared.value.values()) + 1)
-        for k, v in shared.value.items():
-            vocab[v] = k
-        sizes = np.array([len(b) for b in vocab], np.int64)
-        first = np.cumsum(sizes) - sizes
-        pool = np.frombuffer(b"".join(vocab), np.uint8)
-        for whole in batches:
-            for i in range(0, len(whole), 1000):
-                batch = whole.slice(i, 1000)
-                ids, offsets = batch.column("token_ids"), batch.column("token_offsets")
-                starts = np.asarray(ids.offsets) - ids.offsets[0].as_py()
-                flat = np.asarray(ids.flatten()).astype(np.int64)
-                ends_at = np.asarray(offsets.offsets)[1:] - offsets.offsets[0].as_py() - 1
-                values = np.asarray(offsets.flatten()).astype(np.int64)
-                text_size = values[ends_at]
-                base = np.concatenate([[0], np.cumsum(text_size)])
-                is_end = np.zeros(len(values), bool)
-                is_end[ends_at] = True
-                at = values[~is_end] + np.repeat(base[:-1], np.diff(starts))
-                n = sizes[flat]
-                out = np.empty(int(base[-1]), np.uint8)
-                within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                out[np.repeat(at, n) + within] = pool[np.repeat(first[flat], n) + within]
-                decoded = pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(out)])
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], decoded], names=[*keep, "decoded"])
+        vocab = Vocabulary(shared.value)
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, len(whole), ROWS)):
+            made = decode_lists(batch.column("token_ids"), batch.column("token_offsets"), vocab)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], made], names=[*keep, "decoded"])
 
     return src.mapInArrow(run, T.StructType([*[f for f in src.schema.fields if f.name in keep], T.StructField("decoded", T.BinaryType())]))
 
@@ -288,9 +301,3 @@ def digests(df: DataFrame) -> DataFrame:
         "ids_sha256": F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256),
         "decoded_sha256": F.sha2("decoded", 256),
     }).drop("token_ids", "token_offsets", "decoded")
-
-
-def _free(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name

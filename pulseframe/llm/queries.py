@@ -51,8 +51,8 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_ranks()
-    ids = bpe.encode(_read(spark, sf_dir, "documents"), ranks, keep=["doc_id"])
-    return bpe.digests(bpe.decode(ids, ranks)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    coded = bpe.encode(_read(spark, sf_dir, "documents"), ranks, keep=["doc_id"], decoded=True)
+    return bpe.digests(coded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,6 +303,8 @@ def test_bpe_equals_the_library(spark, odd, nothing):
         t = r["text"] or ""
         assert r["token_ids"] == enc.encode_ordinary(t) and bytes(r["decoded"]) == t.encode()
         assert r["token_offsets"] == [0, *np.cumsum([len(enc.decode_single_token_bytes(i)) for i in r["token_ids"]]).tolist()]
+    whole = bpe.digests(bpe.encode(odd, ranks, decoded=True)).drop("text")
+    assert sorted(map(str, whole.collect())) == sorted(map(str, bpe.digests(out).drop("text").select(*whole.columns).collect()))
     assert bpe.digests(bpe.decode(bpe.encode(nothing, ranks), ranks)).count() == 0
 
 
