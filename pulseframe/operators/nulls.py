@@ -53,3 +53,27 @@ def shuffle_labels(df: DataFrame, pool: str, random: Column) -> Column:
 def permute_blocks(pos: Column, block: int, n_blocks: int, mult: int) -> Column:
     """A position after its contiguous block moved: blocks map by multiplication modulo their number, which mult shares no factor with."""
     return F.pmod(F.floor(pos / block) * mult, F.lit(n_blocks)) * block + F.pmod(pos, F.lit(block))
+
+
+def lcg(*terms: tuple[Column, int], modulus: int = 10007) -> Column:
+    """A long in 0 .. modulus - 1 from a weighted sum of integers; the same in any engine, whatever the partitions."""
+    total = F.lit(0).cast("long")
+    for c, k in terms:
+        total = total + c.cast("long") * k
+    return F.pmod(total, F.lit(modulus))
+
+
+def free_shift(t: Column, t0: Column, span: Column, draw: Column, margin: int) -> Column:
+    """Time moved around the span by an offset that stays `margin` away from none and from a full turn."""
+    return t0 + F.pmod(t - t0 + margin + F.pmod(draw, span - 2 * margin), span)
+
+
+def redraw_weighted(weights: DataFrame, pos: str, weight: str, draws: DataFrame, draw: str, modulus: int) -> DataFrame:
+    """draws with a pos each, by inverting the running sum of whole weights; an as-of step, not a range join."""
+    from .joins import as_of
+    from .ranking import running_before
+
+    run = running_before(weights.where(F.col(weight) > 0), F.col(weight), [pos], "start").select("start", pos)
+    total = weights.agg(F.sum(weight).alias("_total"))
+    asked = draws.crossJoin(F.broadcast(total)).withColumn("_at0", F.floor(F.col(draw) * F.col("_total") / modulus)).drop("_total")  # one row
+    return as_of(asked, run, [], "_at0", "start", [pos]).drop("_at0", "start")
