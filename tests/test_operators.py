@@ -219,3 +219,22 @@ def test_scans_prune_columns_and_push_filters(spark):
 
     plan = QUERIES["scan_filter_project"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,purchase)" in plan and "props" not in plan
+
+
+def test_redraws_follow_whole_weights(spark):
+    weights = spark.createDataFrame([(1, 3), (2, 0), (3, None), (4, 7)], "dd int, cnt bigint")
+    draws = spark.range(10).select(F.col("id").alias("k"), F.col("id").alias("draw"))
+    got = {r["k"]: r["dd"] for r in nulls.redraw_weighted(weights, "dd", "cnt", draws, "draw", 10).collect()}
+    assert got == {k: 1 if k < 3 else 4 for k in range(10)}
+    assert nulls.redraw_weighted(weights.limit(0), "dd", "cnt", draws, "draw", 10).where("dd is not null").count() == 0
+
+
+def test_free_shifts_keep_their_margin(spark):
+    df = spark.range(1000).select((F.lit(5) + F.col("id") % 100).alias("t"), (F.col("id") * 7919).alias("draw"))
+    moved = df.select("t", nulls.free_shift(F.col("t"), F.lit(5), F.lit(100), F.col("draw"), 30).alias("to")).collect()
+    assert all(5 <= r["to"] < 105 and 30 <= (r["to"] - r["t"]) % 100 < 70 for r in moved)
+
+
+def test_portable_draws_stay_in_range(spark):
+    got = [r[0] for r in spark.createDataFrame([(-5,), (0,), (12345678901,)], "x bigint").select(nulls.lcg((F.col("x"), 7919), (F.lit(13), 1))).collect()]
+    assert got == [(x * 7919 + 13) % 10007 for x in (-5, 0, 12345678901)]
