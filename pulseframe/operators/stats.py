@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulseframe.functions.circular import direction
+from pulseframe.shipping import ship
 
 from .ranking import row_number, running_before
 
@@ -85,8 +87,24 @@ def normal_cdf(z: Column) -> Column:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X >= k)."""
-    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+    """P(X >= k), summed in logarithms over the terms that a double can hold."""
+    if k <= 0 or k > n or not 0 < p < 1:
+        return float(k <= 0 or (k <= n and p >= 1))
+    reach = int(40 * math.sqrt(n * p * (1 - p))) + 40
+    first = max(k, int(n * p) - reach)
+    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    return min(1.0, math.fsum(math.exp(log(i)) for i in range(first, min(n, max(k, int(n * p)) + reach) + 1)))
+
+
+def with_binomial_tail(df: DataFrame, k: Column, n: Column, p: Column, name: str) -> DataFrame:
+    """df with binomial_tail as a column; for grouped rows, as it takes about sqrt(n) steps each. Null if an argument is."""
+    ship(df.sparkSession)
+
+    @F.pandas_udf("double")
+    def run(ks: pd.Series, ns: pd.Series, ps: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or pd.isna(b) or pd.isna(c) else binomial_tail(int(a), int(b), float(c)) for a, b, c in zip(ks, ns, ps, strict=True)], dtype="float64")
+
+    return df.withColumn(name, run(k, n, p))
 
 
 def ks_uniform(df: DataFrame, value: str) -> DataFrame:

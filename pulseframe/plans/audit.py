@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -135,3 +137,57 @@ def simplex(f, start: list[float], scale: float = 0.2, rounds: int = 80) -> list
             best = np.array(pts[0][1])
             pts = [pts[0], *[(f(q := list(best + 0.5 * (np.array(p) - best))), q) for _, p in pts[1:]]]
     return min(pts, key=lambda q: q[0])[1]
+
+
+def rate_ll(mu: Column, a: Column, span: float, kernel: str = "k") -> Column:
+    """Log-likelihood of a background rate and a productivity: an aggregate over each event's sum of kernels."""
+    return F.sum(F.log(mu + a * F.col(kernel))) - mu * span * F.count("*") - a * F.sum(kernel)
+
+
+def fit_rates(rates: DataFrame, span: float, start: tuple[float, float] = (0.001, 0.01), rounds: int = 60) -> tuple[float, float, float]:
+    """(mu, a, log-likelihood) of the greatest likelihood; each step is one aggregation, of which one number reaches the driver."""
+    held = rates.cache()
+
+    def loss(p: list[float]) -> float:
+        mu, a = (math.exp(min(float(v), 50.0)) for v in p)
+        ll = held.agg(rate_ll(F.lit(mu), F.lit(a), span).alias("ll")).first()["ll"]
+        return math.inf if ll is None or math.isnan(ll) else -ll
+
+    best = simplex(loss, [math.log(v) for v in start], rounds=rounds)
+    out = (*(math.exp(float(v)) for v in best), -loss(best))
+    held.unpersist()
+    return out
+
+
+def centroid_splits(df: DataFrame, key: str, vector: str, label: str, splits: int) -> DataFrame:
+    """(split, n, accuracy): the nearest class centroid on the 30 % of rows that each split holds out; ties to the least label."""
+    v = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("x"))
+    v = v.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(splits))))
+    v = v.withColumn("out", F.pmod(F.pmod(F.col("id") * 7919 + F.col("split") * 104729, F.lit(100003)), F.lit(10)) < 3)
+    mean = v.where("not out").select("split", "label", F.posexplode("x").alias("i", "x")).groupBy("split", "label", "i").agg(F.avg("x").alias("mu"))
+    mid = mean.groupBy("split", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mu"))), lambda t: t["mu"]).alias("mu"))
+    far = F.round(F.aggregate(F.zip_with("x", "mu", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d), 9)
+    near = v.where("out").join(mid.withColumnRenamed("label", "said"), "split").groupBy("split", "id", "label").agg(F.min(F.struct(far.alias("d"), "said")).alias("near"))
+    return near.groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg((F.col("near.said") == F.col("label")).cast("int")), 9).alias("accuracy"))
+
+
+def forest_classes(train: DataFrame, test: DataFrame, vector: str, label: str, trees: int = 20) -> DataFrame:
+    """test with said: the class that most trees of a forest from MLlib vote for."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    mark = lambda d: d.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
+    model = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=6, seed=7).fit(mark(train).select("features", label))
+    return model.transform(mark(test)).withColumn("said", F.col("prediction").cast("int")).select(*test.columns, "said")
+
+
+def network_scores(train: DataFrame, test: DataFrame, features: list[str], label: str, hidden: int = 8, iterations: int = 30) -> DataFrame:
+    """test with score: a feed-forward network from MLlib over standardised features."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    net = MultilayerPerceptronClassifier(labelCol=label, layers=[len(features), hidden, 2], maxIter=iterations, seed=7)
+    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), net]).fit(train)
+    return model.transform(test).withColumn("score", vector_to_array("probability")[1]).select(*test.columns, "score")

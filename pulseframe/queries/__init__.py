@@ -1,4 +1,4 @@
 """The engine's queries and the SQL that checks them."""
 
-from . import events, learned, modulation, resampling, scores, series, sky  # noqa: F401
+from . import events, fitted, learned, modulation, resampling, scores, series, sky  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401

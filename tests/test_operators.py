@@ -198,6 +198,40 @@ def test_simplex_finds_a_minimum():
     assert abs(got[0] - 1) < 1e-2 and abs(got[1] + 2) < 1e-2
 
 
+def test_binomial_tail_of_few_and_many():
+    exact = sum(math.comb(20, i) for i in range(13, 21)) / 2**20
+    assert abs(stats.binomial_tail(13, 20, 0.5) - exact) < 1e-12
+    assert stats.binomial_tail(0, 5, 0.5) == 1.0 and stats.binomial_tail(6, 5, 0.5) == 0.0
+    assert abs(stats.binomial_tail(500_000, 10**6, 0.5) - 0.5) < 1e-3
+
+
+def test_binomial_tail_column_with_nulls(spark):
+    df = spark.createDataFrame([(0, 13, 20), (1, None, 20)], "i int, k long, n long")
+    got = dict(rows(stats.with_binomial_tail(df, F.col("k"), F.col("n"), F.lit(0.5), "p"), "i", "p"))
+    assert got[1] is None and abs(got[0] - stats.binomial_tail(13, 20, 0.5)) < 1e-12
+
+
+def test_fitted_rates_beat_a_grid(spark):
+    df = spark.createDataFrame([(float(i % 9) ** 2 / 10,) for i in range(200)], "k double")
+    mu, a, best = audit.fit_rates(df, 500, (0.1, 0.1), rounds=40)
+    grid_ = [df.agg(audit.rate_ll(F.lit(m), F.lit(b), 500).alias("ll")).first()["ll"] for m in (0.05, 0.1, 0.2, 0.4) for b in (0.02, 0.1, 0.5)]
+    assert mu > 0 and a > 0 and best >= max(grid_)
+
+
+def test_centroid_splits_of_separate_classes(spark):
+    df = spark.createDataFrame([(i, [10.0 * (i % 3), 1.0], i % 3) for i in range(90)] + [(90, None, 1), (91, [0.0, 0.0], None)], "id long, x array<double>, label int")
+    got = audit.centroid_splits(df, "id", "x", "label", 3).collect()
+    assert len(got) == 3 and all(r["accuracy"] == 1.0 and r["n"] > 0 for r in got)
+
+
+def test_forest_and_network_learn_separate_classes(spark):
+    df = spark.createDataFrame([(i, [float(i % 2), 1.0], i % 2, float(i % 2)) for i in range(100)], "id long, x array<double>, label int, a double")
+    got = audit.forest_classes(df.where("id < 70"), df.where("id >= 70"), "x", "label")
+    assert got.where("said <> label").count() == 0
+    got = audit.network_scores(df.where("id < 70"), df.where("id >= 70"), ["a"], "label")
+    assert got.where("(score > 0.5) <> (label = 1)").count() == 0
+
+
 def test_entry_runs_without_the_optional_part(spark):
     import __spark_entry__ as e
 
