@@ -31,14 +31,24 @@ NUM, DEN = 75, 100
 BUCKETS = 1 << 16
 #: Bits of a token's hash in its sort key, behind the count.
 HASH_BITS = 41
-SPACE = r"[\x20\x09\x0B-\x0D]+"
+#: Spaces other than the plain one, which most texts don't have.
+RARE_SPACES = "\t\x0b\x0c\r"
+
+
+def words_of(line: Column) -> Column:
+    """The words of a trimmed line: splitting at one plain space needs no pattern, and what is empty between several goes."""
+    rare = F.contains(line, F.lit(RARE_SPACES[0]))
+    for c in RARE_SPACES[1:]:
+        rare = rare | F.contains(line, F.lit(c))
+    plain = F.when(rare, F.translate(line, RARE_SPACES, " " * len(RARE_SPACES))).otherwise(line)
+    return F.array_remove(F.split(plain, " ", -1), "")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, thash, ln, words): the lines that have words."""
     lines = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("thash"), F.posexplode(F.split(text_col, "\n", -1)).alias("ln", "line"))
-    lines = lines.withColumn("line", F.btrim("line", F.lit(" \t\x0b\x0c\r"))).where("line <> ''")
-    return lines.select("doc", "thash", "ln", F.split("line", SPACE, -1).alias("words"))
+    lines = lines.withColumn("line", F.btrim("line", F.lit(" " + RARE_SPACES))).where("line <> ''")
+    return lines.select("doc", "thash", "ln", words_of(F.col("line")).alias("words"))
 
 
 def _token(words: Column, i: Column) -> Column:
@@ -148,7 +158,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lns = F.col("__pf_lns")
     some = lns.isNotNull()
     kept = F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains(lns, i))
-    met = met.withColumn("__pf_kept", F.when(some, kept)).where(~some | F.exists("__pf_kept", lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != ""))
+    met = met.withColumn("__pf_kept", F.when(some, kept)).where(~some | F.exists("__pf_kept", lambda x: F.btrim(x, F.lit(" " + RARE_SPACES)) != ""))
     met = met.withColumn("n_removed", F.coalesce(F.size(lns), F.lit(0)).cast("long"))
     met = met.withColumn(text_col, F.when(some, F.array_join("__pf_kept", "\n")).otherwise(F.col(text_col)))
     if n_chars_col in docs.columns:

@@ -134,6 +134,12 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == brute_lines(docs)
 
 
+def test_words_of_lines_with_any_spaces(spark):
+    lines = ["a b", "a  b", "a\t\x0b\x0c\r b   c", "one", "x\u00a0y z"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert [r.w for r in df.select(line_dedup.words_of(F.col("line")).alias("w")).collect()] == [["a", "b"], ["a", "b"], ["a", "b", "c"], ["one"], ["x\u00a0y", "z"]]
+
+
 def test_line_dedup_of_odd_rows(odd, nothing):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == [c for c in odd.columns if c != "n_removed"] + ["n_removed"]
