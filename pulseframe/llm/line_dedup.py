@@ -75,11 +75,12 @@ def rarity(lines: DataFrame) -> Column:
 
 
 def prefixed(lines: DataFrame, counts: Column) -> DataFrame:
-    """(doc, thash, ln, s1, s2, n, prefix): two hashes of the line's set, its size, and its rarest tokens, rarest first."""
+    """(doc, thash, ln, s1, s2, n, prefix): two hashes of the line's set of whole tokens, its size, and the keys of its rarest tokens, rarest first."""
     key = lambda t: F.shiftleft(F.get(counts, F.pmod(t, F.lit(BUCKETS)).cast("int")).cast("long"), HASH_BITS).bitwiseOR(t.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    keyed = lines.select("doc", "thash", "ln", F.sort_array(F.transform(tokens(F.col("words")), key)).alias("keys"))
+    whole = lines.select("doc", "thash", "ln", F.sort_array(tokens(F.col("words"))).alias("set"))
+    keyed = whole.select("doc", "thash", "ln", F.xxhash64("set").alias("s1"), F.xxhash64(F.lit(1), "set").alias("s2"), F.sort_array(F.transform("set", key)).alias("keys"))
     n = F.size("keys")
-    return keyed.select("doc", "thash", "ln", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), n.alias("n"), F.slice("keys", F.lit(1), n - F.ceil(n * F.lit(NUM / DEN)).cast("int") + 1).alias("prefix"))
+    return keyed.select("doc", "thash", "ln", "s1", "s2", n.alias("n"), F.slice("keys", F.lit(1), n - F.ceil(n * F.lit(NUM / DEN)).cast("int") + 1).alias("prefix"))
 
 
 def _filters(x: str, y: str) -> Column:

@@ -134,6 +134,17 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == brute_lines(docs)
 
 
+def test_lines_whose_tokens_agree_in_the_bits_of_the_key_are_kept(spark):
+    pairs = [("w3041977", "w3279555"), ("w590887", "w313774"), ("w750390", "w2650290")]
+    flat = [w for p in pairs for w in p]
+    h = [r.h for r in spark.createDataFrame([(w,) for w in flat], "w string").select(F.xxhash64("w").alias("h")).collect()]
+    mask = (1 << line_dedup.HASH_BITS) - 1
+    assert all((x ^ y) & mask == 0 and x != y for x, y in zip(h[::2], h[1::2], strict=True))
+    docs = [(i, w) for i, w in enumerate(flat)] + [(10, flat[0] + "\n" + "own line")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_lines(docs) and len(got) == len(docs) and got[10] == "own line"
+
+
 def test_words_of_lines_with_any_spaces(spark):
     lines = ["a b", "a  b", "a\t\x0b\x0c\r b   c", "one", "x\u00a0y z"]
     df = spark.createDataFrame([(x,) for x in lines], "line string")
