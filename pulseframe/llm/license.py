@@ -10,10 +10,13 @@ rows give the same result each; an empty table gives no rows; further columns pa
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import without
+from .license_texts import full_texts
 
 # Spellings that licences use for one another; the left becomes the right.
 SPELLINGS = [
@@ -44,6 +47,7 @@ KNOWN = [
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 ]
+KNOWN += full_texts(KNOWN[0][1], KNOWN[1][1])
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CLAIM = r"(?m)^[^a-z0-9\n]*(copyright[^a-z\n][^\n]*[0-9]{4}|\(c\)|©)[^\n]*$"
@@ -69,6 +73,32 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
     return rows.groupBy(digest(F.col("t")).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
 
 
+def _sources(word: str) -> set[str]:
+    """Words of which a line holds at least one if its canonical text holds word."""
+    found = {word}
+    while True:
+        more = {max(a.split(), key=len) for a, b in SPELLINGS for w in found if w in b.split()}
+        if more <= found:
+            return found
+        found |= more
+
+
+def needed(texts: list[str]) -> str:
+    """A pattern that every line matches whose canonical text is one of texts: long words, together in all texts, those in most of them first.
+
+    Canonical words stand in their line as they are but for case, or come from other spellings.
+    """
+    words = [set(t.split()) for t in texts if t]
+    left = [{x for x in w if len(x) > 5} or {max(sorted(w), key=len)} for w in words]
+    chosen: set[str] = set()
+    while left:
+        counts = Counter(x for w in left for x in w)
+        best = min(counts, key=lambda x: (-counts[x], -len(x), x))
+        chosen |= _sources(best)
+        left = [w for w in left if best not in w]
+    return "(?i)" + "|".join(sorted(chosen)) if chosen else "(?!)"
+
+
 def scan(texts: DataFrame, text_col: str = "text", known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """Adds license_digest, and license_id where the entire text is a known licence."""
     table = known_digests(texts.sparkSession, known)
@@ -79,11 +109,12 @@ def scan(texts: DataFrame, text_col: str = "text", known: list[tuple[str, str]]
 def scan_lines(texts: DataFrame, text_col: str = "text", known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """Adds line_licenses array<string>: the known licences that an entire line states, distinct and sorted.
 
-    A canonical text can't be longer than thrice its source, nor a match shorter than a known text; lines whose
-    length rules a match out aren't made canonical.
+    Only lines with a word that some known text needs are made canonical.
     """
-    table = {r["license_digest"]: r["license_id"] for r in known_digests(texts.sparkSession, known).collect()}  # as many as known
+    spark = texts.sparkSession
+    table = {r["license_digest"]: r["license_id"] for r in known_digests(spark, known).collect()}  # as many as known
+    pattern = needed([r["c"] for r in spark.createDataFrame(known, "license_id string, t string").select(canonical(F.col("t")).alias("c")).collect()])
     ids = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n")), lambda x: F.rlike(x, F.lit("(?i)licen[cs]e|cc0|spdx|granted")))
+    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n")), lambda x: F.rlike(x, F.lit(pattern)))
     found = F.filter(F.transform(lines, lambda x: F.try_element_at(ids, digest(x))), lambda x: x.isNotNull())
     return texts.withColumn("line_licenses", F.array_sort(F.array_distinct(found)))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulseframe.llm import bpe, chat, embedding_dedup, license, line_dedup, mixing, ngram_join, quality, queries, sharding, topk
+from pulseframe.llm import bpe, chat, embedding_dedup, license, license_texts, line_dedup, mixing, ngram_join, quality, queries, sharding, topk
 from pulseframe.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -302,6 +302,27 @@ def test_license_digests_ignore_case_marks_claims_and_spelling(spark, odd, nothi
     assert license.scan(nothing).count() == 0
 
 
+def test_whole_files_of_common_licenses_are_known(spark):
+    full = license_texts.TEXTS
+    claim = "Copyright (c) 2021 Someone Else\n\n"
+    mit, bsd = license.KNOWN[0][1], full["BSD-3-Clause"]
+    wrapped = mit.replace(", ", ",\n").replace("Software", "Software\n")
+    two = bsd[: bsd.index("3. Neither")] + bsd[bsd.index("THIS SOFTWARE IS") :]
+    files = [("MIT", "MIT License\n\n" + claim + wrapped), ("MIT", "The MIT License (MIT)\n" + claim + mit), ("ISC", "ISC License\n" + claim + license.KNOWN[1][1])]
+    files += [("BSD-3-Clause", "BSD 3-Clause License\n\n" + claim + "All rights reserved.\n\n" + bsd), ("BSD-2-Clause", claim + two), ("BSD-2-Clause", "BSD 2-Clause License\n" + claim + two)]
+    files += list(full.items()) + [(k, "\n".join(full[k].splitlines()[2:])) for k in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")]
+    files += [("Apache-2.0", full["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Someone")), ("Apache-2.0", full["Apache-2.0"][: full["Apache-2.0"].index("   APPENDIX")])]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(files)], "i int, text string")
+    got = {r["i"]: r["license_id"] for r in license.scan(df).collect()}
+    assert got == {i: k for i, (k, _) in enumerate(files)}
+
+
+def test_scan_lines_finds_every_given_text(spark):
+    known = [("A", "Zlib applies to this file."), ("B", "Use at own risk"), ("C", "An organisation's rules")]
+    df = spark.createDataFrame([(1, "x\nzlib APPLIES to this file\nUse at own -- risk"), (2, "an organization s rules\nan ORGANISATION's rules"), (3, "no match")], "i int, text string")
+    assert {r["i"]: r["line_licenses"] for r in license.scan_lines(df, known=known).collect()} == {1: ["A", "B"], 2: ["C"], 3: []}
+
+
 # 7. Byte-level BPE
 
 
