@@ -1,12 +1,14 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line is the set of its distinct tokens, which are runs of five words; a line of fewer words has one token, all
-of it. Tokens are ordered by rarity, counted over all lines in a fixed number of hash buckets, then by hash. Two
-lines match when the Jaccard similarity of their sets is 0.75 or more; the rarest tokens of each, as many as the
-prefix filter needs, are the keys of the join; length and position filter candidates, and whole sets verify them.
+of it. Tokens are ordered by rarity, counted over all lines in hash buckets whose number grows with the text, then
+by hash. Two lines match when the Jaccard similarity of their sets is 0.75 or more; the rarest tokens of each, as
+many as the prefix filter needs, are the keys of the join; length and position filter candidates, and whole sets
+verify them. Any order of the tokens finds the same matches: buckets that tokens share cost time only.
 A line goes when an earlier one matches, in the order of doc_id, a hash of the text, and line number.
 
-Equal sets are one line to the join. Candidates come in two steps, so that a group of many like lines doesn't meet in
+Equal sets are one line to the join: two independent hashes of the sorted 64-bit tokens tell them apart, and of the
+words themselves where a set is one token. Candidates come in two steps, so that a group of many like lines doesn't meet in
 all pairs: in each list the earliest line meets the others; then lines that nothing has removed meet the rest.
 
 Defined results: lines without words stay and match nothing; a null text stays null; a document all of whose
@@ -18,19 +20,21 @@ are least; an empty table gives no rows; further columns pass through.
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_KEYS, Scratch, semi_by_key, without
 
+#: Words in a token.
 WORDS = 5
 #: Similarity as a fraction: matching when DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
-#: Hash buckets that count tokens.
-BUCKETS = 1 << 16
-#: Bits of a token's hash in its sort key, behind the count.
-HASH_BITS = 41
+#: Bits of the number of buckets that count tokens: one bucket for so many bytes of text, within these bounds (32 MB at most).
+BYTES_A_BUCKET, LEAST_BITS, MOST_BITS = 4096, 16, 22
+#: Bits of a token's hash in its sort key, behind the class of its count.
+HASH_BITS = 54
 #: Spaces other than the plain one, which most texts don't have.
 RARE_SPACES = "\t\x0b\x0c\r"
 
@@ -44,41 +48,59 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(plain, " ", -1), "")
 
 
+def raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, thash, ln, line): the trimmed lines that have words."""
+    lines = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("thash"), F.posexplode(F.split(text_col, "\n", -1)).alias("ln", "line"))
+    return lines.withColumn("line", F.btrim("line", F.lit(" " + RARE_SPACES))).where("line <> ''")
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, thash, ln, words): the lines that have words."""
-    lines = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("thash"), F.posexplode(F.split(text_col, "\n", -1)).alias("ln", "line"))
-    lines = lines.withColumn("line", F.btrim("line", F.lit(" " + RARE_SPACES))).where("line <> ''")
-    return lines.select("doc", "thash", "ln", words_of(F.col("line")).alias("words"))
+    return raw_lines(docs, id_col, text_col).select("doc", "thash", "ln", words_of(F.col("line")).alias("words"))
 
 
-def _token(words: Column, i: Column) -> Column:
+def _token(words: Column, i: Column, run: int) -> Column:
     """The hash of the run of words from i; a null beyond the end adds nothing, and i is 0 then."""
-    return F.xxhash64(*[F.get(words, i + k) for k in range(WORDS)])
+    return F.xxhash64(*[F.get(words, i + k) for k in range(run)])
 
 
-def last_run(words: Column) -> Column:
-    return F.greatest(F.size(words) - WORDS, F.lit(0))
+def last_run(words: Column, run: int = WORDS) -> Column:
+    return F.greatest(F.size(words) - run, F.lit(0))
 
 
-def tokens(words: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last_run(words)), lambda i: _token(words, i)))
+def tokens(words: Column, run: int = WORDS) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), last_run(words, run)), lambda i: _token(words, i, run)))
 
 
-def rarity(lines: DataFrame) -> Column:
-    """array<int>: occurrences of tokens by bucket. A row for each bucket reaches the driver."""
-    runs = lines.select("words", F.explode(F.sequence(F.lit(0), last_run(F.col("words")))).alias("i"))
-    counts = runs.groupBy(F.pmod(_token(F.col("words"), F.col("i")), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n"))
-    table = [0] * BUCKETS
+def count_class(n: int) -> int:
+    """Rises with a count, by 16 to a doubling; below 1024 for every count of 64 bits, so that none is capped."""
+    return int(16 * math.log2(n)) if n else 0
+
+
+def rarity(docs: DataFrame, text_col: str, lines: DataFrame, run: int = WORDS) -> tuple[int, Column]:
+    """(bits, array<long>): the class of the occurrences of each bucket's tokens, where a sort key holds it. A row for each bucket reaches the driver."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_A_BUCKET).bit_length()))
+    runs = lines.select("words", F.explode(F.sequence(F.lit(0), last_run(F.col("words"), run))).alias("i"))
+    counts = runs.groupBy(_bucket(_token(F.col("words"), F.col("i"), run), bits).alias("bucket")).agg(F.count("*").alias("n"))
+    table = [0] * (1 << bits)
     for r in counts.collect():
-        table[r["bucket"]] = min(r["n"], (1 << (62 - HASH_BITS)) - 1)
-    return F.from_json(F.lit(json.dumps(table)), "array<int>")
+        table[r["bucket"]] = count_class(r["n"]) << HASH_BITS
+    return bits, F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<bigint>")
+
+
+def _bucket(token: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(token, 64 - bits).cast("int")
 
 
-def prefixed(lines: DataFrame, counts: Column) -> DataFrame:
+def prefixed(lines: DataFrame, bits: int, classes: Column, run: int = WORDS) -> DataFrame:
     """(doc, thash, ln, s1, s2, n, prefix): two hashes of the line's set of whole tokens, its size, and the keys of its rarest tokens, rarest first."""
-    key = lambda t: F.shiftleft(F.get(counts, F.pmod(t, F.lit(BUCKETS)).cast("int")).cast("long"), HASH_BITS).bitwiseOR(t.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    whole = lines.select("doc", "thash", "ln", F.sort_array(tokens(F.col("words"))).alias("set"))
-    keyed = whole.select("doc", "thash", "ln", F.xxhash64("set").alias("s1"), F.xxhash64(F.lit(1), "set").alias("s2"), F.sort_array(F.transform("set", key)).alias("keys"))
+    hashed = F.lit((1 << HASH_BITS) - 1)
+    key = lambda t: F.coalesce(F.get(classes, _bucket(t, bits)), F.lit(0).cast("long")).bitwiseOR(t.bitwiseAND(hashed))
+    words = F.col("words")
+    whole = lines.select("doc", "thash", "ln", F.sort_array(tokens(words, run)).alias("set"), F.xxhash64(F.lit(2), F.slice(words, 1, run)).alias("head"))
+    one = F.size("set") == 1
+    keyed = whole.select("doc", "thash", "ln", F.xxhash64("set").alias("s1"), F.when(one, F.col("head")).otherwise(F.xxhash64(F.lit(1), "set")).alias("s2"), F.sort_array(F.transform("set", key)).alias("keys"))
     n = F.size("keys")
     return keyed.select("doc", "thash", "ln", "s1", "s2", n.alias("n"), F.slice("keys", F.lit(1), n - F.ceil(n * F.lit(NUM / DEN)).cast("int") + 1).alias("prefix"))
 
@@ -91,34 +113,37 @@ def _filters(x: str, y: str) -> Column:
     return length & ((1 + F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))) * (NUM + DEN) >= both * NUM)
 
 
-def _whole_sets(docs: DataFrame, ids: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """(s1, s) of the sets in pairs, from one line of each. Documents without such a line are left out before any is taken apart.
+def _whole_sets(docs: DataFrame, ids: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str, run: int) -> DataFrame:
+    """(s1, s2, first, s) of the sets in pairs, from one line of each. Documents without such a line are left out before any is taken apart.
 
-    docs: (id, text); ids: (s1, .., first) with the place of each set's first line.
+    docs: (id, text); ids: (s1, s2, .., first) with the place of each set's first line.
     """
     id_col, text_col = docs.columns
     wanted = scratch.save(pairs.select(F.col("x").alias("s1")).union(pairs.select("y")).distinct(), f"{tag}-wanted")
-    where = scratch.save(semi_by_key(ids.select("s1", "first.*"), wanted, ["s1"]), f"{tag}-where")
+    where = scratch.save(semi_by_key(ids.select("s1", "s2", "first.*"), wanted, ["s1"]), f"{tag}-where")
     some = semi_by_key(docs.where(F.col(id_col).isNotNull()), where.select(F.col("doc").alias(id_col)).distinct(), [id_col])
-    lines = lines_of(some.unionByName(docs.where(F.col(id_col).isNull())), id_col, text_col)
+    lines = raw_lines(some.unionByName(docs.where(F.col(id_col).isNull())), id_col, text_col)
     small = where.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    on = lines["doc"].eqNullSafe(where["doc"]) & (lines["thash"] == where["thash"]) & (lines["ln"] == where["ln"])
-    return scratch.save(lines.join(F.broadcast(where) if small else where, on).select("s1", tokens(F.col("words")).alias("s")), f"{tag}-sets", tidy=True)
+    where = where.select("s1", "s2", F.struct("doc", "thash", "ln").alias("first"))
+    on = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("thash") == F.col("first.thash")) & (F.col("ln") == F.col("first.ln"))
+    found = lines.join(F.broadcast(where) if small else where, on).select("s1", "s2", "first", words_of(F.col("line")).alias("words"))
+    return scratch.save(found.select("s1", "s2", "first", tokens(F.col("words"), run).alias("s")), f"{tag}-sets", tidy=True)
 
 
 def _matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(y) of the pairs (x, y) whose whole sets match."""
-    met = pairs.join(sets.withColumnRenamed("s1", "x"), "x").withColumnRenamed("s", "sx").join(sets.withColumnRenamed("s1", "y"), "y")
+    """(s1, s2) of the later sets of pairs whose whole sets match; first says again which is later, for sets that share s1."""
+    x = sets.select(F.col("s1").alias("x"), F.col("first").alias("first_x"), F.col("s").alias("sx"))
+    met = pairs.join(x, "x").join(sets.withColumnRenamed("s1", "y"), "y").where("first_x < first")
     common = F.size(F.array_intersect("sx", "s"))
-    return met.where(common * DEN >= (F.size("sx") + F.size("s") - common) * NUM).select(F.col("y").alias("s1")).distinct()
+    return met.where(common * DEN >= (F.size("sx") + F.size("s") - common) * NUM).select(F.col("y").alias("s1"), "s2").distinct()
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, thash, lns): the numbers of the lines that go, by text."""
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = WORDS) -> DataFrame:
+    """(doc, thash, lns): the numbers of the lines that go, by text. run: words in a token."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     docs = docs.select(id_col, text_col)
     lines = lines_of(docs, id_col, text_col)
-    found = scratch.save(prefixed(lines, rarity(lines)), "found")
+    found = scratch.save(prefixed(lines, *rarity(docs, text_col, lines, run), run), "found")
     at = F.struct("doc", "thash", "ln")
     distinct = scratch.save(found.groupBy("s1", "s2", "n").agg(F.min(at).alias("first"), F.any_value("prefix").alias("prefix")), "distinct", tidy=True)
     line_sets = scratch.save(found.drop("prefix"), "lines")
@@ -134,26 +159,27 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stars = scratch.save(stars.distinct(), "stars")
     ids = scratch.save(distinct.select("s1", "s2", "n", "first"), "ids")
     scratch.drop("distinct")
-    gone = scratch.save(_matching(stars, _whole_sets(docs, ids, stars, scratch, "star")), "gone", tidy=True)
+    gone = scratch.save(_matching(stars, _whole_sets(docs, ids, stars, scratch, "star", run)), "gone", tidy=True)
     scratch.drop("star-sets")
-    open_ = lists.join(gone, "s1", "left_anti")
+    clear = ids.join(gone, ["s1", "s2"], "left_anti").select("s1").distinct()
+    open_ = lists.join(clear, "s1", "left_semi")
     rest = open_.alias("y").join(lists.alias("x"), "t").where("x.first < y.first").where(_filters("x", "y")).select(F.col("x.s1").alias("x"), F.col("y.s1").alias("y"))
     rest = scratch.save(rest.distinct().join(stars, ["x", "y"], "left_anti"), "rest", tidy=True)
-    more = scratch.save(_matching(rest, _whole_sets(docs, ids, rest, scratch, "rest")), "more", tidy=True)
+    more = scratch.save(_matching(rest, _whole_sets(docs, ids, rest, scratch, "rest", run)), "more", tidy=True)
     matched = gone.union(more).distinct().withColumn("gone", F.lit(True))
     # a set's later lines go, and its first one if an earlier set matches
-    named = ids.join(matched, "s1", "left")
+    named = ids.join(matched, ["s1", "s2"], "left")
     out = line_sets.select("doc", "thash", "ln", "s1", "s2", "n").join(named, ["s1", "s2", "n"])
     out = scratch.save(out.where(F.col("gone").isNotNull() | (at > F.col("first"))).select("doc", "thash", "ln").distinct().groupBy("doc", "thash").agg(F.collect_set("ln").alias("lns")), "removed")
-    for name in ("lines", "entries", "lists", "stars", "rest", "rest-sets"):
+    for name in ("lines", "entries", "lists", "ids", "stars", "rest", "rest-sets", "gone", "more", *[f"{t}-{n}" for t in ("star", "rest") for n in ("wanted", "where")]):
         scratch.drop(name)
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars", run: int = WORDS) -> DataFrame:
     """docs with the lines that repeat earlier ones taken out, and n_removed, how many those are; n_chars, if there is one, is counted anew."""
     docs = without(docs, "n_removed")
-    gone = repeated_lines(docs, id_col, text_col).select(F.col("doc").alias("__pf_doc"), F.col("thash").alias("__pf_of"), F.col("lns").alias("__pf_lns"))  # lines of one text
+    gone = repeated_lines(docs, id_col, text_col, run).select(F.col("doc").alias("__pf_doc"), F.col("thash").alias("__pf_of"), F.col("lns").alias("__pf_lns"))  # lines of one text
     keyed = docs.withColumn("__pf_thash", F.xxhash64(text_col))
     met = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__pf_doc")) & (F.col("__pf_thash") == F.col("__pf_of")), "left")
     lns = F.col("__pf_lns")
