@@ -167,9 +167,20 @@ def signatures(source: DataFrame, counts: np.ndarray) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, n int, sig binary, common int, prefix array<long>")
 
 
-def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
-    parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in names] for b in batches]
-    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(len(names))]
+def _whole_lists(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that are sorted by the first of them, cut where it changes: a worker holds a batch and the list that it breaks off."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        if not len(b):
+            continue
+        new = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        at = int(np.searchsorted(held[0], held[0][-1]))
+        if at:
+            yield [x[:at] for x in held]
+            held = [x[at:] for x in held]
+    if held is not None:
+        yield held
 
 
 def _lists(t: np.ndarray) -> list[tuple[int, int]]:
@@ -184,16 +195,22 @@ ENTRY_TYPES = "t long, sid long, n int, pos int, common int"
 
 
 def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries of lists with two sets at least."""
-    entries = _columns(batches, ENTRY)
-    order = np.argsort(entries[0], kind="stable")
-    t = entries[0][order]
-    same = np.zeros(len(t), bool)
-    same[1:] = t[1:] == t[:-1]
-    same[:-1] |= t[1:] == t[:-1]
-    at = order[same]
-    for i in range(0, len(at), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[at[i : i + 100_000]]) for x in entries], names=ENTRY)
+    """The entries of lists with two sets at least, of entries sorted by list; the last of a batch waits for the next batch."""
+    kept: pa.RecordBatch | None = None
+    before = False  # whether the entry that waits follows one of its list
+    for b in batches:
+        b = b if kept is None else pa.concat_batches([kept, b])
+        t = b.column("t").to_numpy()
+        if not len(t):
+            continue
+        same = np.zeros(len(t), bool)
+        same[1:] = t[1:] == t[:-1]
+        same[:-1] |= same[1:]
+        same[0] |= before
+        yield b.slice(0, len(t) - 1).filter(pa.array(same[:-1]))
+        kept, before = b.slice(len(t) - 1), bool(same[-1])
+    if kept is not None and before:
+        yield kept
 
 
 def _possible(n1, p1, n2, p2):
@@ -213,21 +230,32 @@ def _unique_pairs(a: list[np.ndarray], b: list[np.ndarray], directed: bool = Fal
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hub, other) in each list: the commonest set with the others in its range of sizes, then the commonest of those left, and so on."""
-    t, sid, n, pos, common = _columns(batches, ENTRY)
-    order = np.lexsort((sid, -common, t))
-    t, sid, n, pos = t[order], sid[order], n[order].astype(np.int64), pos[order].astype(np.int64)
-    xs, ys = [], []
-    for a, z in _lists(t):
-        left = np.arange(a, z)
-        while len(left) > 1:
-            hub, rest = left[0], left[1:]
-            near = DEN * np.minimum(n[hub], n[rest]) >= NUM * np.maximum(n[hub], n[rest])
-            ok = rest[near & _possible(n[hub], pos[hub], n[rest], pos[rest])]
-            xs.append(np.full(len(ok), sid[hub]))
-            ys.append(sid[ok])
-            left = rest[~near]
-    yield from _unique_pairs(xs, ys, directed=True)
+    """(hub, other) in each list: the commonest set with the others in its range of sizes, then the commonest of those left, and so on.
+
+    Entries come sorted by list and from common to rare, so that only a batch and the hubs of the list it breaks off are held.
+    """
+    last, hubs = None, []  # hubs: (sid, n, pos) of the list that goes on; few, as each takes a range of sizes
+    for b in batches:
+        t, sid, n, pos = (b.column(c).to_numpy().astype(np.int64) for c in ("t", "sid", "n", "pos"))
+        if not len(t):
+            continue
+        cut = np.flatnonzero(np.diff(t)) + 1
+        xs, ys = [], []
+        for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(t)], strict=True):
+            if t[a] != last:
+                last, hubs = t[a], []
+            left, k = np.arange(a, z), 0
+            while len(left):
+                if k == len(hubs):
+                    hubs.append((sid[left[0]], n[left[0]], pos[left[0]]))
+                    left = left[1:]
+                hub, size, place = hubs[k]
+                near = DEN * np.minimum(size, n[left]) >= NUM * np.maximum(size, n[left])
+                ok = left[near & _possible(size, place, n[left], pos[left])]
+                xs.append(np.full(len(ok), hub))
+                ys.append(sid[ok])
+                left, k = left[~near], k + 1
+        yield from _unique_pairs(xs, ys, directed=True)
 
 
 def _group_links(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -266,7 +294,11 @@ def _group_links(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a list that nothing connects yet, with unlike hubs, and that the filters leave."""
-    t, sid, n, pos, comp, hub = _columns(batches, ["t", "sid", "n", "pos", "comp", "hub"])
+    for lists in _whole_lists(batches, ["t", "sid", "n", "pos", "comp", "hub"]):
+        yield from _rest_of(*lists)
+
+
+def _rest_of(t, sid, n, pos, comp, hub) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((sid, pos, n, t))
     t, sid, n, pos, comp, hub = t[order], sid[order], n[order].astype(np.int64), pos[order].astype(np.int64), comp[order], hub[order]
     xs, ys, held = [], [], 0
@@ -334,9 +366,11 @@ def _within_groups(spark: SparkSession, first: DataFrame, comp: DataFrame, scrat
     best = best.select("sid", F.col("h.a").alias("hub"), "h.hub_size", "h.lacks", "h.adds")
     best = scratch.save(best.join(comp.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "hub", "hub_size", "lacks", "adds", F.coalesce("component", "sid").alias("comp")), "hubs")
     hub_comp = comp.select(F.col("id").alias("hub"), F.col("component").alias("hub_comp"))
-    placed = best.join(hub_comp, "hub", "left").withColumn("out", F.col("comp") != F.coalesce("hub_comp", "hub"))
+    hubs = scratch.save(best.select("hub").distinct().join(hub_comp, "hub", "left"), "hub-components")  # hubs are few, and one may have most sets
+    placed = best.join(F.broadcast(hubs) if hubs.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else hubs, "hub").withColumn("out", F.col("comp") != F.coalesce("hub_comp", "hub"))
     sizes = placed.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("ys"), F.ceil(F.count_if("out") / GROUP).cast("int").alias("xs")).where("xs > 0")
-    dealt = placed.join(sizes, "hub")
+    few = sizes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    dealt = placed.join(F.broadcast(sizes) if few else sizes, "hub")  # one row for each hub with sets outside its component
     part = lambda k: F.pmod(F.xxhash64("sid"), F.col(k)).cast("int")
     cols = ["hub", "hub_size", "sid", "comp", "lacks", "adds"]
     lefts = dealt.where("out").select(*cols, F.lit(True).alias("left"), part("xs").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"))
@@ -354,9 +388,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = signed.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("sid"))
     members = scratch.save(signed.select("doc_id", "n", "sig").join(classes, "sig", "left").select("doc_id", "n", F.coalesce("sid", "doc_id").alias("sid")), "members")
     named = signed.join(classes.withColumnRenamed("sig", "class_sig"), (F.col("doc_id") == F.col("sid")) & (F.col("sig") == F.col("class_sig")))
-    posted = named.select("sid", "n", "common", F.posexplode("prefix").alias("pos", "t")).select(*ENTRY).repartition("t")
+    posted = named.select("sid", "n", "common", F.posexplode("prefix").alias("pos", "t")).select(*ENTRY).repartition("t").sortWithinPartitions("t")
     lists = scratch.save(posted.mapInArrow(_shared_lists, ENTRY_TYPES), "lists")
-    stars = scratch.save(lists.repartition("t").mapInArrow(_stars, "a long, b long").distinct(), "stars")
+    stars = scratch.save(lists.repartition("t").sortWithinPartitions("t", F.desc("common"), "sid").mapInArrow(_stars, "a long, b long").distinct(), "stars")
     scratch.drop("signed")
     first = _verify(source, stars, scratch, "stars")
     linked = first.where("linked").select("a", "b")
@@ -367,10 +401,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = lists.join(comp, lists["sid"] == comp["id"], "left").join(hubs, "sid", "left")
     known = known.select("t", "sid", "n", "pos", F.coalesce("component", "sid").alias("comp"), F.coalesce("hub", "sid").alias("hub"))
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = known.repartition("t").mapInArrow(_rest, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    left = known.repartition("t").sortWithinPartitions("t").mapInArrow(_rest, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     second = _verify(source, scratch.save(left, "rest"), scratch, "rest")
     final = scratch.save(components(spark, linked.union(second.where("linked").select("a", "b"))), "components")
-    scratch.drop("lists")
+    for name in ("lists", "stars", "rest", "hubs", "hub-components", "group-links", "star-components", "group-components", *[f"{t}-{n}" for t in ("stars", "rest") for n in ("ids", "verified")]):
+        scratch.drop(name)
     out = members.join(final, members["sid"] == final["id"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "sid").alias("component_id"))
 
