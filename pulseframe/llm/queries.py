@@ -63,7 +63,8 @@ def op9_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     path = f"{shared_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
-    out = sharding.assign(_read(spark, sf_dir, "documents"), SHARDS, map_path=path)
+    docs = _read(spark, sf_dir, "documents")
+    out = sharding.assign(docs, SHARDS, map_path=path)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
@@ -176,7 +177,7 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+  FROM (SELECT vec_id, min(q) AS q FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id) a JOIN v b ON a.vec_id <> b.vec_id
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
