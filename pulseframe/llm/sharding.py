@@ -2,9 +2,12 @@
 
 A record's slot is a hash of its id, one of a fixed number of slots whatever the shards. The bytes of each slot
 are summed, and a map says which shard a slot belongs to. The map is versioned: rebalancing edits a copy,
-moving as few slots as evenness needs, and older versions stay readable.
+moving as few slots as evenness needs, and older versions stay readable. A table that was sharded before is sharded
+again by its stored map: this is read, edited for the bytes and shards of now, and stored as one more version.
 
-Defined results: a null text has no bytes of its own; null ids hash as 0; repeated rows have a place each,
+Equal texts with unlike ids may part: the law is `bytes`, and one text may hold a third of all bytes.
+
+Defined results: a null text has no bytes of its own; rows with a null id go by their text; repeated rows have a place each,
 ordered by id and text; an empty table gives no rows; further columns are ignored by `assign`.
 """
 
@@ -39,15 +42,20 @@ class SlotMap:
 
     def rebalance(self, weights: list[int], shards: int | None = None) -> SlotMap:
         """A new version, made by edits of the last: slots of shards above the mean move to the least loaded one, the
-        largest that fits first, for as long as a move brings the two closer."""
+        largest that fits first, for as long as a move brings the two closer. Slots of shards that are no more are dealt to the least loaded first."""
         self.shards = shards or self.shards
         shard_of = list(self.current)
+        gone = sorted((s for s, shard in enumerate(shard_of) if shard >= self.shards), key=lambda s: (-weights[s], s))
+        kept = [sum(weights[s] for s, x in enumerate(shard_of) if x == shard) for shard in range(self.shards)]
+        for s in gone:
+            shard_of[s] = min(range(self.shards), key=lambda x: (kept[x], x))
+            kept[shard_of[s]] += weights[s]
         loads = [0] * self.shards
         own: list[list[int]] = [[] for _ in range(self.shards)]
         for slot, shard in enumerate(shard_of):
             loads[shard] += weights[slot]
             own[shard].append(slot)
-        for _ in range(4 * len(shard_of)):
+        for _ in range(4 * len(shard_of)):  # each move lowers the sum of squared loads; this many are never needed
             high = max(range(self.shards), key=lambda s: (loads[s], -s))
             low = min(range(self.shards), key=lambda s: (loads[s], s))
             gap = loads[high] - loads[low]
@@ -80,17 +88,25 @@ def save_map(slot_map: SlotMap, spark: SparkSession, path: str) -> None:
 
 
 def load_map(spark: SparkSession, path: str) -> SlotMap:
+    """The stored map with all its versions; as many slots and shards as the last version has."""
     rows = spark.read.parquet(path).collect()  # slots times versions
-    versions = [[0] * SLOTS for _ in range(1 + max(r["version"] for r in rows))]
+    slots = 1 + max(r["virtual_slot"] for r in rows)
+    versions = [[0] * slots for _ in range(1 + max(r["version"] for r in rows))]
     for r in rows:
         versions[r["version"]][r["virtual_slot"]] = r["shard"]
-    return SlotMap(1 + max(max(v) for v in versions), versions)
+    return SlotMap(1 + max(versions[-1]), versions)
+
+
+def has_map(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
 def with_slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """(id, size, text_crc32, virtual_slot) of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slot = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("0"))), F.lit(slots)).cast("int")
+    own = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("no id"), text)).otherwise(F.xxhash64(F.col(id_col).cast("string")))
+    slot = F.pmod(own, F.lit(slots)).cast("int")
     return docs.select(id_col, (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot.alias("virtual_slot"))
 
 
@@ -101,15 +117,18 @@ def slot_bytes(slotted: DataFrame) -> DataFrame:
 def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Rows with shard and slot: the place within the shard, from 0 without gaps.
 
+    map_path: where the map is stored. If one is there, it is edited, and its number of slots holds; the result goes by the version that this adds.
     Only a row for each virtual slot, of which there is a fixed number, reaches the driver. Places are numbered
     within virtual slots, then moved on by the rows of the slots before, so that no task holds a whole shard.
     """
     spark = docs.sparkSession
+    stored = load_map(spark, map_path) if map_path and has_map(spark, map_path) else None
+    slots = len(stored.current) if stored else slots
     slotted = with_slots(docs, id_col, text_col, slots)
     weights, rows = [0] * slots, [0] * slots
     for r in slot_bytes(slotted).collect():
         weights[r["virtual_slot"]], rows[r["virtual_slot"]] = r["bytes"], r["rows"]
-    slot_map = new_map(shards, slots).rebalance(weights)
+    slot_map = (stored or new_map(shards, slots)).rebalance(weights, shards)
     if map_path:
         save_map(slot_map, spark, map_path)
     before, table = [0] * shards, []
