@@ -6,7 +6,7 @@ about structure and length. Whole texts are read; language, source, id and label
 
 Defined results: null and empty texts are scored, by structure alone; repeated rows score alike; an empty
 table gives no rows; further columns pass through. Labels that are null or whose row is missing aren't learnt;
-a document with several labels counts with the least of them.
+a document with several labels counts with the least of them, and an id with several texts with one of them, the least by hash.
 """
 
 from __future__ import annotations
@@ -140,14 +140,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     ship(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
-    some = docs.select(F.col(f"`{id_col}`").alias("_of"), F.col(f"`{text_col}`").alias("_t")).join(F.broadcast(known), F.col("_of") == F.col("_id")).select("_id", "_y", "_t")
+    met = docs.select(F.col(f"`{id_col}`").alias("_of"), F.col(f"`{text_col}`").alias("_t")).join(F.broadcast(known), F.col("_of") == F.col("_id"))
+    some = met.groupBy("_id").agg(F.min("_y").alias("_y"), F.min_by("_t", F.struct(F.xxhash64("_t"), F.length("_t"))).alias("_t"))  # fit_rows at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [features(t) for t in b["_t"]]
-            yield pd.DataFrame({"id": b["_id"], "y": b["_y"], "idx": [r[0].tobytes() for r in rows], "val": [r[1].tobytes() for r in rows], "numbers": [np.array(r[2]).tobytes() for r in rows]})
+            yield pd.DataFrame({"id": b["_id"].astype(str), "y": b["_y"], "idx": [r[0].tobytes() for r in rows], "val": [r[1].tobytes() for r in rows], "numbers": [np.array(r[2]).tobytes() for r in rows]})
 
-    got = sorted(some.mapInPandas(run, "id long, y int, idx binary, val binary, numbers binary").collect(), key=lambda r: (r["id"], bytes(r["idx"])))[:fit_rows]
+    got = sorted(some.mapInPandas(run, "id string, y int, idx binary, val binary, numbers binary").collect(), key=lambda r: (len(r["id"]), r["id"]))
     return learn([(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32), np.frombuffer(r["numbers"]).tolist(), r["y"]) for r in got])
 
 
