@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -11,15 +12,17 @@ from pyspark.sql import functions as F
 
 from pulseframe.shipping import ship
 
-#: Rows up to which a table of single keys is broadcast (16 MB of longs); beyond it, joins shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Rows up to which a table of keys is broadcast (16 MB at eight longs a row); beyond it, joins shuffle.
+BROADCAST_KEYS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset and all tasks run on this machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
         named = tempfile.mkdtemp(prefix="pulseframe-")
         sc.setCheckpointDir(named)
     return named
@@ -28,10 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder: they cut lineage, and survive a lost executor."""
 
+    #: All that were made and not swept away.
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
+
+    @classmethod
+    def sweep(cls, since: int = 0) -> None:
+        """Delete the tables of all that were made since; only when no result that reads them is needed any more."""
+        while len(cls.made) > since:
+            cls.made.pop().drop()
 
     def save(self, df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
         """tidy: let the driver collect garbage, so that shuffle files of the written plan and earlier ones go."""

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pulseframe.llm import bpe, chat, embedding_dedup, license, license_texts, line_dedup, mixing, ngram_join, quality, queries, sharding, topk
@@ -91,12 +92,12 @@ def test_chat_sentinel(spark):
 # 2. Line dedup
 
 
-def line_tokens(line):
+def line_tokens(line, run=5):
     w = line.strip(" \t\x0b\x0c\r").split()
-    return frozenset(" ".join(w[i : i + 5]) for i in range(max(len(w) - 5, 0) + 1)) if w else frozenset()
+    return frozenset(" ".join(w[i : i + run]) for i in range(max(len(w) - run, 0) + 1)) if w else frozenset()
 
 
-def brute_lines(rows):
+def brute_lines(rows, run=5):
     """rows: (doc_id, text) without repeats of a doc_id."""
     seen, out = [], {}
     for d, text in sorted(rows, key=lambda r: r[0]):
@@ -105,14 +106,14 @@ def brute_lines(rows):
             continue
         kept, had = [], False
         for line in text.split("\n"):
-            t = line_tokens(line)
+            t = line_tokens(line, run)
             if t and any(4 * len(t & s) >= 3 * len(t | s) for s in seen):
                 had = True
             else:
                 kept.append(line)
             if t:
                 seen.append(t)
-        if not had or any(line_tokens(x) for x in kept):
+        if not had or any(line_tokens(x, run) for x in kept):
             out[d] = "\n".join(kept)
     return out
 
@@ -134,11 +135,41 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == brute_lines(docs)
 
 
-def test_lines_whose_tokens_agree_in_the_bits_of_the_key_are_kept(spark):
+def brute_docs(seed, n=60):
+    rng = random.Random(seed)
+    pool = [words(seed + k, rng.choice([1, 3, 8, 40, 60])) for k in range(12)]
+    docs = []
+    for i in range(n):
+        lines = []
+        for _ in range(rng.randint(0, 4)):
+            w = list(rng.choice(pool))
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                w[rng.randrange(len(w))] = f"z{rng.randint(0, 3)}"
+            lines.append(" ".join(w))
+        docs.append((i, "\n".join(lines)))
+    return docs
+
+
+def test_line_dedup_with_words_as_tokens_and_with_keys_that_collide(spark, monkeypatch):
+    docs = brute_docs(31)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, run=1).collect()}
+    assert got == brute_lines(docs, 1)
+    monkeypatch.setattr(line_dedup, "HASH_BITS", 3)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert got == brute_lines(docs)
+
+
+def test_classes_of_counts_rise_and_never_saturate():
+    some = [line_dedup.count_class(1 << k) for k in range(64)]
+    assert some == sorted(set(some)) and some[-1] < 1024
+
+
+def test_lines_whose_tokens_agree_in_many_bits_are_kept(spark):
     pairs = [("w3041977", "w3279555"), ("w590887", "w313774"), ("w750390", "w2650290")]
     flat = [w for p in pairs for w in p]
     h = [r.h for r in spark.createDataFrame([(w,) for w in flat], "w string").select(F.xxhash64("w").alias("h")).collect()]
-    mask = (1 << line_dedup.HASH_BITS) - 1
+    mask = (1 << 41) - 1
     assert all((x ^ y) & mask == 0 and x != y for x, y in zip(h[::2], h[1::2], strict=True))
     docs = [(i, w) for i, w in enumerate(flat)] + [(10, flat[0] + "\n" + "own line")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
@@ -259,26 +290,58 @@ def test_large_means(spark):
     assert abs(cdf[-1] - 1) < 1e-9 and 0.4 < cdf[900] < 0.6
 
 
+def test_means_beyond_the_table_are_split(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "rare" if i < 20 else "common") for i in range(2000)], "doc_id long, text string, source string")
+    out = mixing.mix(docs, weights={"rare": 20.0, "common": 1.0}, epochs=20.0).where("source = 'rare'").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copy_no").alias("m"), F.min("n_copies").alias("c")).toPandas()
+    mean = 20 / 21 * 20 * 2000 / 20
+    assert len(out) == 20 and (out["n"] == out["m"]).all() and (out["n"] == out["c"]).all()
+    assert abs(out["n"].mean() - mean) < 4 * math.sqrt(mean / 20) and 0.4 < out["n"].std() / math.sqrt(mean) < 1.8
+
+
 # 5. Exact top-k
 
 
 def brute_top(rows, k=10):
-    q = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    q = sorted((i, [math.floor(1024 * x) for x in v]) for i, v in rows)
+    asked = {i: v for i, v in reversed(q) if i % 100 == 0}  # the least vector of an id
     out = []
-    for i in sorted(q):
-        if i % 100 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in q if j != i))[:k]
-            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    for i, v in asked.items():
+        best = sorted((-sum(a * b for a, b in zip(v, u, strict=False)), j) for j, u in q if j != i)[:k]
+        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
 
+def test_top_k_skips_blocks_of_clustered_vectors_whatever_their_ids(spark, monkeypatch):
+    r = np.random.default_rng(0)
+    centres = r.normal(size=(60, 16))
+    vectors = [(centres[i % 60] + 0.05 * r.normal(size=16)).tolist() for i in range(3000)]
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    shares = []
+    for step in (1, 1_000_003):
+        seen = []
+        df = spark.createDataFrame([(i * step, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        got = topk.top_k(df, lambda i: i % 100 == 0, tell=lambda *x: seen.append(x)).collect()
+        assert sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got) == brute_top([(i * step, v) for i, v in enumerate(vectors)])
+        read, skipped = (x.value for x in seen[0])
+        shares.append(skipped / (read + skipped))
+    assert min(shares) > 0.5 and abs(shares[0] - shares[1]) < 0.2
+
+
+def test_top_k_of_unlike_lengths_large_numbers_and_several_chunks(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i * 50, [rng.choice([-1e6, 0.25, 1e6, rng.uniform(-1, 1)]) for _ in range(rng.randint(0, 5))]) for i in range(120)]
+    monkeypatch.setattr(topk, "CHUNK", 20)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 100 == 0)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == brute_top(rows)
+
+
 def test_top_k_equals_brute_force_with_ties(spark):
     rng = random.Random(2)
     rows = [(i * 7 - 300, [rng.choice([-0.5, 0.0, 0.5, rng.uniform(-1, 1)]) for _ in range(6)]) for i in range(700)]
     rows += [(100_000 + i, rows[i][1]) for i in range(30)]
     bad = [(5, None), (6, [None] * 6), (8, [float("nan")] * 6), (9, [float("inf")] * 6), (None, rows[0][1]), rows[0]]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
-    rows = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in df.where("vec_id is not null and vec_id not in (5, 6, 8, 9)").dropDuplicates(["vec_id"]).collect()]
+    rows = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in df.where("vec_id is not null and vec_id not in (5, 6, 8, 9)").collect()]
     got = topk.top_k(df, lambda i: i % 100 == 0)
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == brute_top(rows)
     assert topk.top_k(df.where("false"), lambda i: i % 100 == 0).count() == 0
@@ -369,9 +432,97 @@ def test_embedding_links_reach_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embedding_recall_at_the_threshold(spark):
+    """Pairs whose cosine is just above the threshold, in 64 dimensions, among unrelated vectors."""
+    r = np.random.default_rng(9)
+    base = r.normal(size=(400, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = r.normal(size=(400, 64))
+    away -= (away * base).sum(1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    near = 0.9301 * base + math.sqrt(1 - 0.9301**2) * away
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(np.concatenate([base, near]))], "vec_id long, embedding array<double>, label string")
+    got = embedding_dedup.near_duplicates(df).toPandas()
+    assert got["n_links"].sum() / 800 >= 0.96 and (got["n_links"] <= 1).all()
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark):
+    r = np.random.default_rng(4)
+    c = r.normal(size=64)
+    rows = [(i, (c + 0.08 * r.normal(size=64)).tolist(), 1) for i in range(1500)] + [(5000 + i, r.normal(size=64).tolist(), 1) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    x = np.array([v for _, v, _ in rows])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(1) - 1
+    got = embedding_dedup.near_duplicates(df).orderBy("vec_id").toPandas()
+    assert got["n_links"].tolist() == want.tolist() and (got["component_id"][:1500] == 0).all()
+    classes = df.select(F.col("vec_id").alias("cid"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("x"))
+    plan = embedding_dedup.plan_for(2000, 0.93)
+    placed = embedding_dedup._placed(classes, plan).cache()
+    assert embedding_dedup._pairs(placed, embedding_dedup._cliques(placed, plan)).count() < 10 * len(rows)
+
+
+def test_long_lists_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PART", 16)
+    r = np.random.default_rng(7)
+    c = r.normal(size=8)
+    rows = [(i, (c + 0.3 * r.normal(size=8)).tolist(), i % 2) for i in range(200)]
+    u = np.array([v for _, v, _ in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = ((u @ u.T >= 0.93) & (np.arange(200)[:, None] % 2 == np.arange(200) % 2)).sum() - 200
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas()
+    assert 0.99 * want <= got["n_links"].sum() <= want
+
+
+def test_embeddings_of_unlike_lengths_and_labels_of_text(spark):
+    rows = [(1, [1.0, 0.0], "x"), (2, [1.0, 0.0, 0.0], "x"), (3, [1.0, 0.01], "x"), (4, [1.0, 0.0], "y"), (5, [], "x"), (6, [1.0, 0.0], None)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6)}
+
+
 # 9. Sharding
 
 
+def signed(h):
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def brute_map(sizes, shards, start, slots=sharding.SLOTS):
+    """Slots of ids by hash, and the shards of slots after moves from the fullest shard to the emptiest, recomputed at each step."""
+    weight = [0] * slots
+    for i, size in sizes.items():
+        weight[signed(xxhash.xxh64_intdigest(str(i).encode(), 42)) % slots] += size
+    shard = list(start)
+    while True:
+        load = [0] * shards
+        for s, x in enumerate(shard):
+            load[x] += weight[s]
+        high, low = load.index(max(load)), load.index(min(load))
+        fit = [(weight[s], -s) for s in range(slots) if shard[s] == high and 0 < weight[s] <= (load[high] - load[low]) // 2]
+        if not fit:
+            return shard
+        shard[-max(fit)[1]] = low
+
+
+def test_shards_follow_the_stored_map_and_its_edits(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.createDataFrame([(i, "x" * random.Random(i).choice([5, 50, 500, 4000])) for i in range(2000)], "doc_id long, text string")
+    sizes = {r["doc_id"]: len(r["text"]) + 8 for r in docs.collect()}
+    first = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, 24, map_path=path).collect()}
+    one = brute_map(sizes, 24, [s % 24 for s in range(sharding.SLOTS)])
+    slot = {i: signed(xxhash.xxh64_intdigest(str(i).encode(), 42)) % sharding.SLOTS for i in sizes}
+    assert first == {i: one[slot[i]] for i in sizes}
+    again = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, 25, map_path=path).collect()}
+    two = brute_map(sizes, 25, one)
+    assert again == {i: two[slot[i]] for i in sizes}
+    stored = sharding.load_map(spark, path)
+    assert stored.versions[1:] == [one, two] and stored.shards == 25
+    assert sum(a != b for a, b in zip(one, two, strict=True)) < sharding.SLOTS / 20
+    fewer = sharding.assign(docs, 20, map_path=path).toPandas()
+    load = fewer.groupby("shard")["size"].sum()
+    assert len(load) == 20 and load.max() / load.min() < 1.1 and sharding.load_map(spark, path).shards == 20
+
+
 def test_shards_are_even_and_places_have_no_gaps(spark, odd, nothing, tmp_path):
     docs = spark.createDataFrame([(i, "x" * random.Random(i).choice([5, 50, 500, 4000])) for i in range(3000)], "doc_id long, text string")
     out = sharding.assign(docs, 24, map_path=str(tmp_path / "map")).toPandas()
@@ -431,6 +582,10 @@ def test_classifier_of_odd_rows(spark, odd, nothing):
     out = quality.score(odd, quality.fit(odd, labels)).collect()
     assert len(out) == odd.count() and all(0 <= r["score"] <= 1 for r in out)
     assert quality.accept(odd, labels).columns == odd.columns
+    many = odd.where("doc_id = 10").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(50)))).drop("i").unionByName(odd)
+    assert quality.score(odd, quality.fit(many, labels)).select("score").collect() == [(r["score"],) for r in out]
+    named = odd.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert quality.score(named, quality.fit(named, labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")))).count() == odd.count()
     one = quality.fit(nothing, labels.where("false"))
     assert quality.score(nothing, one).count() == 0 and quality.score(odd, one).count() == odd.count()
 
