@@ -118,3 +118,22 @@ def heliocentric(planet: str, jd: Column) -> tuple[Column, Column]:
 
 def aspect_distance(a: Column, b: Column, aspect: float) -> Column:
     return F.abs(separation(a, b) - aspect)
+
+
+def signed_phase(ra_moon: Column, dec_moon: Column, ra_sun: Column, dec_sun: Column) -> Column:
+    """The arc between Moon and Sun from their equatorial places, 0 to 360: a waxing Moon counts as 360 less the arc."""
+    a, b = F.radians(dec_moon), F.radians(dec_sun)
+    c = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians(ra_moon - ra_sun))
+    arc = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))))
+    return F.when(F.pmod(ra_moon - ra_sun, F.lit(360.0)) >= 180, arc).otherwise(360 - arc)
+
+
+def phase_time(target: float, guess: Column, rounds: int = 12) -> Column:
+    """The Julian day near the guess at which the lunar phase is the target, by Newton's method with steps of two days at most, as a fold."""
+    miss = lambda jd: F.pmod(lunar_phase(jd) - target + 180.0, F.lit(360.0)) - 180.0
+
+    def better(jd: Column, _: Column) -> Column:
+        slope = (miss(jd + 0.01) - miss(jd - 0.01)) / 0.02
+        return jd - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), miss(jd) / slope))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), guess, better)

@@ -58,9 +58,23 @@ def tide_argument(name: str, hours: Column) -> Column:
     return F.pmod(TIDE_SPEEDS[name] * hours, F.lit(360.0))
 
 
-def warning_seconds(km: Column, depth: float = 10.0, vp: float = 6.5, vs: float = 3.5, delay: float = 5.0) -> Column:
-    path = F.sqrt(km * km + depth * depth)
-    return path / vs - path / vp - delay
+# Speeds of the first and of the damaging waves in km/s, seconds to detect and to process, and gravity.
+FIRST_WAVE, STRONG_WAVE, DETECT, PROCESS, G = 6.5, 3.7, 3.0, 2.0, 9.81
+
+
+def warning_seconds(km: Column, station_km: Column | float) -> Column:
+    """From the alert to the strong waves at a place, if the nearest station is so far from the source."""
+    return km / STRONG_WAVE - (station_km / FIRST_WAVE + (DETECT + PROCESS))
+
+
+def blind_radius(station_km: Column) -> Column:
+    """Within which the strong waves come before the alert."""
+    return STRONG_WAVE * (station_km / FIRST_WAVE + (DETECT + PROCESS))
+
+
+def tsunami_minutes(km: Column, depth_m: Column | float) -> Column:
+    depth = depth_m if isinstance(depth_m, Column) else F.lit(float(depth_m))
+    return km / (F.sqrt(G * depth) * 3.6) * 60
 
 
 def magnitude_from_moment(m0: Column) -> Column:
@@ -68,5 +82,17 @@ def magnitude_from_moment(m0: Column) -> Column:
     return (F.log10(m0) - 16.1) * 2.0 / 3.0
 
 
+def space_kernel(km: Column, dm: Column, d: float, gamma: float, q: float) -> Column:
+    """A density over the plane that falls with the distance, wider for larger events; its integral is 1."""
+    w = d * d * F.pow(F.lit(10.0), gamma * dm)
+    return (q - 1) / (F.pi() * w) * F.pow(1 + km * km / w, F.lit(-q))
+
+
+def omori_integral(age0: Column, age1: Column, dm: Column, k: float, alpha: float, c: float, p: float) -> Column:
+    """Events that an ancestor triggers between two ages."""
+    part = lambda age: F.pow(age + c, F.lit(1 - p))
+    return k * F.exp(alpha * dm) * (part(age1) - part(F.greatest(age0, F.lit(0.0)))) / (1 - p)
+
+
 def block_id(lat: Column, lon: Column, size: float = 10.0) -> Column:
     return (F.floor((lat + 90) / size) * F.lit(int(360 / size)) + F.floor((lon + 180) / size)).cast("int")

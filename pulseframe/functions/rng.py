@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MASK = 4294967295
+# Fixed value: what takes the place of the seed 0.
+ZERO_SEED = 0x9E3779B9
 
 
 def step(x: Column) -> Column:
@@ -17,6 +19,7 @@ def step(x: Column) -> Column:
 def stream(seed: Column | int, n: Column | int) -> Column:
     """array<bigint>: the first n draws."""
     seed = F.lit(seed).cast("long") if isinstance(seed, int) else seed.cast("long")
+    seed = F.when(seed.bitwiseAND(F.lit(MASK)) == 0, F.lit(ZERO_SEED)).otherwise(seed.bitwiseAND(F.lit(MASK)))  # zero would stay zero
     n = F.lit(n) if isinstance(n, int) else n
     empty = F.expr("cast(array() as array<bigint>)")
     fold = F.aggregate(F.sequence(F.lit(1), n), F.struct(seed.alias("x"), empty.alias("out")), lambda acc, _: F.struct(step(acc["x"]).alias("x"), F.concat(acc["out"], F.array(step(acc["x"]))).alias("out")))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulseframe.session import cut
+
 
 def thin(days: Column, window: int) -> Column:
     """array of the days that stay when each must be more than `window` after the last that stayed: a fold over a sorted array."""
@@ -22,7 +24,7 @@ def resolve(events: DataFrame, covers: DataFrame, max_rounds: int = 200) -> Data
     spark = events.sparkSession
     state = events.select("id").distinct().join(covers.select("id").distinct().withColumn("_open", F.lit(True)), "id", "left").select("id", F.when(F.col("_open").isNull(), True).alias("kept"))
     for _ in range(max_rounds):
-        state = _cut(state)
+        state = cut(state)
         if state.where("kept is null").limit(1).count() == 0:
             break
         by = state.select(F.col("id").alias("by"), F.col("kept").alias("by_kept"))
@@ -31,13 +33,3 @@ def resolve(events: DataFrame, covers: DataFrame, max_rounds: int = 200) -> Data
     else:
         raise RuntimeError("declustering didn't end; covering pairs must follow a rank")
     return state
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage that rounds build up, in the folder all executors share."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pulseframe-"))
-    return df.checkpoint()

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulseframe.functions.geo import haversine
+from pulseframe.session import cut
 
 
 def lag_window(events: DataFrame, field: DataFrame, key: list[str], event_day: str, field_day: str, lo: int, hi: int) -> DataFrame:
@@ -42,15 +44,15 @@ def interpolate(grid: DataFrame, points: DataFrame, pos: str, value: str) -> Dat
     return both.withColumn("interpolated", F.coalesce(lerp, a(value), b(value))).drop("_a", "_b").join(grid.select(pos), pos)
 
 
-def near_pairs(a: DataFrame, b: DataFrame, km: float, hours: tuple[int, int], residual: Column | None = None) -> DataFrame:
-    """Pairs of a (id, hour, lat, lon, ..) and b (id2, hour2, lat2, lon2, ..) within km, where hours[0] <= hour2 - hour <= hours[1].
+def near_pairs(a: DataFrame, b: DataFrame, km: float, hours: tuple[int, int] | None, residual: Column | None = None) -> DataFrame:
+    """Pairs of a (id, hour, lat, lon, ..) and b (id2, hour2, lat2, lon2, ..) within km, where hours[0] <= hour2 - hour <= hours[1]; None: at any time.
 
     Cells are as high as the radius and, in each row of cells, as wide as it is at the row's narrowest; rows that
     touch a pole are one cell. a goes to its own cell and its neighbours, in space and time; each pair meets once.
     """
     size = km / 111.0
     rows = math.floor(180 / size) + 1
-    span = max(hours[1] - hours[0], 1)
+    span = max(hours[1] - hours[0], 1) if hours else 1
 
     def cells(row: Column) -> Column:
         """How many cells a row has around the globe."""
@@ -59,18 +61,67 @@ def near_pairs(a: DataFrame, b: DataFrame, km: float, hours: tuple[int, int], re
 
     row_of = lambda lat: F.floor((lat + 90) / size).cast("int")
     col_of = lambda lon, n: F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / (360 / n)), n - 1).cast("int")
-    right = b.withColumn("_r", row_of(F.col("lat2"))).withColumn("_c", col_of(F.col("lon2"), cells(F.col("_r")))).withColumn("_t", F.floor(F.col("hour2") / span))
+    right = b.withColumn("_r", row_of(F.col("lat2"))).withColumn("_c", col_of(F.col("lon2"), cells(F.col("_r")))).withColumn("_t", F.floor(F.col("hour2") / span) if hours else F.lit(0).cast("long"))
     left = a.withColumn("_r", F.explode(F.sequence(F.greatest(row_of(F.col("lat")) - 1, F.lit(0)), F.least(row_of(F.col("lat")) + 1, F.lit(rows)))))
     n = cells(F.col("_r"))
     here = col_of(F.col("lon"), n)
     left = left.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(here + k, n) for k in (-1, 0, 1)]))))
-    lo, hi = F.floor((F.col("hour") + hours[0]) / span), F.floor((F.col("hour") + hours[1]) / span)
-    left = left.withColumn("_t", F.explode(F.sequence(lo, hi)))
-    met = left.join(right, ["_r", "_c", "_t"]).where((F.col("hour2") - F.col("hour")).between(*hours))
+    if hours:
+        lo, hi = F.floor((F.col("hour") + hours[0]) / span), F.floor((F.col("hour") + hours[1]) / span)
+        left = left.withColumn("_t", F.explode(F.sequence(lo, hi)))
+    else:
+        left = left.withColumn("_t", F.lit(0).cast("long"))
+    met = left.join(right, ["_r", "_c", "_t"]).where((F.col("hour2") - F.col("hour")).between(*hours) if hours else F.lit(True))
     met = met.withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).where(F.col("km") <= km)
     return (met.where(residual) if residual is not None else met).drop("_r", "_c", "_t")
 
 
+def covering_pairs(events: DataFrame, km: Callable, days: Callable, residual: Column, step: float = 0.5) -> DataFrame:
+    """near_pairs of events with later ones in windows that grow with the magnitude of the first: km(mag) and days(mag).
+
+    Events are joined by bands of magnitude, each under the largest window of its band, so that the few largest don't
+    widen the search of all; one row of bounds reaches the driver. The windows must not fall within a band by more than at its ends.
+    """
+    ends = events.agg(F.min("mag").alias("lo"), F.max("mag").alias("hi")).first()
+    lo, hi = ends["lo"], ends["hi"]
+    edges = [] if lo is None else [step * k for k in range(math.floor(lo / step), math.floor(hi / step) + 2)]
+    probe = events.sparkSession.createDataFrame([(e, max(e + step - 1e-9, e)) for e in edges[:-1]] or [(0.0, step)], "a double, b double")
+    both = lambda f: F.greatest(f(F.col("a")), f(F.col("b")))
+    bands = [(r["a"], r["b"], r["km"], r["days"]) for r in probe.select("a", "b", both(km).alias("km"), both(days).alias("days")).collect()]
+    own = residual & (F.col("km") <= km(F.col("mag"))) & ((F.col("hour2") - F.col("hour")) <= days(F.col("mag")))
+    out = None
+    for a, b, reach, length in bands:
+        some = events.where((F.col("mag") >= a) & (F.col("mag") <= b))
+        met = near_pairs(some, second(events, ["id", "hour", "lat", "lon", "mag"]), reach, (0, math.ceil(length)), own)
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def kth_neighbour(points: DataFrame, k: int, ring: float) -> DataFrame:
+    """points (x, y, distinct) with width, the distance to the k-th other point; null where there are fewer.
+
+    Cells as wide as the ring are joined with their neighbours. A point is done when k others lie within the ring, as
+    nothing outside can be nearer; the ring doubles for the rest, until it spans all points.
+    """
+    ends = points.agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    span = math.hypot(ends["w"] or 0.0, ends["h"] or 0.0)
+    open_, done = points, None
+    while True:
+        cell = lambda c: F.floor(F.col(c) / ring)  # noqa: B023, E731
+        near = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+        others = points.select(F.col("x").alias("x2"), F.col("y").alias("y2"), cell("x").alias("_r"), cell("y").alias("_c"))
+        met = open_.withColumn("_r", near("x")).withColumn("_c", near("y")).join(others, ["_r", "_c"])
+        d = F.sqrt(F.pow(F.col("x") - F.col("x2"), F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2)))
+        met = met.where((F.col("x") != F.col("x2")) | (F.col("y") != F.col("y2"))).withColumn("width", d).where(F.col("width") <= ring)
+        found = met.withColumn("_i", F.row_number().over(W.partitionBy("x", "y").orderBy("width"))).where(F.col("_i") == k).select("x", "y", "width")
+        found = cut(found)
+        done = found if done is None else done.union(found)
+        open_ = cut(open_.join(found, ["x", "y"], "left_anti"))
+        if ring >= span or open_.limit(1).count() == 0:
+            return points.join(done, ["x", "y"], "left")
+        ring *= 2
+
+
 def second(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns with a 2 behind their names, for the right side of near_pairs."""
     return df.select(*[F.col(c).alias(f"{c}2") for c in columns])

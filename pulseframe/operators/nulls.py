@@ -34,6 +34,12 @@ def season_shift(t: Column, t0: Column, span: Column, years: Column, jitter: Col
     return t0 + F.pmod(t - t0 + F.rint(years * 365.25) + jitter, span)
 
 
+def inject_extreme(df: DataFrame, pool: str, label: str, order: list[Column], chosen: Column) -> DataFrame:
+    """All rows; in the pools that are chosen, the label stands on the first row of the order alone."""
+    first = (F.row_number().over(W.partitionBy(pool).orderBy(*order)) == 1).cast("int")
+    return df.withColumn("_first", first).withColumn(label, F.when(chosen, F.col("_first")).otherwise(F.col(label))).drop("_first")
+
+
 def rotate(df: DataFrame, pos: str, n: Column, k: Column) -> DataFrame:
     return df.withColumn(pos, F.pmod(F.col(pos) + k, n))
 
@@ -50,9 +56,9 @@ def shuffle_labels(df: DataFrame, pool: str, random: Column) -> Column:
     return (F.row_number().over(W.partitionBy(pool).orderBy(random)) == 1).cast("int")
 
 
-def permute_blocks(pos: Column, block: int, n_blocks: int, mult: int) -> Column:
-    """A position after its contiguous block moved: blocks map by multiplication modulo their number, which mult shares no factor with."""
-    return F.pmod(F.floor(pos / block) * mult, F.lit(n_blocks)) * block + F.pmod(pos, F.lit(block))
+def permute_blocks(pos: Column, block: int, n_blocks: Column | int, mult: int, add: int = 0) -> Column:
+    """A position after its contiguous block moved: blocks map by an affine function modulo their number, which mult shares no factor with."""
+    return F.pmod(F.floor(pos / block) * mult + add, n_blocks if isinstance(n_blocks, Column) else F.lit(n_blocks)) * block + F.pmod(pos, F.lit(block))
 
 
 def lcg(*terms: tuple[Column, int], modulus: int = 10007) -> Column:

@@ -11,74 +11,6 @@ from pyspark.sql import functions as F
 
 from pulseframe.shipping import ship
 
-AXES = ["decile_statistic", "auc", "trend", "autocorrelation", "half_gap", "event_rate", "spectral_share", "date_r2", "skew", "thinned_share", "split_gap"]
-
-
-def walk(trees: list[dict], features: Column) -> Column:
-    """The sum of the leaves that an ensemble of flat trees reaches: a fold over trees, each walked by a fold over its depth."""
-    node = lambda i: F.lit(i)
-
-    def literal(t: dict) -> Column:
-        return F.struct(*[F.array(*map(node, t[k])).alias(k) for k in ("feature", "threshold", "left", "right", "value")])
-
-    depth = max(len(t["feature"]) for t in trees)
-
-    def one(t: Column) -> Column:
-        def down(i: Column, _: Column) -> Column:
-            f = F.get(t["feature"], i)
-            return F.when(f < 0, i).when(F.get(features, f) <= F.get(t["threshold"], i), F.get(t["left"], i)).otherwise(F.get(t["right"], i))
-
-        leaf = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), down)
-        return F.get(t["value"], leaf)
-
-    return F.aggregate(F.array(*map(literal, trees)), F.lit(0.0), lambda acc, t: acc + one(t))
-
-
-def fingerprint_of(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """Eleven numbers that tell how a claim was made. Short or constant series give zeros where a number has no meaning."""
-    n = len(x)
-    if n < 16 or np.ptp(x) == 0 or y.sum() in (0, n):
-        return [0.0] * len(AXES)
-    base = y.mean()
-    edges = np.quantile(x, np.linspace(0, 1, 11))
-    bins = np.clip(np.searchsorted(edges, x, "right") - 1, 0, 9)
-    size = np.bincount(bins, minlength=10)
-    rate = np.bincount(bins, y, 10) / np.maximum(size, 1)
-    stat = float(np.max(np.abs(rate[size > 0] - base)) / base)
-    order = np.empty(n)
-    order[np.argsort(x, kind="stable")] = np.arange(1, n + 1)
-    pos = y.sum()
-    auc = float((order[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (n - pos)))
-    t = np.linspace(-1, 1, n)
-    trend = float(np.corrcoef(t, x)[0, 1] ** 2)
-    d = x - x.mean()
-    auto = float((d[1:] * d[:-1]).sum() / (d * d).sum())
-    half = n // 2
-    gap = float(abs(y[:half].mean() - y[half:].mean()) / base)
-    power = np.abs(np.fft.rfft(d[: 1 << (n.bit_length() - 1)]))[1:] ** 2
-    share = float(np.sort(power)[-5:].sum() / max(power.sum(), 1e-12))
-    basis = np.stack([np.ones(n), t, t * t, *[f(2 * np.pi * k * np.arange(n) / 365.25) for k in (1, 2, 3) for f in (np.sin, np.cos)]], 1)
-    fit = basis @ np.linalg.lstsq(basis, x, rcond=None)[0]
-    date = float(1 - ((x - fit) ** 2).sum() / (d * d).sum())
-    skew = float((d**3).mean() / max(x.std() ** 3, 1e-12))
-    kept, last = 0, -10**9
-    for i in np.flatnonzero(y):
-        if i - last > 5:
-            kept, last = kept + 1, i
-    first, second = (float(np.corrcoef(x[s], y[s])[0, 1]) if np.ptp(x[s]) and np.ptp(y[s]) else 0.0 for s in (slice(half), slice(half, None)))
-    return [stat, auc, trend, auto, gap, float(base), share, date, skew, kept / float(pos), abs(first - second)]
-
-
-def fingerprints(series: DataFrame) -> DataFrame:
-    """(claim, axes..) of (claim, pos, x, y): one group for each claim, whose length is that of a daily series."""
-    ship(series.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("pos")
-        return pd.DataFrame([[p["claim"].iloc[0], *fingerprint_of(p["x"].to_numpy(float), p["y"].to_numpy(float))]], columns=["claim", *AXES])
-
-    return series.groupBy("claim").applyInPandas(run, "claim string, " + ", ".join(f"{a} double" for a in AXES))
-
 
 def logistic_gd(df: DataFrame, features: list[str], label: str, steps: int = 200, rate: float = 0.5, ridge: float = 0.01) -> list[float]:
     """Weights (intercept last) of a logistic regression by gradient descent; each step is one aggregation, of which only sums reach the driver."""
@@ -95,7 +27,7 @@ def logistic_gd(df: DataFrame, features: list[str], label: str, steps: int = 200
     return w
 
 
-def gbt_scores(train: DataFrame, test: DataFrame, features: list[str], label: str, iterations: int = 10) -> DataFrame:
+def gbt_scores(train: DataFrame, test: DataFrame, features: list[str], label: str, iterations: int = 20) -> DataFrame:
     """test with score: gradient-boosted trees from MLlib; missing features become the median, with a flag of their own."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
@@ -109,13 +41,22 @@ def gbt_scores(train: DataFrame, test: DataFrame, features: list[str], label: st
     return model.transform(mark(test)).withColumn("score", vector_to_array("probability")[1]).select(*test.columns, "score")
 
 
-def ridge_r2(df: DataFrame, features: list[str], target: str, reg: float = 0.1) -> float:
+def ridge_r2(df: DataFrame, features: list[str], target: str, penalties: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), folds: int = 3) -> tuple[float, float]:
+    """(R2 on the last 30 % of rows by target, penalty): medians for missing values, standard scales, and a ridge whose penalty cross-validation chooses."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
     from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    p = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LinearRegression(labelCol=target, regParam=reg, elasticNetParam=0.0)])
-    return p.fit(df).stages[-1].summary.r2
+    filled = [f"{c}_filled" for c in features]
+    line = LinearRegression(labelCol=target, elasticNetParam=0.0)
+    stages = [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
+    judge = RegressionEvaluator(labelCol=target, metricName="r2")
+    search = CrossValidator(estimator=line, estimatorParamMaps=ParamGridBuilder().addGrid(line.regParam, list(penalties)).build(), evaluator=judge, numFolds=folds, seed=7)
+    cut = df.agg(F.percentile(target, F.lit(0.7)).alias("c")).first()["c"]
+    model = Pipeline(stages=[*stages, search]).fit(df.where(F.col(target) <= cut))
+    return judge.evaluate(model.transform(df.where(F.col(target) > cut))), model.stages[-1].bestModel.getRegParam()
 
 
 def simplex(f, start: list[float], scale: float = 0.2, rounds: int = 80) -> list[float]:
@@ -139,6 +80,63 @@ def simplex(f, start: list[float], scale: float = 0.2, rounds: int = 80) -> list
     return min(pts, key=lambda q: q[0])[1]
 
 
+# Days or hours that an event's influence lasts, and where the search for the five or eight parameters starts.
+ETAS_NAMES = ["mu", "k", "alpha", "c", "p", "d", "gamma", "q"]
+ETAS_START = [0.45, 0.02, 1.4, 0.05, 1.25, 12.0, 0.5, 1.6]
+#: Pairs that a fit takes; more are refused, never cut.
+MOST_PAIRS = 5_000_000
+
+
+def space_kernel(km2: np.ndarray, dm: np.ndarray, d: float, gamma: float, q: float) -> np.ndarray:
+    """A density over the plane that falls with the squared distance, wider for larger events."""
+    w = d * d * 10.0 ** (gamma * dm)
+    return (q - 1) / (np.pi * w) * (1 + km2 / w) ** -q
+
+
+def omori_integral(age0: np.ndarray, age1: np.ndarray, dm: np.ndarray, k: float, alpha: float, c: float, p: float) -> float:
+    """Events that ancestors trigger between two ages each."""
+    part = lambda age: (age + c) ** (1 - p)
+    return float(np.sum(k * np.exp(alpha * dm) * (part(age1) - part(np.maximum(age0, 0.0)))) / (1 - p))
+
+
+def fit_etas(targets: DataFrame, pairs: DataFrame, ancestors: DataFrame, t0: float, t1: float, spatial: bool = False, rounds: int = 2000, start: list[float] | None = None) -> dict[str, float]:
+    """The five parameters of greatest likelihood, or eight with space, of a process in which events trigger others; and ll.
+
+    targets: (id, background), a density over space, 1 without; pairs: (id, dt, dm, km) of each target with the earlier events
+    that reach it; ancestors: (t, dm). The pairs of a fit, bounded by MOST_PAIRS, are held on the driver; a search takes a thousand evaluations.
+    """
+    if pairs.limit(MOST_PAIRS + 1).count() > MOST_PAIRS:
+        raise ValueError("too many pairs for one fit: shorten its period or raise the least magnitude")
+    ids = targets.select("id", "background").toPandas()
+    at = {v: i for i, v in enumerate(ids["id"])}
+    pdf = pairs.select("id", "dt", "dm", "km").toPandas()
+    place, dt, dm, km2 = pdf["id"].map(at).to_numpy(int), pdf["dt"].to_numpy(float), pdf["dm"].to_numpy(float), pdf["km"].to_numpy(float) ** 2
+    old = ancestors.select("t", "dm").toPandas()
+    age0, age1, odm = t0 - old["t"].to_numpy(float), t1 - old["t"].to_numpy(float), old["dm"].to_numpy(float)
+    background = ids["background"].to_numpy(float)
+
+    def loss(theta: list[float]) -> float:
+        par = np.exp(np.clip(theta, -30, 30))
+        mu, k, alpha, c, p = par[:5]
+        p = min(p, 2.6)
+        if p <= 1.01:
+            return 1e12
+        rate = k * np.exp(np.minimum(alpha * dm, 50)) * (dt + c) ** -p
+        if spatial:
+            rate = rate * space_kernel(km2, dm, par[5], par[6], min(max(par[7], 1.05), 4.0))
+        lam = mu * background + np.bincount(place, rate, len(ids))
+        if not np.isfinite(lam).all() or (lam <= 0).any():
+            return 1e12
+        value = mu * (t1 - t0) + omori_integral(age0, age1, odm, k, alpha, c, p) - np.log(lam).sum()
+        return float(value) if np.isfinite(value) else 1e12
+
+    names = ETAS_NAMES if spatial else ETAS_NAMES[:5]
+    best = simplex(loss, [math.log(v) for v in (start or ETAS_START)[: len(names)]], rounds=rounds)
+    out = {n: math.exp(float(v)) for n, v in zip(names, best, strict=True)}
+    out["p"] = min(out["p"], 2.6)
+    return {**out, "ll": -loss(best)}
+
+
 def rate_ll(mu: Column, a: Column, span: float, kernel: str = "k") -> Column:
     """Log-likelihood of a background rate and a productivity: an aggregate over each event's sum of kernels."""
     return F.sum(F.log(mu + a * F.col(kernel))) - mu * span * F.count("*") - a * F.sum(kernel)

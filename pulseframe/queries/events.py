@@ -26,7 +26,7 @@ def haversine_pairs(spark, sf):
 @query(f"WITH {CAT}, {big(0.98)} SELECT a.id AS id, count(*) FILTER (b.id IS NOT NULL) AS n, count(*) FILTER (b.hour < a.hour AND b.hour >= a.hour - 72) AS past FROM big a LEFT JOIN cat b ON a.id <> b.id AND {hav('a', 'b')} <= 500 GROUP BY a.id")
 def radius_neighbours(spark, sf):
     a = large(spark, sf, 0.98)
-    p = joins.near_pairs(a, joins.second(catalog(spark, sf), COLS), 500, (-1000, 1000), F.col("id") != F.col("id2"))
+    p = joins.near_pairs(a, joins.second(catalog(spark, sf), COLS), 500, None, F.col("id") != F.col("id2"))
     past = (F.col("hour2") < F.col("hour")) & (F.col("hour2") >= F.col("hour") - 72)
     c = p.groupBy("id").agg(F.count("*").alias("n"), F.count_if(past).alias("past"))
     return a.select("id").join(c, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("past", F.lit(0)).alias("past"))
@@ -203,19 +203,24 @@ def pool_label_shuffle(spark, sf):
     return s.withColumn("c", lab).where("c = 1").select("id", "hour")
 
 
-@query(f"WITH {SCORED} SELECT DISTINCT arg_max(hour, score * 1000 + hour) OVER (PARTITION BY id) AS hour, id FROM s WHERE id % 4 = 0")
+@query(f"WITH {SCORED}, w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, hour DESC, is_case) AS i FROM s) SELECT id, hour, score, CASE WHEN id % 4 = 0 THEN (i = 1)::INTEGER ELSE is_case END AS is_case FROM w")
 def inject_extreme(spark, sf):
-    s = _pool(spark, sf).withColumn("score", (F.col("hour") * 7919 + F.col("id") * 31) % 1009).where("id % 4 = 0")
-    return s.groupBy("id").agg(F.max_by("hour", F.col("score") * 1000 + F.col("hour")).alias("hour")).select("hour", "id")
+    """All pools; in a quarter of them the case is moved to the row with the highest score."""
+    s = _pool(spark, sf).withColumn("score", (F.col("hour") * 7919 + F.col("id") * 31) % 1009)
+    return nulls.inject_extreme(s, "id", "is_case", [F.desc("score"), F.desc("hour"), F.col("is_case")], F.col("id") % 4 == 0).select("id", "hour", "score", "is_case")
+
 
+SEASON = IND + """, ev AS (SELECT dd FROM ind WHERE y = 1), s AS (SELECT min(dd) AS t0, max(dd) - min(dd) + 1 AS span FROM ev), r AS (SELECT unnest(range(1, 401)) AS replicate)"""
 
-@query(f"WITH {CAT}, {big(0.97)}, s AS (SELECT min(hour) AS t0, max(hour) - min(hour) AS span FROM big), r AS (SELECT unnest([1, 2, 3]) AS replicate) SELECT replicate::INTEGER AS replicate, id, (t0 + (((hour - t0 + replicate * 168 + (id % 31) - 15) % span) + span) % span)::INTEGER AS hour FROM big, s, r")
+
+@query(f"WITH {SEASON} SELECT replicate::INTEGER AS replicate, dd, (t0 + (((dd - t0 + round_even((1 + replicate * 7 % 5) * 365.25::DOUBLE, 0) + (dd * 13 + replicate * 29) % 31 - 15) % span) + span) % span)::INTEGER AS shifted FROM ev, s, r")
 def season_shift(spark, sf):
-    b = large(spark, sf, 0.97)
-    s = b.agg(F.min("hour").alias("t0"), (F.max("hour") - F.min("hour")).alias("span"))
-    x = b.crossJoin(F.broadcast(s)).withColumn("replicate", F.explode(F.array(*map(F.lit, (1, 2, 3)))))  # one row
-    t = F.col("t0") + F.pmod(F.col("hour") - F.col("t0") + F.col("replicate") * 168 + (F.col("id") % 31) - 15, F.col("span"))
-    return x.select("replicate", "id", t.cast("int").alias("hour"))
+    """Event days moved by whole years and a jitter of fifteen days at most, around the span, 400 times."""
+    ev = indicator(spark, sf).where("y = 1").select("dd")
+    s = ev.agg(F.min("dd").alias("t0"), (F.max("dd") - F.min("dd") + 1).alias("span"))
+    x = ev.crossJoin(F.broadcast(s)).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(400))))  # one row
+    years, jitter = 1 + F.col("replicate") * 7 % 5, (F.col("dd") * 13 + F.col("replicate") * 29) % 31 - 15
+    return x.select("replicate", "dd", nulls.season_shift(F.col("dd"), F.col("t0"), F.col("span"), years, jitter).cast("int").alias("shifted"))
 
 
 THIN = IND + """, ev AS (SELECT dd, row_number() OVER (ORDER BY dd) AS i FROM ind WHERE y = 1), k AS (SELECT dd, i FROM ev WHERE i = 1 UNION ALL SELECT e.dd, e.i FROM k JOIN LATERAL (SELECT dd, i FROM ev WHERE ev.dd > k.dd + 5 ORDER BY dd LIMIT 1) e ON true)"""
@@ -237,20 +242,25 @@ def _gk(spark, sf, q: float):
     """Events above a quantile, with the pairs in which a larger (or equal, earlier by id) one covers another."""
     b = large(spark, sf, q).select("id", "hour", "lat", "lon", F.round("mag", 9).alias("mag"))
     first = (F.col("mag") > F.col("mag2")) | ((F.col("mag") == F.col("mag2")) & (F.col("id") < F.col("id2")))
-    near = joins.near_pairs(b, joins.second(b, COLS), 60.0, (0, 200), first & (F.col("km") <= geo.gk_km(F.col("mag"))) & ((F.col("hour2") - F.col("hour")) <= geo.gk_days(F.col("mag"))) & (F.col("id") != F.col("id2")))
+    near = joins.covering_pairs(b, geo.gk_km, geo.gk_days, first & (F.col("id") != F.col("id2")))
     return b, near.select(F.col("id2").alias("id"), F.col("id").alias("by"))
 
 
-@query()
+#: The greedy choice one event at a time, in the order i: an event stays unless one that stayed covers it.
+GREEDY = """, bys AS (SELECT id, list(by_id) AS bys FROM covers GROUP BY id),
+  r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT k + 1, CASE WHEN list_has_any(kept, coalesce(bys, [])) THEN kept ELSE list_append(kept, o.id) END FROM r JOIN ordered o ON o.i = r.k + 1 LEFT JOIN bys ON bys.id = o.id),
+  last AS (SELECT kept FROM r ORDER BY k DESC LIMIT 1) SELECT id, list_contains(kept, id) AS kept FROM ordered, last"""
+
+GKC = f"""{CAT}, big AS (SELECT id, hour, lat, lon, round(mag, 9) AS mag FROM cat WHERE mag >= (SELECT quantile_cont(mag, 0.9) FROM cat)),
+  covers AS (SELECT b.id AS id, a.id AS by_id FROM big a JOIN big b ON a.id <> b.id AND b.hour >= a.hour AND (a.mag > b.mag OR (a.mag = b.mag AND a.id < b.id)) AND {hav('a', 'b')} <= pow(10, 0.1238 * a.mag + 0.983) AND b.hour - a.hour <= CASE WHEN a.mag >= 6.5 THEN pow(10, 0.032 * a.mag + 2.7389) ELSE pow(10, 0.5409 * a.mag - 0.547) END)"""
+
+
+@query(f"WITH RECURSIVE {GKC}, ordered AS (SELECT id, row_number() OVER (ORDER BY mag DESC, id) AS i FROM big){GREEDY}")
 def gk_decluster(spark, sf):
     b, covers = _gk(spark, sf, 0.9)
     return decluster.resolve(b, covers)
 
 
-GKC = f"""{CAT}, big AS (SELECT id, hour, lat, lon, round(mag, 9) AS mag FROM cat WHERE mag >= (SELECT quantile_cont(mag, 0.9) FROM cat)),
-  covers AS (SELECT b.id AS id, a.id AS by_id FROM big a JOIN big b ON a.id <> b.id AND b.hour - a.hour BETWEEN 0 AND 200 AND (a.mag > b.mag OR (a.mag = b.mag AND a.id < b.id)) AND {hav('a', 'b')} <= least(60.0, pow(10, 0.1238 * a.mag + 0.983)) AND b.hour - a.hour <= CASE WHEN a.mag >= 6.5 THEN pow(10, 0.032 * a.mag + 2.7389) ELSE pow(10, 0.5409 * a.mag - 0.547) END)"""
-
-
 @query(f"WITH {GKC} SELECT id, by_id AS by FROM covers")
 def gk_covering_pairs(spark, sf):
     return _gk(spark, sf, 0.9)[1]
@@ -263,7 +273,11 @@ def parent_child(spark, sf):
     return m.groupBy("id").agg(F.max_by("by", F.struct("mag", -F.col("by"))).alias("parent"))
 
 
-@query()
+MARCHITELLI = f"""{CAT}, {big(0.9)}, covers AS (SELECT b.id AS id, a.id AS by_id FROM big a JOIN big b ON a.mag >= b.mag AND (a.hour < b.hour OR (a.hour = b.hour AND a.id < b.id)) AND b.hour - a.hour <= 180 AND {hav('a', 'b')} <= 150),
+  ordered AS (SELECT id, row_number() OVER (ORDER BY hour, id) AS i FROM big)"""
+
+
+@query(f"WITH RECURSIVE {MARCHITELLI}{GREEDY}")
 def marchitelli_decluster(spark, sf):
     """In the order of time, an event goes if a kept one, as large at least, is within 150 km and 180 hours before."""
     b = large(spark, sf, 0.9)

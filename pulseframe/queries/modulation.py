@@ -244,10 +244,19 @@ def rollup_family(spark, sf):
     return joined_bank(spark, sf).rollup("family", "variable").agg(F.count("*").alias("n"), F.sum("y").alias("hits")).select(F.coalesce("family", F.lit("*")).alias("family"), F.coalesce("variable", F.lit("*")).alias("variable"), "n", "hits")
 
 
-@query(f"WITH {BINNED} SELECT dd, (pos * 7919) % 60 AS shifted FROM binned WHERE variable = 'price' AND pos < 60")
+@query(f"WITH {BINNED} SELECT variable, dd, value, (pos + 7919) % count(*) OVER (PARTITION BY variable) AS shifted FROM binned")
 def block_rotation(spark, sf):
-    b = binned_bank(spark, sf).where("variable = 'price' and pos < 60")
-    return b.select("dd", F.pmod(F.col("pos") * 7919, F.lit(60)).alias("shifted"))
+    """Each whole series turned by one offset."""
+    b = binned_bank(spark, sf).withColumn("n", F.count("*").over(W.partitionBy("variable")))
+    return nulls.rotate(b, "pos", F.col("n"), F.lit(7919)).select("variable", "dd", "value", F.col("pos").alias("shifted"))
+
+
+@query(f"WITH {BINNED}, b AS (SELECT variable, dd, pos, (max(pos) OVER (PARTITION BY variable) + 1) // 30 AS blocks FROM binned) SELECT variable, dd, (CASE WHEN pos < blocks * 30 THEN (pos // 30 + 7919) % blocks * 30 + pos % 30 ELSE pos END)::BIGINT AS moved FROM b")
+def block_permutation(spark, sf):
+    """Whole blocks of 30 days moved by an affine map; what is left over at the end stays."""
+    b = binned_bank(spark, sf).withColumn("blocks", F.floor((F.max("pos").over(W.partitionBy("variable")) + 1) / 30))
+    moved = F.when(F.col("pos") < F.col("blocks") * 30, nulls.permute_blocks(F.col("pos"), 30, F.col("blocks"), 1, 7919)).otherwise(F.col("pos"))
+    return b.select("variable", "dd", moved.cast("long").alias("moved"))
 
 
 @query(f"WITH {BINNED}, b AS (SELECT variable, dd, pos, value, pos // 30 AS block, (pos * 7919) % 104729 AS r FROM binned), x AS (SELECT *, row_number() OVER (PARTITION BY variable, block ORDER BY pos) AS i FROM b), z AS (SELECT variable, block, value, row_number() OVER (PARTITION BY variable, block ORDER BY r, pos) AS i FROM b) SELECT x.variable, x.dd, z.value AS permuted FROM x JOIN z USING (variable, block, i)")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulseframe.operators import stats
+from pulseframe.operators import joins, stats
 from pulseframe.sources.testbed import catalog, read
 
 from .base import CAT, query
@@ -97,22 +97,17 @@ def conformal_sets(spark, sf):
     return d.join(q, "label").groupBy("label", "q").agg(F.count_if(F.col("d") <= F.col("q")).alias("covered")).select("label", F.round("q", 6).alias("q"), "covered")
 
 
-@query(f"WITH {CAT}, pl AS (SELECT lat, lon, count(*) AS n FROM cat GROUP BY ALL), p AS (SELECT a.lat, a.lon, sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2)) AS d, row_number() OVER (PARTITION BY a.lat, a.lon ORDER BY sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2))) AS i FROM pl a JOIN pl b ON abs(a.lat - b.lat) <= 40 AND abs(a.lon - b.lon) <= 40) SELECT lat, lon, round(d, 6) AS width FROM p WHERE i = 9")
+@query(f"WITH {CAT}, pl AS (SELECT DISTINCT lat, lon FROM cat), p AS (SELECT a.lat, a.lon, sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2)) AS d, row_number() OVER (PARTITION BY a.lat, a.lon ORDER BY sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2))) AS i FROM pl a JOIN pl b ON a.lat <> b.lat OR a.lon <> b.lon) SELECT pl.lat, pl.lon, round(d, 6) AS width FROM pl LEFT JOIN p ON p.lat = pl.lat AND p.lon = pl.lon AND i = 8")
 def knn_bandwidth(spark, sf):
-    """Distance to the eighth neighbour within 40 degrees, by an equi-join on cells of that size."""
-    pl = catalog(spark, sf).select("lat", "lon").distinct()
-    b = pl.select(F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.floor(F.col("lat") / 40).alias("r"), F.floor(F.col("lon") / 40).alias("c"))
-    near = lambda x: F.explode(F.sequence(F.floor(F.col(x) / 40) - 1, F.floor(F.col(x) / 40) + 1))
-    a = pl.withColumn("r", near("lat")).withColumn("c", near("lon"))
-    p = a.join(b, ["r", "c"]).where((F.abs(F.col("lat") - F.col("lat2")) <= 40) & (F.abs(F.col("lon") - F.col("lon2")) <= 40))
-    p = p.withColumn("d", F.sqrt(F.pow(F.col("lat") - F.col("lat2"), F.lit(2)) + F.pow(F.col("lon") - F.col("lon2"), F.lit(2))))
-    return p.withColumn("i", F.row_number().over(W.partitionBy("lat", "lon").orderBy("d"))).where("i = 9").select("lat", "lon", F.round("d", 6).alias("width"))
+    """Distance to the eighth neighbour; null where there are fewer."""
+    pl = catalog(spark, sf).select(F.col("lat").alias("x"), F.col("lon").alias("y")).distinct()
+    return joins.kth_neighbour(pl, 8, 20.0).select(F.col("x").alias("lat"), F.col("y").alias("lon"), F.round("width", 6).alias("width"))
 
 
-@query("SELECT 'event' AS kind, event_id AS id, value, NULL::VARCHAR AS note FROM events WHERE event_id < 100 UNION ALL SELECT 'order', o_orderkey, NULL, o_orderpriority FROM orders WHERE o_orderkey < 100")
+@query("SELECT 'event' AS kind, event_id AS id, value, NULL::VARCHAR AS note FROM events UNION ALL SELECT 'order', o_orderkey, NULL, o_orderpriority FROM orders")
 def union_by_name(spark, sf):
-    a = read(spark, sf, "events").where("event_id < 100").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), "value")
-    b = read(spark, sf, "orders").where("o_orderkey < 100").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("note"))
+    a = read(spark, sf, "events").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), "value")
+    b = read(spark, sf, "orders").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("note"))
     return a.unionByName(b, allowMissingColumns=True)
 
 

@@ -163,17 +163,17 @@ def trend_r2(spark, sf):
     return daily(spark, sf).agg(F.round(F.regr_r2("mx", "dd"), 9).alias("r2"), F.round(F.regr_slope("mx", "dd"), 6).alias("slope"))
 
 
-@query(f"""WITH {DENSE}, s AS (SELECT (dd - (SELECT lo FROM span))::INTEGER AS t, coalesce(cnt, 0)::DOUBLE AS v FROM dense QUALIFY row_number() OVER (ORDER BY dd) <= 512),
-  f AS (SELECT k, pow(sum(v * cos(2 * pi() * k * t / 512)), 2) + pow(sum(v * sin(2 * pi() * k * t / 512)), 2) AS p FROM s, (SELECT unnest(range(1, 257)) AS k) GROUP BY k),
+@query(f"""WITH {DENSE}, z AS (SELECT pow(2, floor(log2(count(*))))::BIGINT AS n FROM dense), s AS (SELECT (dd - (SELECT lo FROM span))::INTEGER AS t, coalesce(cnt, 0)::DOUBLE AS v, n FROM dense, z WHERE dd - (SELECT lo FROM span) < n),
+  f AS (SELECT k, pow(sum(v * cos(2 * pi() * ((k * t) % n) / n)), 2) + pow(sum(v * sin(2 * pi() * ((k * t) % n) / n)), 2) AS p FROM s, (SELECT unnest(range(1, (SELECT n FROM z) // 2 + 1)) AS k) GROUP BY k),
   r AS (SELECT p, row_number() OVER (ORDER BY p DESC) AS i, sum(p) OVER () AS t FROM f) SELECT round(sum(p) FILTER (i <= 5) / max(t), 6) AS share FROM r""")
 def spectral_top5(spark, sf):
     d = dense(spark, sf)
-    lo = d.agg(F.min("dd").alias("lo"))
-    s = d.crossJoin(F.broadcast(lo)).select((F.col("dd") - F.col("lo")).alias("t"), F.coalesce("cnt", F.lit(0)).cast("double").alias("v")).where("t < 512")
-    k = s.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(256))))
-    angle = 2 * F.pi() * F.col("k") * F.col("t") / 512
+    ends = d.agg(F.min("dd").alias("lo"), F.pow(F.lit(2.0), F.floor(F.log2(F.count("*").cast("double")))).cast("long").alias("n"))  # the largest power of two that the series holds
+    s = d.crossJoin(F.broadcast(ends)).select((F.col("dd") - F.col("lo")).cast("long").alias("t"), "n", F.coalesce("cnt", F.lit(0)).cast("double").alias("v")).where("t < n")
+    k = s.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("n div 2"))))
+    angle = 2 * F.pi() * ((F.col("k") * F.col("t")) % F.col("n")) / F.col("n")
     p = k.groupBy("k").agg((F.pow(F.sum(F.col("v") * F.cos(angle)), 2) + F.pow(F.sum(F.col("v") * F.sin(angle)), 2)).alias("p"))
-    top = p.select("p", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("p"))).alias("i"))  # 256 rows
+    top = p.select("p", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("p"))).alias("i"))  # half as many rows as days
     return top.agg(F.round(F.sum(F.when(F.col("i") <= 5, F.col("p"))) / F.sum("p"), 6).alias("share"))
 
 

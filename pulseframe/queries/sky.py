@@ -90,13 +90,13 @@ def planet_sql() -> str:
     parts = []
     for name, (a, e, lon, peri, rate) in astro.PLANETS.items():
         m = f"radians({wrap(f'{n(lon)} + {n(rate)} * t - {n(peri)}')})"
-        parts.append(f"SELECT dd, '{name}' AS planet, list_reduce(list_prepend({m}, list_transform(range(12), lambda i: {m})), lambda acc, mm: acc - (acc - {n(e)} * sin(acc) - mm) / (1 - {n(e)} * cos(acc))) AS big, {n(a)} AS a, {n(e)} AS e, {n(peri)} AS peri FROM d WHERE dd % 10 = 0")
+        parts.append(f"SELECT dd, '{name}' AS planet, list_reduce(list_prepend({m}, list_transform(range(12), lambda i: {m})), lambda acc, mm: acc - (acc - {n(e)} * sin(acc) - mm) / (1 - {n(e)} * cos(acc))) AS big, {n(a)} AS a, {n(e)} AS e, {n(peri)} AS peri FROM d")
     xy = "SELECT dd, planet, a * (cos(big) - e) AS x, a * sqrt(1 - e * e) * sin(big) AS y, peri FROM k"
     return f"k AS ({' UNION ALL '.join(parts)}), xy AS ({xy}), pl AS (SELECT dd, planet, {wrap('degrees(atan2(y, x)) + peri')} AS lon, sqrt(x * x + y * y) AS r FROM xy)"
 
 
 def planets(spark, sf):
-    d = days(spark, sf).where("dd % 10 = 0")
+    d = days(spark, sf)
     rows = F.array(*[F.struct(F.lit(p).alias("planet"), lon.alias("lon"), r.alias("r")) for p in astro.PLANETS for lon, r in [astro.heliocentric(p, F.col("jd"))]])
     return d.select("dd", F.inline(rows))
 
@@ -173,8 +173,3 @@ def tide_arguments(spark, sf):
 @query(f"WITH {CAT} SELECT id, round(pow(10, 0.1238 * mag + 0.983), 4) AS km, round(CASE WHEN mag >= 6.5 THEN pow(10, 0.032 * mag + 2.7389) ELSE pow(10, 0.5409 * mag - 0.547) END, 4) AS days FROM cat")
 def gk_windows(spark, sf):
     return catalog(spark, sf).select("id", F.round(geo.gk_km(F.col("mag")), 4).alias("km"), F.round(geo.gk_days(F.col("mag")), 4).alias("days"))
-
-
-@query(f"WITH {CAT} SELECT id, round(sqrt(pow(lat, 2) + 100) / 3.5 - sqrt(pow(lat, 2) + 100) / 6.5 - 5, 6) AS seconds FROM cat")
-def warning_seconds(spark, sf):
-    return catalog(spark, sf).select("id", F.round(geo.warning_seconds(F.col("lat")), 6).alias("seconds"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(app: str = "pulseframe", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -23,3 +26,22 @@ def build(app: str = "pulseframe", master: str | None = None, shuffle_partitions
     for k, v in {**settings, **conf}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset and all tasks run on this machine."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
+        named = tempfile.mkdtemp(prefix="pulseframe-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage that rounds build up, in the folder all executors share."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

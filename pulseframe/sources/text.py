@@ -32,27 +32,27 @@ def read_whitespace(spark: SparkSession, path: str, fields: dict[str, tuple[int,
     return whitespace(spark.read.text(path), "value", fields)
 
 
-def quakes_csv(spark: SparkSession, path: str, minmag: float, maxdepth: float) -> DataFrame:
-    """(ts, mag, lat, lon, depth, place) of earthquakes in a CSV with a header."""
+def quakes_csv(spark: SparkSession, path: str, minmag: float, maxdepth: float, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """(ts, mag, lat, lon, depth, place) of earthquakes in a CSV with a header; box: least and greatest latitude and longitude."""
     names = ["time", "latitude", "longitude", "depth", "mag", "type", "place"]
     raw = spark.read.csv(path, header=True, quote='"', inferSchema=False, enforceSchema=False)
     raw = raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in names])
     ts = F.try_to_timestamp(F.substring("time", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz")
     d = lambda c: F.col(c).try_cast("double")
     out = raw.where(F.coalesce("type", F.lit("earthquake")) == "earthquake").select(ts.alias("ts"), d("mag").alias("mag"), d("latitude").alias("lat"), d("longitude").alias("lon"), d("depth").alias("depth"), "place")
-    return _required(out, ["ts", "mag", "lat", "lon", "depth"]).where((F.col("mag") >= minmag) & (F.col("depth") <= maxdepth))
+    out = _required(out, ["ts", "mag", "lat", "lon", "depth"]).where((F.col("mag") >= minmag) & (F.col("depth") <= maxdepth))
+    return out.where(F.col("lat").between(*box[:2]) & F.col("lon").between(*box[2:])) if box else out
 
 
 def ndk(spark: SparkSession, path: str) -> DataFrame:
     """Moment tensors in records of five lines: (ts, lat, lon, depth, mw, plane1, plane2, region).
 
-    Files are read whole, since lines of a record must stay together; a file is one catalogue's month or era.
+    Records are found by their third line, so that one that lacks a line spoils none of the others. Files are read whole, since lines of a record must stay together; a file is one catalogue's month or era.
     """
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("lines"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("lines") - 5, F.lit(0)), F.lit(5))
-    rec = whole.where(F.size("lines") >= 5).select("file", F.explode(F.transform(starts, lambda i: F.slice("lines", i + 1, 5))).alias("r"))
+    third = F.filter(F.transform("lines", lambda x, i: F.when(F.startswith(x, F.lit("CENTROID")) & (i >= 2) & (i + 2 < F.size("lines")), i)), lambda i: i.isNotNull())
+    rec = whole.select("file", F.explode(F.transform(third, lambda i: F.slice("lines", i - 1, 5))).alias("r"))
     line = lambda i: F.get("r", F.lit(i))
-    rec = rec.where(F.startswith(line(2), F.lit("CENTROID")))
     c = F.split(F.trim(F.replace(line(2), F.lit("CENTROID:"), F.lit(" "))), r"\s+")
     p = F.split(F.trim(F.substring(line(4), 4, 200)), r"\s+")
     num = lambda a, i: F.get(a, F.lit(i)).try_cast("double")
@@ -61,7 +61,7 @@ def ndk(spark: SparkSession, path: str) -> DataFrame:
     exponent = F.substring(line(3), 1, 2).try_cast("int")
     mw = magnitude_from_moment(num(p, 9) * F.pow(F.lit(10.0), exponent.cast("double")))
     plane = lambda i: F.struct(num(p, i).alias("strike"), num(p, i + 1).alias("dip"), num(p, i + 2).alias("rake"))
-    out = rec.select(ts.alias("ts"), num(c, 2).alias("lat"), num(c, 4).alias("lon"), num(c, 6).alias("depth"), mw.alias("mw"), plane(10).alias("plane1"), plane(13).alias("plane2"), F.trim(F.substring(line(0), 57, 100)).alias("region"))
+    out = rec.where(num(p, 9) > 0).select(ts.alias("ts"), num(c, 2).alias("lat"), num(c, 4).alias("lon"), num(c, 6).alias("depth"), mw.alias("mw"), plane(10).alias("plane1"), plane(13).alias("plane2"), F.trim(F.substring(line(0), 57, 100)).alias("region"))
     return _required(out, ["ts", "lat", "lon", "depth", "mw"])
 
 
@@ -72,14 +72,6 @@ def fault_plane(which: str = "shallow") -> Column:
     return F.when(F.col("plane1.dip") <= F.col("plane2.dip"), F.col("plane1")).otherwise(F.col("plane2"))
 
 
-def ionex_map(text: Column, missing: str = "skip") -> Column:
-    """array<struct<i, tec>> of a block of five-character integers in tenths; 9999 is missing: skipped, or counted as zero."""
-    values = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length(text) / 5) - 1, F.lit(0))), lambda i: F.struct(i.cast("int").alias("i"), F.trim(F.substr(text, (i * 5 + 1).cast("int"), F.lit(5))).try_cast("int").alias("v")))
-    if missing == "zero":
-        return F.transform(values, lambda s: F.struct(s["i"].alias("i"), F.when(s["v"] == 9999, 0.0).otherwise(s["v"] / 10).alias("tec")))
-    return F.transform(F.filter(values, lambda s: s["v"].isNotNull() & (s["v"] != 9999)), lambda s: F.struct(s["i"].alias("i"), (s["v"] / 10).alias("tec")))
-
-
 def tide_grid(amplitude: DataFrame, phase: DataFrame, undefined: float) -> DataFrame:
     """(i, j, re, im) in metres of grids (i, j, v) of centimetres and degrees; nodes undefined in either are left out."""
     a = amplitude.where(F.col("v") != undefined).select("i", "j", (F.col("v") / 100).alias("a"))
@@ -94,23 +86,3 @@ def bilinear(points: DataFrame, grid: DataFrame, dx: float) -> DataFrame:
     four = points.select("id", F.inline(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)])))
     met = four.join(grid, ["i", "j"]).where("w > 0")
     return met.groupBy("id").agg((F.sum(F.col("w") * F.col("re")) / F.sum("w")).alias("re"), (F.sum(F.col("w") * F.col("im")) / F.sum("w")).alias("im"))
-
-
-def phase_records(text: Column) -> Column:
-    """array<struct<name, days, dir>> of lines such as "3.5 days after New Moon"."""
-    found = F.regexp_extract_all(text, F.lit(r"([0-9.]+) days (?:before|after) [A-Z][A-Za-z ]*"), F.lit(0))
-    part = lambda s, k: F.regexp_extract(s, r"([0-9.]+) days (before|after) ([A-Z][A-Za-z ]*)", k)
-    return F.transform(found, lambda s: F.struct(F.trim(part(s, 3)).alias("name"), part(s, 1).try_cast("double").alias("days"), part(s, 2).alias("dir")))
-
-
-def publish(df: DataFrame, path: str, check) -> None:
-    """Writes to a staging path, checks what was written, and only then replaces the table; a failed check leaves it as it was."""
-    spark = df.sparkSession
-    stage = f"{path}.staged"
-    df.write.mode("overwrite").parquet(stage)
-    if not check(spark.read.parquet(stage)):
-        raise ValueError("the staged table failed its check")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(fs_path(path), True)
-    fs.rename(fs_path(stage), fs_path(path))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseframe.session import shared_folder
 from pulseframe.shipping import ship
 
 
@@ -72,8 +72,7 @@ def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
     nothing; in complete mode the last batch is the result.
     """
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pulseframe-")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     done: dict[int, str] = {}
 
     def put(batch: DataFrame, epoch: int) -> None:
