@@ -42,13 +42,13 @@ def positions(binned: DataFrame) -> int:
     return binned.agg(F.max("pos")).first()[0] + 1
 
 
-def shift_table(spark: SparkSession, n: int, replicates: int = 20, seed: int = SHIFT_SEED) -> DataFrame:
+def shift_table(spark: SparkSession, n: int, replicates: int = 400, seed: int = SHIFT_SEED) -> DataFrame:
     """(replicate, shift): shifts of 1 .. n - 1 from the portable generator."""
     draws = spark.range(1).select(F.posexplode(stream(seed, replicates)).alias("i", "x"))
     return draws.select((F.col("i") + 1).alias("replicate"), (1 + F.floor(uniform(F.col("x")) * (n - 1))).cast("long").alias("shift"))
 
 
-def modulation_test(spark: SparkSession, sf_dir: str, replicates: int = 20) -> DataFrame:
+def modulation_test(spark: SparkSession, sf_dir: str, replicates: int = 400) -> DataFrame:
     """(family, variable, stat, p, family_p): the statistic of each variable, its own p and its family's, by maxima over replicates."""
     b = binned_bank(spark, sf_dir).cache()
     n = positions(b)

@@ -72,22 +72,29 @@ def etas_grid_ll(spark, sf):
 
 @query()
 def etas_mle(spark, sf):
-    """Background and productivity of greatest likelihood, by a simplex over their logarithms."""
+    """Background and productivity of greatest likelihood, by a simplex over their logarithms, each step an aggregation; then all five parameters in time, and all eight in time and space."""
     mu, a, ll = audit.fit_rates(_rates(spark, sf), 720, rounds=25)
-    return spark.createDataFrame([(round(mu, 6), round(a, 6), round(ll, 4))], "mu double, a double, ll double")
+    b = large(spark, sf, 0.97)
+    pairs = joins.near_pairs(b, joins.second(b, COLS), 1000, (1, 120)).select(F.col("id2").alias("id"), (F.col("hour2") - F.col("hour")).alias("dt"), (F.col("mag") - 6.0).alias("dm"), "km")
+    targets = b.select("id", F.lit(1.0).alias("background"))
+    ancestors = b.select(F.col("hour").alias("t"), (F.col("mag") - 6.0).alias("dm"))
+    rows = [("two", "mu", mu), ("two", "a", a), ("two", "ll", ll)]
+    for name, spatial in (("five", False), ("eight", True)):
+        rows += [(name, k, v) for k, v in audit.fit_etas(targets, pairs, ancestors, 0.0, 720.0, spatial, start=[0.1, 0.01, 1.0, 0.5, 1.25, 100.0, 0.5, 1.6]).items()]
+    return spark.createDataFrame([(m, k, round(float(v), 4)) for m, k, v in rows], "model string, parameter string, value double")
 
 
 SPLIT = "((vec_id * 7919 + s * 104729) % 100003) % 10 < 3"
 
 
-@query(f"""WITH v AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT unnest(range(1, 6))::INTEGER AS s),
+@query(f"""WITH v AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT unnest(range(1, 61))::INTEGER AS s),
   m AS (SELECT s, label, i, avg(x) AS mu FROM v, s WHERE NOT ({SPLIT}) GROUP BY ALL),
   d AS (SELECT v.vec_id, v.label, m.s, m.label AS said, round(sum(pow(x - mu, 2)), 9) AS d FROM v JOIN m ON v.i = m.i WHERE {SPLIT.replace('s *', 'm.s *')} GROUP BY ALL),
   b AS (SELECT *, row_number() OVER (PARTITION BY s, vec_id ORDER BY d, said) AS place FROM d)
   SELECT s AS split, count(*) AS n, round(avg((said = label)::INT), 9) AS accuracy FROM b WHERE place = 1 GROUP BY s""")
 def repeated_splits(spark, sf):
     """Held-out accuracy of the nearest centroid over repeated splits."""
-    return audit.centroid_splits(read(spark, sf, "embeddings"), "vec_id", "embedding", "label", 5)
+    return audit.centroid_splits(read(spark, sf, "embeddings"), "vec_id", "embedding", "label", 60)
 
 
 @query("""WITH RECURSIVE a AS (SELECT unnest(range(0, 3))::INTEGER AS series, 0::INTEGER AS t, 0::DOUBLE AS x
@@ -131,11 +138,11 @@ def forest_classes(spark, sf):
 
 @query()
 def lagged_network(spark, sf):
-    """Scores of a feed-forward network over the last five days of the bank; the last 30 % of days are held out."""
+    """Scores of a feed-forward network over the last thirty days of the bank; the last 30 % of days are held out."""
     names = ["price", "discount", "quantity", "season"]
     wide = joined_bank(spark, sf).groupBy("dd").pivot("variable", names).agg(F.first("value")).join(joined_bank(spark, sf).select("dd", "y").distinct(), "dd")
     w = W.orderBy("dd")  # a calendar bounds the rows
-    lagged = wide.select("dd", "y", *[F.lag(c, k).over(w).alias(f"{c}_{k}") for c in names for k in range(1, 6)], F.percent_rank().over(w).alias("share")).na.drop()
-    return audit.network_scores(lagged.where("share < 0.7"), lagged.where("share >= 0.7"), [f"{c}_{k}" for c in names for k in range(1, 6)], "y").select("dd", "y", F.round("score", 6).alias("score"))
+    lagged = wide.select("dd", "y", *[F.lag(c, k).over(w).alias(f"{c}_{k}") for c in names for k in range(1, 31)], F.percent_rank().over(w).alias("share")).na.drop()
+    return audit.network_scores(lagged.where("share < 0.7"), lagged.where("share >= 0.7"), [f"{c}_{k}" for c in names for k in range(1, 31)], "y").select("dd", "y", F.round("score", 6).alias("score"))
 
 

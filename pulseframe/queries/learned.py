@@ -2,42 +2,134 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
-from pulseframe.plans import audit
+from pulseframe.plans import audit, boosting, claims
 from pulseframe.plans.modulation import joined_bank
-from pulseframe.sources.testbed import read
+from pulseframe.session import shared_folder
+from pulseframe.shipping import ship
+from pulseframe.sources import files
+from pulseframe.sources.testbed import indicator
 from pulseframe.streaming import counterparts as st
 
-from .base import query
+from .base import BANK, EDGES, IND, query
 from .scores import scored
 
 
+def claims_of(spark, sf):
+    return joined_bank(spark, sf).select(F.col("variable").alias("claim"), F.col("dd").alias("pos"), F.col("value").alias("x"), "y")
+
+
 @query()
 def fingerprint_vector(spark, sf):
-    s = joined_bank(spark, sf).select(F.col("variable").alias("claim"), F.col("dd").alias("pos"), F.col("value").alias("x"), "y")
-    f = audit.fingerprints(s)
-    return f.select("claim", *[F.round(a, 6).alias(a) for a in audit.AXES])
+    """All sixteen axes; fingerprint_axes has SQL for those that it can express."""
+    f = claims.fingerprints(claims_of(spark, sf))
+    return f.select("claim", *[F.round(a, 6).alias(a) for a in claims.AXES])
+
+
+@query(f"""WITH {IND}, {BANK}, j AS (SELECT b.variable AS claim, b.value AS x, i.y::DOUBLE AS y, row_number() OVER (PARTITION BY b.variable ORDER BY b.dd) - 1 AS t, count(*) OVER (PARTITION BY b.variable) AS n FROM bank b JOIN ind i ON b.dd = i.dd),
+  h AS (SELECT claim, 0 AS part, x, y FROM j UNION ALL SELECT claim, CASE WHEN t < n // 2 THEN 1 ELSE 2 END, x, y FROM j), e AS (SELECT claim, part, quantile_cont(x, {EDGES}) AS e, avg(y) AS base FROM h GROUP BY ALL),
+  r AS (SELECT h.claim, h.part, e.base, greatest(least(len(list_filter(e.e[1:10], lambda v: v <= h.x)) - 1, 9), 0) AS bin, avg(y) AS rate FROM h JOIN e ON h.claim = e.claim AND h.part = e.part GROUP BY ALL),
+  s AS (SELECT claim, part, max(abs(rate - base)) / any_value(base) AS stat FROM r GROUP BY ALL), w AS (SELECT claim, max(stat) FILTER (part = 0) AS stat, abs(max(stat) FILTER (part = 1) - max(stat) FILTER (part = 2)) / (max(stat) FILTER (part = 1) + max(stat) FILTER (part = 2)) AS half_gap FROM s GROUP BY claim),
+  m AS (SELECT claim, avg(x) AS mu, regr_r2(x, t) AS trend_x FROM j GROUP BY claim), l AS (SELECT j.claim, x - mu AS d, lag(x - mu) OVER (PARTITION BY j.claim ORDER BY t) AS p FROM j JOIN m ON j.claim = m.claim),
+  a AS (SELECT claim, sum(d * p) / sum(d * d) AS ac1 FROM l GROUP BY claim) SELECT claim, round(stat, 6) AS stat, round(half_gap, 6) AS half_gap, round(ac1, 6) AS ac1, round(trend_x, 6) AS trend_x FROM w JOIN m USING (claim) JOIN a USING (claim)""")
+def fingerprint_axes(spark, sf):
+    """The axes that SQL expresses, from the fingerprint itself."""
+    f = claims.fingerprints(claims_of(spark, sf), calibrate=False)
+    return f.select("claim", *[F.round(a, 6).alias(a) for a in ("stat", "half_gap", "ac1", "trend_x")])
+
+
+@query()
+def claim_examples(spark, sf):
+    """Claims of seven kinds made on the indicator's grid, with their axes."""
+    base = indicator(spark, sf).select("dd", "y").orderBy("dd").toPandas()  # one series of days
+    out = claims.examples(spark, base["y"].to_numpy(float), None, 6)
+    return out.select("kind", "index", *[F.round(a, 6).alias(a) for a in claims.AXES])
+
+
+@query()
+def claim_attribution(spark, sf):
+    """The kind of each held-out claim: boosted trees for seven classes, prediction sets per class, and abstention far out."""
+    import numpy as np
+
+    base = indicator(spark, sf).select("dd", "y").orderBy("dd").toPandas()
+    rows = claims.examples(spark, base["y"].to_numpy(float), None, 30).toPandas().sort_values(["kind", "index"])
+    keep = [a for a in claims.AXES if np.isfinite(rows[a]).mean() > 0.5 and np.nanstd(rows[a]) > 0]
+    x, kinds, turn = rows[keep].to_numpy(float), rows["kind"].tolist(), rows["index"].to_numpy() % 20
+    fit, cal, test = turn < 9, (turn >= 9) & (turn < 16), turn >= 16
+    pick = lambda m: [k for k, v in zip(kinds, m, strict=True) if v]
+    bundle = boosting.fit(x[fit], np.array(pick(fit)), boosting.SMALL)
+    p = boosting.predict(bundle, x)
+    q = claims.class_quantiles(p[cal], pick(cal), bundle["classes"], {"REAL": 0.01})
+    mu = np.nanmean(x[fit], 0)
+    z = np.where(np.isfinite(x), x, mu) - mu
+    inverse = np.linalg.pinv(np.cov(z[fit].T) + np.eye(len(keep)) * 1e-6)
+    far = np.sqrt(np.einsum("ni,ij,nj->n", z, inverse, z))
+    sets = claims.prediction_sets(p[test], q, bundle["classes"], far[test] > np.percentile(far[fit], 99))
+    at = np.flatnonzero(test)
+    return spark.createDataFrame([(kinds[i], int(rows["index"].iloc[i]), bundle["classes"][int(p[i].argmax())], s, round(float(p[i].max()), 6)) for i, s in zip(at, sets, strict=True)], "kind string, index int, said string, kinds array<string>, probability double")
+
+
+@query("SELECT doc_id, true AS agrees FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id)")
+def exported_trees(spark, sf):
+    """A fitted ensemble, exported and walked as an expression; rows agree with the fitted model's own probabilities to 1e-9, or the export is refused."""
+    import numpy as np
+
+    docs = scored(spark, sf).select("doc_id", F.col("n_chars").cast("double").alias("a"), F.when(F.col("doc_id") % 7 != 0, F.log1p("n_chars")).alias("b"), "y")
+    some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(4000).toPandas()  # the rows that a fit takes
+    bundle = boosting.fit(some[["a", "b"]].to_numpy(float), some["y"].to_numpy(int), boosting.Settings(rounds=40))
+    mine = docs.select("doc_id", "a", "b", F.get(boosting.softmax(boosting.scores(bundle, F.array("a", "b"))), F.lit(1)).alias("p"))
+
+    def compare(batches):
+        for b in batches:
+            p = boosting.predict(bundle, b[["a", "b"]].to_numpy(float))[:, 1]
+            yield b[["doc_id"]].assign(agrees=np.abs(p - b["p"].to_numpy(float)) <= 1e-9)
+
+    ship(spark)
+    checked = mine.mapInPandas(compare, "doc_id long, agrees boolean")
+    files.write_json_if(spark.createDataFrame([(json.dumps(bundle),)], "bundle string"), f"{shared_folder(spark).rstrip('/')}/model-{uuid.uuid4().hex}", lambda _: checked.where("not agrees").limit(1).count() == 0)
+    return checked
 
 
 @query()
 def gbt_scores(spark, sf):
-    s = scored(spark, sf).select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.log1p("n_chars").alias("log_chars"), F.col("y").cast("double").alias("y"))
-    out = audit.gbt_scores(s.where("doc_id % 5 <> 0"), s.where("doc_id % 5 = 0"), ["n_chars", "log_chars"], "y")
-    return out.select("doc_id", "y", F.round("score", 6).alias("score"))
+    """Three hundred rounds of boosted trees on a bounded sample, scored as an expression over all held-out rows."""
+    s = scored(spark, sf).select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.log1p("n_chars").alias("log_chars"), F.col("y").cast("int").alias("y"))
+    some = s.where("doc_id % 5 <> 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(5000).toPandas()  # the rows that a fit takes
+    bundle = boosting.fit(some[["n_chars", "log_chars"]].to_numpy(float), some["y"].to_numpy(), boosting.Settings())
+    out = s.where("doc_id % 5 = 0")
+    p = F.get(boosting.softmax(boosting.scores(bundle, F.array("n_chars", "log_chars"))), F.lit(1))
+    return out.select("doc_id", F.col("y").cast("double").alias("y"), F.round(p, 6).alias("score"))
 
 
 @query()
 def logistic_gd(spark, sf):
-    w = audit.logistic_gd(scored(spark, sf).withColumn("log_chars", F.log1p("n_chars")), ["n_chars", "log_chars"], "y", steps=30)
+    w = audit.logistic_gd(scored(spark, sf).withColumn("log_chars", F.log1p("n_chars")), ["n_chars", "log_chars"], "y")
     return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(w)], "i int, weight double")
 
 
 @query()
 def ridge_date(spark, sf):
-    w = joined_bank(spark, sf).groupBy("dd").pivot("variable", ["price", "discount", "quantity", "season"]).agg(F.first("value")).na.drop()
-    r2 = audit.ridge_r2(w.withColumn("t", F.col("dd").cast("double")), ["price", "discount", "quantity", "season"], "t")
-    return spark.createDataFrame([(round(float(r2), 6),)], "r2 double")
+    """The date from the bank: R2 on later days, with missing values filled and the penalty chosen by cross-validation."""
+    w = joined_bank(spark, sf).groupBy("dd").pivot("variable", ["price", "discount", "quantity", "season"]).agg(F.first("value"))
+    r2, penalty = audit.ridge_r2(w.withColumn("t", F.col("dd").cast("double")), ["price", "discount", "quantity", "season"], "t")
+    return spark.createDataFrame([(round(float(r2), 6), float(penalty))], "r2 double, penalty double")
+
+
+@query("WITH d AS (SELECT DISTINCT (epoch_us(ts) // 86400000000)::BIGINT AS day FROM events), c AS (SELECT (epoch_us(ts) // 86400000000)::BIGINT AS day, count(*) AS n, sum(value) AS v FROM events GROUP BY 1) SELECT d.day, sum(c.n)::BIGINT AS n, round(sum(c.v * exp(-(d.day - c.day) / 10.0::DOUBLE)), 4) AS rate FROM d JOIN c ON c.day BETWEEN d.day - 499 AND d.day GROUP BY d.day")
+def streaming_live_index(spark, sf):
+    """A day's index over the 500 days before it, from a stream of events: each batch brings its days' sums up to date, and late ones too."""
+    return st.live_index(st.source(spark, sf, "events"), 500, 10.0).select("day", "n", F.round("rate", 4).alias("rate"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def streaming_upsert(spark, sf):
+    """The last event of each user from a stream that brings every event twice, kept by an upsert that nothing repeated changes."""
+    e = st.source(spark, sf, "events").select("ts", "event_id", "user_id")
+    return st.upserted(e.unionByName(st.source(spark, sf, "events").select("ts", "event_id", "user_id")), ["user_id"], "event_id").select("user_id", "event_id")
 
 
 @query("SELECT (epoch_us(ts) // 10800000000)::BIGINT AS slot, max(value) AS top, count(*) AS n FROM events GROUP BY 1")

@@ -19,7 +19,7 @@ def xor(seed: int, n: int) -> str:
     return XOR.format(seed=seed, n=n)
 
 
-SHIFTS = xor(SHIFT_SEED, 20) + ", nn AS (SELECT (max(pos) + 1)::BIGINT AS n FROM binned), shifts AS (SELECT i::INTEGER AS replicate, (1 + floor(x / 4294967296.0::DOUBLE * (n - 1)))::BIGINT AS shift FROM x0, nn WHERE i > 0)"
+SHIFTS = xor(SHIFT_SEED, 400) + ", nn AS (SELECT (max(pos) + 1)::BIGINT AS n FROM binned), shifts AS (SELECT i::INTEGER AS replicate, (1 + floor(x / 4294967296.0::DOUBLE * (n - 1)))::BIGINT AS shift FROM x0, nn WHERE i > 0)"
 STAT = "{name} AS (SELECT {keys}, max(CASE WHEN n >= floor(t * 0.015) THEN abs(hits / n::DOUBLE - base) END) AS stat FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}) AS t, sum(hits) OVER (PARTITION BY {keys}) / sum(n) OVER (PARTITION BY {keys})::DOUBLE AS base FROM {src}) GROUP BY {keys})"
 OBS = STAT.format(name="obs", keys="family, variable", src="counted")
 NULLS = f"""WITH RECURSIVE {BINNED}, {SHIFTS}, ev AS (SELECT DISTINCT pos FROM binned WHERE y = 1),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.session import shared_folder
 from pulseframe.shipping import ship
+from pulseframe.sources.files import latest, upsert
 
 
 def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -85,3 +86,36 @@ def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
         return spark.createDataFrame([], stream.schema)
     paths = [done[max(done)]] if mode == "complete" else list(done.values())
     return spark.read.schema(stream.schema).parquet(*paths)
+
+
+def live_index(stream: DataFrame, days: int, decay: float) -> DataFrame:
+    """(day, n, rate) of every day with events: sums over the days up to it, the rate falling with age.
+
+    A batch adds its own days' counts to a table, one folder a batch, so that a batch that runs again replaces its
+    own; days are exploded over the history ahead of them, so that the last join is on equality. Late events count where they belong.
+    """
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        day = F.floor(F.unix_micros("ts") / F.lit(86_400_000_000))
+        batch.groupBy(day.alias("day")).agg(F.count("*").alias("n"), F.sum("value").alias("v")).write.mode("overwrite").parquet(f"{root}/sums/batch={epoch}")
+
+    stream.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    sums = spark.read.parquet(f"{root}/sums").groupBy("day").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    ahead = sums.withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))).withColumn("day", F.col("day") + F.col("age"))
+    met = ahead.join(sums.select("day"), "day")
+    return met.groupBy("day").agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.exp(-F.col("age") / F.lit(float(decay)))).alias("rate"))
+
+
+def upserted(stream: DataFrame, key: list[str], version: str) -> DataFrame:
+    """The row of each key with the largest version, from a stream: every batch is upserted into a table of snapshots."""
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        upsert(spark, f"{root}/table", batch, key, version)
+
+    stream.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    out = latest(spark, f"{root}/table")
+    return spark.createDataFrame([], stream.schema) if out is None else out

@@ -6,10 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pulseframe.functions import astro, calendar, geo, rng
-from pulseframe.operators import binning, decluster, grid, joins, nulls, stats
-from pulseframe.plans import audit
-from pulseframe.sources import text
+from pulseframe.functions import astro, calendar, geo, rng, tides
+from pulseframe.operators import binning, decluster, grid, joins, linear, nulls, stats
+from pulseframe.plans import audit, boosting, claims
+from pulseframe.sources import files, records, text
 
 
 def rows(df, *cols):
@@ -155,10 +155,12 @@ def test_whitespace_source(spark):
 
 
 def test_ionex_missing_policy(spark):
-    df = spark.createDataFrame([("   10 9999   25",)], "t string")
-    skip, zero = df.select(text.ionex_map(F.col("t")).alias("a"), text.ionex_map(F.col("t"), "zero").alias("b")).first()
-    assert [(x["i"], x["tec"]) for x in skip] == [(0, 1.0), (2, 2.5)]
-    assert [x["tec"] for x in zero] == [1.0, 0.0, 2.5]
+    row = "    87.5-180.0 180.0   5.0 450.0".ljust(60) + "LAT/LON1/LON2/DLON/H\n   10 9999   25\n"
+    one = lambda r: "     1".ljust(60) + "START OF TEC MAP\n" + r + "     1".ljust(60) + "END OF TEC MAP\n"
+    body = "".ljust(60) + "END OF HEADER\n" + one(row) + one(row.replace("   10", "   30")) + one(row.replace("   10 9999   25", " 9999 9999 9999")) + "     1".ljust(60) + "START OF RMS MAP\n" + one(row)
+    df = spark.createDataFrame([("a", body), ("b", "no header")], "file string, value string")
+    assert rows(records.ionex_daily(df, 3), "file", "row", "col", "tec") == [("a", 0, 0, 2.0), ("a", 0, 2, 2.5)]
+    assert rows(records.ionex_daily(df, 3, "zero"), "row", "col", "tec") == [(0, 0, 2.0), (0, 1, 0.0), (0, 2, 2.5)]
 
 
 def test_bilinear_scales_weights_to_nodes_that_exist(spark):
@@ -168,17 +170,118 @@ def test_bilinear_scales_weights_to_nodes_that_exist(spark):
 
 
 def test_phase_records(spark):
-    df = spark.createDataFrame([("3.5 days after New Moon\n1 days before Full Moon",)], "t string")
-    got = df.select(text.phase_records(F.col("t")).alias("p")).first()["p"]
-    assert [(x["name"], x["days"], x["dir"]) for x in got] == [("New Moon", 3.5, "after"), ("Full Moon", 1.0, "before")]
+    good = "2023-02-06, 01:17:35, M 7.8 Turkey\nFull Moon (lunar eclipse): 2023-02-05, 18:28:00\nThird Quarter: 2023-02-13, 16:01:00\n~ 0.3 days after Full Moon, ~ 7.6 days before Third Quarter\nMoon distance: 404000.0 km\n"
+    few = "2023-03-01, 00:00:00, M 6.1 Nowhere\nFull Moon: 2023-03-07, 12:40:00\n~ 6.5 days before Full Moon\nMoon distance: 1.0 km\n"
+    df = spark.createDataFrame([("a", good + "\nMoon distance: 2.0 km\n" + few + good.replace("Turkey", "Again")), ("b", "")], "file string, value string")
+    got = {r["place"]: r for r in records.phase_properties(records.phase_events(df)).collect()}
+    assert sorted(got) == ["Again", "Turkey"]
+    r = got["Turkey"]
+    assert (r["nearest_phase"], r["nearest_days"], r["syzygy"], r["eclipse"], r["moon_km"]) == ("Full Moon", 0.3, True, "lunar eclipse", 404000.0)
+    assert abs(r["offset_error"] - 0.0155) < 2e-3 and abs(r["phase_angle"] - (180 + 90 * 0.28443 / 7.8979)) < 0.01
 
 
 def test_publish_leaves_the_table_if_the_check_fails(spark, tmp_path):
     path = str(tmp_path / "t")
-    text.publish(spark.range(3), path, lambda d: d.count() == 3)
+    files.publish(spark.range(3), path, lambda d: d.count() == 3)
     with pytest.raises(ValueError):
-        text.publish(spark.range(1), path, lambda d: d.count() > 3)
-    assert spark.read.parquet(path).count() == 3
+        files.publish(spark.range(1), path, lambda d: d.count() > 3)
+    assert files.latest(spark, path).count() == 3
+    files.publish(spark.range(5), path, lambda d: True)
+    assert files.latest(spark, path).count() == 5
+
+
+def test_a_record_without_a_line_spoils_no_other(spark, tmp_path):
+    five = NDK.splitlines()[:5]
+    (tmp_path / "b.ndk").write_text("\n".join([*five, *five[:4], *five, five[0]]))
+    assert text.ndk(spark, str(tmp_path / "b.ndk")).where("mw is not null").count() >= 2
+
+
+def test_files_are_located_fetched_and_told_apart(spark, tmp_path):
+    import io
+
+    import numpy as np
+
+    (tmp_path / "x" / "y").mkdir(parents=True)
+    (tmp_path / "x" / "y" / "a.txt").write_text("1")
+    assert files.locate(spark, str(tmp_path), "a.txt").endswith("/x/y/a.txt")
+    assert files.locate(spark, str(tmp_path), "b.txt") == f"{tmp_path}/b.txt"
+    body, part = bytes(range(200)) * 50, tmp_path / "part"
+    part.write_bytes(body[:3000])
+    assert files.fetch_ranges(lambda a, b: body[a:b], len(body), str(part), 999) == len(body) - 3000 and part.read_bytes() == body
+    with pytest.raises(OSError):
+        files.fetch_ranges(lambda a, b: b"", 10, str(tmp_path / "none"))
+    for y, t in ((2001, "a\nb"), (2003, "c")):
+        (tmp_path / f"{y}.csv").write_text(t)
+    got = files.fetch_periods(spark, f"file://{tmp_path}/{{year}}.csv", "2001-01-01", "2004-01-01")
+    assert rows(got, "period", "line", "value") == [("2001-01-01", 0, "a"), ("2001-01-01", 1, "b"), ("2003-01-01", 0, "c")]
+    assert files.fetch_periods(spark, "data:,{start}", "2001-01-30", "2001-02-02", "day").count() == 3
+    held = []
+    for a in (np.arange(5), np.arange(6).reshape(2, 3) / 2):
+        out = io.BytesIO()
+        np.save(out, a)
+        held.append(out.getvalue())
+    df = spark.createDataFrame([("a", held[0]), ("b", held[1]), ("c", b"<html>")], "path string, content binary")
+    assert rows(files.with_magic(df, (b"\x93NUMPY",)), "path") == [("a",), ("b",)]
+    assert rows(files.npy(df.where("path = 'b'")), "i", "j", "value") == [(0, 0, 0.0), (0, 1, 0.5), (0, 2, 1.0), (1, 0, 1.5), (1, 1, 2.0), (1, 2, 2.5)]
+
+
+def test_a_bundle_that_disagrees_is_not_written(spark, tmp_path):
+    with pytest.raises(ValueError):
+        files.write_json_if(spark.range(1), str(tmp_path / "m"), lambda d: False)
+    assert not (tmp_path / "m").exists()
+
+
+def test_the_neighbour_search_widens_its_ring(spark):
+    pts = [(float(i % 7) * 3, float(i // 7) * 2) for i in range(40)] + [(500.0, 500.0), (-300.0, 2.0)]
+    df = spark.createDataFrame(pts, "x double, y double")
+    want = {p: sorted(math.dist(p, q) for q in pts if q != p)[4] for p in pts}
+    got = {(r["x"], r["y"]): r["width"] for r in joins.kth_neighbour(df, 5, 1.0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in pts)
+    assert [r["width"] for r in joins.kth_neighbour(df.limit(3), 5, 1.0).collect()] == [None] * 3
+
+
+def test_covering_windows_grow_with_the_magnitude(spark):
+    r = random.Random(3)
+    ev = [(i, r.randint(0, 3000), r.uniform(-2, 2), r.uniform(-2, 2), r.uniform(4, 8)) for i in range(300)]
+    df = spark.createDataFrame(ev, "id long, hour int, lat double, lon double, mag double")
+
+    def km(a, b):
+        p, q = math.radians(a[2]), math.radians(b[2])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(h))
+
+    days = lambda m: 10 ** (0.032 * m + 2.7389) if m >= 6.5 else 10 ** (0.5409 * m - 0.547)
+    want = sorted((a[0], b[0]) for a in ev for b in ev if a[0] != b[0] and a[4] > b[4] and 0 <= b[1] - a[1] <= days(a[4]) and km(a, b) <= 10 ** (0.1238 * a[4] + 0.983))
+    assert rows(joins.covering_pairs(df, geo.gk_km, geo.gk_days, F.col("mag") > F.col("mag2")), "id", "id2") == want
+
+
+def test_stress_equals_differences_of_the_potential(spark):
+    lat, lon, ra, dec, far, gmst = 33.0, 48.0, 120.0, 18.0, 3.8e8, 77.0
+    df = spark.range(1)
+    got = df.select(*[c.alias(k) for k, c in zip("abc", tides.surface_stress(*map(F.lit, (lat, lon, ra, dec, far, gmst)), tides.GM["moon"]), strict=True)]).first()
+
+    def w(dt, dp):
+        t, p, d = math.radians(90 - lat) + dt, math.radians(lon) + dp, math.radians(dec)
+        c = math.cos(t) * math.sin(d) + math.sin(t) * math.cos(d) * math.cos(math.radians(gmst) + p - math.radians(ra))
+        return tides.GM["moon"] * tides.EARTH**2 / far**3 * (3 * c * c - 1) / 2
+
+    h, t = 1e-4, math.radians(90 - lat)
+    wt, wp = (w(h, 0) - w(-h, 0)) / (2 * h), (w(0, h) - w(0, -h)) / (2 * h)
+    wtt, wpp = (w(h, 0) - 2 * w(0, 0) + w(-h, 0)) / h**2, (w(0, h) - 2 * w(0, 0) + w(0, -h)) / h**2
+    wtp = (w(h, h) - w(h, -h) - w(-h, h) + w(-h, -h)) / (4 * h * h)
+    k, m = 1 / (tides.EARTH * tides.GRAVITY), 2 * tides.SHEAR / (1 - tides.POISSON)
+    tt = k * (tides.LOVE_L * wtt + tides.LOVE_H * w(0, 0))
+    pp = k * (tides.LOVE_L * (wpp / math.sin(t) ** 2 + wt / math.tan(t)) + tides.LOVE_H * w(0, 0))
+    tp = k * tides.LOVE_L * (wtp / math.sin(t) - wp * math.cos(t) / math.sin(t) ** 2)
+    want = (m * (tt + tides.POISSON * pp), m * (pp + tides.POISSON * tt), -2 * tides.SHEAR * tp)
+    assert all(abs(a - b) < 0.5 for a, b in zip(got, want, strict=True)) and max(map(abs, want)) > 500
+
+
+def test_full_moons_are_found(spark):
+    from pulseframe.queries.physics import phase_times
+
+    got = phase_times(spark, "/root/testdata/sf0.001").collect()
+    assert all(abs(r["phase"] - 180) < 1e-4 for r in got)
 
 
 def test_fingerprint_recovers_a_planted_signal():
@@ -188,9 +291,91 @@ def test_fingerprint_recovers_a_planted_signal():
     x = r.normal(size=2000)
     quiet = (r.random(2000) < 0.2).astype(float)
     loud = (r.random(2000) < 0.1 + 0.4 * (x > 1)).astype(float)
-    a, b = audit.fingerprint_of(x, quiet), audit.fingerprint_of(x, loud)
-    assert b[0] > 2 * a[0] and b[1] > 0.6 > a[1]
-    assert audit.fingerprint_of(np.ones(50), np.ones(50)) == [0.0] * len(audit.AXES)
+    a, b = (dict(zip(claims.AXES, claims.fingerprint(x, y), strict=True)) for y in (quiet, loud))
+    assert b["stat"] > 2 * a["stat"] and b["p_shift"] < 0.01 < a["p_shift"] and b["auc_chrono"] > 0.6 and b["z_full"] > 5 and b["null_fpr"] < 0.2
+    assert all(math.isnan(v) for v in claims.fingerprint(np.ones(500), np.ones(500)))
+
+
+def test_the_statistic_of_every_turn_equals_a_direct_count():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x, y = r.normal(size=300), (r.random(300) < 0.3).astype(float)
+    table, bins = claims.statistics_by_shift(x, y), claims.bins_of(x)
+    for k in (0, 1, 77, 299):
+        turned = np.roll(y, k)
+        want = max(abs(turned[bins == b].mean() - y.mean()) for b in range(10)) / y.mean()
+        assert abs(table[k] - want) < 1e-9
+
+
+def test_the_date_comes_back_from_a_series_that_holds_it(spark):
+    import numpy as np
+
+    t = np.arange(400.0)
+    assert claims.date_r2(t) > 0.999 and claims.date_r2(np.random.default_rng(0).normal(size=400)) < 0.2
+    z = np.sin(t / 30) + t / 200
+    s = spark.createDataFrame([(float(a), float(b)) for a, b in zip(t, z, strict=True)], "t double, x double")
+    unit = F.col("x") / (float(np.std(z)) + 1e-12)
+    basis = [F.col("x"), F.col("x") * F.col("x"), *[f(k * unit) for k in (1, 2, 3) for f in (F.sin, F.cos)]]
+    assert abs(linear.least_squares_r2(s, basis, F.col("t")) - claims.date_r2(z)) < 1e-6
+
+
+def test_draws_equal_the_column_generator(spark):
+    below = claims.draws(20260819)
+    assert [below(1000) for _ in range(3)] == [int(v / 4294967296 * 1000) for v in (472757172, 3778524601, 3885191513)]
+    got = spark.range(1).select(rng.stream(0, 2).alias("x")).first()["x"]
+    assert got[0] != 0 and got[0] != got[1]
+
+
+def test_claims_of_every_kind_are_made_and_told_apart():
+    import numpy as np
+
+    y = (np.random.default_rng(3).random(1500) < 0.3).astype(float)
+    for kind in claims.KINDS:
+        x, z = claims.example(kind, 1, y, None)
+        again = claims.example(kind, 1, y, None)
+        assert len(x) == len(z) == 1500 and np.array_equal(x, again[0]) and np.array_equal(z, again[1]) and set(np.unique(z)) <= {0.0, 1.0}
+
+
+def test_boosted_trees_learn_and_walk_as_an_expression(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(600, 3))
+    x[r.random((600, 3)) < 0.1] = np.nan
+    y = np.where(np.isnan(x[:, 0]), 2, (np.nan_to_num(x[:, 0]) + np.nan_to_num(x[:, 1]) > 0).astype(int))
+    for target, settings in ((y, boosting.Settings(25, 0.2, 8, 10, 1.0)), ((y > 0).astype(int), boosting.Settings(25, 0.2, 8, 10, 1.0))):
+        bundle = boosting.fit(x[:400], target[:400], settings)
+        p = boosting.predict(bundle, x)
+        assert (np.array(bundle["classes"])[p[400:].argmax(1)] == target[400:]).mean() > 0.85
+        df = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(x[:80])], "i int, f array<double>")
+        got = {r["i"]: r["p"] for r in df.select("i", boosting.softmax(boosting.scores(bundle, F.col("f"))).alias("p")).collect()}
+        assert max(abs(a - b) for i in got for a, b in zip(got[i], p[i], strict=True)) < 1e-9
+    assert boosting.predict(boosting.fit(x[:5], np.ones(5, int)), x[:2]).shape == (2, 2)
+
+
+def test_prediction_sets_cover_and_abstain():
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    y = r.integers(0, 2, 400)
+    p1 = np.clip(0.5 + (y - 0.5) * 0.6 + r.normal(0, 0.25, 400), 0.01, 0.99)
+    p, labels = np.column_stack([1 - p1, p1]), ["ab"[v] for v in y]
+    q = claims.class_quantiles(p[:200], labels[:200], ["a", "b"], {})
+    sets = claims.prediction_sets(p[200:], q, ["a", "b"], np.arange(200) == 0)
+    assert sets[0] is None and np.mean([s is None or v in s for s, v in zip(sets, labels[200:], strict=True)]) > 0.83
+
+
+def test_five_and_eight_parameters_beat_their_start(spark):
+    r = random.Random(4)
+    ev = [(i, sorted(r.uniform(0, 500) for _ in range(60))[i], r.uniform(0, 2)) for i in range(60)]
+    targets = spark.createDataFrame([(i, 1.0) for i, _, _ in ev], "id long, background double")
+    pairs = spark.createDataFrame([(a[0], a[1] - b[1], b[2], 10.0 * abs(a[0] - b[0])) for a in ev for b in ev if 0 < a[1] - b[1] < 100], "id long, dt double, dm double, km double")
+    old = spark.createDataFrame([(t, m) for _, t, m in ev], "t double, dm double")
+    five = audit.fit_etas(targets, pairs, old, 0.0, 500.0, rounds=400)
+    start = audit.fit_etas(targets, pairs, old, 0.0, 500.0, rounds=0)
+    eight = audit.fit_etas(targets, pairs, old, 0.0, 500.0, True, rounds=200)
+    assert five["ll"] > start["ll"] and len(five) == 6 and len(eight) == 9 and 1.01 < five["p"] <= 2.6
 
 
 def test_simplex_finds_a_minimum():
