@@ -1,6 +1,6 @@
 """License scans by canonical digests: an entire text, made canonical, either has the digest of a known one or not.
 
-Canonical: ASCII lower case; lines that claim a copyright go; equivalent spellings become one; whatever isn't
+Canonical: ASCII lower case; lines that claim a copyright go, with a year or without; equivalent spellings become one; whatever isn't
 a letter or digit becomes one space. Only DataFrame functions are used; the known digests come from the same
 functions, so that both sides agree.
 
@@ -50,12 +50,18 @@ KNOWN = [
 KNOWN += full_texts(KNOWN[0][1], KNOWN[1][1])
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CLAIM = r"(?m)^[^a-z0-9\n]*(copyright[^a-z\n][^\n]*[0-9]{4}|\(c\)|©)[^\n]*$"
+# Words that follow "copyright" where a line of a licence's own text begins with it.
+NOT_CLAIMS = ("notice", "holder", "owner", "law", "licen", "statement", "interest", "permission", "protection", "and", "or ", "in ", "is ", "to ", "on ", "as ", "treaty", "disclaimer", "act ", "control", "claim", "work", "management", "conditions", "information", "resulting", "doctrine")
+CLAIM = r"(?m)^[^a-z0-9\n]*(copyright([^a-z_\n][^\n]*)?|\(c\)[^\n]*|©[^\n]*)$"
 
 
 def canonical(text: Column) -> Column:
     c = F.translate(text, UPPER, LOWER)
-    c = F.regexp_replace(c, CLAIM, " ")
+    own = c
+    for word in NOT_CLAIMS:
+        own = F.replace(own, F.lit(f"copyright {word}"), F.lit(f"copyright_{word}"))
+    claims = F.contains(c, F.lit("copyright")) | F.contains(c, F.lit("(c)")) | F.contains(c, F.lit("©"))
+    c = F.when(claims, F.regexp_replace(own, CLAIM, " ")).otherwise(c)  # most texts have none
     c = F.concat(F.lit(" "), F.regexp_replace(c, r"[^a-z0-9]+", " "), F.lit(" "))
     for a, b in SPELLINGS:
         c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
