@@ -5,6 +5,7 @@ A body is plain, or escaped at the first level at which parsing the turn again g
 0 as it is, 1 with backslashes and control strings escaped, 2 with every `\\`, `<` and `#` escaped.
 An escape is a backslash and one letter: `\\s` for `\\`, `\\l` for `<`, `\\h` for `#`, `\\c` for `:`,
 `\\n` for a line feed in a role. The parser refuses a body that holds "###" or "</turn>", and undoes escapes.
+The whole conversation is parsed again too, and its turns must equal the source's, or the query fails.
 
 Defined results: null texts and roles count as empty; turns are ordered by turn, then role, then text,
 null turns first; repeated rows are turns of their own; rows without a conv_id form one conversation;
@@ -60,15 +61,18 @@ def format_chats(turns: DataFrame) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
     shown = rows.select("conv_id", F.struct("turn", "role", "text", F.concat(F.lit(OPEN + " "), escape_role(F.col("role")), F.lit(": "), conflict_free(F.col("text")), F.lit(CLOSE + "\n")).alias("shown")).alias("t"))
-    return shown.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["shown"]), "").alias("formatted"))
+    whole = shown.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("_source"))
+    whole = whole.select("conv_id", F.array_join(F.transform("_source", lambda t: t["shown"]), "").alias("formatted"), "_source")
+    said = lambda turns: F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    same = said(_pieces(F.col("formatted"))) == said(F.col("_source"))
+    return whole.select("conv_id", F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation can't be rendered reversibly"))).alias("formatted"))
 
 
-def parse_chats(formatted: DataFrame) -> DataFrame:
-    """Adds turns array<struct<role, text, start, length>>; start and length say where the rendered body stands, in characters from 0."""
-    head, tail = len(OPEN) + 1, len(CLOSE) + 1
+def _pieces(formatted: Column) -> Column:
+    """array<struct<role, text, head, length>>: what each turn says, the characters before its body, and those of its body."""
+    head = len(OPEN) + 1
     # after the last separator comes an empty piece
-    parts = F.split(F.col("formatted"), F.lit(CLOSE + "\n"), F.lit(-1))
-    pieces = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    parts = F.split(formatted, F.lit(CLOSE + "\n"), F.lit(-1))
 
     def one(p: Column) -> Column:
         colon = F.locate(": ", p)
@@ -80,14 +84,34 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
             F.length(body).alias("length"),
         )
 
-    read = formatted.withColumn("_read", F.transform(pieces, one))
-    ends = F.aggregate(
-        "_read",
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts")),
-        lambda acc, t: F.struct((acc["at"] + t["head"] + t["length"] + F.lit(tail)).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + t["head"])).alias("starts")),
-        lambda acc: acc["starts"],
-    )
-    return read.withColumn("turns", F.zip_with("_read", ends, lambda t, s: F.struct(t["role"].alias("role"), t["text"].alias("text"), s.alias("start"), t["length"].alias("length")))).drop("_read")
+    return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), one)
+
+
+#: Turns whose places are summed in one list, before those of the next ones; keeps long conversations from copying a list a turn.
+RUN = 256
+
+
+def _starts(turns: Column) -> Column:
+    """array<int>: where each turn's body begins. Sums run within runs of turns, then over the runs."""
+    tail = len(CLOSE) + 1
+    none = F.expr("cast(array() as array<int>)")
+    size = lambda t: t["head"] + t["length"] + F.lit(tail)
+    start = F.struct(F.lit(0).alias("at"), none.alias("starts"))
+
+    def within(run: Column) -> Column:
+        step = lambda acc, t: F.struct((acc["at"] + size(t)).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + t["head"])).alias("starts"))
+        return F.aggregate(run, start, step)
+
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(turns) / RUN).cast("int") - 1, F.lit(0))), lambda i: within(F.slice(turns, i * RUN + 1, F.lit(RUN))))
+    before = F.aggregate(runs, start, lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+    return F.flatten(F.zip_with(runs, before, lambda r, b: F.transform(r["starts"], lambda s: s + b)))
+
+
+def parse_chats(formatted: DataFrame) -> DataFrame:
+    """Adds turns array<struct<role, text, start, length>>; start and length say where the rendered body stands, in characters from 0."""
+    read = formatted.withColumn("_read", _pieces(F.col("formatted"))).withColumn("_starts", _starts(F.col("_read")))
+    whole = F.zip_with("_read", "_starts", lambda t, s: F.struct(t["role"].alias("role"), t["text"].alias("text"), s.alias("start"), t["length"].alias("length")))
+    return read.withColumn("turns", whole).drop("_read", "_starts")
 
 
 def loss_spans(parsed: DataFrame, role: str = "assistant") -> DataFrame:
