@@ -58,10 +58,13 @@ class Scratch:
 
     def drop(self, name: str = "") -> None:
         """Delete one table, or all. Shuffle files of plans that nothing refers to any more go with it."""
-        jvm = self.spark._jvm
-        jvm.System.gc()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.spark._jvm.System.gc()
+        drop_path(self.spark, f"{self.root}/{name}".rstrip("/"))
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -186,6 +186,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 def _op6_sql() -> str:
     def canonical(c: str) -> str:
         c = f"translate({c}, '{license.UPPER}', '{license.LOWER}')"
+        for word in license.NOT_CLAIMS:
+            c = f"replace({c}, 'copyright {word}', 'copyright_{word}')"
         c = f"regexp_replace({c}, '{license.CLAIM}', ' ', 'g')"
         c = f"(' ' || regexp_replace({c}, '[^a-z0-9]+', ' ', 'g') || ' ')"
         for a, b in license.SPELLINGS:

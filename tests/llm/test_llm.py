@@ -82,6 +82,15 @@ def test_chat_round_trip_with_conflicts(spark):
     assert chat.digests(chat.loss_spans(chat.parse_chats(chat.format_chats(df.where("false"))))).count() == 0
 
 
+def test_a_long_conversation(spark, monkeypatch):
+    monkeypatch.setattr(chat, "RUN", 7)
+    said = [(1, t, "user" if t % 2 else "assistant", "### " * (t % 3) + "x" * (t % 11)) for t in range(2000)]
+    r = chat.parse_chats(chat.format_chats(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))).first()
+    assert [(t["role"], t["text"]) for t in r["turns"]] == [(x[2], x[3]) for x in said]
+    for t in r["turns"]:
+        assert chr(10).join([r["formatted"][t["start"] : t["start"] + t["length"]]]).replace("\\h", "#").replace("\\s", "\\").replace("\\l", "<") == t["text"]
+
+
 def test_chat_sentinel(spark):
     r = next(x for x in queries.op1_chat_format(spark, SF).collect() if x["conv_id"] == -7)
     s = queries.SENTINEL
@@ -380,6 +389,14 @@ def test_whole_files_of_common_licenses_are_known(spark):
     assert got == {i: k for i, (k, _) in enumerate(files)}
 
 
+def test_claims_without_a_year_go_and_licence_lines_stay(spark):
+    mit, isc = license.KNOWN[0][1], license.KNOWN[1][1]
+    wrapped = mit.replace("The above copyright notice", "The above\ncopyright notice").replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS OR\nCOPYRIGHT HOLDERS")
+    texts = ["Copyright Jane Doe\n\n" + mit, "Copyright (c) Jane Doe and others\n" + wrapped, "(c) 2020\n© Jane\nCopyright\n" + isc, "Copyright: the authors, see AUTHORS\n" + mit]
+    got = {r["i"]: r["license_id"] for r in license.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    assert got == {0: "MIT", 1: "MIT", 2: "ISC", 3: "MIT"}
+
+
 def test_scan_lines_finds_every_given_text(spark):
     known = [("A", "Zlib applies to this file."), ("B", "Use at own risk"), ("C", "An organisation's rules")]
     df = spark.createDataFrame([(1, "x\nzlib APPLIES to this file\nUse at own -- risk"), (2, "an organization s rules\nan ORGANISATION's rules"), (3, "no match")], "i int, text string")
@@ -610,3 +627,20 @@ def test_pipeline_stages(spark):
     mixed = cp.mix_stage(spark, one, sf)
     assert mixed.columns == cols and {r["doc_id"] for r in mixed.collect()} <= {r["doc_id"] for r in one.collect()}
     assert cp.run(spark, sf).count() == mixed.count()
+
+
+def test_pipeline_of_odd_rows_and_of_none(spark, odd, tmp_path):
+    import corpus_pipeline as cp
+
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(16)], "doc_id long, quality int, toxic int")
+    clean = odd.where("length(text) < 10000 or text is null")
+    for name, docs in (("odd", clean), ("none", clean.where("false"))):
+        sf = str(tmp_path / name)
+        docs.write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+        before = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in cp.STAGES[:-1]:
+            after = stage(spark, before, sf)
+            assert [c.lower() for c in after.columns if c not in CLASH] == [c.lower() for c in before.columns if c not in CLASH]
+        out = cp.run(spark, sf).collect()
+        assert (len(out) > 0) == (name == "odd")
