@@ -1,4 +1,10 @@
-"""From raw documents to token ids: STAGES, each of which works on what the one before kept."""
+"""From raw documents to token ids: STAGES, each of which works on what the one before kept.
+
+Defined results: null and empty texts go where the classifier rejects them, else they pass every stage and have no tokens; documents
+of which line dedup leaves nothing go; rows that repeat an id and text are handled alike and stay together, since no stage
+compares a document with itself; documents with a null id link with nothing; null sources are a source of their own; an empty
+table gives no rows; further columns, whatever their names, pass up to the last stage, which keeps doc_id, lang and source.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pulseframe.llm import bpe, line_dedup, mixing, ngram_join, quality
-from pulseframe.llm.common import shared_dir
+from pulseframe.llm.common import Scratch, drop_path, shared_dir
 from pulseframe.llm.queries import public_ranks
 
 
@@ -50,10 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each result is written to the shared folder and read again."""
+    """All stages on documents; each result is written to the shared folder and read again, and the one before it is deleted then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
-        docs = spark.read.parquet(f"{root}/{k}")
+        made = len(Scratch.made)
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{root}/{k}")
+        docs = spark.read.schema(out.schema).parquet(f"{root}/{k}")
+        Scratch.sweep(made)  # the stage's own tables
+        if k:
+            drop_path(spark, f"{root}/{k - 1}")
     return docs
