@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pulseframe.functions.geo import haversine
 from pulseframe.session import cut
 
+from .ranking import ranged
+
 
 def lag_window(events: DataFrame, field: DataFrame, key: list[str], event_day: str, field_day: str, lo: int, hi: int) -> DataFrame:
     """Field rows at the event's own key on days event - hi .. event - lo, with lag. The lags are exploded, so that
@@ -20,13 +22,27 @@ def lag_window(events: DataFrame, field: DataFrame, key: list[str], event_day: s
     return asked.join(field, [*key, field_day])
 
 
-def as_of(left: DataFrame, right: DataFrame, key: list[str], left_ts: str, right_ts: str, values: list[str], tolerance: Column | None = None) -> DataFrame:
-    """The last right row at or before each left row, by union and a running last; no pair is built."""
+def as_of(left: DataFrame, right: DataFrame, key: list[str], left_ts: str, right_ts: str, values: list[str], tolerance: Column | None = None, hot: bool = False) -> DataFrame:
+    """The last right row at or before each left row, by union and a running last; no pair is built.
+
+    A key's rows meet in one task, unless hot, or without a key: then rows are dealt into ranges of (key, time), and the last value of
+    a key that began in an earlier range is carried on, two rows a range.
+    """
     v = F.struct(right_ts, *values)
     a = left.withColumn("_at", F.col(left_ts)).withColumn("_v", F.lit(None).cast(right.select(v).schema[0].dataType)).withColumn("_side", F.lit(1))
     b = right.select(*key, F.col(right_ts).alias("_at"), v.alias("_v")).withColumn("_side", F.lit(0))
-    w = W.partitionBy(*key).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
-    met = a.unionByName(b, allowMissingColumns=True).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    both = a.unionByName(b, allowMissingColumns=True)
+    if key and not hot:
+        w = W.partitionBy(*key).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
+        met = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    else:
+        r = ranged(both.withColumn("_key", F.struct(*[F.col(k) for k in key], F.lit(0).alias("_"))), ["_key", "_at", "_side"])
+        ends = r.groupBy("_range").agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi"))  # a row a range
+        edge = r.join(F.broadcast(ends), "_range").where("_key = _lo or _key = _hi").groupBy("_range", "_key").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_at", "_side"))).alias("_c"))
+        carried = edge.withColumn("_c", F.last("_c", ignorenulls=True).over(W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)))
+        w = W.partitionBy("_range", "_key").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
+        met = r.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").join(F.broadcast(carried), ["_range", "_key"], "left")
+        met = met.withColumn("_v", F.coalesce("_v", "_c")).drop("_c", "_range", "_key")
     ok = F.lit(True) if tolerance is None else (F.col("_at") - F.col(f"_v.{right_ts}")) <= tolerance
     out = [F.when(ok, F.col(f"_v.{c}")).alias(c) for c in [right_ts, *values]]
     return met.select(*left.columns, *out)

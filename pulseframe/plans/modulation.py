@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions.rng import stream, uniform
 from pulseframe.operators import binning, nulls
+from pulseframe.session import cut
 from pulseframe.sources.testbed import bank, indicator
 
 SHIFT_SEED = 20260819
@@ -50,7 +51,7 @@ def shift_table(spark: SparkSession, n: int, replicates: int = 400, seed: int =
 
 def modulation_test(spark: SparkSession, sf_dir: str, replicates: int = 400) -> DataFrame:
     """(family, variable, stat, p, family_p): the statistic of each variable, its own p and its family's, by maxima over replicates."""
-    b = binned_bank(spark, sf_dir).cache()
+    b = cut(binned_bank(spark, sf_dir))
     n = positions(b)
     keys = ["family", "variable"]
     obs = binning.max_deviation(binning.rates(b, "y", keys), keys)

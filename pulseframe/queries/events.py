@@ -247,15 +247,15 @@ def _gk(spark, sf, q: float):
 
 
 #: The greedy choice one event at a time, in the order i: an event stays unless one that stayed covers it.
-GREEDY = """, bys AS (SELECT id, list(by_id) AS bys FROM covers GROUP BY id),
+GREEDY = """, bys AS MATERIALIZED (SELECT id, list(by_id) AS bys FROM covers GROUP BY id),
   r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT k + 1, CASE WHEN list_has_any(kept, coalesce(bys, [])) THEN kept ELSE list_append(kept, o.id) END FROM r JOIN ordered o ON o.i = r.k + 1 LEFT JOIN bys ON bys.id = o.id),
   last AS (SELECT kept FROM r ORDER BY k DESC LIMIT 1) SELECT id, list_contains(kept, id) AS kept FROM ordered, last"""
 
-GKC = f"""{CAT}, big AS (SELECT id, hour, lat, lon, round(mag, 9) AS mag FROM cat WHERE mag >= (SELECT quantile_cont(mag, 0.9) FROM cat)),
-  covers AS (SELECT b.id AS id, a.id AS by_id FROM big a JOIN big b ON a.id <> b.id AND b.hour >= a.hour AND (a.mag > b.mag OR (a.mag = b.mag AND a.id < b.id)) AND {hav('a', 'b')} <= pow(10, 0.1238 * a.mag + 0.983) AND b.hour - a.hour <= CASE WHEN a.mag >= 6.5 THEN pow(10, 0.032 * a.mag + 2.7389) ELSE pow(10, 0.5409 * a.mag - 0.547) END)"""
+GKC = f"""{CAT}, big AS MATERIALIZED (SELECT id, hour, lat, lon, round(mag, 9) AS mag FROM cat WHERE mag >= (SELECT quantile_cont(mag, 0.9) FROM cat)),
+  covers AS MATERIALIZED (SELECT b.id AS id, a.id AS by_id FROM big a JOIN big b ON a.id <> b.id AND b.hour >= a.hour AND (a.mag > b.mag OR (a.mag = b.mag AND a.id < b.id)) AND {hav('a', 'b')} <= pow(10, 0.1238 * a.mag + 0.983) AND b.hour - a.hour <= CASE WHEN a.mag >= 6.5 THEN pow(10, 0.032 * a.mag + 2.7389) ELSE pow(10, 0.5409 * a.mag - 0.547) END)"""
 
 
-@query(f"WITH RECURSIVE {GKC}, ordered AS (SELECT id, row_number() OVER (ORDER BY mag DESC, id) AS i FROM big){GREEDY}")
+@query(f"WITH RECURSIVE {GKC}, ordered AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY mag DESC, id) AS i FROM big){GREEDY}")
 def gk_decluster(spark, sf):
     b, covers = _gk(spark, sf, 0.9)
     return decluster.resolve(b, covers)
@@ -273,8 +273,8 @@ def parent_child(spark, sf):
     return m.groupBy("id").agg(F.max_by("by", F.struct("mag", -F.col("by"))).alias("parent"))
 
 
-MARCHITELLI = f"""{CAT}, {big(0.9)}, covers AS (SELECT b.id AS id, a.id AS by_id FROM big a JOIN big b ON a.mag >= b.mag AND (a.hour < b.hour OR (a.hour = b.hour AND a.id < b.id)) AND b.hour - a.hour <= 180 AND {hav('a', 'b')} <= 150),
-  ordered AS (SELECT id, row_number() OVER (ORDER BY hour, id) AS i FROM big)"""
+MARCHITELLI = f"""{CAT}, {big(0.9)}, covers AS MATERIALIZED (SELECT b.id AS id, a.id AS by_id FROM big a JOIN big b ON a.mag >= b.mag AND (a.hour < b.hour OR (a.hour = b.hour AND a.id < b.id)) AND b.hour - a.hour <= 180 AND {hav('a', 'b')} <= 150),
+  ordered AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY hour, id) AS i FROM big)"""
 
 
 @query(f"WITH RECURSIVE {MARCHITELLI}{GREEDY}")

@@ -130,7 +130,7 @@ REGION_SQL = "regions AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', {a}::DOU
 
 
 @query(f"""WITH RECURSIVE {GKC.replace('covers AS', 'far AS')}, {REGION_SQL}, own AS (SELECT big.id, big.mag, region FROM big JOIN regions ON lat BETWEEN lat0 AND lat1 AND lon BETWEEN lon0 AND lon1 AND mag >= minmag),
-  covers AS (SELECT far.id, far.by_id FROM far JOIN own x ON x.id = far.id JOIN own y ON y.id = far.by_id AND x.region = y.region), ordered AS (SELECT id, row_number() OVER (ORDER BY mag DESC, id) AS i FROM own){GREEDY.replace('SELECT id, list_contains(kept, id) AS kept FROM ordered, last', 'SELECT region, own.id AS id, list_contains(kept, own.id) AS kept FROM own, last')}""")
+  covers AS (SELECT far.id, far.by_id FROM far JOIN own x ON x.id = far.id JOIN own y ON y.id = far.by_id AND x.region = y.region), ordered AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY mag DESC, id) AS i FROM own){GREEDY.replace('SELECT id, list_contains(kept, id) AS kept FROM ordered, last', 'SELECT region, own.id AS id, list_contains(kept, own.id) AS kept FROM own, last')}""")
 def region_catalogue(spark, sf):
     """Catalogues by rows of a table of regions, each declustered on its own."""
     b, covers = _gk(spark, sf, 0.9)

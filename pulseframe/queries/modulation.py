@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulseframe.functions.rng import below, stream, step
 from pulseframe.operators import binning, nulls, stats
 from pulseframe.plans.modulation import SHIFT_SEED, binned_bank, joined_bank, positions, shift_table
+from pulseframe.session import cut
 from pulseframe.sources.testbed import bank, indicator
 
 from .base import BANK, BINNED, EDGES, IND, query
@@ -71,7 +72,7 @@ def spread_stat(spark, sf):
 
 
 def null_stats(spark, sf):
-    b = binned_bank(spark, sf).cache()
+    b = cut(binned_bank(spark, sf))
     ev = b.where("y = 1").select("pos").distinct()
     n = positions(b)
     obs = binning.max_deviation(binning.rates(b, "y", ["family", "variable"]), ["family", "variable"])

@@ -240,6 +240,25 @@ def test_the_neighbour_search_widens_its_ring(spark):
     assert [r["width"] for r in joins.kth_neighbour(df.limit(3), 5, 1.0).collect()] == [None] * 3
 
 
+def test_as_of_of_hot_keys_and_without_one(spark):
+    r = random.Random(9)
+    left = [(i, r.choice(["a", "a", "a", "b", None]), r.randint(0, 400)) for i in range(500)]
+    right = [(j, r.choice(["a", "a", "c"]), r.randint(0, 400)) for j in range(60)]
+    l, q = spark.createDataFrame(left, "i int, k string, t int"), spark.createDataFrame(right, "j int, k string, u int")
+    for key in (["k"], []):
+        got = rows(joins.as_of(l, q if key else q.drop("k"), key, "t", "u", [], hot=True).select("i", F.coalesce("u", F.lit(-1)).alias("u")), "i", "u")
+        want = sorted((i, max([u for _, kk, u in right if u <= t and (not key or kk == k)], default=-1)) for i, k, t in left)
+        assert got == want
+
+
+def test_ranks_of_a_value_that_most_rows_share(spark):
+    df = spark.createDataFrame([(i, 1.0 if i % 10 else float(i)) for i in range(1000)], "i int, v double")
+    from pulseframe.operators import ranking
+
+    got = rows(ranking.row_number(df, ["v", "i"], "place"), "place", "i")
+    assert [i for _, i in got] == [i for _, i in sorted((1.0 if i % 10 else float(i), i) for i in range(1000))] and [p for p, _ in got] == list(range(1, 1001))
+
+
 def test_covering_windows_grow_with_the_magnitude(spark):
     r = random.Random(3)
     ev = [(i, r.randint(0, 3000), r.uniform(-2, 2), r.uniform(-2, 2), r.uniform(4, 8)) for i in range(300)]
