@@ -31,8 +31,10 @@ from .common import BROADCAST_KEYS, Scratch, semi_by_key, without
 WORDS = 5
 #: Similarity as a fraction: matching when DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
-#: Bits of the number of buckets that count tokens: one bucket for so many bytes of text, within these bounds (32 MB at most).
-BYTES_A_BUCKET, LEAST_BITS, MOST_BITS = 4096, 16, 22
+#: Bits of the number of buckets that count tokens: one bucket for so many bytes of input, within these bounds (32 MB at most).
+BYTES_A_BUCKET, LEAST_BITS, MOST_BITS = 16384, 16, 22
+#: Numbers of lines, over all documents, up to which those that go are broadcast to their documents (8 MB).
+BROADCAST_LINES = 2_000_000
 #: Bits of a token's hash in its sort key, behind the class of its count.
 HASH_BITS = 54
 #: Spaces other than the plain one, which most texts don't have.
@@ -79,7 +81,9 @@ def count_class(n: int) -> int:
 
 def rarity(docs: DataFrame, text_col: str, lines: DataFrame, run: int = WORDS) -> tuple[int, Column]:
     """(bits, array<long>): the class of the occurrences of each bucket's tokens, where a sort key holds it. A row for each bucket reaches the driver."""
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # as Catalyst knows it, without a scan
+    if size > 1 << 50:  # it doesn't know
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_A_BUCKET).bit_length()))
     runs = lines.select("words", F.explode(F.sequence(F.lit(0), last_run(F.col("words"), run))).alias("i"))
     counts = runs.groupBy(_bucket(_token(F.col("words"), F.col("i"), run), bits).alias("bucket")).agg(F.count("*").alias("n"))
@@ -145,7 +149,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = lines_of(docs, id_col, text_col)
     found = scratch.save(prefixed(lines, *rarity(docs, text_col, lines, run), run), "found")
     at = F.struct("doc", "thash", "ln")
-    distinct = scratch.save(found.groupBy("s1", "s2", "n").agg(F.min(at).alias("first"), F.any_value("prefix").alias("prefix")), "distinct", tidy=True)
+    distinct = scratch.save(found.groupBy("s1", "s2", "n").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.any_value("prefix").alias("prefix")), "distinct", tidy=True)
     line_sets = scratch.save(found.drop("prefix"), "lines")
     scratch.drop("found")
     posted = distinct.select("s1", "n", F.posexplode("prefix").alias("pos", "t"))
@@ -157,7 +161,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heads = lists.groupBy("t").agg(first).select("t", F.col("h.s1").alias("s1"), F.col("h.n").alias("n"), F.col("h.pos").alias("pos"))
     stars = lists.alias("y").join(heads.alias("x"), "t").where("x.s1 <> y.s1").where(_filters("x", "y")).select(F.col("x.s1").alias("x"), F.col("y.s1").alias("y"))
     stars = scratch.save(stars.distinct(), "stars")
-    ids = scratch.save(distinct.select("s1", "s2", "n", "first"), "ids")
+    ids = scratch.save(distinct.select("s1", "s2", "n", "first", "copies"), "ids")
     scratch.drop("distinct")
     gone = scratch.save(_matching(stars, _whole_sets(docs, ids, stars, scratch, "star", run)), "gone", tidy=True)
     scratch.drop("star-sets")
@@ -168,10 +172,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = scratch.save(_matching(rest, _whole_sets(docs, ids, rest, scratch, "rest", run)), "more", tidy=True)
     matched = gone.union(more).distinct().withColumn("gone", F.lit(True))
     # a set's later lines go, and its first one if an earlier set matches
-    named = ids.join(matched, ["s1", "s2"], "left")
-    out = line_sets.select("doc", "thash", "ln", "s1", "s2", "n").join(named, ["s1", "s2", "n"])
+    named = scratch.save(ids.join(matched, ["s1", "s2"], "left").where("copies > 1 or gone").select("s1", "s2", "n", "first", "gone"), "named")
+    few = named.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    out = line_sets.select("doc", "thash", "ln", "s1", "s2", "n").join(F.broadcast(named) if few else named, ["s1", "s2", "n"])
     out = scratch.save(out.where(F.col("gone").isNotNull() | (at > F.col("first"))).select("doc", "thash", "ln").distinct().groupBy("doc", "thash").agg(F.collect_set("ln").alias("lns")), "removed")
-    for name in ("lines", "entries", "lists", "ids", "stars", "rest", "rest-sets", "gone", "more", *[f"{t}-{n}" for t in ("star", "rest") for n in ("wanted", "where")]):
+    for name in ("lines", "named", "entries", "lists", "ids", "stars", "rest", "rest-sets", "gone", "more", *[f"{t}-{n}" for t in ("star", "rest") for n in ("wanted", "where")]):
         scratch.drop(name)
     return out
 
@@ -180,6 +185,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the lines that repeat earlier ones taken out, and n_removed, how many those are; n_chars, if there is one, is counted anew."""
     docs = without(docs, "n_removed")
     gone = repeated_lines(docs, id_col, text_col, run).select(F.col("doc").alias("__pf_doc"), F.col("thash").alias("__pf_of"), F.col("lns").alias("__pf_lns"))  # lines of one text
+    size = gone.agg(F.count("*").alias("n"), F.sum(F.size("__pf_lns")).alias("lines")).first()
+    if size["n"] <= BROADCAST_KEYS and (size["lines"] or 0) <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
     keyed = docs.withColumn("__pf_thash", F.xxhash64(text_col))
     met = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__pf_doc")) & (F.col("__pf_thash") == F.col("__pf_of")), "left")
     lns = F.col("__pf_lns")
