@@ -1,16 +1,13 @@
-"""Claims about pairs of series: fingerprints, exported ensembles and learners."""
+"""Learners from MLlib or short aggregations, and point processes."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.shipping import ship
-
 
 def logistic_gd(df: DataFrame, features: list[str], label: str, steps: int = 200, rate: float = 0.5, ridge: float = 0.01) -> list[float]:
     """Weights (intercept last) of a logistic regression by gradient descent; each step is one aggregation, of which only sums reach the driver."""

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulseframe.operators import grid, joins, nulls, stats
+from pulseframe.operators import grid, joins, nulls
 from pulseframe.operators.grid import rank_normal
 from pulseframe.plans.modulation import binned_bank, joined_bank
 from pulseframe.sources.testbed import bank, catalog, daily, field, indicator, large, read

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -205,10 +203,10 @@ def normal_tail_by_kind(spark, sf):
 @query("SELECT doc_id, round(1 / (1 + exp(-(" + " + ".join(f"CASE WHEN n_chars <= {t} THEN {a} ELSE {b} END" for t, a, b in [(500, -0.4, 0.3), (2000, -0.1, 0.2), (8000, 0.05, -0.3)]) + "))), 9) AS p FROM documents")
 def tree_walk(spark, sf):
     """An exported ensemble, flat arrays of stumps, walked by a fold."""
-    from pulseframe.plans.audit import walk
+    from pulseframe.plans.boosting import scores
 
-    trees = [{"feature": [0, -1, -1], "threshold": [float(t), 0.0, 0.0], "left": [1, -1, -1], "right": [2, -1, -1], "value": [0.0, a, b]} for t, a, b in [(500, -0.4, 0.3), (2000, -0.1, 0.2), (8000, 0.05, -0.3)]]
-    raw = walk(trees, F.array(F.col("n_chars").cast("double")))
+    trees = [{"feature": [0, -1, -1], "threshold": [float(t), 0.0, 0.0], "left": [1, -1, -1], "right": [2, -1, -1], "missing_left": [0, 0, 0], "value": [0.0, a, b]} for t, a, b in [(500, -0.4, 0.3), (2000, -0.1, 0.2), (8000, 0.05, -0.3)]]
+    raw = F.get(scores({"baseline": [0.0], "trees": [[t] for t in trees]}, F.array(F.col("n_chars").cast("double"))), F.lit(0))
     return read(spark, sf, "documents").select("doc_id", F.round(1 / (1 + F.exp(-raw)), 9).alias("p"))
 
 

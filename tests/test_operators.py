@@ -476,3 +476,17 @@ def test_free_shifts_keep_their_margin(spark):
 def test_portable_draws_stay_in_range(spark):
     got = [r[0] for r in spark.createDataFrame([(-5,), (0,), (12345678901,)], "x bigint").select(nulls.lcg((F.col("x"), 7919), (F.lit(13), 1))).collect()]
     assert got == [(x * 7919 + 13) % 10007 for x in (-5, 0, 12345678901)]
+
+
+def test_registered_families_enter_the_test(spark):
+    from pulseframe.plans import modulation
+    from pulseframe.sources.testbed import daily
+
+    sf = "/root/testdata/sf0.001"
+    modulation.register_family("own", lambda s, d: daily(s, d).select("dd", F.lit("orders").alias("variable"), F.col("mx").alias("value")))
+    try:
+        got = {r["variable"]: r for r in modulation.modulation_test(spark, sf, replicates=30).collect()}
+    finally:
+        modulation.FAMILIES.clear()
+    # the indicator is cut from this very series, so that its family stands out
+    assert got["orders"]["family"] == "own" and got["orders"]["p"] < 0.05 and got["orders"]["stat"] > max(r["stat"] for k, r in got.items() if k != "orders")
