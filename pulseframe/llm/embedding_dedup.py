@@ -6,7 +6,7 @@ cosine is at the threshold differ by a normal deviate with a known spread. The w
 * Lists. A table is a group of directions, whose lines are cut into cells; vectors that share all cells of a table
   form a list. The number of directions in a table grows with the logarithm of the largest label, so that lists of unrelated
   vectors are rare; the number of tables is what the recall at the threshold then needs. Work grows with a power of the rows below 2.
-* Cliques. A vector's hub is the smallest id in its lists within half the angle of the threshold. Vectors of one hub
+* Cliques. A vector's hub is the smallest id in some of its lists within half the angle of the threshold. Vectors of one hub
   link with one another for certain, so that a large group of near copies is counted, never paired.
 * Counts. For pairs of a list with unlike hubs, windows centred on one's values on further directions hold the other's or
   don't; pairs that collide often enough, by a count calibrated for the recall, pass.
@@ -34,7 +34,9 @@ CELL, DIRECTIONS, REACH = 2.0, 32, 2.5
 #: The least shares of pairs at the threshold that meet in some table, and that pass the count.
 MEET, RECALL = 0.99, 0.9995
 #: Directions in a table beyond those that leave about one unrelated vector in a list.
-EXTRA = 4
+EXTRA = 3
+#: Tables in which hubs are looked for: near copies share one of so many almost surely, and those that don't are paired like others.
+HUB_TABLES = 16
 #: Vectors of a list that are compared at once with as many others.
 PART = 1024
 #: What rounding may add to a cosine.
@@ -201,9 +203,9 @@ def _both_sides(pairs: DataFrame, placed: DataFrame, a: str, b: str, *cols: str)
 
 
 def _cliques(placed: DataFrame, plan: Plan) -> DataFrame:
-    """(cid, hub): the smallest id in a vector's lists within half the threshold's angle; without one, its own."""
+    """(cid, hub): the smallest id in a vector's first lists within half the threshold's angle; without one, its own."""
     sure = math.cos(math.acos(plan.threshold) / 2) + SLACK
-    listed = placed.select("cid", F.explode("keys").alias("k"))
+    listed = placed.select("cid", F.explode(F.slice("keys", 1, HUB_TABLES)).alias("k"))
     lowest = listed.groupBy("k").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("k", "hub")
     some = listed.join(lowest, "k").where("cid <> hub").select("cid", "hub").distinct()
 
@@ -218,7 +220,7 @@ def _cliques(placed: DataFrame, plan: Plan) -> DataFrame:
 
 def _pairs(placed: DataFrame, cliques: DataFrame) -> DataFrame:
     """(a, b) of unlike hubs that meet in a list. Long lists are split into parts of bounded size, of which two meet at once."""
-    listed = placed.select("cid", F.explode("keys").alias("k")).join(cliques, "cid")
+    listed = placed.select("cid", "keys").join(cliques, "cid").select("cid", "hub", F.explode("keys").alias("k"))
     long_ = listed.groupBy("k").agg(F.count("*").alias("n"), F.min("hub").alias("low"), F.max("hub").alias("high")).where((F.col("n") > PART) & (F.col("low") < F.col("high")))
     long_ = long_.select("k", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     if long_.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
