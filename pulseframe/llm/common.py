@@ -6,7 +6,10 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,3 +107,16 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
             break
         before = now
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, size: int, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose cells of a binary column come to `size` bytes at most; a longer cell stands alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    begin = total = 0
+    for k, n in enumerate(lengths):
+        if k > begin and (total + n > size or k - begin == rows):
+            yield batch.slice(begin, k - begin)
+            begin, total = k, 0
+        total += n
+    if len(lengths) > begin:
+        yield batch.slice(begin)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, license, line_dedup, mixing, ngram_join, quality, sharding, topk
+from . import bpe, chat, embedding_dedup, license, line_dedup, mixing, ngram_join, periodic_runs, quality, sharding, spelling, stream_bpe, topk
 from .common import shared_dir
 
 SHARDS = 24
@@ -74,6 +74,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, machine, keep=["doc_id"]).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.plant(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = periodic_runs.digests(periodic_runs.find_runs(docs, keep=["doc_id"]))
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.with_slips(spelling.runs(_read(spark, sf_dir, "documents"))))
+
+
+def op13_stream_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = stream_bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    coded = stream_bpe.encode(_read(spark, sf_dir, "documents"), model, keep=["doc_id"], decoded=True)
+    return stream_bpe.digests(coded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = [op1_chat_format, op2_line_dedup, op3_ngram_jaccard_join, op4_mix_sources, op5_top_k, op6_license_scan, op7_byte_bpe, op8_embedding_dedup, op9_virtual_slot_shards, op10_quality_classifier, pipeline]
+    ops = [op1_chat_format, op2_line_dedup, op3_ngram_jaccard_join, op4_mix_sources, op5_top_k, op6_license_scan, op7_byte_bpe, op8_embedding_dedup, op9_virtual_slot_shards, op10_quality_classifier, op11_periodic_runs, op12_spelling_variants, op13_stream_bpe, pipeline]
     return {f.__name__: f for f in ops}
 
 
@@ -220,6 +238,40 @@ FROM embeddings m LEFT JOIN c ON c.id = m.vec_id LEFT JOIN n ON n.a = m.vec_id
 """
 
 
+#: CRC-32 is a table of 256 remainders of its reversed polynomial, and a fold over bytes.
+OP12_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8
+), tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), d AS (
+  SELECT run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run
+), h AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x), 2), lambda i: ('0x' || x[i + 1 : i + 2])::BIGINT)), lambda a, b: xor(a // 256, t[(xor(a, b) % 256 + 1)::INT])), 4294967295) AS h
+  FROM d, tab
+), w AS (
+  SELECT CASE WHEN h % 199 = 0 THEN run[1 : (h % length(run))::INT] || run[(h % length(run))::INT + 2 :] ELSE run END AS word, n FROM h
+), v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cut AS (
+  SELECT word, length(word) AS l, i, word[1 : i] || word[i + 2 :] AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)
+), near AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.l = b.l AND a.word <> b.word
+  UNION SELECT c.word, v.word FROM cut c JOIN v ON c.rest = v.word UNION SELECT v.word, c.word FROM cut c JOIN v ON c.rest = v.word
+), best AS (
+  SELECT near.word, count(*) AS k, min((-b.n, near.near)) AS f FROM near JOIN v b ON b.word = near.near GROUP BY near.word
+), f AS (
+  SELECT v.word, v.n, coalesce(k, 0) AS n_near, CASE WHEN -f[1] >= 5 * v.n THEN f[2] END AS form, CASE WHEN -f[1] >= 5 * v.n THEN -f[1] END AS form_n FROM v LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS root FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM f JOIN (SELECT chain.word, root FROM chain JOIN f ON f.word = root WHERE f.form IS NULL) c ON c.word = f.word
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": OP1_SQL,
@@ -229,4 +281,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_top_k": OP5_SQL,
         "op6_license_scan": _op6_sql(),
         "op8_embedding_dedup": OP8_SQL,
+        "op12_spelling_variants": OP12_SQL,
     }
