@@ -40,7 +40,7 @@ def max_deviation(counted: DataFrame, group: list[str], least: float = 0.015, re
     total = counted.groupBy(*group).agg(F.sum("n").alias("_n"), (F.sum("hits") / F.sum("n")).alias("_base"))
     both = counted.join(total, group) if group else counted.crossJoin(F.broadcast(total))  # one row
     dev = F.abs(F.col("hits") / F.col("n") - F.col("_base"))
-    dev = dev / F.col("_base") if relative else dev
+    dev = dev / F.nullif("_base", F.lit(0.0)) if relative else dev
     return both.groupBy(*group).agg(F.max(F.when(F.col("n") >= F.floor(F.col("_n") * least), dev)).alias("stat"))
 
 

@@ -19,17 +19,18 @@ def thin(days: Column, window: int) -> Column:
     return F.aggregate(F.array_sort(days), empty, lambda kept, d: F.when((F.size(kept) == 0) | (d - F.coalesce(F.element_at(kept, -1), F.lit(0)) > window), F.concat(kept, F.array(d))).otherwise(kept))
 
 
-def resolve(events: DataFrame, covers: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(id, kept) from events (id) and covers (id, by): `by` precedes id in rank and covers it."""
-    spark = events.sparkSession
+def resolve(events: DataFrame, covers: DataFrame) -> DataFrame:
+    """(id, kept) from events (id) and covers (id, by): `by` precedes id in rank and covers it. As many rounds as the longest chain of covers needs."""
+    covers, before = cut(covers), None
     state = events.select("id").distinct().join(covers.select("id").distinct().withColumn("_open", F.lit(True)), "id", "left").select("id", F.when(F.col("_open").isNull(), True).alias("kept"))
-    for _ in range(max_rounds):
+    while True:
         state = cut(state)
-        if state.where("kept is null").limit(1).count() == 0:
-            break
+        left = state.where("kept is null").count()
+        if left == 0:
+            return state
+        if left == before:  # each round decides the first of those that are left
+            raise RuntimeError("covering pairs must follow a rank")
+        before = left
         by = state.select(F.col("id").alias("by"), F.col("kept").alias("by_kept"))
         told = covers.join(by, "by").groupBy("id").agg(F.max(F.coalesce("by_kept", F.lit(False))).alias("hit"), F.count_if(F.col("by_kept").isNull()).alias("open"))
         state = state.join(told, "id", "left").select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.col("open") == 0, True).alias("kept"))
-    else:
-        raise RuntimeError("declustering didn't end; covering pairs must follow a rank")
-    return state

@@ -24,20 +24,6 @@ def logistic_gd(df: DataFrame, features: list[str], label: str, steps: int = 200
     return w
 
 
-def gbt_scores(train: DataFrame, test: DataFrame, features: list[str], label: str, iterations: int = 20) -> DataFrame:
-    """test with score: gradient-boosted trees from MLlib; missing features become the median, with a flag of their own."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import Imputer, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    flags = [f"{c}_missing" for c in features]
-    mark = lambda d: d.select("*", *[F.col(c).isNull().cast("double").alias(f) for c, f in zip(features, flags, strict=True)])
-    filled = [f"{c}_filled" for c in features]
-    model = Pipeline(stages=[Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled + flags, outputCol="features"), GBTClassifier(labelCol=label, maxIter=iterations, maxDepth=4, seed=7)]).fit(mark(train))
-    return model.transform(mark(test)).withColumn("score", vector_to_array("probability")[1]).select(*test.columns, "score")
-
-
 def ridge_r2(df: DataFrame, features: list[str], target: str, penalties: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), folds: int = 3) -> tuple[float, float]:
     """(R2 on the last 30 % of rows by target, penalty): medians for missing values, standard scales, and a ridge whose penalty cross-validation chooses."""
     from pyspark.ml import Pipeline
@@ -77,63 +63,6 @@ def simplex(f, start: list[float], scale: float = 0.2, rounds: int = 80) -> list
     return min(pts, key=lambda q: q[0])[1]
 
 
-# Days or hours that an event's influence lasts, and where the search for the five or eight parameters starts.
-ETAS_NAMES = ["mu", "k", "alpha", "c", "p", "d", "gamma", "q"]
-ETAS_START = [0.45, 0.02, 1.4, 0.05, 1.25, 12.0, 0.5, 1.6]
-#: Pairs that a fit takes; more are refused, never cut.
-MOST_PAIRS = 5_000_000
-
-
-def space_kernel(km2: np.ndarray, dm: np.ndarray, d: float, gamma: float, q: float) -> np.ndarray:
-    """A density over the plane that falls with the squared distance, wider for larger events."""
-    w = d * d * 10.0 ** (gamma * dm)
-    return (q - 1) / (np.pi * w) * (1 + km2 / w) ** -q
-
-
-def omori_integral(age0: np.ndarray, age1: np.ndarray, dm: np.ndarray, k: float, alpha: float, c: float, p: float) -> float:
-    """Events that ancestors trigger between two ages each."""
-    part = lambda age: (age + c) ** (1 - p)
-    return float(np.sum(k * np.exp(alpha * dm) * (part(age1) - part(np.maximum(age0, 0.0)))) / (1 - p))
-
-
-def fit_etas(targets: DataFrame, pairs: DataFrame, ancestors: DataFrame, t0: float, t1: float, spatial: bool = False, rounds: int = 2000, start: list[float] | None = None) -> dict[str, float]:
-    """The five parameters of greatest likelihood, or eight with space, of a process in which events trigger others; and ll.
-
-    targets: (id, background), a density over space, 1 without; pairs: (id, dt, dm, km) of each target with the earlier events
-    that reach it; ancestors: (t, dm). The pairs of a fit, bounded by MOST_PAIRS, are held on the driver; a search takes a thousand evaluations.
-    """
-    if pairs.limit(MOST_PAIRS + 1).count() > MOST_PAIRS:
-        raise ValueError("too many pairs for one fit: shorten its period or raise the least magnitude")
-    ids = targets.select("id", "background").toPandas()
-    at = {v: i for i, v in enumerate(ids["id"])}
-    pdf = pairs.select("id", "dt", "dm", "km").toPandas()
-    place, dt, dm, km2 = pdf["id"].map(at).to_numpy(int), pdf["dt"].to_numpy(float), pdf["dm"].to_numpy(float), pdf["km"].to_numpy(float) ** 2
-    old = ancestors.select("t", "dm").toPandas()
-    age0, age1, odm = t0 - old["t"].to_numpy(float), t1 - old["t"].to_numpy(float), old["dm"].to_numpy(float)
-    background = ids["background"].to_numpy(float)
-
-    def loss(theta: list[float]) -> float:
-        par = np.exp(np.clip(theta, -30, 30))
-        mu, k, alpha, c, p = par[:5]
-        p = min(p, 2.6)
-        if p <= 1.01:
-            return 1e12
-        rate = k * np.exp(np.minimum(alpha * dm, 50)) * (dt + c) ** -p
-        if spatial:
-            rate = rate * space_kernel(km2, dm, par[5], par[6], min(max(par[7], 1.05), 4.0))
-        lam = mu * background + np.bincount(place, rate, len(ids))
-        if not np.isfinite(lam).all() or (lam <= 0).any():
-            return 1e12
-        value = mu * (t1 - t0) + omori_integral(age0, age1, odm, k, alpha, c, p) - np.log(lam).sum()
-        return float(value) if np.isfinite(value) else 1e12
-
-    names = ETAS_NAMES if spatial else ETAS_NAMES[:5]
-    best = simplex(loss, [math.log(v) for v in (start or ETAS_START)[: len(names)]], rounds=rounds)
-    out = {n: math.exp(float(v)) for n, v in zip(names, best, strict=True)}
-    out["p"] = min(out["p"], 2.6)
-    return {**out, "ll": -loss(best)}
-
-
 def rate_ll(mu: Column, a: Column, span: float, kernel: str = "k") -> Column:
     """Log-likelihood of a background rate and a productivity: an aggregate over each event's sum of kernels."""
     return F.sum(F.log(mu + a * F.col(kernel))) - mu * span * F.count("*") - a * F.sum(kernel)

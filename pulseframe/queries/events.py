@@ -143,7 +143,7 @@ def slot_label_exclusive(spark, sf):
 
 
 POOL = f"""{CAT}, {big(0.97)}, k AS (SELECT unnest(range(1, 9)) AS k), cand AS (SELECT id, lat, lon, b.hour AS t, (CASE WHEN k % 2 = 0 THEN b.hour + 24 * k ELSE b.hour - 24 * k END + id % 5)::INTEGER AS hour, k::INTEGER AS k FROM big b, k),
-  inside AS (SELECT * FROM cand WHERE hour BETWEEN 0 AND 719), quiet AS (SELECT * FROM inside c WHERE NOT EXISTS (SELECT 1 FROM big b WHERE abs(b.hour - c.hour) <= 6 AND {hav('c', 'b')} <= 300)),
+  inside AS (SELECT * FROM cand WHERE hour BETWEEN (SELECT min(hour) FROM cat) AND (SELECT max(hour) FROM cat)), quiet AS (SELECT * FROM inside c WHERE NOT EXISTS (SELECT 1 FROM big b WHERE abs(b.hour - c.hour) <= 6 AND {hav('c', 'b')} <= 300)),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY id, k % 2 ORDER BY k) AS i FROM quiet), pool AS (SELECT id, hour, 0 AS is_case FROM ranked WHERE i <= 2 UNION ALL SELECT id, hour, 1 FROM big)"""
 
 
@@ -152,7 +152,8 @@ def _candidates(spark, sf):
     k = F.col("k")
     c = b.select("id", "lat", "lon", "hour", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k"))
     moved = F.when(k % 2 == 0, F.col("hour") + 24 * k).otherwise(F.col("hour") - 24 * k) + F.col("id") % 5
-    return b, c.withColumn("hour", moved.cast("int")).where("hour between 0 and 719")
+    ends = F.broadcast(catalog(spark, sf).agg(F.min("hour").alias("lo"), F.max("hour").alias("hi")))  # one row
+    return b, c.withColumn("hour", moved.cast("int")).crossJoin(ends).where("hour between lo and hi").drop("lo", "hi")
 
 
 def _quiet(spark, sf):
@@ -313,16 +314,21 @@ def _kernel(spark, sf):
     return b, p.groupBy(F.col("id2").alias("id")).agg(F.sum(k).alias("k"))
 
 
+def hours(spark, sf):
+    """How many the catalogue spans."""
+    return catalog(spark, sf).agg((F.max("hour") - F.min("hour") + 1).alias("n")).first()["n"] or 0
+
+
 @query(KERNEL + " SELECT id, round(k, 9) AS k FROM pr")
 def spatial_kernel(spark, sf):
     return _kernel(spark, sf)[1].select("id", F.round("k", 9).alias("k"))
 
 
-@query(KERNEL + ", l AS (SELECT ln(0.001 + 0.01 * coalesce(k, 0)) AS l FROM big LEFT JOIN pr USING (id)) SELECT round(sum(l) - 0.001 * 720 * count(*), 6) AS ll, round(avg(l - ln(0.001)), 6) AS gain FROM l")
+@query(KERNEL + ", l AS (SELECT ln(0.001 + 0.01 * coalesce(k, 0)) AS l FROM big LEFT JOIN pr USING (id)) SELECT round(sum(l) - 0.001 * (SELECT max(hour) - min(hour) + 1 FROM cat) * count(*), 6) AS ll, round(avg(l - ln(0.001)), 6) AS gain FROM l")
 def point_process_ll(spark, sf):
     b, k = _kernel(spark, sf)
     l = b.select("id").join(k, "id", "left").select(F.log(0.001 + 0.01 * F.coalesce("k", F.lit(0.0))).alias("l"))
-    return l.agg(F.round(F.sum("l") - 0.001 * 720 * F.count("*"), 6).alias("ll"), F.round(F.avg(F.col("l") - math.log(0.001)), 6).alias("gain"))
+    return l.agg(F.round(F.sum("l") - 0.001 * hours(spark, sf) * F.count("*"), 6).alias("ll"), F.round(F.avg(F.col("l") - math.log(0.001)), 6).alias("gain"))
 
 
 @query(f"WITH {OMORI}, r AS (SELECT i.hour, sum(j.cnt * pow(i.hour - j.hour + 0.5, -1.1)) AS rate FROM h i JOIN h j ON j.hour < i.hour AND j.hour >= i.hour - 48 GROUP BY i.hour), t AS (SELECT quantile_cont(rate, 0.9) AS c90, quantile_cont(rate, 0.5) AS c50 FROM r), {big(0.97)} SELECT count(*) AS n, round(avg((rate >= c90)::INT), 9) AS hit10, round(avg((rate >= c50)::INT), 9) AS hit50 FROM big JOIN r USING (hour), t")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.operators import decluster
 from pulseframe.session import shared_folder
-from pulseframe.sources import files, records, solar, text
+from pulseframe.sources import files, grids, records, solar, text
 from pulseframe.sources.testbed import catalog, daily, field, indicator, read
 
 from .base import CAT, DAILY, FIELD, IND, query
@@ -263,10 +263,9 @@ def published_snapshots(spark, sf):
 def base_and_growth(spark, sf):
     """The indicator's grid with a growing count beside it, null where that isn't known."""
     from pulseframe.functions.calendar import epoch_day
-    from pulseframe.plans.claims import base_series
 
     g = read(spark, sf, "lineitem").groupBy(epoch_day(F.col("l_shipdate")).alias("dd")).agg(F.count("*").alias("cnt"))
-    return base_series(indicator(spark, sf), g)
+    return indicator(spark, sf).select("dd", "y").join(g.select("dd", F.col("cnt").cast("double").alias("growth")), "dd", "left")
 
 
 @query(f"WITH {IND}, {DAILY.replace('daily AS', 'd2 AS')} SELECT ind.dd, y, d2.cnt, d2.mx FROM ind JOIN d2 ON ind.dd = d2.dd")
@@ -293,3 +292,37 @@ def nearest_node(spark, sf):
     """The nearest node of irregular axes, the first on a tie; longitudes go around."""
     p = catalog(spark, sf).select("lat", "lon").distinct()
     return p.select("lat", "lon", records.cell_index(F.col("lat"), AXIS).alias("i"), records.cell_index(F.col("lon"), MERIDIANS, 360.0).alias("j"))
+
+
+def grid_folder(spark, sf):
+    """The field as gridded binary files, one a year: four rows of five cells."""
+    f = field(spark, sf).withColumn("year", F.year(F.date_from_unix_date("dd")))
+    path = folder(spark, "grids")
+    grids.write_grid(f.withColumns({"lat": F.floor(F.col("cell") / 5) * 10.0 - 20, "lon": F.col("cell") % 5 * 72.0}), path, "year", "dd", ["lat", "lon"], "value")
+    return path
+
+
+@query(f"WITH {FIELD} SELECT dd, (cell // 5) * 10 - 20::DOUBLE AS lat, (cell % 5) * 72::DOUBLE AS lon, value FROM field")
+def read_classic_grid(spark, sf):
+    """Every cell of gridded binary files that holds a value."""
+    g = grids.read_grid(spark, grid_folder(spark, sf))
+    return g.where("value is not null").select(F.col("dd").cast("int").alias("dd"), "lat", "lon", "value")
+
+
+@query(f"WITH {FIELD}, e AS (SELECT min(dd) AS lo, max(dd) AS hi FROM field) SELECT dd, count(*) AS n, round(avg(value), 6) AS mean FROM field, e WHERE cell // 5 IN (1, 2) AND dd >= lo + (hi - lo) // 4 AND dd < lo + (hi - lo) // 2 GROUP BY dd")
+def grid_window(spark, sf):
+    """Daily means over two rows of a grid in a quarter of its time; other files, slabs and rows aren't opened."""
+    e = field(spark, sf).agg(F.min("dd").alias("lo"), F.max("dd").alias("hi")).first()
+    lo, hi = (e["lo"], e["hi"]) if e["lo"] is not None else (0, 0)
+    g = grids.read_grid(spark, grid_folder(spark, sf)).where((F.col("dd") >= float(lo + (hi - lo) // 4)) & (F.col("dd") < float(lo + (hi - lo) // 2)) & F.col("lat").between(-10.0, 0.0))
+    return g.where("value is not null").groupBy(F.col("dd").cast("int").alias("dd")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query(f"WITH {FIELD}, ev AS (SELECT DISTINCT (o_custkey % 20)::INTEGER AS cell FROM orders WHERE o_totalprice > 300000) SELECT year(DATE '1970-01-01' + dd)::INTEGER AS year, count(*) AS n, count(*) FILTER (abs(value) > 40000) AS beyond, round(avg(value) FILTER (abs(value) <= 40000), 6) AS mean FROM field SEMI JOIN ev USING (cell) GROUP BY ALL")
+def grid_at_events(spark, sf):
+    """A binary grid at the cells of events, by year; what is too large to be a value counts as missing."""
+    g = grids.read_grid(spark, grid_folder(spark, sf), "pressure,value").where("value is not null")
+    g = g.withColumn("cell", ((F.col("lat") + 20) / 10 * 5 + F.col("lon") / 72).cast("int"))
+    near = files.at_cells(g, read(spark, sf, "orders").where("o_totalprice > 300000"), (F.col("o_custkey") % 20).cast("int"))
+    v = F.when(F.abs("value") <= 40000, F.col("value"))
+    return near.groupBy(F.year(F.date_from_unix_date(F.col("dd").cast("int"))).alias("year")).agg(F.count("*").alias("n"), F.count_if(F.abs("value") > 40000).alias("beyond"), F.round(F.avg(v), 6).alias("mean"))

@@ -6,13 +6,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulseframe.operators import joins, nulls, stats
-from pulseframe.plans import audit
+from pulseframe.plans import audit, triggering
 from pulseframe.plans.modulation import binned_bank, joined_bank
 from pulseframe.sources.testbed import catalog, field, large, read
 from pulseframe.streaming import counterparts as st
 
 from .base import BINNED, CAT, FIELD, big, hav, query
-from .events import COLS, KERNEL, _kernel
+from .events import COLS, KERNEL, _kernel, hours
 from .resampling import SPAN, _span
 
 #: Level that stands for a field's climatology.
@@ -59,28 +59,31 @@ def _rates(spark, sf):
 
 
 @query(KERNEL + f""", g AS (SELECT unnest({list(GRID_MU)})::DOUBLE AS mu), a AS (SELECT unnest({list(GRID_K)})::DOUBLE AS a),
-  l AS (SELECT mu, a, sum(ln(mu + a * coalesce(k, 0))) - mu * 720 * count(*) - a * sum(coalesce(k, 0)) AS ll FROM big LEFT JOIN pr USING (id), g, a GROUP BY mu, a)
+  l AS (SELECT mu, a, sum(ln(mu + a * coalesce(k, 0))) - mu * (SELECT max(hour) - min(hour) + 1 FROM cat) * count(*) - a * sum(coalesce(k, 0)) AS ll FROM big LEFT JOIN pr USING (id), g, a GROUP BY mu, a)
   SELECT mu, a, round(ll, 6) AS ll, rank() OVER (ORDER BY round(ll, 6) DESC)::INTEGER AS place FROM l""")
 def etas_grid_ll(spark, sf):
     """Log-likelihoods of background and productivity on a grid of parameters, in one aggregation."""
     r = _rates(spark, sf)
-    cells = [(m, a) for m in GRID_MU for a in GRID_K]
-    ll = r.agg(*[audit.rate_ll(F.lit(m), F.lit(a), 720).alias(f"c{i}") for i, (m, a) in enumerate(cells)])
+    cells, span = [(m, a) for m in GRID_MU for a in GRID_K], hours(spark, sf)
+    ll = r.agg(*[audit.rate_ll(F.lit(m), F.lit(a), span).alias(f"c{i}") for i, (m, a) in enumerate(cells)])
     rows = F.array(*[F.struct(F.lit(m).alias("mu"), F.lit(a).alias("a"), F.round(f"c{i}", 6).alias("ll")) for i, (m, a) in enumerate(cells)])
     return ll.select(F.inline(rows)).withColumn("place", F.rank().over(W.orderBy(F.desc("ll"))))  # a row for each cell of the grid
 
 
 @query()
 def etas_mle(spark, sf):
-    """Background and productivity of greatest likelihood, by a simplex over their logarithms, each step an aggregation; then all five parameters in time, and all eight in time and space."""
-    mu, a, ll = audit.fit_rates(_rates(spark, sf), 720, rounds=25)
+    """Background and productivity of greatest likelihood, by a simplex over their logarithms; then all five parameters in time, and all eight in time and space, by expectation-maximisation over all pairs."""
+    mu, a, ll = audit.fit_rates(_rates(spark, sf), hours(spark, sf), rounds=25)
     b = large(spark, sf, 0.97)
     pairs = joins.near_pairs(b, joins.second(b, COLS), 1000, (1, 120)).select(F.col("id2").alias("id"), (F.col("hour2") - F.col("hour")).alias("dt"), (F.col("mag") - 6.0).alias("dm"), "km")
     targets = b.select("id", F.lit(1.0).alias("background"))
     ancestors = b.select(F.col("hour").alias("t"), (F.col("mag") - 6.0).alias("dm"))
+    ends = catalog(spark, sf).agg(F.min("hour").alias("t0"), (F.max("hour") + 1).alias("t1")).first()
     rows = [("two", "mu", mu), ("two", "a", a), ("two", "ll", ll)]
-    for name, spatial in (("five", False), ("eight", True)):
-        rows += [(name, k, v) for k, v in audit.fit_etas(targets, pairs, ancestors, 0.0, 720.0, spatial, start=[0.1, 0.01, 1.0, 0.5, 1.25, 100.0, 0.5, 1.6]).items()]
+    start = triggering.Parameters(0.1, 0.01, 1.0, 0.5, 1.25, 100.0, 0.5, 1.6)
+    for name, spatial, names in (("five", False, ["mu", "k", "alpha", "c", "p"]), ("eight", True, ["mu", "k", "alpha", "c", "p", "d", "gamma", "q"])):
+        found, lls = triggering.fit(targets, pairs, ancestors, float(ends["t0"] or 0), float(ends["t1"] or 1), 120.0, start, spatial, rounds=12)
+        rows += [(name, n, getattr(found, n)) for n in names] + [(name, "ll", lls[-1] if lls else 0.0), (name, "gained", lls[-1] - lls[0] if lls else 0.0)]
     return spark.createDataFrame([(m, k, round(float(v), 4)) for m, k, v in rows], "model string, parameter string, value double")
 
 

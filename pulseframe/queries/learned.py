@@ -7,12 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from pulseframe.plans import audit, boosting, claims
+from pulseframe.plans import attribution, audit, boosting, fingerprint
 from pulseframe.plans.modulation import joined_bank
-from pulseframe.session import shared_folder
-from pulseframe.shipping import ship
+from pulseframe.session import cut, shared_folder
 from pulseframe.sources import files
-from pulseframe.sources.testbed import indicator
+from pulseframe.sources.testbed import indicator, read
 from pulseframe.streaming import counterparts as st
 
 from .base import BANK, EDGES, IND, query
@@ -23,86 +22,116 @@ def claims_of(spark, sf):
     return joined_bank(spark, sf).select(F.col("variable").alias("claim"), F.col("dd").alias("pos"), F.col("value").alias("x"), "y")
 
 
-@query()
-def fingerprint_vector(spark, sf):
-    """All sixteen axes; fingerprint_axes has SQL for those that it can express."""
-    f = claims.fingerprints(claims_of(spark, sf))
-    return f.select("claim", *[F.round(a, 6).alias(a) for a in claims.AXES])
+def xorshift(name: str, first: str, last: int) -> str:
+    """SQL for streams of draws: `first` selects (s, x) of each stream's name and seed."""
+    m = 4294967295
+    return f"""{name} AS (SELECT s, -1 AS i, x FROM ({first}) UNION ALL SELECT s, i + 1, xor(b, (b << 5) & {m}) FROM (SELECT s, i, xor(a, a >> 17) AS b FROM (SELECT s, i, xor(x, (x << 13) & {m}) AS a FROM {name} WHERE i < {last})))"""
 
 
-@query(f"""WITH {IND}, {BANK}, j AS (SELECT b.variable AS claim, b.value AS x, i.y::DOUBLE AS y, row_number() OVER (PARTITION BY b.variable ORDER BY b.dd) - 1 AS t, count(*) OVER (PARTITION BY b.variable) AS n FROM bank b JOIN ind i ON b.dd = i.dd),
-  h AS (SELECT claim, 0 AS part, x, y FROM j UNION ALL SELECT claim, CASE WHEN t < n // 2 THEN 1 ELSE 2 END, x, y FROM j), e AS (SELECT claim, part, quantile_cont(x, {EDGES}) AS e, avg(y) AS base FROM h GROUP BY ALL),
-  r AS (SELECT h.claim, h.part, e.base, greatest(least(len(list_filter(e.e[1:10], lambda v: v <= h.x)) - 1, 9), 0) AS bin, avg(y) AS rate FROM h JOIN e ON h.claim = e.claim AND h.part = e.part GROUP BY ALL),
-  s AS (SELECT claim, part, max(abs(rate - base)) / any_value(base) AS stat FROM r GROUP BY ALL), w AS (SELECT claim, max(stat) FILTER (part = 0) AS stat, abs(max(stat) FILTER (part = 1) - max(stat) FILTER (part = 2)) / (max(stat) FILTER (part = 1) + max(stat) FILTER (part = 2)) AS half_gap FROM s GROUP BY claim),
+@query()
+def fingerprint_vector(spark, sf):
+    """All sixteen axes; fingerprint_axes has SQL for ten."""
+    f = fingerprint.fingerprints(claims_of(spark, sf))
+    return f.select("claim", *[F.round(a, 6).alias(a) for a in fingerprint.AXES])
+
+
+TEN = ["stat", "p_shift", "log_p", "detect_ratio", "half_gap", "ac1", "trend_x", "trend_y", "spectral", "null_fpr"]
+SEED, TURNS = fingerprint.SEED, "(30 + floor(x / 4294967296.0::DOUBLE * (n - 60)))::INTEGER"
+
+
+@query(f"""WITH RECURSIVE {IND}, {BANK}, j AS MATERIALIZED (SELECT b.variable AS claim, b.value AS x, i.y::DOUBLE AS y, (row_number() OVER (PARTITION BY b.variable ORDER BY b.dd) - 1)::INTEGER AS t, (count(*) OVER (PARTITION BY b.variable))::INTEGER AS n FROM bank b JOIN ind i ON b.dd = i.dd),
+  h AS (SELECT claim, 0 AS part, t, n, x, y FROM j UNION ALL SELECT claim, CASE WHEN t < n // 2 THEN 1 ELSE 2 END, t, n, x, y FROM j), e AS (SELECT claim, part, quantile_cont(x, {EDGES}) AS e, avg(y) AS base FROM h GROUP BY ALL),
+  bn AS MATERIALIZED (SELECT h.claim, h.part, h.t, h.n, h.y, e.base, greatest(least(len(list_filter(e.e, lambda v: v <= h.x)) - 1, 9), 0) AS bin FROM h JOIN e ON h.claim = e.claim AND h.part = e.part),
+  r AS (SELECT claim, part, base, bin, avg(y) AS rate FROM bn GROUP BY ALL), s AS (SELECT claim, part, max(abs(rate - base)) / any_value(base) AS stat FROM r GROUP BY ALL),
+  hg AS (SELECT claim, abs(max(stat) FILTER (part = 1) - max(stat) FILTER (part = 2)) / (max(stat) FILTER (part = 1) + max(stat) FILTER (part = 2)) AS half_gap FROM s GROUP BY claim),
+  sz AS (SELECT claim, bin, n, base, count(*) AS size FROM bn WHERE part = 0 GROUP BY ALL),
+  hit AS (SELECT a.claim, (b.t - a.t + a.n) % a.n AS shift, b.bin, count(*) AS hits FROM bn a JOIN bn b ON a.claim = b.claim AND a.part = 0 AND b.part = 0 AND a.y = 1 GROUP BY ALL),
+  tab AS MATERIALIZED (SELECT g.claim, g.shift, g.n, max(abs(coalesce(hits, 0) / size::DOUBLE - base)) / any_value(base) AS stat FROM (SELECT *, unnest(range(n))::INTEGER AS shift FROM sz) g LEFT JOIN hit ON hit.claim = g.claim AND hit.shift = g.shift AND hit.bin = g.bin GROUP BY ALL),
+  own AS (SELECT claim, n, stat AS own FROM tab WHERE shift = 0), {xorshift("d0", f"SELECT 0 AS s, {SEED}::BIGINT AS x", fingerprint.TURNS - 1)}, {xorshift("d1", f"SELECT 0 AS s, {SEED + 1}::BIGINT AS x", 59)}, {xorshift("d2", f"SELECT k AS s, ({SEED + 7} + k)::BIGINT AS x FROM range(60) q(k)", 59)},
+  nl AS (SELECT own.claim, own, tab.stat FROM own JOIN d0 ON i >= 0 JOIN tab ON tab.claim = own.claim AND tab.shift = {TURNS.replace("(n -", "(own.n -")}),
+  p AS (SELECT claim, any_value(own) AS stat, (count(*) FILTER (stat >= own) + 1) / (count(*) + 1)::DOUBLE AS p_shift, any_value(own) / quantile_cont(stat, 0.95) AS detect_ratio FROM nl GROUP BY claim),
+  tr AS (SELECT own.claim, own.n, i, {TURNS} AS k FROM own, d1 WHERE i >= 0), ag AS (SELECT tr.claim, tr.i, tr.k, (tr.k + {TURNS.replace("x /", "d2.x /")}) % n AS shift FROM tr JOIN d2 ON d2.s = tr.i AND d2.i >= 0),
+  pp AS (SELECT ag.claim, ag.i, (count(*) FILTER (a.stat >= o.stat) + 1) / (count(*) + 1)::DOUBLE AS p FROM ag JOIN tab a ON a.claim = ag.claim AND a.shift = ag.shift JOIN tab o ON o.claim = ag.claim AND o.shift = ag.k GROUP BY ALL),
+  fp AS (SELECT claim, avg((p < 0.05)::INT) AS null_fpr FROM pp GROUP BY claim),
   m AS (SELECT claim, avg(x) AS mu, regr_r2(x, t) AS trend_x FROM j GROUP BY claim), l AS (SELECT j.claim, x - mu AS d, lag(x - mu) OVER (PARTITION BY j.claim ORDER BY t) AS p FROM j JOIN m ON j.claim = m.claim),
-  a AS (SELECT claim, sum(d * p) / sum(d * d) AS ac1 FROM l GROUP BY claim) SELECT claim, round(stat, 6) AS stat, round(half_gap, 6) AS half_gap, round(ac1, 6) AS ac1, round(trend_x, 6) AS trend_x FROM w JOIN m USING (claim) JOIN a USING (claim)""")
+  ac AS (SELECT claim, sum(d * p) / sum(d * d) AS ac1 FROM l GROUP BY claim), sm AS (SELECT claim, t, sum(y) OVER (PARTITION BY claim ORDER BY t ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING) / 365 AS y FROM j), ty AS (SELECT claim, regr_r2(y, t) AS trend_y FROM sm GROUP BY claim),
+  z AS (SELECT claim, t, x, pow(2, floor(log2(n)))::BIGINT AS n FROM j WHERE t < pow(2, floor(log2(n)))), f AS (SELECT claim, k, pow(sum(x * cos(2 * pi() * ((k * t) % n) / n)), 2) + pow(sum(x * sin(2 * pi() * ((k * t) % n) / n)), 2) AS p FROM z, LATERAL (SELECT unnest(range(1, n // 2 + 1)) AS k) GROUP BY claim, k),
+  sp AS (SELECT claim, sum(p) FILTER (i <= 5) / sum(p) AS spectral FROM (SELECT claim, p, row_number() OVER (PARTITION BY claim ORDER BY p DESC) AS i FROM f) GROUP BY claim)
+  SELECT claim, {", ".join(f"round({a}, 6) AS {a}" for a in TEN if a != "log_p")}, round(-log10(greatest(p_shift, 1e-4)), 6) AS log_p FROM p JOIN hg USING (claim) JOIN fp USING (claim) JOIN m USING (claim) JOIN ac USING (claim) JOIN ty USING (claim) JOIN sp USING (claim)""")
 def fingerprint_axes(spark, sf):
     """The axes that SQL expresses, from the fingerprint itself."""
-    f = claims.fingerprints(claims_of(spark, sf), calibrate=False)
-    return f.select("claim", *[F.round(a, 6).alias(a) for a in ("stat", "half_gap", "ac1", "trend_x")])
+    f = fingerprint.fingerprints(claims_of(spark, sf))
+    return f.select("claim", *[F.round(a, 6).alias(a) for a in TEN])
 
 
 @query()
 def claim_examples(spark, sf):
     """Claims of seven kinds made on the indicator's grid, with their axes."""
-    base = indicator(spark, sf).select("dd", "y").orderBy("dd").toPandas()  # one series of days
-    out = claims.examples(spark, base["y"].to_numpy(float), None, 6)
-    return out.select("kind", "index", *[F.round(a, 6).alias(a) for a in claims.AXES])
+    made = cut(fingerprint.examples(indicator(spark, sf).select("dd", "y"), 2))
+    kinds = made.select("claim", "kind", "index").distinct()
+    return kinds.join(fingerprint.fingerprints(made), "claim").select("kind", "index", *[F.round(a, 6).alias(a) for a in fingerprint.AXES])
 
 
 @query()
 def claim_attribution(spark, sf):
     """The kind of each held-out claim: boosted trees for seven classes, prediction sets per class, and abstention far out."""
-    import numpy as np
-
-    base = indicator(spark, sf).select("dd", "y").orderBy("dd").toPandas()
-    rows = claims.examples(spark, base["y"].to_numpy(float), None, 30).toPandas().sort_values(["kind", "index"])
-    keep = [a for a in claims.AXES if np.isfinite(rows[a]).mean() > 0.5 and np.nanstd(rows[a]) > 0]
-    x, kinds, turn = rows[keep].to_numpy(float), rows["kind"].tolist(), rows["index"].to_numpy() % 20
-    fit, cal, test = turn < 9, (turn >= 9) & (turn < 16), turn >= 16
-    pick = lambda m: [k for k, v in zip(kinds, m, strict=True) if v]
-    bundle = boosting.fit(x[fit], np.array(pick(fit)), boosting.SMALL)
-    p = boosting.predict(bundle, x)
-    q = claims.class_quantiles(p[cal], pick(cal), bundle["classes"], {"REAL": 0.01})
-    mu = np.nanmean(x[fit], 0)
-    z = np.where(np.isfinite(x), x, mu) - mu
-    inverse = np.linalg.pinv(np.cov(z[fit].T) + np.eye(len(keep)) * 1e-6)
-    far = np.sqrt(np.einsum("ni,ij,nj->n", z, inverse, z))
-    sets = claims.prediction_sets(p[test], q, bundle["classes"], far[test] > np.percentile(far[fit], 99))
-    at = np.flatnonzero(test)
-    return spark.createDataFrame([(kinds[i], int(rows["index"].iloc[i]), bundle["classes"][int(p[i].argmax())], s, round(float(p[i].max()), 6)) for i, s in zip(at, sets, strict=True)], "kind string, index int, said string, kinds array<string>, probability double")
-
-
-@query("SELECT doc_id, true AS agrees FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id)")
-def exported_trees(spark, sf):
-    """A fitted ensemble, exported and walked as an expression; rows agree with the fitted model's own probabilities to 1e-9, or the export is refused."""
-    import numpy as np
+    made = cut(fingerprint.examples(indicator(spark, sf).select("dd", "y"), 12))
+    rows = cut(made.select("claim", "kind", "index").distinct().join(fingerprint.fingerprints(made), "claim"))
+    return attribution.attribute(rows, fingerprint.AXES, "kind", F.col("index") % 12 < 6, F.col("index") % 12 < 11, {"REAL": 0.01}).select("kind", "index", "said", "kinds", F.round("probability", 6).alias("probability"))
+
+
+#: A first tree of two levels over documents: quantile codes, the best split of the root, and of both its children.
+FEATURES = ["n_chars", "pieces", "mean_length"]
+LEVEL = """c{k} AS (SELECT node, j, code, sum(g) AS g, sum(h) AS h, count(*) AS n FROM long{k} GROUP BY ALL),
+  s{k} AS (SELECT *, sum(CASE WHEN code IS NOT NULL THEN g ELSE 0 END) OVER w AS gi, sum(CASE WHEN code IS NOT NULL THEN h ELSE 0 END) OVER w AS hi, sum(CASE WHEN code IS NOT NULL THEN n ELSE 0 END) OVER w AS ni,
+    sum(g) OVER v AS ga, sum(h) OVER v AS ha, sum(n) OVER v AS na, coalesce(sum(g) FILTER (code IS NULL) OVER v, 0) AS gm, coalesce(sum(h) FILTER (code IS NULL) OVER v, 0) AS hm, coalesce(sum(n) FILTER (code IS NULL) OVER v, 0) AS nm
+    FROM c{k} WINDOW w AS (PARTITION BY node, j ORDER BY code NULLS FIRST ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY node, j)),
+  m{k} AS (SELECT node, j, code, m, gi + m * gm AS gl, hi + m * hm AS hl, ni + m * nm AS nl, ga, ha, na FROM s{k}, (VALUES (0), (1)) AS t(m) WHERE code IS NOT NULL),
+  g{k} AS (SELECT *, round(gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1), 6) AS gain FROM m{k} WHERE nl >= 20 AND na - nl >= 20),
+  b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, j, code, m) AS i FROM g{k} WHERE gain > 0) WHERE i = 1)"""
+TREE = """base AS (SELECT d.doc_id, n_chars::DOUBLE AS n_chars, CASE WHEN d.doc_id % 7 <> 0 THEN len(string_split(text, ' '))::DOUBLE END AS pieces, n_chars::DOUBLE / len(string_split(text, ' ')) AS mean_length, quality AS y FROM documents d JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)),
+  p0 AS (SELECT avg(y) AS p FROM base), x AS (SELECT doc_id, y, j, [n_chars, pieces, mean_length][j + 1] AS v FROM base, (VALUES (0), (1), (2)) AS t(j)),
+  e AS (SELECT j, list_sort(list_distinct(quantile_cont(v, [QS]))) AS e FROM x GROUP BY j),
+  long0 AS (SELECT '' AS node, doc_id, j, CASE WHEN v IS NOT NULL THEN len(list_filter(e, lambda t: t < v)) END AS code, p - y AS g, p * (1 - p) AS h FROM x JOIN e USING (j), p0), """.replace("QS", ", ".join(str(k / 32) for k in range(1, 32))) + LEVEL.format(k=0) + """,
+  long1 AS (SELECT CASE WHEN coalesce(o.code <= b0.code, b0.m = 1) THEN 'L' ELSE 'R' END AS node, l.doc_id, l.j, l.code, l.g, l.h FROM long0 l JOIN b0 ON true JOIN long0 o ON o.doc_id = l.doc_id AND o.j = b0.j), """ + LEVEL.format(k=1) + """,
+  leaf AS (SELECT l.doc_id, l.node || CASE WHEN b1.node IS NULL THEN '' WHEN coalesce(o.code <= b1.code, b1.m = 1) THEN 'L' ELSE 'R' END AS path, l.g, l.h FROM (SELECT DISTINCT node, doc_id, g, h FROM long1) l LEFT JOIN b1 ON b1.node = l.node LEFT JOIN long1 o ON o.doc_id = l.doc_id AND o.j = b1.j),
+  value AS (SELECT path, -0.1 * sum(g) / (sum(h) + 1) AS value FROM leaf GROUP BY path)"""
 
-    docs = scored(spark, sf).select("doc_id", F.col("n_chars").cast("double").alias("a"), F.when(F.col("doc_id") % 7 != 0, F.log1p("n_chars")).alias("b"), "y")
-    some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(4000).toPandas()  # the rows that a fit takes
-    bundle = boosting.fit(some[["a", "b"]].to_numpy(float), some["y"].to_numpy(int), boosting.Settings(rounds=40))
-    mine = docs.select("doc_id", "a", "b", F.get(boosting.softmax(boosting.scores(bundle, F.array("a", "b"))), F.lit(1)).alias("p"))
 
-    def compare(batches):
-        for b in batches:
-            p = boosting.predict(bundle, b[["a", "b"]].to_numpy(float))[:, 1]
-            yield b[["doc_id"]].assign(agrees=np.abs(p - b["p"].to_numpy(float)) <= 1e-9)
+def quality_features(spark, sf):
+    pieces = F.size(F.split("text", " "))
+    docs = read(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.when(F.col("doc_id") % 7 != 0, pieces.cast("double")).alias("pieces"), (F.col("n_chars") / pieces).alias("mean_length"))
+    return docs.join(read(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("y")), "doc_id")
 
-    ship(spark)
-    checked = mine.mapInPandas(compare, "doc_id long, agrees boolean")
-    files.write_json_if(spark.createDataFrame([(json.dumps(bundle),)], "bundle string"), f"{shared_folder(spark).rstrip('/')}/model-{uuid.uuid4().hex}", lambda _: checked.where("not agrees").limit(1).count() == 0)
-    return checked
+
+FIRST = boosting.Settings(rounds=1, rate=0.1, levels=2)
+
+
+@query(f"""WITH {TREE}, b AS (SELECT * FROM b0 UNION ALL SELECT * FROM b1) SELECT node AS path, ['n_chars', 'pieces', 'mean_length'][j + 1] AS feature, round(e[code + 1], 6) AS threshold, m AS missing_left FROM b JOIN e USING (j)""")
+def boosted_first_tree(spark, sf):
+    """The splits of a first tree over whole tables."""
+    bundle, _ = boosting.fit(quality_features(spark, sf), FEATURES, "y", FIRST)
+    return spark.createDataFrame([(path, f, None if t == float("inf") else round(t, 6), m) for _, _, path, f, t, m, _ in boosting.nodes(bundle) if f], "path string, feature string, threshold double, missing_left int")
+
+
+@query(f"WITH {TREE} SELECT doc_id, round(1 / (1 + exp(-(ln(p / (1 - p)) + value))), 9) AS p FROM leaf JOIN value USING (path), p0")
+def exported_trees(spark, sf):
+    """A fitted tree, exported and walked as an expression; the export is refused unless it agrees with the fitted scores to 1e-9."""
+    docs = quality_features(spark, sf)
+    bundle, fitted = boosting.fit(docs, FEATURES, "y", FIRST, key="doc_id")
+    mine = docs.select("doc_id", boosting.scores(bundle, F.array(*FEATURES)).alias("mine"))
+    apart = mine.join(fitted, mine["doc_id"] == fitted["key"]).where(F.abs(F.get("mine", F.lit(0)) - F.get("raw", F.lit(0))) > 1e-9)
+    files.write_json_if(spark.createDataFrame([(json.dumps(bundle),)], "bundle string"), f"{shared_folder(spark).rstrip('/')}/model-{uuid.uuid4().hex}", lambda _: apart.isEmpty())
+    return mine.select("doc_id", F.round(F.get(boosting.softmax(F.col("mine")), F.lit(1)), 9).alias("p"))
 
 
 @query()
 def gbt_scores(spark, sf):
-    """Three hundred rounds of boosted trees on a bounded sample, scored as an expression over all held-out rows."""
-    s = scored(spark, sf).select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.log1p("n_chars").alias("log_chars"), F.col("y").cast("int").alias("y"))
-    some = s.where("doc_id % 5 <> 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(5000).toPandas()  # the rows that a fit takes
-    bundle = boosting.fit(some[["n_chars", "log_chars"]].to_numpy(float), some["y"].to_numpy(), boosting.Settings())
-    out = s.where("doc_id % 5 = 0")
-    p = F.get(boosting.softmax(boosting.scores(bundle, F.array("n_chars", "log_chars"))), F.lit(1))
-    return out.select("doc_id", F.col("y").cast("double").alias("y"), F.round(p, 6).alias("score"))
+    """Boosted trees over all rows that aren't held out, scored as an expression over those that are."""
+    s = quality_features(spark, sf)
+    bundle, _ = boosting.fit(s.where("doc_id % 5 <> 0"), FEATURES, "y", boosting.Settings(rounds=10))
+    p = F.get(boosting.softmax(boosting.scores(bundle, F.array(*FEATURES))), F.lit(1))
+    return s.where("doc_id % 5 = 0").select("doc_id", F.col("y").cast("double").alias("y"), F.round(p, 6).alias("score"))
 
 
 @query()

@@ -162,12 +162,12 @@ def early_warning(spark, sf):
     return c.select("id", F.round("km", 4).alias("km"), F.round(geo.warning_seconds(F.col("km"), F.col("station")), 4).alias("seconds"), F.round(geo.blind_radius(F.col("station")), 4).alias("blind_km"), F.round(geo.tsunami_minutes(F.col("km"), 4000.0), 4).alias("tsunami"))
 
 
-@query(f"WITH {CAT}, {big(0.97)} SELECT id, round(0.02 * exp(1.4::DOUBLE * (mag - 5)) * (pow(greatest(720 - hour, 0) + 0.05, -0.25::DOUBLE) - pow(greatest(360 - hour, 0) + 0.05, -0.25::DOUBLE)) / -0.25::DOUBLE, 6) AS expected, round(0.6::DOUBLE / (pi() * 144 * pow(10, 0.5::DOUBLE * (mag - 5))) * pow(1 + 10000 / (144 * pow(10, 0.5::DOUBLE * (mag - 5))), -1.6::DOUBLE), 12) AS density FROM big WHERE hour < 720")
+@query(f"WITH {CAT}, {big(0.97)} SELECT id, round(0.02 * exp(1.4::DOUBLE * (mag - 5)) * (pow(t1 - hour + 0.05, -0.25::DOUBLE) - pow(greatest(t1 - 360 - hour, 0) + 0.05, -0.25::DOUBLE)) / -0.25::DOUBLE, 6) AS expected, round(0.6::DOUBLE / (pi() * 144 * pow(10, 0.5::DOUBLE * (mag - 5))) * pow(1 + 10000 / (144 * pow(10, 0.5::DOUBLE * (mag - 5))), -1.6::DOUBLE), 12) AS density FROM big, (SELECT max(hour) + 1 AS t1 FROM cat)")
 def omori_expectation(spark, sf):
-    """Events that each ancestor is expected to trigger in the second half of the span, and the density of their places 100 km away."""
-    b = large(spark, sf, 0.97).where("hour < 720")
+    """Events that each ancestor is expected to trigger in the last 360 hours of the catalogue, and the density of their places 100 km away."""
+    b = large(spark, sf, 0.97).crossJoin(F.broadcast(catalog(spark, sf).agg((F.max("hour") + 1).alias("t1"))))  # one row
     dm = F.col("mag") - 5
-    expected = geo.omori_integral(360 - F.col("hour"), F.greatest(720 - F.col("hour"), F.lit(0)), dm, 0.02, 1.4, 0.05, 1.25)
+    expected = geo.omori_integral(F.col("t1") - 360 - F.col("hour"), F.col("t1") - F.col("hour"), dm, 0.02, 1.4, 0.05, 1.25)
     return b.select("id", F.round(expected, 6).alias("expected"), F.round(geo.space_kernel(F.lit(100.0), dm, 12.0, 0.5, 1.6), 12).alias("density"))
 
 

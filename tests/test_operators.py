@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions import astro, calendar, geo, rng, tides
 from pulseframe.operators import binning, decluster, grid, joins, linear, nulls, stats
-from pulseframe.plans import audit, boosting, claims
+from pulseframe.plans import audit
 from pulseframe.sources import files, records, text
 
 
@@ -303,98 +303,39 @@ def test_full_moons_are_found(spark):
     assert all(abs(r["phase"] - 180) < 1e-4 for r in got)
 
 
-def test_fingerprint_recovers_a_planted_signal():
-    import numpy as np
-
-    r = np.random.default_rng(1)
-    x = r.normal(size=2000)
-    quiet = (r.random(2000) < 0.2).astype(float)
-    loud = (r.random(2000) < 0.1 + 0.4 * (x > 1)).astype(float)
-    a, b = (dict(zip(claims.AXES, claims.fingerprint(x, y), strict=True)) for y in (quiet, loud))
-    assert b["stat"] > 2 * a["stat"] and b["p_shift"] < 0.01 < a["p_shift"] and b["auc_chrono"] > 0.6 and b["z_full"] > 5 and b["null_fpr"] < 0.2
-    assert all(math.isnan(v) for v in claims.fingerprint(np.ones(500), np.ones(500)))
-
-
-def test_the_statistic_of_every_turn_equals_a_direct_count():
-    import numpy as np
-
-    r = np.random.default_rng(2)
-    x, y = r.normal(size=300), (r.random(300) < 0.3).astype(float)
-    table, bins = claims.statistics_by_shift(x, y), claims.bins_of(x)
-    for k in (0, 1, 77, 299):
-        turned = np.roll(y, k)
-        want = max(abs(turned[bins == b].mean() - y.mean()) for b in range(10)) / y.mean()
-        assert abs(table[k] - want) < 1e-9
-
-
-def test_the_date_comes_back_from_a_series_that_holds_it(spark):
-    import numpy as np
-
-    t = np.arange(400.0)
-    assert claims.date_r2(t) > 0.999 and claims.date_r2(np.random.default_rng(0).normal(size=400)) < 0.2
-    z = np.sin(t / 30) + t / 200
-    s = spark.createDataFrame([(float(a), float(b)) for a, b in zip(t, z, strict=True)], "t double, x double")
-    unit = F.col("x") / (float(np.std(z)) + 1e-12)
-    basis = [F.col("x"), F.col("x") * F.col("x"), *[f(k * unit) for k in (1, 2, 3) for f in (F.sin, F.cos)]]
-    assert abs(linear.least_squares_r2(s, basis, F.col("t")) - claims.date_r2(z)) < 1e-6
-
-
-def test_draws_equal_the_column_generator(spark):
-    below = claims.draws(20260819)
-    assert [below(1000) for _ in range(3)] == [int(v / 4294967296 * 1000) for v in (472757172, 3778524601, 3885191513)]
-    got = spark.range(1).select(rng.stream(0, 2).alias("x")).first()["x"]
-    assert got[0] != 0 and got[0] != got[1]
-
+def test_expectation_maximisation_never_loses_likelihood(spark):
+    """Against the likelihood written out, on a catalogue whose events trigger others."""
+    from pulseframe.plans import triggering
 
-def test_claims_of_every_kind_are_made_and_told_apart():
-    import numpy as np
-
-    y = (np.random.default_rng(3).random(1500) < 0.3).astype(float)
-    for kind in claims.KINDS:
-        x, z = claims.example(kind, 1, y, None)
-        again = claims.example(kind, 1, y, None)
-        assert len(x) == len(z) == 1500 and np.array_equal(x, again[0]) and np.array_equal(z, again[1]) and set(np.unique(z)) <= {0.0, 1.0}
-
-
-def test_boosted_trees_learn_and_walk_as_an_expression(spark):
-    import numpy as np
-
-    r = np.random.default_rng(5)
-    x = r.normal(size=(600, 3))
-    x[r.random((600, 3)) < 0.1] = np.nan
-    y = np.where(np.isnan(x[:, 0]), 2, (np.nan_to_num(x[:, 0]) + np.nan_to_num(x[:, 1]) > 0).astype(int))
-    for target, settings in ((y, boosting.Settings(25, 0.2, 8, 10, 1.0)), ((y > 0).astype(int), boosting.Settings(25, 0.2, 8, 10, 1.0))):
-        bundle = boosting.fit(x[:400], target[:400], settings)
-        p = boosting.predict(bundle, x)
-        assert (np.array(bundle["classes"])[p[400:].argmax(1)] == target[400:]).mean() > 0.85
-        df = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(x[:80])], "i int, f array<double>")
-        got = {r["i"]: r["p"] for r in df.select("i", boosting.softmax(boosting.scores(bundle, F.col("f"))).alias("p")).collect()}
-        assert max(abs(a - b) for i in got for a, b in zip(got[i], p[i], strict=True)) < 1e-9
-    assert boosting.predict(boosting.fit(x[:5], np.ones(5, int)), x[:2]).shape == (2, 2)
-
-
-def test_prediction_sets_cover_and_abstain():
-    import numpy as np
-
-    r = np.random.default_rng(6)
-    y = r.integers(0, 2, 400)
-    p1 = np.clip(0.5 + (y - 0.5) * 0.6 + r.normal(0, 0.25, 400), 0.01, 0.99)
-    p, labels = np.column_stack([1 - p1, p1]), ["ab"[v] for v in y]
-    q = claims.class_quantiles(p[:200], labels[:200], ["a", "b"], {})
-    sets = claims.prediction_sets(p[200:], q, ["a", "b"], np.arange(200) == 0)
-    assert sets[0] is None and np.mean([s is None or v in s for s, v in zip(sets, labels[200:], strict=True)]) > 0.83
-
-
-def test_five_and_eight_parameters_beat_their_start(spark):
     r = random.Random(4)
-    ev = [(i, sorted(r.uniform(0, 500) for _ in range(60))[i], r.uniform(0, 2)) for i in range(60)]
-    targets = spark.createDataFrame([(i, 1.0) for i, _, _ in ev], "id long, background double")
-    pairs = spark.createDataFrame([(a[0], a[1] - b[1], b[2], 10.0 * abs(a[0] - b[0])) for a in ev for b in ev if 0 < a[1] - b[1] < 100], "id long, dt double, dm double, km double")
+    ev = [(r.uniform(0, 500), r.expovariate(2.0)) for _ in range(40)]
+    for t, m in list(ev):
+        for _ in range(int(r.random() * 2.5 * math.exp(m))):
+            delay = 0.5 * ((1 - r.random()) ** -2 - 1)
+            if delay < 100 and t + delay < 500:
+                ev.append((t + delay, r.expovariate(2.0)))
+    ev = [(i, t, m) for i, (t, m) in enumerate(sorted(ev))]
+    targets = spark.createDataFrame([(i, 1.0) for i, _, _ in ev] + [(None, 1.0)], "id long, background double")
+    near = [(a[0], a[1] - b[1], b[2], 3.0 + abs(a[0] - b[0])) for a in ev for b in ev if 0 < a[1] - b[1] <= 100]
+    pairs = spark.createDataFrame(near, "id long, dt double, dm double, km double")
     old = spark.createDataFrame([(t, m) for _, t, m in ev], "t double, dm double")
-    five = audit.fit_etas(targets, pairs, old, 0.0, 500.0, rounds=400)
-    start = audit.fit_etas(targets, pairs, old, 0.0, 500.0, rounds=0)
-    eight = audit.fit_etas(targets, pairs, old, 0.0, 500.0, True, rounds=200)
-    assert five["ll"] > start["ll"] and len(five) == 6 and len(eight) == 9 and 1.01 < five["p"] <= 2.6
+
+    def written_out(x, spatial):
+        rate = {i: x.mu for i, _, _ in ev}
+        for i, dt, dm, km in near:
+            w = x.d**2 * 10 ** (x.gamma * dm)
+            space = (x.q - 1) / (math.pi * w) * (1 + km * km / w) ** -x.q if spatial else 1.0
+            rate[i] += x.k * math.exp(x.alpha * dm) * (x.p - 1) * x.c ** (x.p - 1) * (dt + x.c) ** -x.p * space
+        all_ = sum(math.exp(x.alpha * m) * (1 - ((min(500 - t, 100) + x.c) / x.c) ** (1 - x.p)) for _, t, m in ev)
+        return sum(map(math.log, rate.values())) - 500 * x.mu - x.k * all_
+
+    start = triggering.Parameters(0.3, 0.1, 0.5, 2.0, 1.4, 20.0, 0.3, 1.5)
+    for spatial in (False, True):
+        found, lls = triggering.fit(targets, pairs, old, 0.0, 500.0, 100.0, start, spatial, rounds=8)
+        assert all(b >= a - 1e-9 for a, b in zip(lls, lls[1:], strict=False)) and lls[-1] > lls[0] + 1
+        assert abs(lls[0] - written_out(start, spatial)) < 1e-6 and abs(lls[-1] - written_out(found, spatial)) < 1e-6
+        assert found.p > 1 and min(found.mu, found.k, found.alpha, found.c) > 0
+    assert triggering.fit(targets.where("false"), pairs, old, 0.0, 500.0, 100.0, start)[1] == []
 
 
 def test_simplex_finds_a_minimum():
@@ -448,7 +389,7 @@ def test_global_row_numbers_with_ties(spark):
     from pulseframe.operators.ranking import row_number
 
     df = spark.createDataFrame([(float(i % 7), i) for i in range(300)], "v double, id long")
-    got = rows(row_number(df, ["v", "id"], "r", ranges=8), "v", "id", "r")
+    got = rows(row_number(df, ["v", "id"], "r"), "v", "id", "r")
     assert [r for *_, r in got] == list(range(1, 301))
 
 
