@@ -19,9 +19,6 @@ are least; an empty table gives no rows; further columns pass through.
 
 from __future__ import annotations
 
-import json
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,23 +71,28 @@ def tokens(words: Column, run: int = WORDS) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), last_run(words, run)), lambda i: _token(words, i, run)))
 
 
-def count_class(n: int) -> int:
-    """Rises with a count, by 16 to a doubling; below 1024 for every count of 64 bits, so that none is capped."""
-    return int(16 * math.log2(n)) if n else 0
+def count_class(n: Column) -> Column:
+    """Rises with a count, by 8 to a doubling; below 512 for every long, so that none is capped and the key behind it stays positive."""
+    return F.floor(8 * F.log2(n.cast("double"))).cast("int")
 
 
 def rarity(docs: DataFrame, text_col: str, lines: DataFrame, run: int = WORDS) -> tuple[int, Column]:
-    """(bits, array<long>): the class of the occurrences of each bucket's tokens, where a sort key holds it. A row for each bucket reaches the driver."""
+    """(bits, array<int>): the class of the occurrences of each bucket's tokens. The table is put together in one row of text, of some four bytes a bucket."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # as Catalyst knows it, without a scan
     if size > 1 << 50:  # it doesn't know
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_A_BUCKET).bit_length()))
     runs = lines.select("words", F.explode(F.sequence(F.lit(0), last_run(F.col("words"), run))).alias("i"))
-    counts = runs.groupBy(_bucket(_token(F.col("words"), F.col("i"), run), bits).alias("bucket")).agg(F.count("*").alias("n"))
-    table = [0] * (1 << bits)
-    for r in counts.collect():
-        table[r["bucket"]] = count_class(r["n"]) << HASH_BITS
-    return bits, F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<bigint>")
+    counts = runs.groupBy(_bucket(_token(F.col("words"), F.col("i"), run), bits).alias("bucket")).agg(count_class(F.count("*")).alias("c"))
+    return bits, class_table(counts, bits)
+
+
+def class_table(counts: DataFrame, bits: int) -> Column:
+    """array<int> by bucket of (bucket, c); 0 where a bucket has none."""
+    every = counts.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("c", F.lit(0)).alias("c")))), lambda x: x["c"].cast("string"))
+    text = every.agg(F.array_join(listed, ",").alias("t")).first()["t"]
+    return F.from_json(F.lit(f"[{text}]"), "array<int>")
 
 
 def _bucket(token: Column, bits: int) -> Column:
@@ -100,7 +102,7 @@ def _bucket(token: Column, bits: int) -> Column:
 def prefixed(lines: DataFrame, bits: int, classes: Column, run: int = WORDS) -> DataFrame:
     """(doc, thash, ln, s1, s2, n, prefix): two hashes of the line's set of whole tokens, its size, and the keys of its rarest tokens, rarest first."""
     hashed = F.lit((1 << HASH_BITS) - 1)
-    key = lambda t: F.coalesce(F.get(classes, _bucket(t, bits)), F.lit(0).cast("long")).bitwiseOR(t.bitwiseAND(hashed))
+    key = lambda t: F.shiftleft(F.coalesce(F.get(classes, _bucket(t, bits)), F.lit(0)).cast("long"), HASH_BITS).bitwiseOR(t.bitwiseAND(hashed))
     words = F.col("words")
     whole = lines.select("doc", "thash", "ln", F.sort_array(tokens(words, run)).alias("set"), F.xxhash64(F.lit(2), F.slice(words, 1, run)).alias("head"))
     one = F.size("set") == 1

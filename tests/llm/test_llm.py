@@ -169,9 +169,18 @@ def test_line_dedup_with_words_as_tokens_and_with_keys_that_collide(spark, monke
     assert got == brute_lines(docs)
 
 
-def test_classes_of_counts_rise_and_never_saturate():
-    some = [line_dedup.count_class(1 << k) for k in range(64)]
-    assert some == sorted(set(some)) and some[-1] < 1024
+def test_classes_of_counts_rise_and_never_saturate(spark):
+
+    # counts up to the greatest long keep their order in the sort key, behind which whole tables are read
+    counts = spark.createDataFrame([(3 * k, 1 << k) for k in range(63)] + [(500, (1 << 63) - 1)], "bucket int, n long").select("bucket", line_dedup.count_class(F.col("n")).alias("c"))
+    table = line_dedup.class_table(counts, 9)
+    keys = spark.range(512).select("id", F.shiftleft(F.get(table, F.col("id").cast("int")).cast("long"), line_dedup.HASH_BITS).alias("key")).orderBy("id").collect()
+    assert [keys[3 * k]["key"] >> line_dedup.HASH_BITS for k in range(63)] == [8 * k for k in range(63)] and all(r["key"] >= 0 for r in keys) and keys[500]["key"] >= keys[186]["key"] > 0 == keys[1]["key"]
+    words = F.array(*[F.lit(f"w{k}") for k in range(40)])
+    line = spark.range(1).select(F.lit(1).alias("doc"), F.lit(2).alias("thash"), F.lit(0).alias("ln"), words.alias("words"))
+    full = line_dedup.class_table(spark.range(512).select(F.col("id").cast("int").alias("bucket"), (F.col("id") % 505).cast("int").alias("c")), 9)
+    prefix = line_dedup.prefixed(line, 9, full).first()["prefix"]
+    assert prefix == sorted(prefix) and len({k >> line_dedup.HASH_BITS for k in prefix}) > 3 and prefix[-1] >> line_dedup.HASH_BITS < 505
 
 
 def test_lines_whose_tokens_agree_in_many_bits_are_kept(spark):
