@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, means, covariance with n - 1) of rows without nulls; as many numbers as pairs of columns reach the driver."""
@@ -40,8 +42,7 @@ def far_out(df: DataFrame, columns: list[str], share: float = 0.99) -> DataFrame
     filled = df.withColumns({c: F.coalesce(F.col(c), F.lit(float(m))) for c, m in zip(columns, means, strict=True)})
     inverse = np.linalg.pinv(cov + 1e-6 * np.eye(len(cov)))
     at = filled.withColumn("distance", F.sqrt(mahalanobis(columns, means, inverse)))
-    cut = at.agg(F.percentile("distance", F.lit(share)).alias("_cut"))
-    return at.crossJoin(F.broadcast(cut)).withColumn("outside", F.col("distance") > F.col("_cut")).drop("_cut")  # one row
+    return at.withColumn("outside", F.col("distance") > F.lit(quantiles.one(at, "distance", share)))
 
 
 def least_squares_r2(df: DataFrame, basis: list[Column], target: Column) -> float | None:

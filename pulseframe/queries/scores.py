@@ -6,9 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulseframe.operators import joins, stats
-from pulseframe.sources.testbed import catalog, read
+from pulseframe.sources.testbed import catalog, large, read
 
-from .base import CAT, query
+from .base import CAT, big, query
 
 SC = "sc AS (SELECT d.doc_id, n_chars, quality AS y, 1 / (1 + exp(-(ln(1 + n_chars) - 7))) AS p FROM documents d JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id))"
 
@@ -102,6 +102,17 @@ def knn_bandwidth(spark, sf):
     return joins.kth_neighbour(pl, 8, 20.0).select(F.col("x").alias("lat"), F.col("y").alias("lon"), F.round("width", 6).alias("width"))
 
 
+@query(f"""WITH {CAT}, {big(0.97)}, pl AS (SELECT lat, lon, count(*) AS n FROM cat GROUP BY ALL), p AS (SELECT a.lat, a.lon, sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2)) AS d, row_number() OVER (PARTITION BY a.lat, a.lon ORDER BY sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2))) AS i FROM pl a JOIN pl b ON a.lat <> b.lat OR a.lon <> b.lon),
+  w AS (SELECT lat, lon, greatest(d, 2.0) AS w FROM p WHERE i = 8), k AS (SELECT big.id, sqrt(pow(big.lat - w.lat, 2) + pow(big.lon - w.lon, 2)) AS d, w FROM big, w)
+  SELECT big.id, round(coalesce(sum(exp(-d * d / (2 * w * w)) / (2 * pi() * w * w)) FILTER (d <= 6 * w), 0) / (SELECT count(*) FROM w), 12) AS density FROM big LEFT JOIN k USING (id) GROUP BY big.id""")
+def adaptive_density(spark, sf):
+    """Background density at all large events, from places whose kernels are as wide as the way to their eighth neighbour."""
+    pl = catalog(spark, sf).select(F.col("lat").alias("x"), F.col("lon").alias("y")).distinct()
+    s = joins.kth_neighbour(pl, 8, 20.0).where("width is not null").withColumn("width", F.greatest("width", F.lit(2.0)))
+    t = large(spark, sf, 0.97).select("id", F.col("lat").alias("x"), F.col("lon").alias("y"))
+    return joins.kernel_density(s, t).select("id", F.round("density", 12).alias("density"))
+
+
 @query("SELECT 'event' AS kind, event_id AS id, value, NULL::VARCHAR AS note FROM events UNION ALL SELECT 'order', o_orderkey, NULL, o_orderpriority FROM orders")
 def union_by_name(spark, sf):
     a = read(spark, sf, "events").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), "value")

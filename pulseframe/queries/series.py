@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulseframe.functions.calendar import slot
-from pulseframe.operators import grid
+from pulseframe.operators import grid, spectral
 from pulseframe.sources.testbed import bank, catalog, daily, field, read
 
 from .base import BANK, CAT, DAILY, FIELD, query
@@ -168,11 +168,9 @@ def trend_r2(spark, sf):
   r AS (SELECT p, row_number() OVER (ORDER BY p DESC) AS i, sum(p) OVER () AS t FROM f) SELECT round(sum(p) FILTER (i <= 5) / max(t), 6) AS share FROM r""")
 def spectral_top5(spark, sf):
     d = dense(spark, sf)
-    ends = d.agg(F.min("dd").alias("lo"), F.pow(F.lit(2.0), F.floor(F.log2(F.count("*").cast("double")))).cast("long").alias("n"))  # the largest power of two that the series holds
-    s = d.crossJoin(F.broadcast(ends)).select((F.col("dd") - F.col("lo")).cast("long").alias("t"), "n", F.coalesce("cnt", F.lit(0)).cast("double").alias("v")).where("t < n")
-    k = s.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("n div 2"))))
-    angle = 2 * F.pi() * ((F.col("k") * F.col("t")) % F.col("n")) / F.col("n")
-    p = k.groupBy("k").agg((F.pow(F.sum(F.col("v") * F.cos(angle)), 2) + F.pow(F.sum(F.col("v") * F.sin(angle)), 2)).alias("p"))
+    lo = d.agg(F.min("dd").alias("lo"))
+    s = d.crossJoin(F.broadcast(lo)).select((F.col("dd") - F.col("lo")).alias("t"), F.coalesce("cnt", F.lit(0)).alias("v"))  # one row
+    p = spectral.power(s, "t", "v", []).select(F.col("power").alias("p"))
     top = p.select("p", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("p"))).alias("i"))  # half as many rows as days
     return top.agg(F.round(F.sum(F.when(F.col("i") <= 5, F.col("p"))) / F.sum("p"), 6).alias("share"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.functions.calendar import epoch_day, slot
+from pulseframe.operators import quantiles
 
 #: Hours from 1970 to the first event.
 HOUR0 = 473352
@@ -31,8 +32,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def large(spark: SparkSession, sf_dir: str, q: float) -> DataFrame:
     """Events at or above a quantile of magnitude."""
     c = catalog(spark, sf_dir)
-    cut = c.agg(F.percentile("mag", F.lit(q)).alias("cut"))
-    return c.crossJoin(F.broadcast(cut)).where("mag >= cut").drop("cut")  # one row
+    cut = quantiles.one(c, "mag", q)
+    return c.where(F.col("mag") >= F.lit(cut))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:

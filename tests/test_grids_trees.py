@@ -86,10 +86,28 @@ def test_exact_quantiles_equal_percentile(spark):
     want = {(q["g"], p): x for q in clean.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("x")).where("g is not null").collect() for p, x in zip(probs, q["x"], strict=True)}
     got = {(q["g"], q["p"]): q["quantile"] for q in quantiles.exact(df.where("g is not null"), "v", probs, ["g"], cells=7).collect()}
     assert got == want
-    assert quantiles.one(df, "v", 0.37) == clean.agg(F.percentile("v", F.lit(0.37))).first()[0]
+    for p in (0.0, 0.37, 0.5, 0.901, 1.0):
+        for cells in (3, 4096):
+            assert quantiles.one(df, "v", p, cells) == clean.agg(F.percentile("v", F.lit(p))).first()[0]
     assert quantiles.one(df.where("false"), "v", 0.5) is None
 
 
+def test_density_of_kernels_of_own_widths(spark):
+    from pulseframe.operators import joins
+
+    r = random.Random(11)
+    src = [(r.uniform(-50, 50), r.uniform(-50, 50), 10 ** r.uniform(-1, 1.5)) for _ in range(150)]
+    tgt = [(i, r.uniform(-60, 60), r.uniform(-60, 60)) for i in range(60)]
+    odd = [(1.0, 1.0, 0.0), (None, 1.0, 2.0), (1.0, 1.0, None)]
+    t = spark.createDataFrame(tgt, "id int, x double, y double")
+    got = {q["id"]: q["density"] for q in joins.kernel_density(spark.createDataFrame(src + odd, "x double, y double, width double"), t).collect()}
+    for i, x, y in tgt:
+        d2 = [((x - a) ** 2 + (y - b) ** 2, w) for a, b, w in src]
+        assert abs(got[i] - sum(math.exp(-d / (2 * w * w)) / (2 * math.pi * w * w) for d, w in d2 if d <= 36 * w * w) / len(src)) < 1e-12
+    none = spark.createDataFrame(odd, "x double, y double, width double")
+    assert {q["density"] for q in joins.kernel_density(none, t).collect()} == {0.0}
+
+
 def test_spectra_equal_the_direct_transform(spark):
     r = np.random.default_rng(3)
     rows = [(k, t, float(v)) for k, n in (("a", 100), ("b", 64), ("c", 33)) for t, v in enumerate(r.normal(size=n) + np.sin(np.arange(n)))]
