@@ -1,4 +1,4 @@
 """The engine's queries and the SQL that checks them."""
 
-from . import events, files, fitted, learned, modulation, physics, resampling, scores, series, sky  # noqa: F401
+from . import events, files, fitted, forecasts, learned, modulation, physics, resampling, scores, series, sky  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401

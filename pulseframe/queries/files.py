@@ -139,10 +139,16 @@ def region_catalogue(spark, sf):
     return own.join(decluster.resolve(own.select("id"), inside), "id").select("region", "id", "kept")
 
 
-@query("SELECT * FROM (VALUES ('2019-06-01', 0, '2019-06-01,2020-01-01'), ('2020-01-01', 0, '2020-01-01,2021-01-01'), ('2021-01-01', 0, '2021-01-01,2021-02-01')) AS t(period, line, value)")
+@query("WITH d AS (SELECT o_orderdate::DATE AS d FROM orders), s AS (SELECT min(d) AS lo, max(d) + 1 AS hi FROM d), p AS (SELECT greatest(make_date(year(d), 1, 1), lo) AS a, least(make_date(year(d) + 1, 1, 1), hi) AS b FROM d, s) SELECT strftime(a, '%Y-%m-%d') AS period, 0 AS line, strftime(a, '%Y-%m-%d') || ',' || strftime(b, '%Y-%m-%d') AS value, count(*) AS n FROM p GROUP BY ALL")
 def fetched_periods(spark, sf):
-    """A fetch with one partition a year; the address holds what it returns."""
-    return files.fetch_periods(spark, "data:text/plain,{start},{end}", "2019-06-01", "2021-02-01")
+    """A fetch with one partition for each year that orders span, whose address holds what it returns, and the orders that fall into what was fetched."""
+    o = read(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("d"))
+    span = o.agg(F.min("d").alias("lo"), (F.max("d") + F.expr("interval 1 day")).cast("date").alias("hi")).first()
+    if span["lo"] is None:
+        return spark.createDataFrame([], "period string, line int, value string, n long")
+    got = files.fetch_periods(spark, "data:text/plain,{start},{end}", str(span["lo"]), str(span["hi"]))
+    counts = o.groupBy(F.year("d").alias("year")).agg(F.count("*").alias("n"))
+    return got.withColumn("year", F.substring("value", 1, 4).cast("int")).join(counts, "year").select("period", "line", "value", "n")
 
 
 

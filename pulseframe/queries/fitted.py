@@ -100,12 +100,12 @@ def repeated_splits(spark, sf):
     return audit.centroid_splits(read(spark, sf, "embeddings"), "vec_id", "embedding", "label", 60)
 
 
-@query("""WITH RECURSIVE a AS (SELECT unnest(range(0, 3))::INTEGER AS series, 0::INTEGER AS t, 0::DOUBLE AS x
+@query("""WITH RECURSIVE a AS (SELECT s_suppkey::BIGINT AS series, 0::INTEGER AS t, 0::DOUBLE AS x FROM supplier
   UNION ALL SELECT series, t + 1, 0.9::DOUBLE * x + (((t + 1) * 7919 + series * 104729) % 10007) / 10007.0::DOUBLE - 0.5::DOUBLE FROM a WHERE t < 200)
   SELECT series, t, round(x, 6) AS x FROM a WHERE t > 0""")
 def ar1_series(spark, sf):
-    """Autoregressive series from a portable generator; each is a fold, and series are independent rows."""
-    s = spark.range(3).select(F.col("id").cast("int").alias("series"))
+    """An autoregressive series for each supplier from a portable generator; each is a fold, and series are independent rows."""
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("series"))
     noise = lambda t: nulls.lcg((t, 7919), (F.col("series"), 104729)) / F.lit(10007.0) - F.lit(0.5)
     step = lambda acc, t: F.concat(acc, F.array(0.9 * F.element_at(acc, -1) + noise(t)))
     xs = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.array(F.lit(0.0)), step)

@@ -14,7 +14,7 @@ from pulseframe.sources import files
 from pulseframe.sources.testbed import indicator, read
 from pulseframe.streaming import counterparts as st
 
-from .base import BANK, EDGES, IND, query
+from .base import BANK, EDGES, IND, query, xorshift
 from .scores import scored
 
 
@@ -22,12 +22,6 @@ def claims_of(spark, sf):
     return joined_bank(spark, sf).select(F.col("variable").alias("claim"), F.col("dd").alias("pos"), F.col("value").alias("x"), "y")
 
 
-def xorshift(name: str, first: str, last: int) -> str:
-    """SQL for streams of draws: `first` selects (s, x) of each stream's name and seed."""
-    m = 4294967295
-    return f"""{name} AS (SELECT s, -1 AS i, x FROM ({first}) UNION ALL SELECT s, i + 1, xor(b, (b << 5) & {m}) FROM (SELECT s, i, xor(a, a >> 17) AS b FROM (SELECT s, i, xor(x, (x << 13) & {m}) AS a FROM {name} WHERE i < {last})))"""
-
-
 @query()
 def fingerprint_vector(spark, sf):
     """All sixteen axes; fingerprint_axes has SQL for ten."""

@@ -9,9 +9,9 @@ from pulseframe.functions.rng import below, stream, step
 from pulseframe.operators import binning, nulls, stats
 from pulseframe.plans.modulation import SHIFT_SEED, binned_bank, joined_bank, positions, shift_table
 from pulseframe.session import cut
-from pulseframe.sources.testbed import bank, indicator
+from pulseframe.sources.testbed import bank, indicator, read
 
-from .base import BANK, BINNED, EDGES, IND, query
+from .base import BANK, BINNED, EDGES, IND, query, xorshift
 
 XOR = """x0 AS (SELECT 0 AS i, {seed}::BIGINT AS x UNION ALL SELECT i + 1, xor(z, (z << 5) & 4294967295) FROM (SELECT i, xor(y, y >> 17) AS z FROM (SELECT i, xor(x, (x << 13) & 4294967295) AS y FROM x0 WHERE i < {n})))"""
 
@@ -178,17 +178,23 @@ def half_split_stability(spark, sf):
     return s.groupBy("variable").agg(F.round(F.max("stat") - F.min("stat"), 9).alias("gap"))
 
 
-@query(f"WITH RECURSIVE {xor(20260819, 100)} SELECT i::INTEGER AS i, x AS draw FROM x0 WHERE i > 0")
+SEEDED = xorshift("x0", "SELECT c_custkey AS s, (c_custkey + 777)::BIGINT AS x FROM customer", 10)
+
+
+@query(f"WITH RECURSIVE {SEEDED} SELECT s AS custkey, (i + 1)::INTEGER AS i, x AS draw FROM x0 WHERE i >= 0")
 def xorshift_stream(spark, sf):
-    return spark.range(1).select(F.posexplode(stream(20260819, 100)).alias("i", "draw")).select((F.col("i") + 1).alias("i"), "draw")
+    """Eleven draws of a generator that each customer seeds."""
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"))
+    return c.select("custkey", F.posexplode(stream(F.col("custkey") + 777, 11)).alias("i", "draw")).select("custkey", (F.col("i") + 1).alias("i"), "draw")
 
 
-@query(f"""WITH RECURSIVE {xor(777, 49)}, d AS (SELECT i, floor(x / 4294967296.0::DOUBLE * (51 - i))::BIGINT AS j FROM x0 WHERE i > 0),
-  s AS (SELECT 50::BIGINT AS k, range(0, 50) AS a UNION ALL SELECT k - 1, list_transform(a, lambda v, ix: CASE WHEN ix = k THEN a[j + 1] WHEN ix = j + 1 THEN a[k] ELSE v END) FROM s JOIN d ON d.i = 51 - k WHERE k > 1)
-  SELECT (p - 1)::INTEGER AS pos, v::INTEGER AS value FROM (SELECT unnest(range(1, 51)) AS p, unnest(a) AS v FROM s WHERE k = 1)""")
+@query(f"""WITH RECURSIVE {SEEDED}, d AS (SELECT s, i, floor(x / 4294967296.0::DOUBLE * (12 - i))::BIGINT AS j FROM x0 WHERE i >= 0),
+  p AS (SELECT c_custkey AS s, 12::BIGINT AS k, range(0, 12) AS a FROM customer UNION ALL SELECT p.s, k - 1, list_transform(a, lambda v, ix: CASE WHEN ix = k THEN a[j + 1] WHEN ix = j + 1 THEN a[k] ELSE v END) FROM p JOIN d ON d.s = p.s AND d.i = 12 - k WHERE k > 1)
+  SELECT s AS custkey, (pl - 1)::INTEGER AS pos, v::INTEGER AS value FROM (SELECT s, unnest(range(1, 13)) AS pl, unnest(a) AS v FROM p WHERE k = 1)""")
 def fisher_yates_perm(spark, sf):
-    n = 50
-    start = F.struct(F.lit(777).cast("long").alias("x"), F.sequence(F.lit(0), F.lit(n - 1)).alias("a"))
+    """The permutation of twelve that each customer seeds."""
+    n = 12
+    start = F.struct((F.col("c_custkey") + 777).cast("long").alias("x"), F.sequence(F.lit(0), F.lit(n - 1)).alias("a"))
 
     def swap(acc, k):
         x = step(acc["x"])
@@ -197,7 +203,7 @@ def fisher_yates_perm(spark, sf):
         return F.struct(x.alias("x"), F.transform(a, lambda v, i: F.when(i == k, F.get(a, j)).when(i == j, F.get(a, k)).otherwise(v)).alias("a"))
 
     perm = F.aggregate(F.sequence(F.lit(n - 1), F.lit(1), F.lit(-1)), start, swap, lambda acc: acc["a"])
-    return spark.range(1).select(F.posexplode(perm).alias("pos", "value"))
+    return read(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), F.posexplode(perm).alias("pos", "value"))
 
 
 @query(f"WITH {BINNED}, r AS (SELECT dd, family, variable, (row_number() OVER (PARTITION BY variable ORDER BY value, dd) - 0.5) / count(*) OVER (PARTITION BY variable) AS r FROM binned) SELECT dd, sum((abs(r - 0.5) >= 0.45)::INT)::BIGINT AS n_extreme, count(DISTINCT CASE WHEN abs(r - 0.5) >= 0.45 THEN family END) AS families, round(max(abs(r - 0.5)), 9) AS top FROM r GROUP BY dd")

@@ -11,7 +11,7 @@ from pulseframe.sources.testbed import catalog, daily, large
 from .base import CAT, DAILY, big, query
 from .sky import DAYS, MOON_LAT, MOON_LON, MOON_R, SUN_LON, SUN_R, days, n, wrap
 
-YEARS = "y AS (SELECT unnest(range(-1000, 2200, 7)) + 0.5::DOUBLE AS year)"
+YEARS = "y AS (SELECT o_orderkey AS order_key, (o_orderkey * 7) % 3200 - 1000 + 0.5::DOUBLE AS year FROM orders)"
 
 
 def _poly(zero: float, unit: float, cs: list[float]) -> str:
@@ -22,26 +22,28 @@ def _poly(zero: float, unit: float, cs: list[float]) -> str:
 ERA_CASE = "CASE " + " ".join(f"WHEN year < {end} THEN {_poly(z, u, cs)}" for end, z, u, cs in calendar.ERAS if end is not None) + f" ELSE {_poly(*calendar.ERAS[-1][1:])} END"
 
 
-@query(f"WITH {YEARS} SELECT year, round({ERA_CASE}, 6) AS seconds FROM y")
+@query(f"WITH {YEARS} SELECT order_key, year, round({ERA_CASE}, 6) AS seconds FROM y")
 def delta_t_eras(spark, sf):
-    """Dynamical less universal time over three thousand years, through all eras."""
-    y = spark.range(-1000, 2200, 7).select((F.col("id") + 0.5).alias("year"))
-    return y.select("year", F.round(calendar.delta_t(F.col("year")), 6).alias("seconds"))
+    """Dynamical less universal time at years that orders spread over three thousand, through all eras."""
+    y = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("order_key"), (F.col("o_orderkey") * 7 % 3200 - 1000 + 0.5).alias("year"))
+    return y.select("order_key", "year", F.round(calendar.delta_t(F.col("year")), 6).alias("seconds"))
 
 
-@query("WITH d AS (SELECT unnest(range(-600000, 60000, 997))::INTEGER AS dd) SELECT dd, year(DATE '1970-01-01' + dd)::INTEGER AS year, month(DATE '1970-01-01' + dd)::INTEGER AS month, day(DATE '1970-01-01' + dd)::INTEGER AS day, dd + 2440587.5::DOUBLE AS jd FROM d")
+@query("WITH d AS (SELECT o_orderkey AS order_key, ((o_orderkey * 997) % 660000 - 600000)::INTEGER AS dd FROM orders) SELECT order_key, dd, year(DATE '1970-01-01' + dd)::INTEGER AS year, month(DATE '1970-01-01' + dd)::INTEGER AS month, day(DATE '1970-01-01' + dd)::INTEGER AS day, dd + 2440587.5::DOUBLE AS jd FROM d")
 def calendar_round_trip(spark, sf):
-    """Days to dates and back in the Gregorian calendar run backwards, over eighteen centuries."""
-    d = spark.range(-600000, 60000, 997).select(F.col("id").cast("int").alias("dd")).withColumn("at", calendar.date_from_day(calendar.julian_day(F.col("dd"))))
+    """Days to dates and back in the Gregorian calendar run backwards; orders are spread over eighteen centuries."""
+    d = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("order_key"), (F.col("o_orderkey") * 997 % 660000 - 600000).cast("int").alias("dd"))
+    d = d.withColumn("at", calendar.date_from_day(calendar.julian_day(F.col("dd"))))
     y, m, day = F.col("at.year"), F.col("at.month"), F.round("at.day", 6)
-    return d.select("dd", y.alias("year"), m.alias("month"), day.cast("int").alias("day"), calendar.day_from_date(y, m, day).alias("jd"))
+    return d.select("order_key", "dd", y.alias("year"), m.alias("month"), day.cast("int").alias("day"), calendar.day_from_date(y, m, day).alias("jd"))
 
 
-@query("SELECT * FROM (VALUES (-4712, 1, 1.5::DOUBLE, 0.0::DOUBLE), (333, 1, 27.5, 1842713.0), (1582, 10, 4.0, 2299159.5), (-1000, 7, 12.5, 1356001.0), (837, 4, 10.3, 2026871.8)) AS t(year, month, day, jd)")
+@query("WITH d AS (SELECT o_orderkey AS order_key, ((o_orderkey * 13) % 6294 - 4712)::INTEGER AS year, (o_orderkey % 12 + 1)::INTEGER AS month, o_orderkey % 28 + 1 AS day, (o_orderkey % 4) / 4::DOUBLE AS part FROM orders) SELECT order_key, year, month, day + part AS day, 367 * year - (7 * (year + 5001 - (month <= 2)::INT)) // 4 + (275 * month) // 9 + day + 1729776.5::DOUBLE + part AS jd FROM d")
 def julian_calendar(spark, sf):
-    """Well-known days of the Julian calendar."""
-    rows = spark.createDataFrame([(-4712, 1, 1.5), (333, 1, 27.5), (1582, 10, 4.0), (-1000, 7, 12.5), (837, 4, 10.3)], "year int, month int, day double")
-    return rows.withColumn("jd", F.round(calendar.day_from_date(F.col("year"), F.col("month"), F.col("day"), julian=True), 6))
+    """Days of the Julian calendar from its first year on."""
+    k = F.col("o_orderkey")
+    d = spark.read.parquet(f"{sf}/orders.parquet").select(k.alias("order_key"), (k * 13 % 6294 - 4712).cast("int").alias("year"), (k % 12 + 1).cast("int").alias("month"), (k % 28 + 1 + k % 4 / 4.0).alias("day"))
+    return d.withColumn("jd", F.round(calendar.day_from_date(F.col("year"), F.col("month"), F.col("day"), julian=True), 6))
 
 
 @query(f"WITH {DAILY} SELECT dd, round((dayofyear(DATE '1970-01-01' + dd) - 1) * 360.0::DOUBLE / (CASE WHEN year(DATE '1970-01-01' + dd) % 4 = 0 THEN 366 ELSE 365 END), 9) AS angle FROM daily")
@@ -199,7 +201,9 @@ def least_squares(spark, sf):
     return spark.createDataFrame([(round(one, 9), round(two, 9))], "line double, again double")
 
 
-@query("SELECT 'l_quantity' AS name UNION ALL SELECT 'l_extendedprice' UNION ALL SELECT 'l_discount' UNION ALL SELECT 'mostly_known'")
+@query("""WITH v AS (SELECT unnest([{'name': 'l_quantity', 'x': l_quantity::DOUBLE}, {'name': 'l_extendedprice', 'x': l_extendedprice::DOUBLE}, {'name': 'l_discount', 'x': l_discount::DOUBLE}, {'name': 'constant', 'x': 1::DOUBLE},
+    {'name': 'mostly_missing', 'x': CASE WHEN l_linenumber > 5 THEN l_quantity::DOUBLE ELSE 'nan'::DOUBLE END}, {'name': 'mostly_known', 'x': CASE WHEN l_linenumber < 7 THEN l_quantity::DOUBLE END}], recursive := true) FROM lineitem)
+  SELECT name FROM v GROUP BY name HAVING count(x) FILTER (isfinite(x)) > count(*) / 2 AND min(x) FILTER (isfinite(x)) < max(x) FILTER (isfinite(x))""")
 def usable_columns(spark, sf):
     """Columns of which more than half is finite, and which vary: neither a constant nor one that is mostly missing."""
     names = ["l_quantity", "l_extendedprice", "l_discount", "constant", "mostly_missing", "mostly_known"]

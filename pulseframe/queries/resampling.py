@@ -52,30 +52,30 @@ def parent_shift(spark, sf):
 
 
 PHASES = """beta AS (SELECT unnest([0, 10, 20, 30])::INTEGER AS beta),
-phases AS (SELECT beta, sim.range::INTEGER AS sim, 2 * pi() * ((sim.range * 7919 + i.range * 104729) % 100003) / 100003.0::DOUBLE * (1 - beta / 100.0::DOUBLE) AS a FROM beta, range(40) sim, range(200) i),
-trials AS (SELECT beta, sim, exp(-(pow(sum(cos(a)), 2) + pow(sum(sin(a)), 2)) / count(*)) AS p FROM phases GROUP BY beta, sim)"""
+phases AS (SELECT beta, user_id, 2 * pi() * ((user_id * 7919 + event_id * 104729) % 100003) / 100003.0::DOUBLE * (1 - beta / 100.0::DOUBLE) AS a FROM beta, events),
+trials AS (SELECT beta, user_id, exp(-(pow(sum(cos(a)), 2) + pow(sum(sin(a)), 2)) / count(*)) AS p FROM phases GROUP BY beta, user_id)"""
 
 
-def _trials(spark):
-    """(beta, sim, p): Schuster's p of phases from a portable generator, squeezed by beta percent."""
-    x = spark.range(40 * 200).select(F.floor(F.col("id") / 200).cast("int").alias("sim"), (F.col("id") % 200).alias("i")).withColumn("beta", F.explode(F.array(*map(F.lit, (0, 10, 20, 30)))))
-    a = 2 * math.pi * nulls.lcg((F.col("sim"), 7919), (F.col("i"), 104729), modulus=100003) / F.lit(100003.0) * (1 - F.col("beta") / F.lit(100.0))
-    return x.withColumn("a", a).groupBy("beta", "sim").agg(F.exp(-(F.pow(F.sum(F.cos("a")), 2) + F.pow(F.sum(F.sin("a")), 2)) / F.count("*")).alias("p"))
+def _trials(spark, sf):
+    """(beta, user_id, p): Schuster's p of as many phases from a portable generator as a user has events, squeezed by beta percent."""
+    x = read(spark, sf, "events").select("user_id", "event_id", F.explode(F.array(*map(F.lit, (0, 10, 20, 30)))).alias("beta"))
+    a = 2 * math.pi * nulls.lcg((F.col("user_id").cast("long"), 7919), (F.col("event_id").cast("long"), 104729), modulus=100003) / F.lit(100003.0) * (1 - F.col("beta") / F.lit(100.0))
+    return x.withColumn("a", a).groupBy("beta", "user_id").agg(F.exp(-(F.pow(F.sum(F.cos("a")), 2) + F.pow(F.sum(F.sin("a")), 2)) / F.count("*")).alias("p"))
 
 
-@query(f"WITH {PHASES} SELECT sim, round(p, 6) AS p FROM trials WHERE beta = 0")
+@query(f"WITH {PHASES} SELECT user_id, round(p, 6) AS p FROM trials WHERE beta = 0")
 def uniform_phase_null(spark, sf):
-    return _trials(spark).where("beta = 0").select("sim", F.round("p", 6).alias("p"))
+    return _trials(spark, sf).where("beta = 0").select("user_id", F.round("p", 6).alias("p"))
 
 
 @query(f"WITH {PHASES} SELECT beta, count(*) AS n, round(avg((p < 0.05)::INT), 6) AS power FROM trials GROUP BY beta")
 def detection_power(spark, sf):
-    return _trials(spark).groupBy("beta").agg(F.count("*").alias("n"), F.round(F.avg((F.col("p") < 0.05).cast("int")), 6).alias("power"))
+    return _trials(spark, sf).groupBy("beta").agg(F.count("*").alias("n"), F.round(F.avg((F.col("p") < 0.05).cast("int")), 6).alias("power"))
 
 
 @query(f"WITH {PHASES} SELECT beta, count(*) AS n, round(min(p), 6) AS least, round(1 - pow(1 - min(p), count(*)), 6) AS corrected FROM trials GROUP BY beta")
 def look_elsewhere(spark, sf):
-    return _trials(spark).groupBy("beta").agg(F.count("*").alias("n"), F.round(F.min("p"), 6).alias("least"), F.round(1 - F.pow(1 - F.min("p"), F.count("*")), 6).alias("corrected"))
+    return _trials(spark, sf).groupBy("beta").agg(F.count("*").alias("n"), F.round(F.min("p"), 6).alias("least"), F.round(1 - F.pow(1 - F.min("p"), F.count("*")), 6).alias("corrected"))
 
 
 @query(f"WITH {BINNED}, z AS (SELECT dd, variable, pos, avg(y) OVER v AS base, (value - avg(value) OVER v) / nullif(stddev_pop(value) OVER v, 0) AS z FROM binned WINDOW v AS (PARTITION BY variable)) SELECT dd, variable, (((pos * 7919 + 13) % 10007) / 10007.0::DOUBLE < least(1, greatest(0, base * (1 + 0.3 * z))))::INTEGER AS y FROM z WHERE z IS NOT NULL")

@@ -66,11 +66,15 @@ def thin_by_user(events: DataFrame, hours: int) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long", "last long", "append", "NoTimeout")
 
 
-def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
+#: The state store that keeps timers and lists.
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def replay(stream: DataFrame, mode: str = "append", timers: bool = False) -> DataFrame:
     """Runs a stream over all its source has, and gives what it wrote.
 
     Each batch overwrites a folder of its own beside the checkpoint, so that a batch that runs again changes
-    nothing; in complete mode the last batch is the result.
+    nothing; in complete mode the last batch is the result. With timers, the query's state is kept in the store that has them.
     """
     spark = stream.sparkSession
     root = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -80,7 +84,13 @@ def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{root}/batch-{epoch}")
         done[epoch] = f"{root}/batch-{epoch}"
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(put).start()
+    before = spark.conf.get(STORE)
+    if timers:
+        spark.conf.set(STORE, ROCKS)
+    try:
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(put).start()
+    finally:
+        spark.conf.set(STORE, before)  # a query keeps what it was started with
     q.awaitTermination()
     if not done:
         return spark.createDataFrame([], stream.schema)
