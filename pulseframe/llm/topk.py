@@ -2,10 +2,10 @@
 
 Vectors are quantised to floor(scale * x); a component is a term. Centres, found in a bounded sample, deal the
 vectors out to cells; vectors in the order of their cells form blocks, each with a forward index (its vectors as a
-matrix) and the extremes of every term. For a query, the sum of its term maxima bounds the scores in a block. The
-query's k-th score in the sample is where its bound for pruning starts; each task that holds blocks reads them
+matrix) and, beside it, the extremes of every term. For a query, the sum of its term maxima bounds the scores in a block. The
+query's k-th score in the sample is where its bound for pruning starts; each task that holds blocks opens them
 in the order of their bounds until these fall below the k-th score so far, and the k best of all tasks meet per query.
-Only blocks' bounds are looked at for every query; vectors never leave their block.
+Only blocks' stored extremes are looked at for every query; a matrix is decoded once, when the first query needs it.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; vectors of unlike
 length compare as if filled up with zeros; rows that repeat an id are candidates each, but none for that id, which is one
@@ -99,21 +99,21 @@ class Best:
         self.score[who], self.id[who] = np.take_along_axis(all_, at, 1), np.take_along_axis(all_id, at, 1)
         self.floor[who] = np.maximum(self.floor[who], self.score[who, -1])
 
-    def search(self, blocks: list[tuple[np.ndarray, np.ndarray]], top: np.ndarray, low: np.ndarray) -> None:
-        """blocks: (ids, rows). Each query reads its blocks in the order of their bounds."""
+    def search(self, blocks: Callable[[int], tuple[np.ndarray, np.ndarray]], top: np.ndarray, low: np.ndarray) -> None:
+        """blocks(b): ids and rows of a block. Each query reads its blocks in the order of their bounds."""
         bound = block_bounds(self.queries, top, low)
         order = np.argsort(-bound, axis=1, kind="stable")
         each = np.arange(len(self.qids))
-        for r in range(len(blocks)):
+        for r in range(len(top)):
             mine = order[:, r]
             live = np.flatnonzero(bound[each, mine] >= self.floor)
             if not len(live):
-                self.skipped += (len(blocks) - r) * len(each)
+                self.skipped += (len(top) - r) * len(each)
                 return
             self.read += len(live)
             self.skipped += len(each) - len(live)
             for b in np.unique(mine[live]):
-                self.meet(*blocks[b], live[mine[live] == b])
+                self.meet(*blocks(b), live[mine[live] == b])
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q, j = np.nonzero(self.score != NONE)
@@ -129,7 +129,7 @@ def sample_floor(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: n
 
 
 def build_blocks(rows: DataFrame, centres: np.ndarray, width: int) -> DataFrame:
-    """(ids, mat, top, low, n): a row for each block. Rows are sorted by cell, the cell that comes second, and id, over ranges of these."""
+    """(n, wide, ids, mat, top, low): a row for each block. Rows are sorted by cell, the cell that comes second, and id, over ranges of these."""
     shared = rows.sparkSession.sparkContext.broadcast(centres)  # CENTRES rows at most
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,15 +164,35 @@ def build_blocks(rows: DataFrame, centres: np.ndarray, width: int) -> DataFrame:
         lists = [np.frombuffer(v, np.int64) for v in whole["x"]]
         mat = filled(lists, max(1, max(map(len, lists))))
         kind = np.int32 if np.abs(mat).max(initial=0) < 1 << 31 else np.int64
-        return pd.DataFrame({"n": [len(whole)], "wide": [kind is np.int64], "ids": [whole["id"].to_numpy(np.int64).tobytes()], "mat": [mat.astype(kind).tobytes()]})
+        ends = {"top": [mat.max(axis=0).astype(kind).tobytes()], "low": [mat.min(axis=0).astype(kind).tobytes()]}
+        return pd.DataFrame({"n": [len(whole)], "wide": [kind is np.int64], "ids": [whole["id"].to_numpy(np.int64).tobytes()], "mat": [mat.astype(kind).tobytes()], **ends})
 
     placed = rows.mapInPandas(place, "cell int, next int, id long, x binary")
-    return placed.repartitionByRange("cell", "next", "id").sortWithinPartitions("cell", "next", "id").mapInPandas(chunk, "n int, wide boolean, ids binary, mat binary")
+    return placed.repartitionByRange("cell", "next", "id").sortWithinPartitions("cell", "next", "id").mapInPandas(chunk, "n int, wide boolean, ids binary, mat binary, top binary, low binary")
 
 
-def read_block(ids: bytes, mat: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray]:
-    own = np.frombuffer(ids, np.int64)
-    return own, np.frombuffer(mat, np.int64 if wide else np.int32).reshape(len(own), -1).astype(np.int64)
+def numbers(raw: bytes, wide: bool) -> np.ndarray:
+    return np.frombuffer(raw, np.int64 if wide else np.int32).astype(np.int64)
+
+
+class Opened:
+    """The blocks of a batch; ids and matrices are decoded when they are asked for, and kept while the batch lasts."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch, self.kept = batch, {}
+        self.wide = batch.column("wide").to_pylist()
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """The greatest and the least of each term by block."""
+        top, low = ([numbers(x, w) for x, w in zip(self.batch.column(c).to_pylist(), self.wide, strict=True)] for c in ("top", "low"))
+        width = max(map(len, top))
+        return filled(top, width), filled(low, width)
+
+    def __call__(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        if b not in self.kept:
+            ids = np.frombuffer(self.batch.column("ids")[b].as_py(), np.int64)
+            self.kept[b] = ids, numbers(self.batch.column("mat")[b].as_py(), self.wide[b]).reshape(len(ids), -1)
+        return self.kept[b]
 
 
 #: Blocks whose bounds are compared at once.
@@ -182,8 +202,8 @@ AT_ONCE = 64
 def top_k(vectors: DataFrame, is_query: Callable, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", tell: Callable | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) for the ids of which is_query(id) holds, against all rows.
 
-    Queries are broadcast in chunks of a fixed number, each of which passes over the blocks once. tell: is given an
-    accumulator for the blocks that were read and one for those that were skipped, over all queries.
+    Queries are broadcast in chunks of a fixed number, each of which passes over the blocks once. tell: is given
+    accumulators for pairs of a query and a block that were scored and that were skipped, and for blocks that were opened and that no query needed.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "top-k")
@@ -196,7 +216,7 @@ def top_k(vectors: DataFrame, is_query: Callable, k: int = 10, scale: int = 1024
     queries = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("q").alias("q"))
     chunks = max(1, -(-queries.count() // CHUNK))
     queries = scratch.save(queries.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")), "queries")
-    read, skipped = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    read, skipped, opened, left = (spark.sparkContext.accumulator(0) for _ in range(4))
 
     def searched(c: int) -> DataFrame:
         asked = queries.where(F.col("chunk") == c).collect()  # about CHUNK rows
@@ -206,10 +226,10 @@ def top_k(vectors: DataFrame, is_query: Callable, k: int = 10, scale: int = 1024
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = Best(*shared.value, k)
             for b in (whole.slice(i, AT_ONCE) for whole in batches for i in range(0, len(whole), AT_ONCE)):
-                some = [read_block(*x) for x in zip(*[b.column(c).to_pylist() for c in ("ids", "mat", "wide")], strict=True)]
-                wide = max(m.shape[1] for _, m in some)
-                ends = [np.stack([np.pad(f(m, axis=0), (0, wide - m.shape[1])) for _, m in some]) for f in (np.max, np.min)]
-                best.search(some, *ends)
+                some = Opened(b)
+                best.search(some, *some.ends())
+                opened.add(len(some.kept))
+                left.add(len(b) - len(some.kept))
             read.add(best.read)
             skipped.add(best.skipped)
             qid, vid, score = best.found()
@@ -220,7 +240,7 @@ def top_k(vectors: DataFrame, is_query: Callable, k: int = 10, scale: int = 1024
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     ranked = lambda part: part.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     if tell:
-        tell(read, skipped)
+        tell(read, skipped, opened, left)
     if chunks == 1:
         return ranked(searched(0))
     for c in range(chunks):  # a chunk's queries and results are written before the next is broadcast
