@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.operators import decluster
 from pulseframe.session import shared_folder
-from pulseframe.sources import files, grids, records, solar, text
+from pulseframe.sources import files, fortran, grids, records, solar, text
 from pulseframe.sources.testbed import catalog, daily, field, indicator, read
 
 from .base import CAT, DAILY, FIELD, IND, query
@@ -332,3 +332,14 @@ def grid_at_events(spark, sf):
     near = files.at_cells(g, read(spark, sf, "orders").where("o_totalprice > 300000"), (F.col("o_custkey") % 20).cast("int"))
     v = F.when(F.abs("value") <= 40000, F.col("value"))
     return near.groupBy(F.year(F.date_from_unix_date(F.col("dd").cast("int"))).alias("year")).agg(F.count("*").alias("n"), F.count_if(F.abs("value") > 40000).alias("beyond"), F.round(F.avg(v), 6).alias("mean"))
+
+
+@query(f"WITH {FIELD} SELECT 'year-' || year(DATE '1970-01-01' + dd) AS file, dd::BIGINT AS dd, cell, value FROM field")
+def sequential_records(spark, sf):
+    """A field as unformatted records, a file a year and a record of twenty cells a day, read back in slabs."""
+    f = field(spark, sf).groupBy("dd").agg(*[F.max(F.when(F.col("cell") == k, F.col("value"))).alias(f"c{k}") for k in range(20)])
+    days = f.select(F.concat(F.lit("year-"), F.year(F.date_from_unix_date("dd")).cast("string")).alias("file"), F.col("dd").cast("long").alias("dd"), F.array(*[F.coalesce(f"c{k}", F.lit(-9999.0)) for k in range(20)]).alias("value"))
+    path = folder(spark, "records")
+    fortran.write_records(days, path, "file", ["dd"], "dd:i4 value:f8*", order=">")
+    back = fortran.read_records(spark, path, "dd:i4 value:f8*", order=">", fixed=True, slab_bytes=20_000)
+    return back.select("file", "dd", F.posexplode("value").alias("cell", "value")).where("value > -9999")

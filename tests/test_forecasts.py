@@ -1,17 +1,18 @@
-"""Zones, alarms with timers, polled streams and table functions on small inputs."""
+"""Zones, alarms with timers, polled streams, table functions and sequential records on small inputs."""
 
 import math
 import os
+import struct
 from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.errors import StreamingQueryException
+from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import functions as F
 
 from pulseframe.functions import calendar, tables
 from pulseframe.plans import zones
-from pulseframe.sources import polled
+from pulseframe.sources import fortran, polled
 from pulseframe.streaming import alarms, counterparts
 
 # Zones
@@ -175,3 +176,41 @@ def test_known_days_of_the_julian_calendar(spark):
     known = [(-4712, 1, 1.5, 0.0), (333, 1, 27.5, 1842713.0), (1582, 10, 4.0, 2299159.5), (-1000, 7, 12.5, 1356001.0), (837, 4, 10.3, 2026871.8)]
     df = spark.createDataFrame(known, "y int, m int, d double, jd double")
     assert df.where(F.abs(calendar.day_from_date(F.col("y"), F.col("m"), F.col("d"), julian=True) - F.col("jd")) > 1e-6).count() == 0
+
+
+# Sequential records
+
+
+def test_records_of_any_length_in_parts(spark, tmp_path):
+    """Records longer than a part are cut, with negative markers where a part follows or precedes."""
+    rows = [("a", 2, [1.0, 2.0, 3.0, 4.0, 5.0]), ("a", 1, []), ("b", 7, [0.5])]
+    df = spark.createDataFrame(rows, "file string, day long, v array<double>")
+    fortran.write_records(df, f"{tmp_path}/out", "file", ["day"], "day:i4 v:f8*", most=16)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a", "b"]
+    raw = (tmp_path / "out" / "a").read_bytes()
+    assert struct.unpack("<iii", raw[:12]) == (4, 1, 4) and struct.unpack("<i", raw[12:16]) == (-16,) and struct.unpack("<ii", raw[32:40]) == (16, -16)
+    got = fortran.read_records(spark, f"{tmp_path}/out", "day:i4 v:f8*")
+    assert sorted((r["file"], r["record"], r["day"], r["v"]) for r in got.collect()) == [("a", 0, 1, []), ("a", 1, 2, [1.0, 2.0, 3.0, 4.0, 5.0]), ("b", 0, 7, [0.5])]
+
+
+def test_records_of_one_length_are_read_in_slabs(spark, tmp_path):
+    body = b"".join(struct.pack(">iiif", 8, i, i * i, 0.0)[:12] + struct.pack(">i", 8) for i in range(100))
+    (tmp_path / "x").write_bytes(body)
+    (tmp_path / "empty").write_bytes(b"")
+    df = fortran.read_records(spark, str(tmp_path), "i:i4 j:i4", order=">", fixed=True, slab_bytes=160)
+    assert df.rdd.getNumPartitions() == 10
+    assert sorted(tuple(r)[1:] for r in df.collect()) == [(i, i, i * i) for i in range(100)]
+
+
+@pytest.mark.parametrize("raw", [struct.pack("<iid", 8, 0, 1.0)[:10], struct.pack("<iii", 4, 7, 5), struct.pack("<iii", -4, 7, 4)])
+def test_broken_records_are_refused(spark, tmp_path, raw):
+    (tmp_path / "x").write_bytes(raw)
+    with pytest.raises(PySparkException):
+        fortran.read_records(spark, str(tmp_path), "i:i4").collect()
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", None)], "file string, i long")
+    with pytest.raises(PySparkException):
+        fortran.write_records(df, f"{tmp_path}/out", "file", ["i"], "i:i4")
+    assert not list((tmp_path / "out").iterdir())
