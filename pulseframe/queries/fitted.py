@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -101,13 +103,13 @@ def repeated_splits(spark, sf):
 
 
 @query("""WITH RECURSIVE a AS (SELECT s_suppkey::BIGINT AS series, 0::INTEGER AS t, 0::DOUBLE AS x FROM supplier
-  UNION ALL SELECT series, t + 1, 0.9::DOUBLE * x + (((t + 1) * 7919 + series * 104729) % 10007) / 10007.0::DOUBLE - 0.5::DOUBLE FROM a WHERE t < 200)
+  UNION ALL SELECT series, t + 1, exp(-0.1::DOUBLE) * x + (((t + 1) * 7919 + series * 104729) % 10007) / 10007.0::DOUBLE - 0.5::DOUBLE FROM a WHERE t < 200)
   SELECT series, t, round(x, 6) AS x FROM a WHERE t > 0""")
 def ar1_series(spark, sf):
-    """An autoregressive series for each supplier from a portable generator; each is a fold, and series are independent rows."""
+    """An autoregressive series for each supplier from a portable generator, whose memory falls to 1/e in ten steps; each is a fold, and series are independent rows."""
     s = read(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("series"))
     noise = lambda t: nulls.lcg((t, 7919), (F.col("series"), 104729)) / F.lit(10007.0) - F.lit(0.5)
-    step = lambda acc, t: F.concat(acc, F.array(0.9 * F.element_at(acc, -1) + noise(t)))
+    step = lambda acc, t: F.concat(acc, F.array(math.exp(-0.1) * F.element_at(acc, -1) + noise(t)))
     xs = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.array(F.lit(0.0)), step)
     return s.select("series", F.posexplode(xs).alias("t", "x")).where("t > 0").select("series", "t", F.round("x", 6).alias("x"))
 

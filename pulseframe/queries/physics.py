@@ -11,7 +11,7 @@ from pulseframe.sources.testbed import catalog, daily, large
 from .base import CAT, DAILY, big, query
 from .sky import DAYS, MOON_LAT, MOON_LON, MOON_R, SUN_LON, SUN_R, days, n, wrap
 
-YEARS = "y AS (SELECT o_orderkey AS order_key, (o_orderkey * 7) % 3200 - 1000 + 0.5::DOUBLE AS year FROM orders)"
+YEARS = "y AS (SELECT o_orderkey AS order_key, (o_orderkey * 7) % 3200 - 1000 + 0.3::DOUBLE AS year FROM orders)"
 
 
 def _poly(zero: float, unit: float, cs: list[float]) -> str:
@@ -25,7 +25,7 @@ ERA_CASE = "CASE " + " ".join(f"WHEN year < {end} THEN {_poly(z, u, cs)}" for en
 @query(f"WITH {YEARS} SELECT order_key, year, round({ERA_CASE}, 6) AS seconds FROM y")
 def delta_t_eras(spark, sf):
     """Dynamical less universal time at years that orders spread over three thousand, through all eras."""
-    y = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("order_key"), (F.col("o_orderkey") * 7 % 3200 - 1000 + 0.5).alias("year"))
+    y = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("order_key"), (F.col("o_orderkey") * 7 % 3200 - 1000 + 0.3).alias("year"))
     return y.select("order_key", "year", F.round(calendar.delta_t(F.col("year")), 6).alias("seconds"))
 
 
