@@ -60,11 +60,12 @@ def interpolate(grid: DataFrame, points: DataFrame, pos: str, value: str) -> Dat
     return both.withColumn("interpolated", F.coalesce(lerp, a(value), b(value))).drop("_a", "_b").join(grid.select(pos), pos)
 
 
-def near_pairs(a: DataFrame, b: DataFrame, km: float, hours: tuple[int, int] | None, residual: Column | None = None) -> DataFrame:
+def near_pairs(a: DataFrame, b: DataFrame, km: float, hours: tuple[int, int] | None, residual: Column | None = None, spread_b: bool = False) -> DataFrame:
     """Pairs of a (id, hour, lat, lon, ..) and b (id2, hour2, lat2, lon2, ..) within km, where hours[0] <= hour2 - hour <= hours[1]; None: at any time.
 
     Cells are as high as the radius and, in each row of cells, as wide as it is at the row's narrowest; rows that
-    touch a pole are one cell. a goes to its own cell and its neighbours, in space and time; each pair meets once.
+    touch a pole are one cell. a, or with spread_b b, goes to its own cell and its neighbours, in space and time; each pair
+    meets once. It should be the smaller side; copies are never broadcast, as estimates of size don't see them.
     """
     size = km / 111.0
     rows = math.floor(180 / size) + 1
@@ -77,17 +78,23 @@ def near_pairs(a: DataFrame, b: DataFrame, km: float, hours: tuple[int, int] | N
 
     row_of = lambda lat: F.floor((lat + 90) / size).cast("int")
     col_of = lambda lon, n: F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / (360 / n)), n - 1).cast("int")
-    right = b.withColumn("_r", row_of(F.col("lat2"))).withColumn("_c", col_of(F.col("lon2"), cells(F.col("_r")))).withColumn("_t", F.floor(F.col("hour2") / span) if hours else F.lit(0).cast("long"))
-    left = a.withColumn("_r", F.explode(F.sequence(F.greatest(row_of(F.col("lat")) - 1, F.lit(0)), F.least(row_of(F.col("lat")) + 1, F.lit(rows)))))
-    n = cells(F.col("_r"))
-    here = col_of(F.col("lon"), n)
-    left = left.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(here + k, n) for k in (-1, 0, 1)]))))
-    if hours:
-        lo, hi = F.floor((F.col("hour") + hours[0]) / span), F.floor((F.col("hour") + hours[1]) / span)
-        left = left.withColumn("_t", F.explode(F.sequence(lo, hi)))
-    else:
-        left = left.withColumn("_t", F.lit(0).cast("long"))
-    met = left.join(right, ["_r", "_c", "_t"]).where((F.col("hour2") - F.col("hour")).between(*hours) if hours else F.lit(True))
+
+    def filed(df: DataFrame, k: str) -> DataFrame:
+        return df.withColumn("_r", row_of(F.col(f"lat{k}"))).withColumn("_c", col_of(F.col(f"lon{k}"), cells(F.col("_r")))).withColumn("_t", F.floor(F.col(f"hour{k}") / span) if hours else F.lit(0).cast("long"))
+
+    def around(df: DataFrame, k: str, lo: int, hi: int) -> DataFrame:
+        row = row_of(F.col(f"lat{k}"))
+        df = df.withColumn("_r", F.explode(F.sequence(F.greatest(row - 1, F.lit(0)), F.least(row + 1, F.lit(rows)))))
+        n = cells(F.col("_r"))
+        here = col_of(F.col(f"lon{k}"), n)
+        df = df.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(here + i, n) for i in (-1, 0, 1)]))))
+        if not hours:
+            return df.withColumn("_t", F.lit(0).cast("long"))
+        return df.withColumn("_t", F.explode(F.sequence(F.floor((F.col(f"hour{k}") + lo) / span), F.floor((F.col(f"hour{k}") + hi) / span))))
+
+    lo, hi = hours or (0, 0)
+    left, right = (filed(a, ""), around(b, "2", -hi, -lo)) if spread_b else (around(a, "", lo, hi), filed(b, "2"))
+    met = left.hint("merge").join(right, ["_r", "_c", "_t"]).where((F.col("hour2") - F.col("hour")).between(*hours) if hours else F.lit(True))
     met = met.withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).where(F.col("km") <= km)
     return (met.where(residual) if residual is not None else met).drop("_r", "_c", "_t")
 

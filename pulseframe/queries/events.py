@@ -35,7 +35,7 @@ def radius_neighbours(spark, sf):
 def _followed(spark, sf, km: float, hours: int, q: float):
     """Events with a larger one within km in the next hours, the same hour not counted."""
     c = catalog(spark, sf)
-    p = joins.near_pairs(c, joins.second(large(spark, sf, q), COLS), km, (1, hours), F.col("mag2") > F.col("mag"))
+    p = joins.near_pairs(c, joins.second(large(spark, sf, q), COLS), km, (1, hours), F.col("mag2") > F.col("mag"), spread_b=True)
     return c.join(p.select("id").distinct().withColumn("hit", F.lit(1)), "id", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
 
 
