@@ -16,10 +16,10 @@ from .ranking import ranged
 
 
 def lag_window(events: DataFrame, field: DataFrame, key: list[str], event_day: str, field_day: str, lo: int, hi: int) -> DataFrame:
-    """Field rows at the event's own key on days event - hi .. event - lo, with lag. The lags are exploded, so that
-    the join is on equality; they are few, whatever the tables."""
-    asked = events.withColumn("lag", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn(field_day, F.col(event_day) - F.col("lag"))
-    return asked.join(field, [*key, field_day])
+    """Field rows at the event's own key on days event - hi .. event - lo, with lag. Each field row is filed under the days that
+    ask for it, so that the join is on equality and events are moved once; it is never broadcast, as estimates don't see the copies."""
+    asked = field.withColumn("lag", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn(event_day, F.col(field_day) + F.col("lag"))
+    return events.join(asked.hint("merge"), [*key, event_day])
 
 
 def as_of(left: DataFrame, right: DataFrame, key: list[str], left_ts: str, right_ts: str, values: list[str], tolerance: Column | None = None, hot: bool = False) -> DataFrame:

@@ -89,7 +89,8 @@ def lag_window_sample(spark, sf):
     m = joins.lag_window(placed(spark, sf), field(spark, sf), ["cell"], "day", "dd", 1, 10)
     m = m.withColumn("dv", F.col("value") - F.lag("value").over(W.partitionBy("id").orderBy("dd")))
     g = m.groupBy("id").agg(F.count("*").alias("n"), F.avg("value").alias("level"), F.avg(F.abs("dv")).alias("rate")).where("n >= 3")
-    return g.select("id", "n", F.round(F.col("level") + 0.0000123, 4).alias("level"), F.round(F.col("rate") + 0.0000123, 4).alias("rate"))
+    near = lambda c: F.round((F.col(c) + 0.0000123) * 10000.0) / 10000.0  # noqa: E731  # a value next to a tie goes as SQL takes it
+    return g.select("id", "n", near("level").alias("level"), near("rate").alias("rate"))
 
 
 @query(f"""WITH {PLACED}, a AS (SELECT e.id, f.value AS level, 1 AS source FROM ev e LEFT JOIN field f ON e.cell = f.cell AND e.day = f.dd), b AS (SELECT e.id, f.value AS level, 2 AS source FROM ev e LEFT JOIN field f ON (e.cell + 1) % 20 = f.cell AND e.day = f.dd)

@@ -21,3 +21,14 @@ def test_copies_of_events_near_others_are_not_broadcast(spark):
     assert all("BroadcastHashJoin" not in joined_by(p) for p in (one, two))
     ids = lambda p: sorted(map(tuple, p.select("id", "id2").collect()))
     assert ids(one) == ids(two) and len(ids(one)) > len(pts)
+
+
+def test_field_rows_filed_under_days_are_not_broadcast(spark):
+    r = random.Random(6)
+    ev = [(i, r.randint(0, 3), r.randint(90, 120)) for i in range(60)] + [(60, None, 100), (61, 1, None)]
+    fld = [(c, d, float(c + d)) for c in range(4) for d in range(80, 121) if r.random() < 0.8]
+    events, field = spark.createDataFrame(ev, "id int, cell int, day int"), spark.createDataFrame(fld, "cell int, dd int, value double")
+    met = joins.lag_window(events, field, ["cell"], "day", "dd", 1, 10)
+    assert "BroadcastHashJoin" not in joined_by(met)
+    got = sorted(map(tuple, met.select("id", "cell", "day", "dd", "lag", "value").collect()))
+    assert got == sorted((i, c, t, d, t - d, v) for i, c, t in ev for k, d, v in fld if c == k and t is not None and 1 <= t - d <= 10)
