@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Markers of gaps.
-OMNI_FILL, OMNI2_GAP = 9e4, 999.0
+OMNI_FILL, OMNI2_GAP = 9e4, 999.9
 
 
 def _parts(spark: SparkSession, path: str, least: int) -> DataFrame:
@@ -46,13 +46,16 @@ def omni_hourly(spark: SparkSession, path: str, columns: dict[str, str], time_co
 
 
 def omni2(spark: SparkSession, path: str) -> DataFrame:
-    """(ts, density) of all files that the path matches: year, day of the year and hour, and the 24th field; gaps are dropped."""
+    """(ts, density) of all files that the path matches: year, day of the year and hour, and the 24th field; gaps are dropped.
+
+    Only the marker itself is a gap, as the field has room for larger values.
+    """
     parts = _parts(spark, path, 24)
     y, doy, hour = (F.get("f", F.lit(i)).try_cast("int") for i in range(3))
     day = F.date_add(F.make_date(y, F.lit(1), F.lit(1)), doy - 1)
     ts = (day.cast("timestamp_ntz") + F.make_dt_interval(hours=hour)).cast("timestamp_ntz")
     out = parts.where(y.isNotNull() & doy.isNotNull() & hour.isNotNull()).select(ts.alias("ts"), _num(23).alias("density"))
-    return out.where(F.col("density") < OMNI2_GAP)
+    return out.where((F.col("density") != OMNI2_GAP) & ~F.isnan("density"))
 
 
 def earth_rotation(spark: SparkSession, path: str) -> DataFrame:

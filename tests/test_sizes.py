@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from pulseframe.operators import joins
+from pulseframe.sources import solar
 
 
 def joined_by(df) -> str:
@@ -32,3 +33,10 @@ def test_field_rows_filed_under_days_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in joined_by(met)
     got = sorted(map(tuple, met.select("id", "cell", "day", "dd", "lag", "value").collect()))
     assert got == sorted((i, c, t, d, t - d, v) for i, c, t in ev for k, d, v in fld if c == k and t is not None and 1 <= t - d <= 10)
+
+
+def test_densities_above_the_marker_of_gaps_are_values(spark, tmp_path):
+    line = lambda hour, v: " ".join(["2024", "61", str(hour), *["0"] * 20, v, "1"])
+    (tmp_path / "omni2_2024.dat").write_text("\n".join(line(h, v) for h, v in enumerate(["5.5", "999.9", "999.90", "999.0", "2083.25", "12500.0", "x", "NaN"])))
+    got = sorted((r["ts"].isoformat(), r["density"]) for r in solar.omni2(spark, str(tmp_path)).collect())
+    assert got == [(f"2024-03-01T{h:02}:00:00", v) for h, v in ((0, 5.5), (3, 999.0), (4, 2083.25), (5, 12500.0))]
