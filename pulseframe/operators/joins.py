@@ -120,20 +120,34 @@ def covering_pairs(events: DataFrame, km: Callable, days: Callable, residual: Co
     return out
 
 
+def fitted_ring(points: DataFrame, k: int, ring: float, span: float) -> float:
+    """The ring, halved until a point shares its square cell with at most k points on average, itself included."""
+    known = points.where("x is not null and y is not null")
+    while ring > span / 2**40:
+        c = known.groupBy(F.floor(F.col("x") / ring), F.floor(F.col("y") / ring)).agg(F.count("*").cast("double").alias("c"))
+        if (c.agg(F.sum(F.col("c") * F.col("c")) / F.sum("c")).first()[0] or 0) <= max(k, 1):
+            break
+        ring /= 2
+    return ring
+
+
 def kth_neighbour(points: DataFrame, k: int, ring: float) -> DataFrame:
     """points (x, y, distinct) with width, the distance to the k-th other point; null where there are fewer.
 
     Cells as wide as the ring are joined with their neighbours. A point is done when k others lie within the ring, as
-    nothing outside can be nearer; the ring doubles for the rest, until it spans all points.
+    nothing outside can be nearer; the ring doubles for the rest, until it spans all points. It is first halved until a point shares
+    its cell with k on average, so that a point meets some k others, however many there are.
     """
+    points = cut(points)
     ends = points.agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
     span = math.hypot(ends["w"] or 0.0, ends["h"] or 0.0)
+    ring = fitted_ring(points, k, ring, span)
     open_, done = points, None
     while True:
         cell = lambda c: F.floor(F.col(c) / ring)  # noqa: B023, E731
         near = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
         others = points.select(F.col("x").alias("x2"), F.col("y").alias("y2"), cell("x").alias("_r"), cell("y").alias("_c"))
-        met = open_.withColumn("_r", near("x")).withColumn("_c", near("y")).join(others, ["_r", "_c"])
+        met = open_.withColumn("_r", near("x")).withColumn("_c", near("y")).hint("merge").join(others, ["_r", "_c"])  # copies are never broadcast
         d = F.sqrt(F.pow(F.col("x") - F.col("x2"), F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2)))
         met = met.where((F.col("x") != F.col("x2")) | (F.col("y") != F.col("y2"))).withColumn("width", d).where(F.col("width") <= ring)
         found = met.withColumn("_i", F.row_number().over(W.partitionBy("x", "y").orderBy("width"))).where(F.col("_i") == k).select("x", "y", "width")

@@ -40,3 +40,17 @@ def test_densities_above_the_marker_of_gaps_are_values(spark, tmp_path):
     (tmp_path / "omni2_2024.dat").write_text("\n".join(line(h, v) for h, v in enumerate(["5.5", "999.9", "999.90", "999.0", "2083.25", "12500.0", "x", "NaN"])))
     got = sorted((r["ts"].isoformat(), r["density"]) for r in solar.omni2(spark, str(tmp_path)).collect())
     assert got == [(f"2024-03-01T{h:02}:00:00", v) for h, v in ((0, 5.5), (3, 999.0), (4, 2083.25), (5, 12500.0))]
+
+
+def test_the_neighbour_search_starts_with_as_few_as_it_asks_for(spark):
+    r = random.Random(8)
+    pts = [(float(i), float(j)) for i in range(20) for j in range(20)] + [(100 + r.random(), 100 + r.random()) for _ in range(60)]
+    df = spark.createDataFrame(pts + [(None, 1.0)], "x double, y double")
+    ring = joins.fitted_ring(df, 5, 64.0, 200.0)
+    cells = {}
+    for x, y in pts:
+        cells.setdefault((x // ring, y // ring), []).append(1)
+    assert sum(len(c) ** 2 for c in cells.values()) / len(pts) <= 5
+    got = {(q["x"], q["y"]): q["width"] for q in joins.kth_neighbour(df, 5, 64.0).collect()}
+    assert got.pop((None, 1.0)) is None
+    assert all(abs(got[p] - sorted(math.dist(p, q) for q in pts if q != p)[4]) < 1e-9 for p in pts) and len(got) == len(pts)
