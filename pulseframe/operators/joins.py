@@ -162,9 +162,10 @@ def kth_neighbour(points: DataFrame, k: int, ring: float) -> DataFrame:
 def kernel_density(sources: DataFrame, targets: DataFrame, width: str = "width", reach: float = 6.0) -> DataFrame:
     """targets (id, x, y) with density: the mean over sources (x, y, width) of Gaussian kernels, each of its own width and cut `reach` widths out.
 
-    A source is filed in the grid whose cells are the least power of two that holds its reach, and a target asks its own cell and
-    the eight around it at every level that occurs, so that wide kernels meet all targets near them and narrow ones only theirs.
-    Levels are as many as powers of two between the least and the greatest width. Sources without a positive width are left out.
+    A source is filed in the grid whose cells are the least power of two that holds its reach, and a place asks its own cell and
+    the eight around it at every level that occurs, so that wide kernels meet all places near them and narrow ones only theirs.
+    Targets at one place ask once. Levels are as many as powers of two between the least and the greatest width. Sources without
+    a positive width are left out.
     """
     ok = sources.where(F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col(width) > 0))
     s = ok.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(width).alias("_w")).withColumn("_level", F.ceil(F.log2(F.col("_w") * reach)).cast("int"))
@@ -173,14 +174,14 @@ def kernel_density(sources: DataFrame, targets: DataFrame, width: str = "width",
     s = cut(s.withColumn("_r", cell("_x")).withColumn("_c", cell("_y")))
     levels = sorted(r[0] for r in s.select("_level").distinct().collect())
     n = s.count()
-    asked = targets.select("id", "x", "y", F.explode(F.array(*[F.lit(k) for k in levels]) if levels else F.array().cast("array<int>")).alias("_level"))
+    asked = targets.select("x", "y").distinct().withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]) if levels else F.array().cast("array<int>")))
     around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
-    met = asked.withColumn("_r", around("x")).withColumn("_c", around("y")).join(s, ["_level", "_r", "_c"])
+    met = asked.withColumn("_r", around("x")).withColumn("_c", around("y")).hint("merge").join(s, ["_level", "_r", "_c"])  # copies are never broadcast
     d2 = F.pow(F.col("x") - F.col("_x"), F.lit(2)) + F.pow(F.col("y") - F.col("_y"), F.lit(2))
     w2 = F.col("_w") * F.col("_w")
-    near = met.withColumn("_k", F.exp(-d2 / (2 * w2)) / (2 * math.pi * w2)).where(d2 <= w2 * reach * reach)
-    found = near.groupBy("id").agg((F.sum("_k") / n).alias("density"))
-    return targets.join(found, "id", "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
+    near = met.withColumn("_k", F.exp(-d2 / (2 * w2)) / (2 * math.pi * w2)).where(F.sqrt(d2) <= F.col("_w") * reach)  # squares would part a width and its reach at the very edge
+    found = near.groupBy("x", "y").agg((F.sum("_k") / n).alias("density"))
+    return targets.join(found, ["x", "y"], "left").select(*targets.columns, F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
 def second(df: DataFrame, columns: list[str]) -> DataFrame:

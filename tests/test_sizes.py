@@ -54,3 +54,22 @@ def test_the_neighbour_search_starts_with_as_few_as_it_asks_for(spark):
     got = {(q["x"], q["y"]): q["width"] for q in joins.kth_neighbour(df, 5, 64.0).collect()}
     assert got.pop((None, 1.0)) is None
     assert all(abs(got[p] - sorted(math.dist(p, q) for q in pts if q != p)[4]) < 1e-9 for p in pts) and len(got) == len(pts)
+
+
+def test_targets_at_one_place_ask_once_for_its_density(spark):
+    src = spark.createDataFrame([(0.0, 0.0, 2.0), (3.0, 1.0, 5.0)], "x double, y double, width double")
+    tgt = spark.createDataFrame([(i, 1.0, 1.0) for i in range(50)] + [(50, None, 1.0)], "id int, x double, y double")
+    out = joins.kernel_density(src, tgt)
+    want = sum(math.exp(-((1 - x) ** 2 + (1 - y) ** 2) / (2 * w * w)) / (2 * math.pi * w * w) for x, y, w in ((0, 0, 2), (3, 1, 5))) / 2
+    assert [r["density"] for r in out.where("id = 50").collect()] == [0.0]
+    assert out.columns == ["id", "x", "y", "density"] and len(rows := out.where("id < 50").collect()) == 50 and all(abs(r["density"] - want) < 1e-15 for r in rows)
+    plan = joined_by(out)
+    assert plan.index("Generate explode") > plan.index("HashAggregate(keys=[x") and "HashAggregate(keys=[x" in plan[plan.rindex("Generate explode"):]  # places are made distinct before they are copied
+
+
+def test_a_place_at_the_very_reach_of_a_kernel_counts(spark):
+    w = math.sqrt(18.0)  # w * w is less than 18
+    src = spark.createDataFrame([(0.0, 0.0, w)], "x double, y double, width double")
+    tgt = spark.createDataFrame([(1, 18.0, 18.0)], "id int, x double, y double")
+    assert w * w < 18 and math.sqrt(36.0 * 18) <= 6 * w
+    assert joins.kernel_density(src, tgt).first()["density"] > 0
