@@ -84,14 +84,25 @@ def fit_rates(rates: DataFrame, span: float, start: tuple[float, float] = (0.001
 
 
 def centroid_splits(df: DataFrame, key: str, vector: str, label: str, splits: int) -> DataFrame:
-    """(split, n, accuracy): the nearest class centroid on the 30 % of rows that each split holds out; ties to the least label."""
-    v = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("x"))
-    v = v.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(splits))))
-    v = v.withColumn("out", F.pmod(F.pmod(F.col("id") * 7919 + F.col("split") * 104729, F.lit(100003)), F.lit(10)) < 3)
-    mean = v.where("not out").select("split", "label", F.posexplode("x").alias("i", "x")).groupBy("split", "label", "i").agg(F.avg("x").alias("mu"))
+    """(split, n, accuracy): the nearest class centroid on the 30 % of rows that each split holds out; ties to the least label.
+
+    Keys are unique. Centroids, a row a split, go to the vectors, which are shuffled once at most, and only as they are: what else moves is a partial mean a task, class and component.
+    """
+    v = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("x"))
+    tasks = 3 * df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < tasks:  # few vectors are much work
+        v = v.repartition(tasks, "id")
+    v = v.withColumn("x", F.col("x").cast("array<double>"))
+    out = lambda s: F.pmod(F.pmod(F.col("id") * 7919 + s * 104729, F.lit(100003)), F.lit(10)) < 3
+    every = F.sequence(F.lit(1), F.lit(splits))
+    parts = v.select("label", F.transform(every, out).alias("out"), F.posexplode("x").alias("i", "x"))
+    mean = parts.groupBy("label", "i").agg(*[F.avg(F.when(~F.col("out")[s - 1], F.col("x"))).alias(f"m{s}") for s in range(1, splits + 1)])
+    mean = mean.select("label", "i", F.posexplode(F.array(*[f"m{s}" for s in range(1, splits + 1)])).alias("split", "mu")).where("mu is not null").withColumn("split", F.col("split") + 1)
     mid = mean.groupBy("split", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mu"))), lambda t: t["mu"]).alias("mu"))
-    far = F.round(F.aggregate(F.zip_with("x", "mu", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d), 9)
-    near = v.where("out").join(mid.withColumnRenamed("label", "said"), "split").groupBy("split", "id", "label").agg(F.min(F.struct(far.alias("d"), "said")).alias("near"))
+    mids = mid.groupBy("split").agg(F.collect_list(F.struct(F.col("label").alias("said"), "mu")).alias("mids"))  # a row a split
+    far = lambda mu: F.round(F.aggregate(F.zip_with("x", mu, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d), 9)
+    held = v.withColumn("split", F.explode(F.filter(every, out))).join(F.broadcast(mids), "split")
+    near = held.select("split", "label", F.array_min(F.transform("mids", lambda m: F.struct(far(m["mu"]).alias("d"), m["said"].alias("said")))).alias("near"))
     return near.groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg((F.col("near.said") == F.col("label")).cast("int")), 9).alias("accuracy"))
 
 

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from pulseframe.operators import joins
+from pulseframe.plans import audit
 from pulseframe.sources import solar
 
 
@@ -73,3 +74,16 @@ def test_a_place_at_the_very_reach_of_a_kernel_counts(spark):
     tgt = spark.createDataFrame([(1, 18.0, 18.0)], "id int, x double, y double")
     assert w * w < 18 and math.sqrt(36.0 * 18) <= 6 * w
     assert joins.kernel_density(src, tgt).first()["density"] > 0
+
+
+def test_held_out_vectors_are_not_shuffled_for_every_split(spark):
+    r = random.Random(4)
+    rows = [(i, [r.gauss(i % 3, 1.0), r.gauss(0.0, 1.0)], i % 3) for i in range(300)]
+    got = audit.centroid_splits(spark.createDataFrame(rows, "id long, x array<double>, label int"), "id", "x", "label", 4)
+    plan = joined_by(got)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    for q in got.collect():
+        held = lambda i: (i * 7919 + q["split"] * 104729) % 100003 % 10 < 3  # noqa: B023, E731
+        mu = {c: [sum(x[k] for i, x, l in rows if l == c and not held(i)) / sum(l == c and not held(i) for i, _, l in rows) for k in (0, 1)] for c in range(3)}
+        said = [(min((round(math.dist(x, m) ** 2, 9), c) for c, m in mu.items())[1], l) for i, x, l in rows if held(i)]
+        assert q["n"] == len(said) and abs(q["accuracy"] - sum(a == b for a, b in said) / len(said)) < 1e-9
