@@ -5,7 +5,9 @@ import os
 import struct
 from collections import defaultdict
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import functions as F
@@ -110,6 +112,51 @@ def test_alarms_of_odd_rows(spark, tmp_path):
     assert {(r["user_id"], r["triggers"], r["events"], r["quiet"]) for r in got} == {(None, 1, 1, None), (7, 1, 1, None)}  # a row at the very end falls into it
 
 
+class CountedState:
+    """The state of one group and its timers, without a store: calls are counted."""
+
+    def __init__(self):
+        self.calls, self.kept, self.timers = 0, {}, set()
+
+    def handle(self):
+        def variable(name, _):
+            def call(f):
+                def run(*a):
+                    self.calls += 1
+                    return f(*a)
+
+                return run
+
+            kept = self.kept
+            of = {"exists": lambda: name in kept, "clear": lambda: kept.pop(name, None), "update": lambda v: kept.update({name: v}), "put": lambda v: kept.update({name: list(v)}), "appendValue": lambda v: kept.setdefault(name, []).append(v), "appendList": lambda v: kept.setdefault(name, []).extend(v)}
+            of["get"] = lambda: iter(kept[name]) if isinstance(kept[name], list) else kept[name]
+            return SimpleNamespace(**{k: call(f) for k, f in of.items()})
+
+        return SimpleNamespace(getListState=variable, getValueState=variable, registerTimer=self.timers.add)
+
+
+def test_alarms_of_many_keys_call_for_state_once_a_group(spark):
+    """Three batches of 400 keys in one group: the calls for state don't grow with the keys, and no key sees another's rows."""
+    null = 999  # stands for it in what is expected
+    rows = [(null if u == 7 else u - 200, T0 + timedelta(hours=(u * 13 + i * 29) % 200), 10 * u + i, (u + i) % 3 == 0) for u in range(400) for i in range(9)]
+    micros = lambda t: (t - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    state, got = CountedState(), []
+    machine = alarms.Alarms(9 * 3_600_000_000)
+    machine.init(state.handle())
+    for a, b in ((0, 90), (90, 150), (150, 200)):
+        some = [(int(u == null), u % null if u == null else u, micros(t), i, int(x)) for u, t, i, x in rows if a <= (t - T0) / timedelta(hours=1) < b]
+        frames = [pd.DataFrame(some[k::2], columns=["unnamed", "user", "t", "id", "trigger"]) for k in range(2)]
+        list(machine.handleInputRows((3,), iter(frames), None))
+        seen = micros(max(t for _, t, _, _ in rows if t < T0 + timedelta(hours=b)) - timedelta(hours=6)) // 1000
+        due = sorted(t for t in state.timers if t <= seen)
+        state.timers -= set(due)
+        for _ in due:
+            for frame in machine.handleExpiredTimer((3,), SimpleNamespace(getCurrentWatermarkInMs=lambda s=seen: s), None):
+                got += [(null if u is pd.NA else u, *(None if v is pd.NA else v for v in r)) for u, *r in frame.astype(object).itertuples(index=False)]
+    assert sorted(got, key=str) == sorted(expected_alarms(rows, 9, timedelta(hours=6)), key=str)
+    assert state.calls < 60
+
+
 # Polled streams
 
 
