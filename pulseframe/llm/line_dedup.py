@@ -1,10 +1,12 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line is the set of its distinct tokens, which are runs of five words; a line of fewer words has one token, all
-of it. Tokens are ordered by rarity, counted over all lines in hash buckets whose number grows with the text, then
-by hash. Two lines match when the Jaccard similarity of their sets is 0.75 or more; the rarest tokens of each, as
+of it. Two lines match when the Jaccard similarity of their sets is 0.75 or more; the first tokens of each in one order, as
 many as the prefix filter needs, are the keys of the join; length and position filter candidates, and whole sets
-verify them. Any order of the tokens finds the same matches: buckets that tokens share cost time only.
+verify them. Any order of the tokens finds the same matches, so that the first order is that of their hashes, which needs no count.
+Matches that it gives only by keys of more than FEW lines are between lines that both have such a key: these lines, and
+no others, are joined once more in the order of rarity, counted over them in hash buckets whose number grows with the text, then
+by hash. Buckets that tokens share cost time only.
 A line goes when an earlier one matches, in the order of doc_id, a hash of the text, and line number.
 
 Equal sets are one line to the join: two independent hashes of the sorted 64-bit tokens tell them apart, and of the
@@ -32,6 +34,8 @@ NUM, DEN = 75, 100
 BYTES_A_BUCKET, LEAST_BITS, MOST_BITS = 16384, 16, 22
 #: Numbers of lines, over all documents, up to which those that go are broadcast to their documents (8 MB).
 BROADCAST_LINES = 2_000_000
+#: Lines of a key in the order of hashes; those of a longer list are joined in the order of rarity.
+FEW = 16
 #: Bits of a token's hash in its sort key, behind the class of its count.
 HASH_BITS = 54
 #: Spaces other than the plain one, which most texts don't have.
@@ -49,7 +53,8 @@ def words_of(line: Column) -> Column:
 
 def raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, thash, ln, line): the trimmed lines that have words."""
-    lines = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("thash"), F.posexplode(F.split(text_col, "\n", -1)).alias("ln", "line"))
+    hashed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("thash"), F.col(text_col).alias("text"))  # once a text, not once a line
+    lines = hashed.select("doc", "thash", F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
     return lines.withColumn("line", F.btrim("line", F.lit(" " + RARE_SPACES))).where("line <> ''")
 
 
@@ -99,16 +104,36 @@ def _bucket(token: Column, bits: int) -> Column:
     return F.shiftrightunsigned(token, 64 - bits).cast("int")
 
 
-def prefixed(lines: DataFrame, bits: int, classes: Column, run: int = WORDS) -> DataFrame:
-    """(doc, thash, ln, s1, s2, n, prefix): two hashes of the line's set of whole tokens, its size, and the keys of its rarest tokens, rarest first."""
-    hashed = F.lit((1 << HASH_BITS) - 1)
-    key = lambda t: F.shiftleft(F.coalesce(F.get(classes, _bucket(t, bits)), F.lit(0)).cast("long"), HASH_BITS).bitwiseOR(t.bitwiseAND(hashed))
+def _sets(lines: DataFrame, run: int) -> DataFrame:
+    """(doc, thash, ln, s1, s2, set): the line's set of whole tokens in order, and two hashes of it."""
     words = F.col("words")
     whole = lines.select("doc", "thash", "ln", F.sort_array(tokens(words, run)).alias("set"), F.xxhash64(F.lit(2), F.slice(words, 1, run)).alias("head"))
     one = F.size("set") == 1
-    keyed = whole.select("doc", "thash", "ln", F.xxhash64("set").alias("s1"), F.when(one, F.col("head")).otherwise(F.xxhash64(F.lit(1), "set")).alias("s2"), F.sort_array(F.transform("set", key)).alias("keys"))
-    n = F.size("keys")
-    return keyed.select("doc", "thash", "ln", "s1", "s2", n.alias("n"), F.slice("keys", F.lit(1), n - F.ceil(n * F.lit(NUM / DEN)).cast("int") + 1).alias("prefix"))
+    return whole.select("doc", "thash", "ln", F.xxhash64("set").alias("s1"), F.when(one, F.col("head")).otherwise(F.xxhash64(F.lit(1), "set")).alias("s2"), "set")
+
+
+def _prefix(keys: str) -> tuple[Column, Column]:
+    n = F.size(keys)
+    return n.alias("n"), F.slice(keys, F.lit(1), n - F.ceil(n * F.lit(NUM / DEN)).cast("int") + 1).alias("prefix")
+
+
+def hash_prefixed(lines: DataFrame, run: int = WORDS) -> DataFrame:
+    """(doc, thash, ln, s1, s2, n, prefix): two hashes of the line's set of whole tokens, its size, and its first tokens in the order of hashes."""
+    return _sets(lines, run).select("doc", "thash", "ln", "s1", "s2", *_prefix("set"))
+
+
+def prefixed(lines: DataFrame, bits: int, classes: Column, run: int = WORDS) -> DataFrame:
+    """(doc, thash, ln, s1, s2, n, prefix): as hash_prefixed, with the keys of the line's rarest tokens, rarest first."""
+    hashed = F.lit((1 << HASH_BITS) - 1)
+    key = lambda t: F.shiftleft(F.coalesce(F.get(classes, _bucket(t, bits)), F.lit(0)).cast("long"), HASH_BITS).bitwiseOR(t.bitwiseAND(hashed))
+    keyed = _sets(lines, run).select("doc", "thash", "ln", "s1", "s2", F.sort_array(F.transform("set", key)).alias("keys"))
+    return keyed.select("doc", "thash", "ln", "s1", "s2", *_prefix("keys"))
+
+
+def _entries(sets: DataFrame) -> DataFrame:
+    """(s1, n, pos, t, m) of (s1, n, prefix): the entries of lists of two lines at least, and the list's length, counted where the entries of a key meet anyway."""
+    posted = sets.select("s1", "n", F.posexplode("prefix").alias("pos", "t"))
+    return posted.withColumn("m", F.expr("count(*) over (partition by t)")).where("m > 1")
 
 
 def _filters(x: str, y: str) -> Column:
@@ -119,23 +144,36 @@ def _filters(x: str, y: str) -> Column:
     return length & ((1 + F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))) * (NUM + DEN) >= both * NUM)
 
 
-def _whole_sets(docs: DataFrame, ids: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str, run: int) -> DataFrame:
-    """(s1, s2, first, s) of the sets in pairs, from one line of each. Documents without such a line are left out before any is taken apart.
+def _first_lines(docs: DataFrame, ids: DataFrame, wanted: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """(s1, s2, first, words) of the wanted sets (s1), from the first line of each. Documents without such a line are left out before any is taken apart.
 
     docs: (id, text); ids: (s1, s2, .., first) with the place of each set's first line.
     """
     id_col, text_col = docs.columns
-    wanted = scratch.save(pairs.select(F.col("x").alias("s1")).union(pairs.select("y")).distinct(), f"{tag}-wanted")
+    wanted = scratch.save(wanted.distinct(), f"{tag}-wanted")
     where = scratch.save(semi_by_key(ids.select("s1", "s2", "first.*"), wanted, ["s1"]), f"{tag}-where")
     some = semi_by_key(docs.where(F.col(id_col).isNotNull()), where.select(F.col("doc").alias(id_col)).distinct(), [id_col])
     lines = raw_lines(some.unionByName(docs.where(F.col(id_col).isNull())), id_col, text_col)
     small = where.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     where = where.select("s1", "s2", F.struct("doc", "thash", "ln").alias("first"))
     on = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("thash") == F.col("first.thash")) & (F.col("ln") == F.col("first.ln"))
-    found = lines.join(F.broadcast(where) if small else where, on).select("s1", "s2", "first", words_of(F.col("line")).alias("words"))
+    return lines.join(F.broadcast(where) if small else where, on).select("s1", "s2", "first", words_of(F.col("line")).alias("words"))
+
+
+def _whole_sets(docs: DataFrame, ids: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str, run: int) -> DataFrame:
+    """(s1, s2, first, s) of the sets in pairs."""
+    found = _first_lines(docs, ids, pairs.select(F.col("x").alias("s1")).union(pairs.select("y")), scratch, tag)
     return scratch.save(found.select("s1", "s2", "first", tokens(F.col("words"), run).alias("s")), f"{tag}-sets", tidy=True)
 
 
+def _busy_entries(docs: DataFrame, ids: DataFrame, entries: DataFrame, scratch: Scratch, run: int) -> DataFrame:
+    """Entries, in the order of rarity, of the sets that have a key of more than FEW lines in the order of hashes."""
+    busy = _first_lines(docs, ids, entries.where(F.col("m") > FEW).select("s1"), scratch, "busy")
+    lines = scratch.save(busy.select("first.*", "words"), "busy-lines", tidy=True)
+    sets = prefixed(lines, *rarity(docs, docs.columns[1], lines, run), run)
+    return scratch.save(_entries(sets.dropDuplicates(["s1", "s2", "n"])), "busy-entries", tidy=True)
+
+
 def _matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(s1, s2) of the later sets of pairs whose whole sets match; first says again which is later, for sets that share s1."""
     x = sets.select(F.col("s1").alias("x"), F.col("first").alias("first_x"), F.col("s").alias("sx"))
@@ -149,22 +187,22 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "line-dedup")
     docs = docs.select(id_col, text_col)
     lines = lines_of(docs, id_col, text_col)
-    found = scratch.save(prefixed(lines, *rarity(docs, text_col, lines, run), run), "found")
+    found = scratch.save(hash_prefixed(lines, run), "found")
     at = F.struct("doc", "thash", "ln")
     distinct = scratch.save(found.groupBy("s1", "s2", "n").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.any_value("prefix").alias("prefix")), "distinct", tidy=True)
     line_sets = scratch.save(found.drop("prefix"), "lines")
     scratch.drop("found")
-    posted = distinct.select("s1", "n", F.posexplode("prefix").alias("pos", "t"))
-    # lists of one line at least twice; counted where the entries of a key meet anyway
-    counted = posted.withColumn("m", F.expr("count(*) over (partition by t)")).where("m > 1").drop("m")
-    lists = scratch.save(counted, "entries", tidy=True)
-    lists = scratch.save(lists.join(distinct.select("s1", "first"), "s1"), "lists", tidy=True)
+    entries = scratch.save(_entries(distinct), "entries", tidy=True)
+    ids = scratch.save(distinct.select("s1", "s2", "n", "first", "copies"), "ids")
+    scratch.drop("distinct")
+    lists = entries.where(F.col("m") <= FEW)
+    if not entries.where(F.col("m") > FEW).isEmpty():
+        lists = lists.unionByName(_busy_entries(docs, ids, entries, scratch, run))
+    lists = scratch.save(lists.drop("m").join(ids.select("s1", "first"), "s1"), "lists", tidy=True)
     first = F.min(F.struct("first", "s1", "n", "pos")).alias("h")
     heads = lists.groupBy("t").agg(first).select("t", F.col("h.s1").alias("s1"), F.col("h.n").alias("n"), F.col("h.pos").alias("pos"))
     stars = lists.alias("y").join(heads.alias("x"), "t").where("x.s1 <> y.s1").where(_filters("x", "y")).select(F.col("x.s1").alias("x"), F.col("y.s1").alias("y"))
     stars = scratch.save(stars.distinct(), "stars")
-    ids = scratch.save(distinct.select("s1", "s2", "n", "first", "copies"), "ids")
-    scratch.drop("distinct")
     gone = scratch.save(_matching(stars, _whole_sets(docs, ids, stars, scratch, "star", run)), "gone", tidy=True)
     scratch.drop("star-sets")
     clear = ids.join(gone, ["s1", "s2"], "left_anti").select("s1").distinct()
@@ -177,7 +215,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = scratch.save(ids.join(matched, ["s1", "s2"], "left").where("copies > 1 or gone").select("s1", "s2", "n", "first", "gone"), "named")
     out = line_sets.select("doc", "thash", "ln", "s1", "s2", "n").join(named, ["s1", "s2", "n"])
     out = scratch.save(out.where(F.col("gone").isNotNull() | (at > F.col("first"))).select("doc", "thash", "ln").distinct().groupBy("doc", "thash").agg(F.collect_set("ln").alias("lns")), "removed")
-    for name in ("lines", "named", "entries", "lists", "ids", "stars", "rest", "rest-sets", "gone", "more", *[f"{t}-{n}" for t in ("star", "rest") for n in ("wanted", "where")]):
+    for name in ("lines", "named", "entries", "lists", "ids", "stars", "rest", "rest-sets", "gone", "more", "busy-lines", "busy-entries", *[f"{t}-{n}" for t in ("star", "rest", "busy") for n in ("wanted", "where")]):
         scratch.drop(name)
     return out
 

@@ -170,6 +170,35 @@ def test_line_dedup_with_words_as_tokens_and_with_keys_that_collide(spark, monke
     assert got == brute_lines(docs)
 
 
+def test_only_lines_with_a_key_of_many_are_counted(spark, monkeypatch):
+    """A passage in many lines: these lines alone are counted and joined by rarity, and matches by either order are found."""
+    rng = random.Random(8)
+    passage, docs = words(900, 12), []
+    for i in range(40):
+        own = words(300 + i, 24)
+        near = [*own[:-1], "z"]
+        docs.append((i, " ".join(passage + own if i % 2 else own)))
+        docs.append((100 + i, " ".join(passage + near if i % 4 == 1 else near if i % 4 == 2 else words(700 + i, 24))))
+    rng.shuffle(docs)
+    counted, count = [], line_dedup.rarity
+
+    def counting(docs, text_col, lines, run):
+        counted.append(lines.count())
+        return count(docs, text_col, lines, run)
+
+    monkeypatch.setattr(line_dedup, "rarity", counting)
+    monkeypatch.setattr(line_dedup, "FEW", 4)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert got == brute_lines(sorted(docs)) and len(got) == 60
+    with_passage = sum(" ".join(passage) in text for _, text in docs)
+    assert len(counted) == 1 and 0 < counted[0] <= with_passage < len(docs)
+    counted.clear()
+    few = [d for d in docs if " ".join(passage) not in d[1]]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(few, "doc_id long, text string")).collect()}
+    assert got == brute_lines(sorted(few)) and not counted
+
+
 def test_classes_of_counts_rise_and_never_saturate(spark):
 
     # counts up to the greatest long keep their order in the sort key, behind which whole tables are read
