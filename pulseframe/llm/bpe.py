@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from pulseframe.shipping import ship
 
-from .common import without
+from .common import by_bytes, without
 
 #: Code points that are scanned at once, if no text is longer.
 SCAN_CHARS = 1 << 20
@@ -245,11 +245,18 @@ def encode_lists(texts: list[str], merger: Merger, vocab: Vocabulary) -> tuple[p
     return lists[0], lists[1]
 
 
-#: Texts that become Python objects at once.
-ROWS = 500
+#: Bytes of texts that become Python objects at once, unless one text has more; encoding and decoding take up to some seventy times as many, where each byte is a token.
+BATCH_BYTES = 1 << 20
 _MERGERS: dict[int, Merger] = {}
 
 
+def coded(batches: Iterator[pa.RecordBatch], text: int, merger: Merger, vocab: Vocabulary, decoded: bool) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+    """Slices of the batches, and what is added to each. text: the column of raw texts."""
+    for batch in (some for whole in batches for some in by_bytes(whole, text, BATCH_BYTES)):
+        ids, offsets = encode_lists([(b or b"").decode("utf-8", "replace") for b in batch.column(text).to_pylist()], merger, vocab)
+        yield batch, [ids, offsets, *([decode_lists(ids, offsets, vocab)] if decoded else [])]
+
+
 def encode(df: DataFrame, ranks: dict[bytes, int], text_col: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """Adds token_ids array<int> and token_offsets array<int>, the byte where each token starts and, last, the text's size.
 
@@ -265,10 +272,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], text_col: str = "text", keep:
         merger = _MERGERS.setdefault(len(shared.value), Merger(shared.value))
         if merger.ranks != shared.value:
             merger = _MERGERS[len(shared.value)] = Merger(shared.value)
-        vocab = Vocabulary(shared.value)
-        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, len(whole), ROWS)):
-            ids, offsets = encode_lists([(b or b"").decode("utf-8", "replace") for b in batch.column(len(keep)).to_pylist()], merger, vocab)
-            made = [ids, offsets, *([decode_lists(ids, offsets, vocab)] if decoded else [])]
+        for batch, made in coded(batches, len(keep), merger, Vocabulary(shared.value), decoded):
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(len(keep))], *made], names=[*keep, *added])
 
     ints = T.ArrayType(T.IntegerType())
@@ -287,7 +291,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], keep: list[str] | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(shared.value)
-        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, len(whole), ROWS)):
+        for batch in (whole.slice(i, 500) for whole in batches for i in range(0, len(whole), 500)):
             made = decode_lists(batch.column("token_ids"), batch.column("token_offsets"), vocab)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], made], names=[*keep, "decoded"])
 

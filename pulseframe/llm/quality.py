@@ -26,12 +26,14 @@ from pyspark.sql import types as T
 
 from pulseframe.shipping import ship
 
-from .common import without
+from .common import by_bytes, without
 
 #: Hash buckets of words, factors, and labelled rows that are learnt at most.
 BUCKETS, RANK, FIT_ROWS = 8192, 8, 8000
 #: Words whose bucket a worker remembers.
 CACHED_WORDS = 100_000
+#: Bytes of texts that become Python objects at once, unless one text has more.
+BATCH_BYTES = 1 << 20
 STRUCTURE = ("log_words", "log_chars", "word_length", "distinct_share", "top_share", "upper_share", "digit_share", "mark_share", "wide_share", "line_words", "bar_share", "marked_word_share", "again_share")
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,")
 _UPPER, _DIGIT, _WIDE = bytes(range(65, 91)), bytes(range(48, 58)), bytes(range(128, 256))
@@ -154,24 +156,34 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     """Adds score double and predicted int. The machine, of fixed size, is broadcast."""
-    ship(docs.sparkSession)
     docs = without(docs, "score", "predicted")
     keep = docs.columns if keep is None else [c for c in keep if c in docs.columns]
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
-    src = docs.select(*[f"`{c}`" for c in keep], F.col(f"`{text_col}`").alias("__pf_text"))
+    return _scored(docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text_col])]), machine, [text_col], keep, threshold)
+
+
+def _scored(src: DataFrame, machine: Machine, text: list[str], keep: list[str], threshold: float) -> DataFrame:
+    """The columns keep, with which src begins, score and predicted. text: the column of texts, or the path to it in a struct, so that no text goes to the workers twice."""
+    ship(src.sparkSession)
+    shared = src.sparkSession.sparkContext.broadcast(machine)
+    path = [src.columns.index(text[0]), *[[n.lower() for n in src.schema[text[0]].dataType.names].index(c.lower()) for c in text[1:]]]
 
     def run(batches):
         import pyarrow as pa
 
-        for b in (whole.slice(i, 500) for whole in batches for i in range(0, len(whole), 500)):
-            s = shared.value.score(b.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+        for whole in batches:
+            texts = whole.column(path[0])
+            for i in path[1:]:
+                texts = texts.field(i)
+            both = pa.RecordBatch.from_arrays([*[whole.column(i) for i in range(len(keep))], texts], names=[*keep, "__pf_text"])
+            for b in by_bytes(both, len(keep), BATCH_BYTES):
+                s = shared.value.score(b.column(len(keep)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[: len(keep)], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def accept(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier doesn't reject, with their own columns."""
     machine = fit(docs, labels, text_col=text_col)
-    kept = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    return score(kept, machine, "text", keep=["row"], threshold=threshold).where("predicted = 1").select("row.*")
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    return _scored(rows, machine, ["row", text_col], ["row"], threshold).where("predicted = 1").select("row.*")
