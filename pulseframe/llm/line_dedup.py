@@ -51,11 +51,20 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(plain, " ", -1), "")
 
 
+def trimmed(line: Column) -> Column:
+    """Without spaces of all kinds at both ends. Trimming the plain one looks at the ends alone; trimming by a list of characters goes through the whole line, and is left to lines that need it."""
+    plain = F.trim(line)
+    rare = F.lit(False)
+    for c in RARE_SPACES:
+        rare = rare | F.startswith(plain, F.lit(c)) | F.endswith(plain, F.lit(c))
+    return F.when(rare, F.btrim(plain, F.lit(" " + RARE_SPACES))).otherwise(plain)
+
+
 def raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, thash, ln, line): the trimmed lines that have words."""
     hashed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("thash"), F.col(text_col).alias("text"))  # once a text, not once a line
     lines = hashed.select("doc", "thash", F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
-    return lines.withColumn("line", F.btrim("line", F.lit(" " + RARE_SPACES))).where("line <> ''")
+    return lines.withColumn("line", trimmed(F.col("line"))).where("line <> ''")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

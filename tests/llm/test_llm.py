@@ -231,6 +231,12 @@ def test_words_of_lines_with_any_spaces(spark):
     assert [r.w for r in df.select(line_dedup.words_of(F.col("line")).alias("w")).collect()] == [["a", "b"], ["a", "b"], ["a", "b", "c"], ["one"], ["x\u00a0y", "z"]]
 
 
+def test_trimming_looks_through_a_line_only_where_a_rare_space_ends_it(spark):
+    odd = ["", " ", "a", " a b ", "\ta", "a\x0b", " \t a \r ", "\x0c \x0c", "a\tb", "\u00a0a\u00a0 ", "\t", " \u00e4\t"]
+    df = spark.createDataFrame([(t,) for t in odd], "line string").select("line", line_dedup.trimmed(F.col("line")).alias("t"))
+    assert [r.t for r in df.collect()] == [t.strip(" \t\x0b\x0c\r") for t in odd]
+
+
 def test_line_dedup_of_odd_rows(odd, nothing):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == [c for c in odd.columns if c != "n_removed"] + ["n_removed"]
