@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from pulseframe.shipping import ship
 
-from .common import by_bytes, without
+from .common import bound_batches, by_bytes, without
 
 #: Code points that are scanned at once, if no text is longer.
 SCAN_CHARS = 1 << 20
@@ -263,6 +263,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], text_col: str = "text", keep:
     keep: the columns to pass through; all by default. decoded: also add what decode() makes of the ids, in the same worker.
     """
     ship(spark := df.sparkSession)
+    bound_batches(spark)
     df = without(df, "token_ids", "token_offsets", *["decoded"] * decoded)
     keep = df.columns if keep is None else [c for c in keep if c in df.columns]
     shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary, whatever the input
@@ -284,6 +285,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], text_col: str = "text", keep:
 def decode(df: DataFrame, ranks: dict[bytes, int], keep: list[str] | None = None) -> DataFrame:
     """Adds decoded binary to rows with the columns that encode() adds."""
     ship(df.sparkSession)
+    bound_batches(df.sparkSession)
     df = without(df, "decoded")
     keep = df.columns if keep is None else [c for c in keep if c in df.columns]
     shared = df.sparkSession.sparkContext.broadcast(ranks)

@@ -17,6 +17,8 @@ from pulseframe.shipping import ship
 
 #: Rows up to which a table of keys is broadcast (16 MB at eight longs a row); beyond it, joins shuffle.
 BROADCAST_KEYS = 250_000
+#: Bytes of a batch that goes to a Python worker: without a bound, 10,000 texts lie in the executor's JVM, in buffers that double as they grow, and once more in its worker.
+WORKER_BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of bytes in a batch for Python workers to WORKER_BATCH_BYTES; a lower one stays. Rows, and their order, are the same."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < most <= WORKER_BATCH_BYTES:
+        spark.conf.set(key, f"{WORKER_BATCH_BYTES}b")
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage, and survive a lost executor."""
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, Scratch, components, semi_by_key
+from .common import BROADCAST_KEYS, Scratch, bound_batches, by_bytes, components, semi_by_key
 
 WORDS = 5
 #: Similarity as a fraction: linked when DEN * intersection >= NUM * union.
@@ -112,11 +112,10 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Few texts at a time become Python objects."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few texts, and few bytes, at a time become Python objects."""
     for whole in batches:
-        for i in range(0, len(whole), rows):
-            yield whole.slice(i, rows)
+        yield from by_bytes(whole, whole.schema.get_field_index("raw"), AT_ONCE)
 
 
 def bucket_counts(source: DataFrame) -> np.ndarray:
@@ -382,6 +381,7 @@ def _within_groups(spark: SparkSession, first: DataFrame, comp: DataFrame, scrat
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row."""
     spark: SparkSession = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "ngram-join")
     source = _source(docs, id_col, text_col)
     signed = scratch.save(signatures(source, bucket_counts(source)), "signed")

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from pulseframe.shipping import ship
 
-from .common import by_bytes, without
+from .common import bound_batches, by_bytes, without
 
 #: Hash buckets of words, factors, and labelled rows that are learnt at most.
 BUCKETS, RANK, FIT_ROWS = 8192, 8, 8000
@@ -140,6 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     Only their features come to the driver. The labels are joined by broadcast, since their number is bounded.
     """
     ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     met = docs.select(F.col(f"`{id_col}`").alias("_of"), F.col(f"`{text_col}`").alias("_t")).join(F.broadcast(known), F.col("_of") == F.col("_id"))
@@ -164,6 +165,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: list[
 def _scored(src: DataFrame, machine: Machine, text: list[str], keep: list[str], threshold: float) -> DataFrame:
     """The columns keep, with which src begins, score and predicted. text: the column of texts, or the path to it in a struct, so that no text goes to the workers twice."""
     ship(src.sparkSession)
+    bound_batches(src.sparkSession)
     shared = src.sparkSession.sparkContext.broadcast(machine)
     path = [src.columns.index(text[0]), *[[n.lower() for n in src.schema[text[0]].dataType.names].index(c.lower()) for c in text[1:]]]
 

@@ -453,6 +453,31 @@ def test_scan_lines_finds_every_given_text(spark):
 # 7. Byte-level BPE
 
 
+def test_workers_of_the_pipeline_get_batches_of_bounded_bytes(spark):
+    key, rows = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(30, numPartitions=1).select("id", F.repeat(F.lit("ab c "), 200_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)]), pa.array([b.nbytes])], names=["n", "size"])
+
+    steps = {
+        "bpe": lambda: bpe.encode(rows, {b"a": 0}),
+        "classifier": lambda: quality.score(rows, quality.learn([])),
+        "n-gram join": lambda: ngram_join.jaccard_components(spark.range(2).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))),
+    }
+    try:
+        for name, step in steps.items():
+            spark.conf.unset(key)
+            step()
+            got = rows.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r["n"] for r in got) == 30 and max(r["size"] for r in got) < 6_000_000, name
+        spark.conf.set(key, "1m")
+        bpe.encode(rows, {b"a": 0})
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_bpe_holds_a_bounded_number_of_bytes_at_once():
     """Memory follows the bytes of a slice, not the number of texts in it: 200 texts of 42 kB at once took 554 MB."""
     import tracemalloc
