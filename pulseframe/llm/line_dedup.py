@@ -6,7 +6,8 @@ many as the prefix filter needs, are the keys of the join; length and position f
 verify them. Any order of the tokens finds the same matches, so that the first order is that of their hashes, which needs no count.
 Matches that it gives only by keys of more than FEW lines are between lines that both have such a key: these lines, and
 no others, are joined once more in the order of rarity, counted over them in hash buckets whose number grows with the text, then
-by hash. Buckets that tokens share cost time only.
+by hash. Buckets that tokens share cost time only. Texts are taken apart twice: once for the keys of all lines, and once for
+the whole sets of those that lists of FEW lines let match or that are joined once more.
 A line goes when an earlier one matches, in the order of doc_id, a hash of the text, and line number.
 
 Equal sets are one line to the join: two independent hashes of the sorted 64-bit tokens tell them apart, and of the
@@ -82,7 +83,9 @@ def last_run(words: Column, run: int = WORDS) -> Column:
 
 
 def tokens(words: Column, run: int = WORDS) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last_run(words, run)), lambda i: _token(words, i, run)))
+    """The words are bound to a name first, so that they aren't taken from their row anew for each token."""
+    runs = F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(0), last_run(w, run)), lambda i: _token(w, i, run)))
+    return F.array_distinct(F.get(runs, F.lit(0)))
 
 
 def count_class(n: Column) -> Column:
@@ -91,13 +94,12 @@ def count_class(n: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text_col: str, lines: DataFrame, run: int = WORDS) -> tuple[int, Column]:
-    """(bits, array<int>): the class of the occurrences of each bucket's tokens. The table is put together in one row of text, of some four bytes a bucket."""
+    """(bits, array<int>): the class of each bucket's number of lines, of lines with their sets. The table is put together in one row of text, of some four bytes a bucket."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # as Catalyst knows it, without a scan
     if size > 1 << 50:  # it doesn't know
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_A_BUCKET).bit_length()))
-    runs = lines.select("words", F.explode(F.sequence(F.lit(0), last_run(F.col("words"), run))).alias("i"))
-    counts = runs.groupBy(_bucket(_token(F.col("words"), F.col("i"), run), bits).alias("bucket")).agg(count_class(F.count("*")).alias("c"))
+    counts = lines.select(F.explode("set").alias("t")).groupBy(_bucket(F.col("t"), bits).alias("bucket")).agg(count_class(F.count("*")).alias("c"))
     return bits, class_table(counts, bits)
 
 
@@ -133,10 +135,14 @@ def hash_prefixed(lines: DataFrame, run: int = WORDS) -> DataFrame:
 
 def prefixed(lines: DataFrame, bits: int, classes: Column, run: int = WORDS) -> DataFrame:
     """(doc, thash, ln, s1, s2, n, prefix): as hash_prefixed, with the keys of the line's rarest tokens, rarest first."""
+    return _by_rarity(_sets(lines, run), bits, classes)
+
+
+def _by_rarity(sets: DataFrame, bits: int, classes: Column) -> DataFrame:
     hashed = F.lit((1 << HASH_BITS) - 1)
     key = lambda t: F.shiftleft(F.coalesce(F.get(classes, _bucket(t, bits)), F.lit(0)).cast("long"), HASH_BITS).bitwiseOR(t.bitwiseAND(hashed))
-    keyed = _sets(lines, run).select("doc", "thash", "ln", "s1", "s2", F.sort_array(F.transform("set", key)).alias("keys"))
-    return keyed.select("doc", "thash", "ln", "s1", "s2", *_prefix("keys"))
+    others = [c for c in sets.columns if c != "set"]
+    return sets.select(*others, F.sort_array(F.transform("set", key)).alias("keys")).select(*others, *_prefix("keys"))
 
 
 def _entries(sets: DataFrame) -> DataFrame:
@@ -145,6 +151,11 @@ def _entries(sets: DataFrame) -> DataFrame:
     return posted.withColumn("m", F.expr("count(*) over (partition by t)")).where("m > 1")
 
 
+def _headed(entries: DataFrame) -> DataFrame:
+    """Adds m, the list's length, and h, its entry with the earliest line, where the entries of a key meet."""
+    return entries.withColumns({"m": F.expr("count(*) over (partition by t)"), "h": F.expr("min(struct(first, s1, n, pos)) over (partition by t)")}).where("m > 1").select("s1", "n", "pos", "t", "m", "first", F.struct("h.s1", "h.n", "h.pos").alias("h"))
+
+
 def _filters(x: str, y: str) -> Column:
     """Length and positional filters for entries of one list."""
     c = lambda t, k: F.col(f"{t}.{k}")
@@ -153,6 +164,23 @@ def _filters(x: str, y: str) -> Column:
     return length & ((1 + F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))) * (NUM + DEN) >= both * NUM)
 
 
+def _star_pairs(lists: DataFrame) -> DataFrame:
+    """(x, y): the head of each list, and the others that the filters let it match."""
+    met = lists.select(F.struct("h.s1", "h.n", "h.pos").alias("x"), F.struct("s1", "n", "pos").alias("y")).where("x.s1 <> y.s1").where(_filters("x", "y"))
+    return met.select(F.col("x.s1").alias("x"), F.col("y.s1").alias("y"))
+
+
+def _rest_pairs(lists: DataFrame, later: DataFrame) -> DataFrame:
+    """(x, y): pairs of entries of a list, without its head, whose later one is in `later`."""
+    longer = "m > 2 and s1 <> h.s1"
+    met = later.where(longer).alias("y").join(lists.where(longer).alias("x"), "t").where("x.first < y.first").where(_filters("x", "y"))
+    return met.select(F.col("x.s1").alias("x"), F.col("y.s1").alias("y"))
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("s1"))
+
+
 def _first_lines(docs: DataFrame, ids: DataFrame, wanted: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """(s1, s2, first, words) of the wanted sets (s1), from the first line of each. Documents without such a line are left out before any is taken apart.
 
@@ -169,22 +197,16 @@ def _first_lines(docs: DataFrame, ids: DataFrame, wanted: DataFrame, scratch: Sc
     return lines.join(F.broadcast(where) if small else where, on).select("s1", "s2", "first", words_of(F.col("line")).alias("words"))
 
 
-def _whole_sets(docs: DataFrame, ids: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str, run: int) -> DataFrame:
-    """(s1, s2, first, s) of the sets in pairs."""
-    found = _first_lines(docs, ids, pairs.select(F.col("x").alias("s1")).union(pairs.select("y")), scratch, tag)
-    return scratch.save(found.select("s1", "s2", "first", tokens(F.col("words"), run).alias("s")), f"{tag}-sets", tidy=True)
-
-
-def _busy_entries(docs: DataFrame, ids: DataFrame, entries: DataFrame, scratch: Scratch, run: int) -> DataFrame:
-    """Entries, in the order of rarity, of the sets that have a key of more than FEW lines in the order of hashes."""
-    busy = _first_lines(docs, ids, entries.where(F.col("m") > FEW).select("s1"), scratch, "busy")
-    lines = scratch.save(busy.select("first.*", "words"), "busy-lines", tidy=True)
-    sets = prefixed(lines, *rarity(docs, docs.columns[1], lines, run), run)
-    return scratch.save(_entries(sets.dropDuplicates(["s1", "s2", "n"])), "busy-entries", tidy=True)
+def _busy_lists(docs: DataFrame, sets: DataFrame, busy: DataFrame, scratch: Scratch, run: int) -> DataFrame:
+    """Lists, in the order of rarity, of the sets that busy names (s1)."""
+    lines = scratch.save(semi_by_key(sets.select("s1", "first", F.size("s").alias("n"), F.col("s").alias("set")), busy, ["s1"]), "busy-lines", tidy=True)
+    keyed = _by_rarity(lines.drop("n"), *rarity(docs, docs.columns[1], lines, run))
+    return _headed(keyed.select("s1", "first", "n", F.posexplode("prefix").alias("pos", "t")))
 
 
-def _matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _matching(pairs: DataFrame, sets: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """(s1, s2) of the later sets of pairs whose whole sets match; first says again which is later, for sets that share s1."""
+    sets = semi_by_key(sets, scratch.save(_named(pairs).distinct(), f"{tag}-named"), ["s1"])
     x = sets.select(F.col("s1").alias("x"), F.col("first").alias("first_x"), F.col("s").alias("sx"))
     met = pairs.join(x, "x").join(sets.withColumnRenamed("s1", "y"), "y").where("first_x < first")
     common = F.size(F.array_intersect("sx", "s"))
@@ -204,27 +226,35 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entries = scratch.save(_entries(distinct), "entries", tidy=True)
     ids = scratch.save(distinct.select("s1", "s2", "n", "first", "copies"), "ids")
     scratch.drop("distinct")
-    lists = entries.where(F.col("m") <= FEW)
-    if not entries.where(F.col("m") > FEW).isEmpty():
-        lists = lists.unionByName(_busy_entries(docs, ids, entries, scratch, run))
-    lists = scratch.save(lists.drop("m").join(ids.select("s1", "first"), "s1"), "lists", tidy=True)
-    first = F.min(F.struct("first", "s1", "n", "pos")).alias("h")
-    heads = lists.groupBy("t").agg(first).select("t", F.col("h.s1").alias("s1"), F.col("h.n").alias("n"), F.col("h.pos").alias("pos"))
-    stars = lists.alias("y").join(heads.alias("x"), "t").where("x.s1 <> y.s1").where(_filters("x", "y")).select(F.col("x.s1").alias("x"), F.col("y.s1").alias("y"))
+    lists = scratch.save(_headed(entries.where(F.col("m") <= FEW).drop("m").join(ids.select("s1", "first"), "s1")), "lists", tidy=True)
+    busy = scratch.save(entries.where(F.col("m") > FEW).select("s1").distinct(), "busy")
+    # what may be compared is known now, and texts are taken apart once for all of it; lists of FEW lines have few pairs
+    rest = scratch.save(_rest_pairs(lists, lists).distinct(), "few-rest", tidy=True)
+    wanted = busy.union(_named(_star_pairs(lists))).union(_named(rest))
+    sets = _first_lines(docs, ids, wanted, scratch, "near").select("s1", "s2", "first", F.sort_array(tokens(F.col("words"), run)).alias("s"))
+    sets = scratch.save(sets, "sets", tidy=True)
+    stars, counted = _star_pairs(lists), not busy.isEmpty()
+    if counted:
+        long_lists = scratch.save(_busy_lists(docs, sets, busy, scratch, run), "busy-lists", tidy=True)
+        stars = stars.union(_star_pairs(long_lists))
     stars = scratch.save(stars.distinct(), "stars")
-    gone = scratch.save(_matching(stars, _whole_sets(docs, ids, stars, scratch, "star", run)), "gone", tidy=True)
-    scratch.drop("star-sets")
-    clear = ids.join(gone, ["s1", "s2"], "left_anti").select("s1").distinct()
-    open_ = lists.join(clear, "s1", "left_semi")
-    rest = open_.alias("y").join(lists.alias("x"), "t").where("x.first < y.first").where(_filters("x", "y")).select(F.col("x.s1").alias("x"), F.col("y.s1").alias("y"))
+    gone = scratch.save(_matching(stars, sets, scratch, "star"), "gone", tidy=True)
+    closed = gone.select("s1").distinct()
+    also = semi_by_key(ids.select("s1", "s2"), closed, ["s1"]).join(gone, ["s1", "s2"], "left_anti").select("s1")  # sets that share s1 with one that goes
+    closed = scratch.save(closed.join(also, "s1", "left_anti"), "closed")
+    small = closed.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    closed = F.broadcast(closed) if small else closed
+    rest = rest.join(closed.withColumnRenamed("s1", "y"), "y", "left_anti").select("x", "y")
+    if counted:
+        rest = rest.union(_rest_pairs(long_lists, long_lists.join(closed, "s1", "left_anti")))
     rest = scratch.save(rest.distinct().join(stars, ["x", "y"], "left_anti"), "rest", tidy=True)
-    more = scratch.save(_matching(rest, _whole_sets(docs, ids, rest, scratch, "rest", run)), "more", tidy=True)
+    more = scratch.save(_matching(rest, sets, scratch, "rest"), "more", tidy=True)
     matched = gone.union(more).distinct().withColumn("gone", F.lit(True))
     # a set's later lines go, and its first one if an earlier set matches
     named = scratch.save(ids.join(matched, ["s1", "s2"], "left").where("copies > 1 or gone").select("s1", "s2", "n", "first", "gone"), "named")
     out = line_sets.select("doc", "thash", "ln", "s1", "s2", "n").join(named, ["s1", "s2", "n"])
     out = scratch.save(out.where(F.col("gone").isNotNull() | (at > F.col("first"))).select("doc", "thash", "ln").distinct().groupBy("doc", "thash").agg(F.collect_set("ln").alias("lns")), "removed")
-    for name in ("lines", "named", "entries", "lists", "ids", "stars", "rest", "rest-sets", "gone", "more", "busy-lines", "busy-entries", *[f"{t}-{n}" for t in ("star", "rest", "busy") for n in ("wanted", "where")]):
+    for name in ("lines", "named", "entries", "lists", "ids", "sets", "stars", "rest", "few-rest", "star-named", "rest-named", "gone", "closed", "more", "busy", "busy-lines", "busy-lists", "near-wanted", "near-where"):
         scratch.drop(name)
     return out
 
